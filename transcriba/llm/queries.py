@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .licenses import license_scan, license_sql
+from .mixing import mix_sources
+from .quality import held_out, quality_scores, train_quality
 from .secrets import BASE, count_kind, joined, secret_scan
 from .sharding import uniform_shards
 from .token_store import write_tokens
@@ -23,6 +27,23 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_tokens(docs, tokenizer_path(), 2).records(docs.select("doc_id"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("hits", lambda h: h["item_id"])
+    best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["similarity"])), F.lit(0.0))
+    return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"), best.alias("similarity"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +55,10 @@ def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_block", "mix_order")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     counts = [count_kind("spans", k).alias(f"n_{k}") for k in BASE]
@@ -42,12 +67,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_license_scan": op2_license_scan,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_uniform_shards": op8_uniform_shards,
+    "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": license_sql(),
     "op6_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
