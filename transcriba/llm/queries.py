@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .licenses import license_scan, license_sql
 from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .quality import held_out, quality_scores, train_quality
 from .secrets import BASE, count_kind, joined, secret_scan
 from .sharding import uniform_shards
@@ -31,6 +32,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
@@ -68,6 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_license_scan": op2_license_scan,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
