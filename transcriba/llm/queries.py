@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .licenses import license_scan, license_sql
+from .line_dedup import line_decisions
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import held_out, quality_scores, train_quality
@@ -53,6 +54,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_decisions(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_uniform_shards": op8_uniform_shards,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
