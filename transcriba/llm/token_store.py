@@ -9,6 +9,7 @@ reads one displacement and one slot, and compares the fingerprint: constant time
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import uuid
@@ -30,58 +31,104 @@ BUCKET_KEYS = 1 << 16
 #: The key of records whose id is null.
 NULL_KEY = -(1 << 63)
 #: Distinct pieces of text that a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 
 # -- encoding ---------------------------------------------------------------------------------------
 
 
+_ODD_SPACE = re.compile(r" (?=\s|$)")
+
+
 def pieces(text: str) -> list[str]:
-    """The text cut where byte-level BPE never merges: before a single space that a word follows."""
-    out: list[str] = []
-    for i, part in enumerate(text.split(" ")):
-        if not i:
+    """The text cut at spaces where byte-level BPE never merges: at a space that a word follows.
+
+    The space itself is left out; it belongs to the piece after it.
+    """
+    parts = text.split(" ")
+    if not _ODD_SPACE.search(text):
+        return parts
+    out = parts[:1]
+    for part in parts[1:]:
+        if part and not part[0].isspace():
             out.append(part)
-        elif part and not part[0].isspace():
-            out.append(" " + part)
         else:
             out[-1] += " " + part
     return out
 
 
-def load_tokenizer(path: str, width: int):
-    """The tokenizer and the pieces that this worker has met, kept as long as the worker lives."""
-    held = sys.__dict__.setdefault("_transcriba_tokenizers", {})
-    if (path, width) not in held:
+#: How byte-level BPE of this family splits a text into words.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class PieceEncoder:
+    """A byte-level BPE tokenizer with the pieces that this worker has met; lives as long as the worker."""
+
+    def __init__(self, path: str, width: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        held[path, width] = (Tokenizer.from_file(path), {})
-    return held[path, width]
+        self.tok, self.kind = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4"
+        self.code, self.word = "H" if width == 2 else "I", regex.compile(WORDS)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # Byte-level vocabularies write each byte as one printable character.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.after: dict[str, bytes] = {}  # pieces that follow a space, without it
+        self.inner: dict[str, bytes] = {}  # words inside a piece
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def one(self, word: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def piece(self, p: str) -> bytes:
+        """Ids of a piece and the space before it."""
+        if p.isalpha():
+            return self.one(" " + p)
+        if any(a in p for a in self.added):
+            return self.whole(" " + p)
+        first, *rest = self.word.findall(" " + p)
+        if (out := self.after.get(first[1:])) is None:
+            out = self.after[first[1:]] = self.one(first)
+        for w in rest:
+            if (ids := self.inner.get(w)) is None:
+                ids = self.inner[w] = self.one(w)
+            out += ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [pieces(t) for t in texts]
+        heads = [self.whole(c[0]) for c in cut]
+        bodies = [c[1:] for c in cut]
+        if len(self.after) + len(self.inner) > CACHE_PIECES:
+            self.after.clear()
+            self.inner.clear()
+        for p in set().union(*bodies) - self.after.keys():
+            self.after[p] = self.piece(p)
+        get = self.after.__getitem__
+        return [h + b"".join(map(get, b)) for h, b in zip(heads, bodies, strict=True)]
 
 
 def encode(texts: list[str], path: str, width: int, by_piece: bool) -> list[bytes]:
     """Ids of each text as little-endian integers of the given width; no special tokens are added.
 
-    by_piece is right for byte-level BPE with the usual word pattern: then each piece is encoded once.
+    by_piece is right for byte-level BPE with the usual word pattern: each piece that the worker has not
+    met is encoded once, word by word, by the tokenizer's model.
     """
-    tok, cache = load_tokenizer(path, width)
-    kind = "<u2" if width == 2 else "<u4"
-    if not by_piece:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    cut = [pieces(t) for t in texts]
-    new = list({p for c in cut for p in c if p not in cache})
-    if len(cache) + len(new) > CACHE_PIECES:
-        cache.clear()
-        new = list({p for c in cut for p in c})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[p] = struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids) if (ids := e.ids) else b""
-    get = cache.__getitem__
-    return [b"".join(map(get, c)) for c in cut]
+    held = sys.__dict__.setdefault("_transcriba_tokenizers", {})
+    if (path, width) not in held:
+        held[path, width] = PieceEncoder(path, width)
+    own = held[path, width]
+    if by_piece:
+        return own.encode(texts)
+    return [np.array(e.ids, own.kind).tobytes() for e in own.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 # -- minimal perfect hash ---------------------------------------------------------------------------
