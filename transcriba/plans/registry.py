@@ -1,18 +1,36 @@
-"""Collects the registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
+
+Transcripts come from `conversations` (a conversation is a video, a turn a segment), media from
+`customer`, chunks from `documents`, vectors from `embeddings`, readings from `events`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import numbers as N
+from ..functions import text as T
+from ..operators import catalogue, documents, intervals, search
+from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that the entry point runs."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def query(name: str, sql: str | None = None):
+    """Registers a query under a name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,3 +39,498 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search: BM25, vectors, entities and confidence, fused."""
+    return _QUERIES["q2_hybrid_search"](spark, sf_dir)
+
+
+# -- shared inputs, in Spark and in SQL -------------------------------------------------------------
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    t, n = F.col("turn").cast("double"), F.length("text")
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("segment_id"), (t * 7).alias("start_time"), (t * 7 + 1 + (n % 60) / 10).alias("end_time"), "text", ((n % 101) / 100).alias("confidence"), F.when(F.col("role") != "system", F.col("role")).alias("speaker"))
+
+
+SEG = "seg AS (SELECT conv_id AS video_id, turn AS segment_id, turn::DOUBLE * 7 AS start_time, turn::DOUBLE * 7 + 1 + (length(text) % 60) / 10 AS end_time, text, (length(text) % 101) / 100 AS confidence, CASE WHEN role <> 'system' THEN role END AS speaker FROM conversations)"
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn").cast("double")
+    return table(spark, d, "conversations").where("turn % 4 <> 3").select(F.col("conv_id").alias("video_id"), (t * 7 + 1.5).alias("start_time"), (t * 7 + 6.5 + F.col("turn") % 3).alias("end_time"), F.col("role").alias("speaker"))
+
+
+TURN = "turns AS (SELECT conv_id AS video_id, turn::DOUBLE * 7 + 1.5::DOUBLE AS start_time, turn::DOUBLE * 7 + 6.5::DOUBLE + turn % 3 AS end_time, role AS speaker FROM conversations WHERE turn % 4 <> 3)"
+
+
+def media(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    state = F.element_at(F.array(*[F.lit(s) for s in K.STATES]), (k % 7 + 1).cast("int"))
+    return table(spark, d, "customer").select(k.alias("video_id"), F.col("c_name").alias("title"), F.md5(F.col("c_name").cast("binary")).alias("checksum"), state.alias("processing_status"), F.when(k % 5 != 0, F.col("c_mktsegment")).alias("project_id"), (F.abs("c_acctbal") + 60).alias("duration_seconds"))
+
+
+MEDIA = "media AS (SELECT c_custkey AS video_id, c_name AS title, md5(c_name) AS checksum, (['pending','transcribing','segmenting','extracting','indexing','completed','failed'])[c_custkey % 7 + 1] AS processing_status, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS project_id, abs(c_acctbal) + 60 AS duration_seconds FROM customer)"
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("video_id"), F.coalesce("text", F.lit("")).alias("full_text"), F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("summary"))
+
+
+CHUNK = "chunks AS (SELECT doc_id AS chunk_id, source AS video_id, coalesce(text, '') AS full_text, left(coalesce(text, ''), 80) AS summary FROM documents)"
+
+_WORDS = r"regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+')"
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# -- catalogue of media -----------------------------------------------------------------------------
+
+
+@query("a1_status_counts", f"WITH {MEDIA} SELECT processing_status, count(*) AS n FROM media GROUP BY ALL")
+def _(spark, d):
+    return media(spark, d).groupBy("processing_status").agg(F.count("*").alias("n"))
+
+
+@query("f2_without_project", f"WITH {MEDIA} SELECT video_id, title FROM media WHERE project_id IS NULL")
+def _(spark, d):
+    return media(spark, d).where(search.project_filter(F.col("project_id"), None)).select("video_id", "title")
+
+
+@query("f2_one_project", f"WITH {MEDIA} SELECT video_id, title FROM media WHERE project_id = 'BUILDING'")
+def _(spark, d):
+    return media(spark, d).where(search.project_filter(F.col("project_id"), "BUILDING")).select("video_id", "title")
+
+
+@query("f3_pending", f"WITH {MEDIA} SELECT project_id, count(*) AS n FROM media WHERE processing_status <> 'completed' GROUP BY ALL")
+def _(spark, d):
+    return media(spark, d).where("processing_status <> 'completed'").groupBy("project_id").agg(F.count("*").alias("n"))
+
+
+@query("a13_time_estimate", f"WITH {MEDIA} SELECT processing_status, round(sum(duration_seconds / 3600), 4) AS hours, round(sum(duration_seconds / 3600 * 0.65), 4) AS eta FROM media GROUP BY ALL")
+def _(spark, d):
+    h = F.col("duration_seconds") / 3600
+    return media(spark, d).groupBy("processing_status").agg(_r(F.sum(h), 4).alias("hours"), _r(F.sum(h * N.time_factor(F.lit("small"), F.lit(True))), 4).alias("eta"))
+
+
+@query("m7_human_time", f"WITH {MEDIA}, t AS (SELECT video_id, trunc(duration_seconds)::INT AS s FROM media) SELECT video_id, CASE WHEN s >= 3600 THEN (s // 3600) || ' h ' || (s % 3600 // 60) || ' min' WHEN s >= 60 THEN (s // 60) || ' min' ELSE s || ' s' END AS human FROM t")
+def _(spark, d):
+    return media(spark, d).select("video_id", N.human(F.col("duration_seconds")).alias("human"))
+
+
+@query(
+    "d10_upsert_media",
+    f"""WITH {MEDIA}, new AS (SELECT md5('Customer#' || lpad(k::VARCHAR, 9, '0')) AS checksum, 'new/' || k AS path, 'new ' || k AS title, CASE WHEN k % 2 = 0 THEN 'http://x/' || k END AS source_url FROM (SELECT c_custkey * 2 AS k FROM customer)),
+    old AS (SELECT video_id, checksum, 'old/' || video_id AS path, title, 'http://o/' || video_id AS source_url, processing_status FROM media)
+    SELECT video_id, coalesce(o.checksum, n.checksum) AS checksum, coalesce(n.path, o.path) AS path, coalesce(n.title, o.title) AS title, coalesce(n.source_url, o.source_url) AS source_url, processing_status FROM old o FULL JOIN new n ON o.checksum = n.checksum""",
+)
+def _(spark, d):
+    k = F.col("c_custkey") * 2
+    new = table(spark, d, "customer").select(F.lit(None).cast("long").alias("video_id"), F.md5(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).cast("binary")).alias("checksum"), F.concat(F.lit("new/"), k).alias("path"), F.concat(F.lit("new "), k).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("http://x/"), k)).alias("source_url"), F.lit(None).cast("string").alias("processing_status"))
+    old = media(spark, d).select("video_id", "checksum", F.concat(F.lit("old/"), "video_id").alias("path"), "title", F.concat(F.lit("http://o/"), "video_id").alias("source_url"), "processing_status")
+    return catalogue.upsert_media(old, new)
+
+
+@query(
+    "d11_ingest",
+    f"""WITH {MEDIA}, found AS (SELECT md5('Customer#' || lpad((c_custkey * 2)::VARCHAR, 9, '0')) AS checksum, 'f/' || c_custkey AS path FROM customer)
+    SELECT f.checksum, path, CASE WHEN video_id IS NULL THEN 'new' WHEN processing_status = 'completed' THEN 'done' ELSE 'pending' END AS bucket, coalesce(project_id, 'P') AS project_id FROM found f LEFT JOIN media m ON f.checksum = m.checksum""",
+)
+def _(spark, d):
+    k = F.col("c_custkey")
+    found = table(spark, d, "customer").select(F.md5(F.concat(F.lit("Customer#"), F.lpad((k * 2).cast("string"), 9, "0")).cast("binary")).alias("checksum"), F.concat(F.lit("f/"), k).alias("path"), F.lit("t").alias("title"))
+    return catalogue.ingest(found, media(spark, d), "P").drop("title")
+
+
+@query("d20_delete_videos", f"WITH {SEG} SELECT video_id, count(*) AS n FROM seg WHERE video_id % 3 <> 0 GROUP BY ALL")
+def _(spark, d):
+    s = segments(spark, d)
+    return catalogue.delete_videos(s, s.where("video_id % 3 = 0").select("video_id")).groupBy("video_id").agg(F.count("*").alias("n"))
+
+
+@query("d17_rename_speakers", f"WITH {SEG}, c AS (SELECT DISTINCT video_id, speaker AS speaker_label FROM seg WHERE speaker IS NOT NULL) SELECT video_id, speaker_label, CASE WHEN speaker_label = 'user' THEN 'U' || video_id ELSE 'old' END AS display_name FROM c WHERE NOT (speaker_label = 'user' AND video_id % 2 = 0)")
+def _(spark, d):
+    c = segments(spark, d).where("speaker is not null").select("video_id", F.col("speaker").alias("speaker_label")).distinct()
+    new = c.where("speaker_label = 'user'").withColumn("display_name", F.when(F.col("video_id") % 2 == 0, F.lit("  ")).otherwise(F.concat(F.lit("U"), F.col("video_id"))))
+    return catalogue.rename_speakers(c.withColumn("display_name", F.lit("old")), new)
+
+
+# -- transcripts ------------------------------------------------------------------------------------
+
+
+@query("a2_resume_point", f"WITH {SEG} SELECT video_id, round(coalesce(max(end_time), 0), 6) AS resume_s, count(*) AS n FROM seg GROUP BY ALL")
+def _(spark, d):
+    return segments(spark, d).groupBy("video_id").agg(_r(F.coalesce(F.max("end_time"), F.lit(0.0))).alias("resume_s"), F.count("*").alias("n"))
+
+
+@query("a3_first_appearance", f"WITH {SEG} SELECT video_id, speaker, min(start_time) AS first_s, row_number() OVER (PARTITION BY video_id ORDER BY min(start_time), speaker) AS ord FROM seg WHERE speaker IS NOT NULL GROUP BY video_id, speaker")
+def _(spark, d):
+    s = segments(spark, d).where("speaker is not null").groupBy("video_id", "speaker").agg(F.min("start_time").alias("first_s"))
+    return s.withColumn("ord", F.row_number().over(Window.partitionBy("video_id").orderBy("first_s", "speaker")).cast("long"))
+
+
+@query("f6_before_end", f"WITH {SEG} SELECT video_id, count(*) AS n, round(avg(confidence), 6) AS confidence FROM seg WHERE start_time < 21.0 GROUP BY ALL")
+def _(spark, d):
+    return segments(spark, d).where("start_time < 21.0").groupBy("video_id").agg(F.count("*").alias("n"), _r(F.avg("confidence")).alias("confidence"))
+
+
+@query("f7_low_confidence", f"WITH {SEG} SELECT video_id, segment_id, round(confidence, 6) AS confidence FROM seg WHERE confidence < 0.6 ORDER BY seg.confidence, video_id, start_time LIMIT 25")
+def _(spark, d):
+    return documents.low_confidence(segments(spark, d)).select("video_id", "segment_id", _r("confidence").alias("confidence"))
+
+
+@query(
+    "j10_assign_speakers",
+    f"""WITH {SEG}, {TURN}, o AS (SELECT s.video_id, segment_id, t.speaker, least(s.end_time, t.end_time) - greatest(s.start_time, t.start_time) AS o, t.start_time AS ts FROM seg s JOIN turns t ON s.video_id = t.video_id AND s.start_time < t.end_time AND t.start_time < s.end_time),
+    b AS (SELECT * FROM o WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY video_id, segment_id ORDER BY o DESC, ts) = 1)
+    SELECT s.video_id, s.segment_id, CASE WHEN s.video_id IN (SELECT video_id FROM turns) THEN last_value(b.speaker IGNORE NULLS) OVER (PARTITION BY s.video_id ORDER BY start_time, s.segment_id ROWS UNBOUNDED PRECEDING) ELSE s.speaker END AS speaker
+    FROM seg s LEFT JOIN b ON s.video_id = b.video_id AND s.segment_id = b.segment_id""",
+)
+def _(spark, d):
+    return intervals.assign_speakers(segments(spark, d), turns(spark, d)).select("video_id", "segment_id", "speaker")
+
+
+@query(
+    "j11_dominant_speaker",
+    f"""WITH {SEG}, {TURN}, o AS (SELECT s.video_id, segment_id, t.speaker, sum(least(s.end_time + 6, t.end_time) - greatest(s.start_time - 6, t.start_time)) AS o, min(t.start_time) AS ts FROM seg s JOIN turns t ON s.video_id = t.video_id AND s.start_time - 6 < t.end_time AND t.start_time < s.end_time + 6 GROUP BY ALL),
+    b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY video_id, segment_id ORDER BY round(o, 6) DESC, ts) = 1)
+    SELECT s.video_id, s.segment_id, b.speaker, round(coalesce(o, 0), 4) AS seconds FROM seg s LEFT JOIN b ON s.video_id = b.video_id AND s.segment_id = b.segment_id""",
+)
+def _(spark, d):
+    return intervals.dominant_speaker(segments(spark, d), turns(spark, d), "segment_id", 6.0).select("video_id", "segment_id", "speaker", _r("seconds", 4).alias("seconds"))
+
+
+@query(
+    "j12_first_label",
+    f"""WITH {SEG}, l AS (SELECT video_id, segment_id AS label_ord, start_time + 10 AS a, start_time + 12 AS b, 'L' || segment_id AS name FROM seg WHERE segment_id % 2 = 0)
+    SELECT s.video_id, s.segment_id, arg_min(l.name, label_ord) AS name FROM seg s JOIN l ON s.video_id = l.video_id AND s.start_time < l.b + 6 AND l.a - 6 < s.end_time GROUP BY ALL""",
+)
+def _(spark, d):
+    s = segments(spark, d)
+    labels = s.where("segment_id % 2 = 0").select("video_id", F.col("segment_id").alias("label_ord"), (F.col("start_time") + 10).alias("start_time"), (F.col("start_time") + 12).alias("end_time"), F.concat(F.lit("L"), F.col("segment_id")).alias("name"))
+    return intervals.first_label(s, labels, "segment_id")
+
+
+@query(
+    "j13_active_citation",
+    f"""WITH {SEG}, c AS (SELECT video_id, start_time - 2 AS cs, segment_id AS citation_id FROM seg WHERE segment_id % 3 = 1)
+    SELECT s.video_id, s.segment_id, arg_min(citation_id, cs) AS citation_id FROM seg s JOIN c ON s.video_id = c.video_id AND cs BETWEEN s.start_time - 4 AND s.end_time GROUP BY ALL""",
+)
+def _(spark, d):
+    s = segments(spark, d)
+    c = s.where("segment_id % 3 = 1").select("video_id", (F.col("start_time") - 2).alias("start_time"), F.col("segment_id").alias("citation_id"))
+    return intervals.active_citation(s, c, "segment_id")
+
+
+@query(
+    "w3_merge_runs",
+    f"""WITH {SEG}, x AS (SELECT *, CASE WHEN lag(speaker) OVER w IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS c FROM seg WHERE speaker IS NOT NULL WINDOW w AS (PARTITION BY video_id ORDER BY start_time, end_time)),
+    y AS (SELECT *, sum(c) OVER (PARTITION BY video_id ORDER BY start_time, end_time) AS run FROM x)
+    SELECT video_id, speaker, min(start_time) AS start_time, round(max(end_time), 6) AS end_time FROM y GROUP BY video_id, run, speaker""",
+)
+def _(spark, d):
+    return intervals.merge_runs(segments(spark, d)).select("video_id", "speaker", "start_time", _r("end_time").alias("end_time"))
+
+
+@query("w4_relabel", f"WITH {TURN}, f AS (SELECT video_id, speaker, row_number() OVER (PARTITION BY video_id ORDER BY min(start_time), speaker) - 1 AS r FROM turns GROUP BY video_id, speaker) SELECT t.video_id, t.start_time, 'SPEAKER_' || lpad(r::VARCHAR, 2, '0') AS speaker FROM turns t JOIN f ON t.video_id = f.video_id AND t.speaker = f.speaker")
+def _(spark, d):
+    return intervals.relabel(turns(spark, d)).select("video_id", "start_time", "speaker")
+
+
+_UTT = """x AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(speaker) OVER w IS DISTINCT FROM speaker OR start_time - lag(end_time) OVER w > 3 THEN 1 ELSE 0 END AS c FROM seg WINDOW w AS (PARTITION BY video_id ORDER BY start_time, segment_id)),
+    y AS (SELECT *, sum(c) OVER (PARTITION BY video_id ORDER BY start_time, segment_id) AS run FROM x)"""
+
+
+@query("w5_utterances", rf"WITH {SEG}, {_UTT} SELECT video_id, speaker, min(start_time) AS start_time, round(max_by(end_time, segment_id), 6) AS end_time, coalesce(string_agg(trim(text), ' ' ORDER BY segment_id) FILTER (trim(text) <> ''), '') AS text, count(*) AS n FROM y GROUP BY video_id, run, speaker")
+def _(spark, d):
+    u = intervals.utterances(segments(spark, d), pause=3.0)
+    return u.select("video_id", "speaker", "start_time", _r("end_time").alias("end_time"), "text", F.size("segment_ids").cast("long").alias("n"))
+
+
+def _fold_sql(cut: str) -> str:
+    """Chunk numbers by recursion over the segments of a video; cut sees cur, nxt and the chunk's start."""
+    return f"""WITH RECURSIVE {SEG}, s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, segment_id) AS i FROM seg),
+    r AS (SELECT video_id, i, segment_id, speaker, end_time, start_time AS f, 0 AS chunk FROM s WHERE i = 1
+    UNION ALL SELECT n.video_id, n.i, n.segment_id, n.speaker, n.end_time, CASE WHEN {cut} THEN n.start_time ELSE r.f END, r.chunk + CASE WHEN {cut} THEN 1 ELSE 0 END FROM r JOIN s n ON n.video_id = r.video_id AND n.i = r.i + 1)
+    """
+
+
+@query("w1_segment_chunks", _fold_sql("(r.end_time - r.f >= 25 OR (n.start_time - r.end_time > 2 AND r.end_time - r.f >= 12) OR r.speaker IS DISTINCT FROM n.speaker)") + "SELECT video_id, segment_id, chunk FROM r")
+def _(spark, d):
+    return intervals.segment_chunks(segments(spark, d), 2.0, 12.0, 25.0)
+
+
+@query("a5_chunk_facts", _fold_sql("(r.end_time - r.f >= 25 OR (n.start_time - r.end_time > 2 AND r.end_time - r.f >= 12))") + "SELECT r.video_id, chunk, round(avg(seg.confidence), 6) AS confidence, min(seg.start_time) AS start_time, round(max(seg.end_time), 6) AS end_time, string_agg(text, ' ' ORDER BY seg.segment_id) AS full_text FROM r JOIN seg ON r.video_id = seg.video_id AND r.segment_id = seg.segment_id GROUP BY ALL")
+def _(spark, d):
+    s = segments(spark, d)
+    c = intervals.segment_chunks(s, 2.0, 12.0, 25.0, by_speaker=False)
+    rows = s.join(c, ["video_id", "segment_id"]).groupBy("video_id", "chunk").agg(_r(F.avg("confidence")).alias("confidence"), F.min("start_time").alias("start_time"), _r(F.max("end_time")).alias("end_time"), F.array_sort(F.collect_list(F.struct("segment_id", "text"))).alias("t"))
+    return rows.select("video_id", "chunk", "confidence", "start_time", "end_time", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("full_text"))
+
+
+@query("w5_utterances_capped", _fold_sql("(r.speaker IS DISTINCT FROM n.speaker OR r.end_time - r.f >= 9)") + "SELECT video_id, chunk, count(*) AS n, round(max(end_time), 6) AS end_time FROM r GROUP BY ALL")
+def _(spark, d):
+    u = intervals.utterances(segments(spark, d), max_s=9.0)
+    w = Window.partitionBy("video_id").orderBy("start_time")
+    return u.select("video_id", (F.row_number().over(w) - 1).alias("chunk"), F.size("segment_ids").cast("long").alias("n"), _r("end_time").alias("end_time"))
+
+
+@query("w10_first_use", f"WITH {SEG} SELECT video_id, segment_id, CASE WHEN speaker IS NULL THEN 'VOZ NO IDENTIFICADA' WHEN row_number() OVER (PARTITION BY video_id, speaker ORDER BY start_time) = 1 THEN upper(speaker) || ' — POETA, UNAM' ELSE upper(speaker) END AS who FROM seg")
+def _(spark, d):
+    first = F.row_number().over(Window.partitionBy("video_id", "speaker").orderBy("start_time")) == 1
+    no = F.lit(False)
+    full = T.descriptor(F.col("speaker"), no, F.lit("POETA"), F.lit("UNAM"))
+    who = F.when(F.col("speaker").isNotNull() & first, full).otherwise(T.editorial_label(F.col("speaker"), no))
+    return segments(spark, d).select("video_id", "segment_id", who.alias("who"))
+
+
+@query("w14_holdout", f"WITH {SEG} SELECT video_id, segment_id, CASE WHEN count(*) OVER (PARTITION BY video_id) = 1 OR row_number() OVER (PARTITION BY video_id ORDER BY start_time) <= count(*) OVER (PARTITION BY video_id) // 2 THEN 'train' ELSE 'test' END AS part FROM seg")
+def _(spark, d):
+    return catalogue.holdout(segments(spark, d), "video_id", "start_time").select("video_id", "segment_id", "part")
+
+
+@query("a16_diarization_errors", f"WITH {SEG}, r AS (SELECT speaker AS person, video_id % 4 AS cluster FROM seg WHERE speaker IS NOT NULL) SELECT (SELECT sum(n - 1) FROM (SELECT count(DISTINCT person) AS n FROM r GROUP BY cluster))::BIGINT AS fusions, (SELECT sum(n - 1) FROM (SELECT count(DISTINCT cluster) AS n FROM r GROUP BY person))::BIGINT AS fragmentations")
+def _(spark, d):
+    return catalogue.diarization_errors(segments(spark, d).select(F.col("speaker").alias("person"), (F.col("video_id") % 4).alias("cluster")))
+
+
+_CLOCK = "lpad((floor({0})::INT // 3600)::VARCHAR, 2, '0') || ':' || lpad((floor({0})::INT % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((floor({0})::INT % 60)::VARCHAR, 2, '0')"
+
+
+def _ms_sql(x: str) -> str:
+    return f"{_CLOCK.format(x)} || ',' || lpad(round_even(({x} - floor({x})) * 1000, 0)::INT::VARCHAR, 3, '0')"
+
+
+@query("k6_srt", f"WITH {SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time, text) AS n FROM seg) SELECT video_id, string_agg(n || chr(10) || {_ms_sql('start_time')} || ' --> ' || {_ms_sql('end_time')} || chr(10) || coalesce(speaker || ': ', '') || text, chr(10) || chr(10) ORDER BY n) AS srt FROM n GROUP BY video_id")
+def _(spark, d):
+    return documents.srt(segments(spark, d))
+
+
+@query("k5_markdown", f"WITH {SEG}, f AS (SELECT video_id, speaker, min(start_time) AS s FROM seg WHERE speaker IS NOT NULL GROUP BY ALL), h AS (SELECT video_id, string_agg(speaker, ', ' ORDER BY s) AS who FROM f GROUP BY ALL) SELECT seg.video_id, '# v' || seg.video_id || chr(10) || chr(10) || coalesce(who, '') || chr(10) || chr(10) || string_agg('**' || coalesce(speaker, 'SPEAKER_?') || '** [' || {_CLOCK.format('start_time')} || '] ' || text, chr(10) || chr(10) ORDER BY start_time) AS markdown FROM seg LEFT JOIN h ON seg.video_id = h.video_id GROUP BY seg.video_id, who")
+def _(spark, d):
+    s = segments(spark, d)
+    return documents.markdown(s, s.select("video_id").distinct().withColumn("title", F.concat(F.lit("v"), F.col("video_id"))))
+
+
+@query("m5_clock", f"WITH {MEDIA} SELECT video_id, {_CLOCK.format('duration_seconds')} AS clock FROM media")
+def _(spark, d):
+    return media(spark, d).select("video_id", N.clock(F.col("duration_seconds")).alias("clock"))
+
+
+# -- on-screen readings and identities --------------------------------------------------------------
+
+_READ = "readings AS (SELECT user_id AS video_id, event_id, epoch(ts)::DOUBLE AS t, value FROM events)"
+
+
+@query("w7_sessions", f"WITH {_READ}, x AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 86400 THEN 0 ELSE 1 END AS c FROM readings WINDOW w AS (PARTITION BY video_id ORDER BY t, event_id)), y AS (SELECT *, sum(c) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) - 1 AS session FROM x) SELECT video_id, session::BIGINT AS session, count(*) AS n, round(max(t) - min(t), 3) AS span FROM y GROUP BY video_id, session")
+def _(spark, d):
+    r = table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    r = r.select("video_id", (F.col("us") / 1e6).alias("t"))
+    return intervals.sessions(r, 86400.0).groupBy("video_id", "session").agg(F.count("*").alias("n"), _r(F.max("t") - F.min("t"), 3).alias("span")).withColumn("session", F.col("session").cast("long"))
+
+
+@query("s6_content_start", "WITH f AS (SELECT user_id AS video_id, (event_id % 200)::DOUBLE AS t, max(value) AS luma FROM events GROUP BY ALL) SELECT video_id, coalesce(min(CASE WHEN luma > 16 AND t <= 120 THEN t END), 0) AS content_start_s FROM f GROUP BY video_id")
+def _(spark, d):
+    f = table(spark, d, "events").groupBy(F.col("user_id").alias("video_id"), (F.col("event_id") % 200).cast("double").alias("t")).agg(F.max("value").alias("luma"))
+    return intervals.content_start(f)
+
+
+@query("q8_identities")
+def _(spark, d):
+    s = segments(spark, d)
+    labels = s.where("segment_id % 3 = 0").select("video_id", F.col("segment_id").alias("label_ord"), "start_time", "end_time", F.array(F.concat(F.lit("Ana "), F.initcap("speaker")), F.lit("POETA UNAM")).alias("lines")).where("speaker is not null")
+    return catalogue.identities(turns(spark, d), labels)
+
+
+@query("w8_label_families")
+def _(spark, d):
+    r = table(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.upper("event_type").alias("text"), F.lit(0.9).alias("conf"), (F.col("event_id") % 7).alias("y"))
+    return catalogue.label_families(intervals.sessions(r, 86400.0))
+
+
+# -- text functions, over whole documents -----------------------------------------------------------
+
+
+def _doc_query(name: str, spark_cols: Callable, sql_cols: dict | None) -> None:
+    """A query of scalar functions over whole texts; spark_cols makes them from the text column."""
+    sql = None if sql_cols is None else "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in sql_cols.items()) + " FROM documents"
+    query(name, sql)(lambda spark, d: table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in spark_cols(F.col("text")).items()]))
+
+
+_doc_query("t1_normalize_label", lambda _t: {"x": F.md5(T.normalize_label(_t).cast("binary"))}, {"x": "md5(strip_accents(lower(trim(text))))"})
+_doc_query("t2_normalize_ocr", lambda _t: {"x": F.md5(T.normalize_ocr(_t).cast("binary"))}, {"x": r"md5(trim(regexp_replace(regexp_replace(strip_accents(upper(replace(text, 'ß', 'SS'))), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')))"})
+_doc_query("t3_name_key", lambda _t: {"x": F.md5(T.name_key(_t).cast("binary"))}, {"x": "md5(regexp_replace(strip_accents(upper(replace(text, 'ß', 'SS'))), '[^A-Z0-9]', '', 'g'))"})
+_doc_query("t4_normalize_spoken", lambda _t: {"x": F.md5(T.normalize_spoken(_t).cast("binary"))}, {"x": r"md5(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')))"})
+_doc_query(
+    "t6_discourse_type",
+    lambda _t: {"kind": T.discourse_type(_t)},
+    {"kind": "CASE WHEN length(text) - length(replace(text, '?', '')) >= 3 OR (length(text) - length(replace(text, '?', '')) >= 1 AND length(text) < 200) THEN 'pregunta' " + " ".join(rf"WHEN regexp_matches(text, '(?i)\b({'|'.join(p)})\b') THEN '{k}'" for k, p in K.DISCOURSE) + " ELSE 'exposicion' END"},
+)
+_doc_query("t17_snippet", lambda _t: {"snippet": T.snippet(_t)}, {"snippet": "left(text, 240) || CASE WHEN length(text) > 240 THEN '…' ELSE '' END"})
+_doc_query("m8_estimated_tokens", lambda _t: {"tokens": N.estimated_tokens(_t)}, {"tokens": "CASE WHEN text = '' THEN 0 ELSE floor(length(text) / 4)::INT + 1 END"})
+_doc_query("d2_yaml_value", lambda _t: {"x": F.md5(T.yaml_value(_t).cast("binary"))}, {"x": r"""md5('"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), ' ') || '"')"""})
+_doc_query("d4_safe_file_name", lambda _t: {"x": T.safe_file_name(F.left(_t, F.lit(60)))}, {"x": r"regexp_replace(left(text, 60), '[^\p{L}\p{N} _.\-]', '_', 'g')"})
+_doc_query("d1_slug", lambda _t: {"slug": T.slug(F.left(_t, F.lit(60)), F.md5(F.col("doc_id").cast("string").cast("binary")))}, {"slug": r"coalesce(nullif(trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'sin-titulo') || '-' || left(md5(doc_id::VARCHAR), 8)"})
+_doc_query("t8_clean_for_reading", lambda _t: {"x": F.md5(T.clean_for_reading(_t).cast("binary"))}, None)
+_doc_query("t11_hallucination", lambda _t: {"loop": T.is_loop(_t), "invented": T.is_hallucination(_t)}, None)
+_doc_query("t18_name_lines", lambda _t: {"names": F.size(F.filter(F.split(_t, "\n"), T.looks_like_name)), "credits": F.size(F.filter(F.split(_t, "\n"), T.is_credit))}, None)
+
+
+_STOP = ", ".join(f"'{w}'" for w in K.STOPWORDS)
+
+
+@query(
+    "t7_local_summary",
+    rf"""WITH {CHUNK}, w AS (SELECT chunk_id, list_transform(list_filter(regexp_split_to_array(trim(lower(full_text)), '\s+'), lambda x: x <> ''), lambda x: trim(x, '.,;:¿?¡!()"' || chr(39))) AS w FROM chunks),
+    e AS (SELECT chunk_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w), n AS (SELECT chunk_id, word, count(*) AS n, min(pos) AS pos FROM e WHERE length(word) > 3 AND word NOT IN ({_STOP}) GROUP BY ALL),
+    k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, pos) <= 5), j AS (SELECT chunk_id, string_agg(word, ', ' ORDER BY n DESC, pos) AS j FROM k GROUP BY ALL),
+    f AS (SELECT chunk_id, trim(full_text) AS t, instr(trim(full_text), '. ') - 1 AS a, instr(trim(full_text), '? ') - 1 AS b, instr(trim(full_text), '! ') - 1 AS c FROM chunks)
+    SELECT f.chunk_id, CASE WHEN t = '' THEN '' ELSE left(t, CASE WHEN a BETWEEN 20 AND 200 THEN a + 1 WHEN b BETWEEN 20 AND 200 THEN b + 1 WHEN c BETWEEN 20 AND 200 THEN c + 1 ELSE 200 END) || coalesce(' [' || j || ']', '') END AS summary FROM f LEFT JOIN j ON f.chunk_id = j.chunk_id""",
+)
+def _(spark, d):
+    return documents.local_summaries(chunks(spark, d))
+
+
+@query("a7_word_counts", rf"WITH {CHUNK}, w AS (SELECT unnest({_WORDS.format('full_text')}) AS term FROM chunks) SELECT term, count(*) AS n FROM w WHERE length(term) > 3 GROUP BY ALL ORDER BY n DESC, term LIMIT 50")
+def _(spark, d):
+    w = chunks(spark, d).select(F.explode(search.tokens(F.col("full_text"))).alias("term")).where(F.length("term") > 3)
+    return w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query("s12_page_urls", "SELECT page_id, regexp_matches(trim(url), '(?i)^https?://') AS is_url FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"))
+
+
+@query("s13_iso_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.iso_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso"))
+
+
+@query("s2_media_files", "SELECT p_partkey, p_partkey % 3 <> 0 AS is_media FROM part")
+def _(spark, d):
+    ext = F.when(F.col("p_partkey") % 3 == 0, ".txt").when(F.col("p_partkey") % 3 == 1, ".MP4").otherwise(".flac")
+    return table(spark, d, "part").select("p_partkey", T.is_media(F.concat(F.lit("/a.b/"), F.col("p_name"), ext)).alias("is_media"))
+
+
+@query("d5_cited", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1' WHEN doc_id % 3 = 1 THEN '1,2' ELSE '' END AS cited FROM documents")
+def _(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, "[1], [9], [1]").when(F.col("doc_id") % 3 == 1, "[1][4] [1] [2][99999999999]").otherwise("none")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.cited(text, 3).cast("array<string>"), ",").alias("cited"))
+
+
+# -- entities ---------------------------------------------------------------------------------------
+
+_ENT = r"""w AS (SELECT chunk_id, video_id, trim(unnest(list_filter(regexp_split_to_array(trim(full_text), '\s+'), lambda x: x <> '')), '.,;:¿?¡!()"''') AS s FROM chunks),
+    m AS (SELECT DISTINCT chunk_id, video_id, lower(strip_accents(s)) AS e FROM w WHERE length(s) >= 4 AND upper(left(s, 1)) = left(s, 1) AND lower(left(s, 1)) <> left(s, 1))"""
+
+
+@query("d14_entities", f"WITH {CHUNK}, {_ENT} SELECT e AS label_norm, count(*) AS mentions, count(DISTINCT video_id) AS videos FROM m GROUP BY ALL")
+def _(spark, d):
+    return catalogue.entity_catalogue(catalogue.entity_mentions(chunks(spark, d))).select("label_norm", "mentions", "videos")
+
+
+@query("a6_cooccurrence", f"WITH {CHUNK}, c AS (SELECT chunk_id, video_id, left(full_text, 300) AS full_text FROM chunks), {_ENT.replace('FROM chunks', 'FROM c')} SELECT a.e AS source, b.e AS target, count(*) AS weight FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.e < b.e GROUP BY ALL")
+def _(spark, d):
+    c = chunks(spark, d).withColumn("full_text", F.left("full_text", F.lit(300)))  # the head of a chunk is the feature: its summary's entities
+    return catalogue.cooccurrence(catalogue.entity_mentions(c))
+
+
+# -- search -----------------------------------------------------------------------------------------
+
+
+def _search_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Ten benchmark items are the query set."""
+    return table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+_BM25 = rf"""qs AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id < 10),
+    qt AS (SELECT query_id, term, count(*) AS times FROM qs WHERE term <> '' GROUP BY ALL),
+    tok AS (SELECT chunk_id, unnest(list_concat({_WORDS.format('full_text')}, {_WORDS.format('summary')})) AS term FROM chunks),
+    p AS (SELECT chunk_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
+    len AS (SELECT c.chunk_id, coalesce(sum(tf), 0) AS len FROM chunks c LEFT JOIN p ON c.chunk_id = p.chunk_id GROUP BY ALL),
+    st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+    bm AS (SELECT query_id, p.chunk_id, -sum(times * CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS bm25
+    FROM p JOIN qt ON p.term = qt.term JOIN df ON p.term = df.term JOIN len ON p.chunk_id = len.chunk_id CROSS JOIN st GROUP BY ALL)"""
+
+
+@query("q1_bm25", f"WITH {CHUNK}, {_BM25} SELECT query_id, chunk_id, round(bm25, 5) AS bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 5), chunk_id) <= 50")
+def _(spark, d):
+    rows = search.bm25(chunks(spark, d), _search_queries(spark, d)).withColumn("bm25", _r("bm25", 5))
+    w = Window.partitionBy("query_id").orderBy("bm25", "chunk_id")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K.CANDIDATES).drop("r")
+
+
+@query("l2_vector_top", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, v.vec_id, list_inner_product(e::DOUBLE[], v.embedding::DOUBLE[]) AS x FROM q CROSS JOIN embeddings v) SELECT query_id, vec_id, round(x, 5) AS semantic FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) <= 10")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.vector_top(q, e, 10, "vec_id").select("query_id", "vec_id", _r("semantic", 5).alias("semantic"))
+
+
+@query("w2_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id").select("vec_id", _r(N.cosine(F.col("embedding"), F.col("next")), 5).alias("cosine"))
+
+
+@query("m12_unit_vectors", "SELECT vec_id, round(list_aggregate(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), 'sum'), 4) AS square FROM embeddings")
+def _(spark, d):
+    u = N.unit(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", _r(N.dot(u, u), 4).alias("square"))
+
+
+@query("m2_minmax", "SELECT vec_id, round(CASE WHEN max(x) OVER w = min(x) OVER w THEN 1 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END, 5) AS scaled FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS x FROM embeddings) WINDOW w AS (PARTITION BY label)")
+def _(spark, d):
+    x = F.col("embedding")[0].cast("double")
+    return table(spark, d, "embeddings").select("vec_id", _r(N.minmax(x, N.per("label")), 5).alias("scaled"))
+
+
+@query("l6_rrf", "WITH r AS (SELECT vec_id, label, s, row_number() OVER (PARTITION BY label, s ORDER BY x, vec_id) - 1 AS pos FROM (SELECT vec_id, label, 1 AS s, embedding[1] AS x FROM embeddings UNION ALL SELECT vec_id, label, 2, embedding[2] FROM embeddings)) SELECT label AS query_id, vec_id AS chunk_id, round(sum(1.0::DOUBLE / (60 + pos + 1)), 8) AS rrf FROM r GROUP BY ALL")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    both = e.select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"), F.explode(F.array(F.struct(F.lit(1).alias("source"), F.col("embedding")[0].alias("x")), F.struct(F.lit(2).alias("source"), F.col("embedding")[1].alias("x")))).alias("p")).select("query_id", "chunk_id", "p.*")
+    ranked = both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("x", "chunk_id")) - 1)
+    return search.rrf(ranked).select("query_id", "chunk_id", _r("rrf", 8).alias("rrf"))
+
+
+_HYBRID = f"""WITH {CHUNK}, {_BM25},
+    t AS (SELECT query_id, chunk_id, bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), chunk_id) <= 50),
+    sv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS semantic FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id < 10),
+    s AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, chunk_id) <= 50),
+    u AS (SELECT coalesce(s.query_id, t.query_id) AS query_id, coalesce(s.chunk_id, t.chunk_id) AS chunk_id, semantic, bm25 FROM s FULL JOIN t ON s.query_id = t.query_id AND s.chunk_id = t.chunk_id),
+    n AS (SELECT *, CASE WHEN max(semantic) OVER w = min(semantic) OVER w THEN 1 ELSE (semantic - min(semantic) OVER w) / (max(semantic) OVER w - min(semantic) OVER w) END AS a,
+        CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1 ELSE (max(bm25) OVER w - bm25) / (max(bm25) OVER w - min(bm25) OVER w) END AS b, (chunk_id % 10) / 10 AS c FROM u WINDOW w AS (PARTITION BY query_id)),
+    f AS (SELECT query_id, chunk_id, round(coalesce(CASE WHEN semantic IS NOT NULL THEN a END, 0) * 0.45::DOUBLE + coalesce(CASE WHEN bm25 IS NOT NULL THEN b END, 0) * 0.3::DOUBLE + c * 0.1::DOUBLE, 5) AS score FROM n)"""
+
+
+@query("q2_hybrid_search", _HYBRID + " SELECT query_id, chunk_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
+def _(spark, d):
+    rows = search.bm25(chunks(spark, d), _search_queries(spark, d))
+    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 6), "chunk_id")
+    textual = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K.CANDIDATES)
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    semantic = search.vector_top(e.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), e, K.CANDIDATES)
+    none = textual.select("query_id", "chunk_id", F.lit(0.0).alias("entity"))
+    ids = chunks(spark, d).select("chunk_id").union(e.select("chunk_id")).distinct()
+    out = search.fuse(semantic, textual, none, ids.withColumn("confidence", (F.col("chunk_id") % 10) / 10), 1 << 30)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    out = out.select("query_id", "chunk_id", _r("score", 5).alias("score")).withColumn("r", F.row_number().over(best))
+    return out.where("r <= 10").drop("r")
+
+
+# -- costs ------------------------------------------------------------------------------------------
+
+_PRICE = "CASE doc_id % 3 WHEN 0 THEN 0.4 WHEN 1 THEN 5.0 ELSE 0 END::DOUBLE"
+
+
+@query("a11_costs", "SELECT source, sum(n)::BIGINT AS tokens, round(sum(CASE doc_id % 3 WHEN 0 THEN n / 1e6 * 0.4 + 1500 / 1e6 * 1.6 WHEN 1 THEN n / 1e6 * 5.0 + 1500 / 1e6 * 30.0 ELSE 0 END), 6) AS dollars FROM (SELECT source, doc_id, CASE WHEN text = '' THEN 0 ELSE floor(length(text) / 4)::INT + 1 END AS n FROM documents) GROUP BY ALL")
+def _(spark, d):
+    m = F.col("doc_id") % 3
+    model = F.when(m == 0, " GPT-4.1-mini:latest").when(m == 1, "unheard-of").otherwise("llama3.1")
+    n = N.estimated_tokens(F.col("text"))
+    dollars = N.cost(n, F.lit(K.ANSWER_TOKENS), model, F.when(m == 2, "ollama").otherwise("remote"))
+    return table(spark, d, "documents").groupBy("source").agg(F.sum(n).cast("long").alias("tokens"), _r(F.sum(dollars)).alias("dollars"))
