@@ -125,6 +125,7 @@ def holdout(rows: DataFrame, person: str, order: str) -> DataFrame:
 def diarization_errors(rows: DataFrame) -> DataFrame:
     """Fusions and fragmentations of clusters against persons; unlabelled rows do not count."""
     r = rows.where(F.col("person").isNotNull() & F.col("cluster").isNotNull())
-    fusion = r.groupBy("cluster").agg((F.countDistinct("person") - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("fusions"))
-    parts = r.groupBy("person").agg((F.countDistinct("cluster") - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("fragmentations"))
-    return fusion.crossJoin(parts)  # one row each
+    fusion = r.groupBy("cluster").agg((F.countDistinct("person") - 1).alias("fusions")).select("fusions", F.lit(0).cast("long").alias("fragmentations"))
+    parts = r.groupBy("person").agg((F.countDistinct("cluster") - 1).alias("fragmentations")).select(F.lit(0).cast("long").alias("fusions"), "fragmentations")
+    both = fusion.unionByName(parts)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in both.columns])

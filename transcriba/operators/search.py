@@ -38,30 +38,34 @@ def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("ful
     """
     every = F.concat(*[tokens(F.col(c)) for c in columns])
     size = chunks.select("chunk_id", F.size(every).alias("len"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()  # two numbers
+    n, avgdl = F.lit(stats.n), F.lit(stats.avgdl or 1.0)
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
     hits = postings(chunks, columns).join(wanted, "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    rows = hits.join(df, "term").join(terms, "term").join(size, "chunk_id").crossJoin(F.broadcast(stats))  # one row of statistics
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
+    rows = hits.join(df, "term").join(terms, "term").join(size, "chunk_id")
     return rows.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * idf * tf)).alias("bm25"))
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
-    """L2: query_id, id, semantic: the k largest inner products of each query, ties by id.
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", block: int = 1000) -> DataFrame:
+    """L2: query_id, id, semantic, rank: the k largest inner products of each query, ties by id.
 
-    queries (query_id, q) is a stated query set; each partition of vectors keeps k rows for a query, so
-    what meets is queries times partitions times k rows.
+    queries (query_id, q) is a stated query set; it meets the vectors in blocks, which bounds what is
+    broadcast, and each task keeps k rows of a query before the exchange.
     """
-    pairs = vectors.select(id_col, "embedding").join(F.broadcast(queries.select("query_id", "q")), F.lit(True))
-    scored = pairs.select("query_id", id_col, N.dot(F.col("q"), F.col("embedding")).alias("semantic"))
-    best = scored.withColumn("_p", F.spark_partition_id()).groupBy("query_id", "_p").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("semantic")).alias("s"), id_col))), 1, k).alias("top"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), id_col)
-    flat = best.select("query_id", F.explode("top").alias("t")).select("query_id", F.col(f"t.{id_col}").alias(id_col), (-F.col("t.s")).alias("semantic"))
-    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = queries.select("query_id", "q")
+    blocks = max(1, -(-asked.count() // block))
+    w, out = Window.partitionBy("query_id").orderBy(F.desc("semantic"), id_col), None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = vectors.select(id_col, "embedding").join(F.broadcast(part), F.lit(True)).select("query_id", id_col, N.dot(F.col("q"), F.col("embedding")).alias("semantic"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def entity_overlap(query_entities: Column, chunk_entities: Column) -> Column:

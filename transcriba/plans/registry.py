@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import catalogue, documents, intervals, search
+from ..operators import catalogue, clustering, documents, exports, intervals, search
 from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +59,10 @@ SEG = "seg AS (SELECT conv_id AS video_id, turn AS segment_id, turn::DOUBLE * 7
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("turn").cast("double")
-    return table(spark, d, "conversations").where("turn % 4 <> 3").select(F.col("conv_id").alias("video_id"), (t * 7 + 1.5).alias("start_time"), (t * 7 + 6.5 + F.col("turn") % 3).alias("end_time"), F.col("role").alias("speaker"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), (t * 7 + 1.5).alias("start_time"), (t * 7 + 3.5 + F.col("turn") % 4 * 2).alias("end_time"), F.col("role").alias("speaker"))
 
 
-TURN = "turns AS (SELECT conv_id AS video_id, turn::DOUBLE * 7 + 1.5::DOUBLE AS start_time, turn::DOUBLE * 7 + 6.5::DOUBLE + turn % 3 AS end_time, role AS speaker FROM conversations WHERE turn % 4 <> 3)"
+TURN = "turns AS (SELECT conv_id AS video_id, turn::DOUBLE * 7 + 1.5::DOUBLE AS start_time, turn::DOUBLE * 7 + 3.5::DOUBLE + turn % 4 * 2 AS end_time, role AS speaker FROM conversations)"
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:
@@ -75,10 +75,10 @@ MEDIA = "media AS (SELECT c_custkey AS video_id, c_name AS title, md5(c_name) AS
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("video_id"), F.coalesce("text", F.lit("")).alias("full_text"), F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("summary"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("video_id"), F.coalesce("text", F.lit("")).alias("full_text"), F.concat_ws(" ", "source", "lang").alias("summary"))
 
 
-CHUNK = "chunks AS (SELECT doc_id AS chunk_id, source AS video_id, coalesce(text, '') AS full_text, left(coalesce(text, ''), 80) AS summary FROM documents)"
+CHUNK = "chunks AS (SELECT doc_id AS chunk_id, source AS video_id, coalesce(text, '') AS full_text, concat_ws(' ', source, lang) AS summary FROM documents)"
 
 _WORDS = r"regexp_split_to_array(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+')"
 
@@ -205,23 +205,23 @@ def _(spark, d):
 
 @query(
     "j12_first_label",
-    f"""WITH {SEG}, l AS (SELECT video_id, segment_id AS label_ord, start_time + 10 AS a, start_time + 12 AS b, 'L' || segment_id AS name FROM seg WHERE segment_id % 2 = 0)
+    f"""WITH {SEG}, l AS (SELECT video_id, segment_id AS label_ord, start_time + 10 AS a, start_time + 12 AS b, 'L' || segment_id AS name FROM seg)
     SELECT s.video_id, s.segment_id, arg_min(l.name, label_ord) AS name FROM seg s JOIN l ON s.video_id = l.video_id AND s.start_time < l.b + 6 AND l.a - 6 < s.end_time GROUP BY ALL""",
 )
 def _(spark, d):
     s = segments(spark, d)
-    labels = s.where("segment_id % 2 = 0").select("video_id", F.col("segment_id").alias("label_ord"), (F.col("start_time") + 10).alias("start_time"), (F.col("start_time") + 12).alias("end_time"), F.concat(F.lit("L"), F.col("segment_id")).alias("name"))
+    labels = s.select("video_id", F.col("segment_id").alias("label_ord"), (F.col("start_time") + 10).alias("start_time"), (F.col("start_time") + 12).alias("end_time"), F.concat(F.lit("L"), F.col("segment_id")).alias("name"))
     return intervals.first_label(s, labels, "segment_id")
 
 
 @query(
     "j13_active_citation",
-    f"""WITH {SEG}, c AS (SELECT video_id, start_time - 2 AS cs, segment_id AS citation_id FROM seg WHERE segment_id % 3 = 1)
+    f"""WITH {SEG}, c AS (SELECT video_id, start_time - 2 AS cs, segment_id AS citation_id FROM seg)
     SELECT s.video_id, s.segment_id, arg_min(citation_id, cs) AS citation_id FROM seg s JOIN c ON s.video_id = c.video_id AND cs BETWEEN s.start_time - 4 AND s.end_time GROUP BY ALL""",
 )
 def _(spark, d):
     s = segments(spark, d)
-    c = s.where("segment_id % 3 = 1").select("video_id", (F.col("start_time") - 2).alias("start_time"), F.col("segment_id").alias("citation_id"))
+    c = s.select("video_id", (F.col("start_time") - 2).alias("start_time"), F.col("segment_id").alias("citation_id"))
     return intervals.active_citation(s, c, "segment_id")
 
 
@@ -341,7 +341,7 @@ def _(spark, d):
 @query("q8_identities")
 def _(spark, d):
     s = segments(spark, d)
-    labels = s.where("segment_id % 3 = 0").select("video_id", F.col("segment_id").alias("label_ord"), "start_time", "end_time", F.array(F.concat(F.lit("Ana "), F.initcap("speaker")), F.lit("POETA UNAM")).alias("lines")).where("speaker is not null")
+    labels = s.select("video_id", F.col("segment_id").alias("label_ord"), "start_time", "end_time", F.array(F.concat(F.lit("Ana "), F.initcap("speaker")), F.lit("POETA UNAM")).alias("lines")).where("speaker is not null")
     return catalogue.identities(turns(spark, d), labels)
 
 
@@ -372,8 +372,8 @@ _doc_query(
 _doc_query("t17_snippet", lambda _t: {"snippet": T.snippet(_t)}, {"snippet": "left(text, 240) || CASE WHEN length(text) > 240 THEN '…' ELSE '' END"})
 _doc_query("m8_estimated_tokens", lambda _t: {"tokens": N.estimated_tokens(_t)}, {"tokens": "CASE WHEN text = '' THEN 0 ELSE floor(length(text) / 4)::INT + 1 END"})
 _doc_query("d2_yaml_value", lambda _t: {"x": F.md5(T.yaml_value(_t).cast("binary"))}, {"x": r"""md5('"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), ' ') || '"')"""})
-_doc_query("d4_safe_file_name", lambda _t: {"x": T.safe_file_name(F.left(_t, F.lit(60)))}, {"x": r"regexp_replace(left(text, 60), '[^\p{L}\p{N} _.\-]', '_', 'g')"})
-_doc_query("d1_slug", lambda _t: {"slug": T.slug(F.left(_t, F.lit(60)), F.md5(F.col("doc_id").cast("string").cast("binary")))}, {"slug": r"coalesce(nullif(trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'sin-titulo') || '-' || left(md5(doc_id::VARCHAR), 8)"})
+_doc_query("d4_safe_file_name", lambda _t: {"x": F.md5(T.safe_file_name(_t).cast("binary"))}, {"x": r"md5(regexp_replace(text, '[^\p{L}\p{N} _.\-]', '_', 'g'))"})
+_doc_query("d1_slug", lambda _t: {"slug": F.md5(T.slug(_t, F.md5(F.col("doc_id").cast("string").cast("binary"))).cast("binary"))}, {"slug": r"md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'sin-titulo') || '-' || left(md5(doc_id::VARCHAR), 8))"})
 _doc_query("t8_clean_for_reading", lambda _t: {"x": F.md5(T.clean_for_reading(_t).cast("binary"))}, None)
 _doc_query("t11_hallucination", lambda _t: {"loop": T.is_loop(_t), "invented": T.is_hallucination(_t)}, None)
 _doc_query("t18_name_lines", lambda _t: {"names": F.size(F.filter(F.split(_t, "\n"), T.looks_like_name)), "credits": F.size(F.filter(F.split(_t, "\n"), T.is_credit))}, None)
@@ -424,6 +424,15 @@ def _(spark, d):
 
 # -- entities ---------------------------------------------------------------------------------------
 
+#: Turns are the chunks in which entities occur together.
+TURN_CHUNK = "chunks AS (SELECT conv_id || '-' || turn AS chunk_id, conv_id AS video_id, coalesce(text, '') AS full_text FROM conversations)"
+
+
+def turn_mentions(spark: SparkSession, d: str) -> DataFrame:
+    c = segments(spark, d).select(F.concat_ws("-", "video_id", "segment_id").alias("chunk_id"), "video_id", F.coalesce("text", F.lit("")).alias("full_text"))
+    return catalogue.entity_mentions(c)
+
+
 _ENT = r"""w AS (SELECT chunk_id, video_id, trim(unnest(list_filter(regexp_split_to_array(trim(full_text), '\s+'), lambda x: x <> '')), '.,;:¿?¡!()"''') AS s FROM chunks),
     m AS (SELECT DISTINCT chunk_id, video_id, lower(strip_accents(s)) AS e FROM w WHERE length(s) >= 4 AND upper(left(s, 1)) = left(s, 1) AND lower(left(s, 1)) <> left(s, 1))"""
 
@@ -433,21 +442,20 @@ def _(spark, d):
     return catalogue.entity_catalogue(catalogue.entity_mentions(chunks(spark, d))).select("label_norm", "mentions", "videos")
 
 
-@query("a6_cooccurrence", f"WITH {CHUNK}, c AS (SELECT chunk_id, video_id, left(full_text, 300) AS full_text FROM chunks), {_ENT.replace('FROM chunks', 'FROM c')} SELECT a.e AS source, b.e AS target, count(*) AS weight FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.e < b.e GROUP BY ALL")
+@query("a6_cooccurrence", f"WITH {TURN_CHUNK}, {_ENT} SELECT a.e AS source, b.e AS target, count(*) AS weight FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.e < b.e GROUP BY ALL")
 def _(spark, d):
-    c = chunks(spark, d).withColumn("full_text", F.left("full_text", F.lit(300)))  # the head of a chunk is the feature: its summary's entities
-    return catalogue.cooccurrence(catalogue.entity_mentions(c))
+    return catalogue.cooccurrence(turn_mentions(spark, d))
 
 
 # -- search -----------------------------------------------------------------------------------------
 
 
 def _search_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Ten benchmark items are the query set."""
-    return table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """The query set: benchmark items whose id is divisible by 100."""
+    return table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_BM25 = rf"""qs AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id < 10),
+_BM25 = rf"""qs AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id % 100 = 0),
     qt AS (SELECT query_id, term, count(*) AS times FROM qs WHERE term <> '' GROUP BY ALL),
     tok AS (SELECT chunk_id, unnest(list_concat({_WORDS.format('full_text')}, {_WORDS.format('summary')})) AS term FROM chunks),
     p AS (SELECT chunk_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
@@ -499,7 +507,7 @@ def _(spark, d):
 
 _HYBRID = f"""WITH {CHUNK}, {_BM25},
     t AS (SELECT query_id, chunk_id, bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), chunk_id) <= 50),
-    sv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS semantic FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id < 10),
+    sv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS semantic FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0),
     s AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, chunk_id) <= 50),
     u AS (SELECT coalesce(s.query_id, t.query_id) AS query_id, coalesce(s.chunk_id, t.chunk_id) AS chunk_id, semantic, bm25 FROM s FULL JOIN t ON s.query_id = t.query_id AND s.chunk_id = t.chunk_id),
     n AS (SELECT *, CASE WHEN max(semantic) OVER w = min(semantic) OVER w THEN 1 ELSE (semantic - min(semantic) OVER w) / (max(semantic) OVER w - min(semantic) OVER w) END AS a,
@@ -513,7 +521,7 @@ def _(spark, d):
     w = Window.partitionBy("query_id").orderBy(F.round("bm25", 6), "chunk_id")
     textual = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K.CANDIDATES)
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
-    semantic = search.vector_top(e.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), e, K.CANDIDATES)
+    semantic = search.vector_top(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), e, K.CANDIDATES)
     none = textual.select("query_id", "chunk_id", F.lit(0.0).alias("entity"))
     ids = chunks(spark, d).select("chunk_id").union(e.select("chunk_id")).distinct()
     out = search.fuse(semantic, textual, none, ids.withColumn("confidence", (F.col("chunk_id") % 10) / 10), 1 << 30)
@@ -534,3 +542,70 @@ def _(spark, d):
     n = N.estimated_tokens(F.col("text"))
     dollars = N.cost(n, F.lit(K.ANSWER_TOKENS), model, F.when(m == 2, "ollama").otherwise("remote"))
     return table(spark, d, "documents").groupBy("source").agg(F.sum(n).cast("long").alias("tokens"), _r(F.sum(dollars)).alias("dollars"))
+
+
+# -- exports ----------------------------------------------------------------------------------------
+
+
+@query("k12_process_report", f"WITH {SEG} SELECT video_id, 'v' || video_id AS title, count(*) AS segments, count(DISTINCT speaker) AS voices, round(avg(confidence), 6) AS confidence, round(max(end_time), 6) AS seconds FROM seg GROUP BY ALL")
+def _(spark, d):
+    s = segments(spark, d)
+    m = s.select("video_id").distinct().withColumn("title", F.concat(F.lit("v"), F.col("video_id")))
+    return exports.process_report(m, s).withColumns({"confidence": _r("confidence"), "seconds": _r("seconds")})
+
+
+@query("k11_low_confidence_issues", f"WITH {SEG} SELECT video_id, 'low confidence' AS issue, {_CLOCK.format('start_time')} AS what FROM seg WHERE confidence < 0.6")
+def _(spark, d):
+    s = segments(spark, d)
+    nobody = s.limit(0).select("video_id", F.col("speaker"), F.lit(None).cast("string").alias("name"), F.lit("").alias("confidence"), F.lit(True).alias("off_screen"))
+    return exports.review_list(s, nobody).where("issue = 'low confidence'").drop("note")
+
+
+@query("q10_published", f"WITH {SEG} SELECT video_id, count(*) AS n FROM seg WHERE start_time < 30.0 GROUP BY ALL")
+def _(spark, d):
+    return exports.published(segments(spark, d), 30.0).groupBy("video_id").agg(F.count("*").alias("n"))
+
+
+@query("k4_bundle")
+def _(spark, d):
+    m = turn_mentions(spark, d).withColumn("start_time", F.substring_index("chunk_id", "-", -1).cast("double"))
+    return exports.bundle(m.select("video_id", F.concat(F.lit("v"), "video_id").alias("title")).distinct(), m)
+
+
+@query("k10_participants")
+def _(spark, d):
+    return exports.participants(_QUERIES["q8_identities"](spark, d))
+
+
+@query("w9_content_end")
+def _(spark, d):
+    s = segments(spark, d)
+    line = F.when(F.col("segment_id") % 5 == 4, "PRODUCCION GENERAL").otherwise("Ana Perez")
+    return exports.content_end(s.select("video_id", "start_time", F.array(line).alias("lines")), s.groupBy("video_id").agg(F.max("end_time").alias("duration_seconds")))
+
+
+@query("q7_dossier", f"WITH {TURN_CHUNK}, {_ENT} SELECT e AS label_norm, count(*) AS evidences FROM m GROUP BY ALL")
+def _(spark, d):
+    m = turn_mentions(spark, d).withColumn("start_time", F.substring_index("chunk_id", "-", -1).cast("double"))
+    return documents.dossier(m).select("label_norm", F.col("evidences").cast("long").alias("evidences"))
+
+
+@query("k1_corpus_json", f"WITH {SEG} SELECT video_id, count(*) AS chunks FROM seg GROUP BY ALL")
+def _(spark, d):
+    s = segments(spark, d)
+    m = s.select("video_id").distinct().withColumn("title", F.concat(F.lit("v"), F.col("video_id")))
+    j = documents.corpus_json(m, s.select("video_id", F.col("segment_id").alias("chunk_id"), "start_time", "end_time", F.col("text").alias("full_text")))
+    return j.select("video_id", F.json_array_length(F.get_json_object("json", "$.chunks")).cast("long").alias("chunks"))
+
+
+@query("v5_cluster_voices")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").cast("double").alias("start_time"), (F.col("vec_id") + 1.0).alias("end_time"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return clustering.cluster_voices(e)
+
+
+@query("q3_evidence", _HYBRID + " SELECT query_id, chunk_id, score FROM f WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8")
+def _(spark, d):
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    out = _QUERIES["q2_hybrid_search"](spark, d).withColumn("rank", F.row_number().over(best))
+    return search.evidence(out).drop("rank")
