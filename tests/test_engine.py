@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transcriba.functions import numbers as N
 from transcriba.functions import text as T
-from transcriba.operators import catalogue, clustering, documents, intervals, search
+from transcriba.operators import answers, catalogue, clustering, documents, exports, intervals, search
 from transcriba.plans import registry
 from transcriba.sources import tables
 from transcriba.streaming import segments as stream
@@ -187,3 +187,26 @@ def test_sources_and_stream(spark, tmp_path):
     done = stream.process_each(spark.createDataFrame([("1",), ("x",)], "v string"), lambda v: str(int(v)), "v").collect()
     assert [r.done for r in done] == [True, False] and "ValueError" in done[1].error
     assert stream.next_state("pending", True) == "transcribing" and stream.next_state("indexing", False) == "failed"
+
+
+def test_answers(spark):
+    v = spark.createDataFrame([("hola",), (None,)], "x string").select(answers.hash_embedding(F.col("x")).alias("v")).collect()
+    assert all(abs(sum(x * x for x in r.v) - 1) < 1e-9 and len(r.v) == 8 for r in v)
+    q = spark.createDataFrame([(1, "¿qué?"), (2, "¿nada?")], "question_id long, question string")
+    ev = spark.createDataFrame([(1, 1, "T", 5.0, 9.0, "texto")], "question_id long, rank int, title string, start_time double, end_time double, text string")
+    got = {r.question_id: r for r in answers.ask(q, ev, lambda system, user: user[:3] + " [7]").collect()}
+    assert got[1].cited == [1] and got[1].grounded and got[2].answer == answers.NO_EVIDENCE and not got[2].grounded
+    e = ev.groupBy("question_id").agg(F.collect_list(F.struct("title", "start_time")).alias("e"))
+    assert e.select(answers.sources_list(F.col("e"), F.array().cast("array<int>")).alias("s")).first().s == "1. T 00:00:05 (no citada)"
+    s = spark.createDataFrame([([0, 16384, -32768, 5],)], "a array<int>").select(answers.audio_slice(F.col("a"), F.lit(0.5), F.lit(1.5), 2).alias("s"), answers.audio_slice(F.col("a"), F.lit(9.0), F.lit(9.5), 2).alias("t")).first()
+    assert s.s == [0.5, -1.0] and s.t == []
+    runs = spark.createDataFrame([(0.0, 5.0)], "duration_s double, work_s double")
+    assert answers.calibrated_factor(runs, "tiny").first().factor == 0.10
+
+
+def test_exports(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b?", "x"), ("c", "y")], "name string, content string")
+    exports.write_documents(docs, str(tmp_path / "out"), "name", "content")
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"file=a_b_", "file=c"}
+    labels = spark.createDataFrame([(1, 85.0, ["PRODUCCION"]), (1, 90.0, ["Ana Perez"]), (1, 95.0, ["MUSICA"])], "video_id long, start_time double, lines array<string>")
+    assert exports.content_end(labels, spark.createDataFrame([(1, 100.0)], "video_id long, duration_seconds double")).first().end_s == 95.0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import catalogue, clustering, documents, exports, intervals, search
+from ..operators import answers, catalogue, clustering, documents, exports, intervals, search
 from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,3 +609,53 @@ def _(spark, d):
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     out = _QUERIES["q2_hybrid_search"](spark, d).withColumn("rank", F.row_number().over(best))
     return search.evidence(out).drop("rank")
+
+
+# -- answers ----------------------------------------------------------------------------------------
+
+
+@query("a11_used_tokens", "SELECT l_returnflag, sum(CASE WHEN l_linenumber % 3 = 1 THEN l_partkey ELSE l_suppkey END)::BIGINT AS tokens_in, sum(l_linenumber)::BIGINT AS tokens_out FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    first = F.col("l_linenumber") % 3 == 1
+    null = F.lit(None).cast("long")
+    u = table(spark, d, "lineitem").select("l_returnflag", F.when(first, F.col("l_partkey")).otherwise(0).alias("prompt_tokens"), F.when(~first, F.col("l_suppkey")).alias("input_tokens"), null.alias("prompt_token_count"), null.alias("completion_tokens"), F.lit(0).alias("output_tokens"), F.col("l_linenumber").cast("long").alias("candidates_token_count"))
+    return answers.used_tokens(u).groupBy("l_returnflag").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
+@query("a14_calibrated_factor", f"WITH {SEG} SELECT 'small' AS model, round(avg(length(text) / (end_time - start_time)), 5) AS factor FROM seg WHERE end_time > start_time")
+def _(spark, d):
+    runs = segments(spark, d).select((F.col("end_time") - F.col("start_time")).alias("duration_s"), F.length("text").cast("double").alias("work_s"))
+    return answers.calibrated_factor(runs, "small").withColumn("factor", _r("factor", 5))
+
+
+@query("w11_reading_marks", f"WITH {SEG}, u AS (SELECT video_id, start_time, CASE WHEN confidence < 0.7 THEN speaker END AS c FROM seg), m AS (SELECT *, lag(c) OVER (PARTITION BY video_id ORDER BY start_time) AS b FROM u) SELECT video_id, start_time, CASE WHEN c IS NOT NULL THEN 'open' ELSE 'close' END AS mark FROM m WHERE (c IS NOT NULL AND b IS DISTINCT FROM c) OR (c IS NULL AND b IS NOT NULL)")
+def _(spark, d):
+    u = segments(spark, d).select("video_id", "start_time", F.when(F.col("confidence") < 0.7, F.col("speaker")).alias("citation_id"))
+    return answers.reading_marks(u).select("video_id", "start_time", "mark")
+
+
+@query("d18_notes", f"WITH {SEG} SELECT video_id, segment_id, CASE WHEN confidence < 0.2 THEN 'new' ELSE text END AS text FROM seg WHERE NOT (confidence >= 0.2 AND confidence < 0.4)")
+def _(spark, d):
+    s = segments(spark, d)
+    notes = s.select(F.concat_ws("-", "video_id", "segment_id").alias("annotation_id"), "video_id", "segment_id", "text")
+    changed = s.where("confidence < 0.4").select(F.concat_ws("-", "video_id", "segment_id").alias("annotation_id"), "video_id", "segment_id", F.when(F.col("confidence") < 0.2, "new").alias("text"))
+    return answers.upsert_notes(notes, changed).drop("annotation_id")
+
+
+@query("d13_register_copy", f"WITH {MEDIA} SELECT video_id + 1000000000 AS video_id, title || ' (recortado)' AS title, 'pending' AS processing_status, project_id FROM media")
+def _(spark, d):
+    m = media(spark, d)
+    copies = m.select("video_id", (F.col("video_id") + 1000000000).alias("new_id"), F.lit("p").alias("path"), F.md5(F.lit("c")).alias("checksum"))
+    return answers.register_copy(m, copies).select("video_id", "title", "processing_status", "project_id")
+
+
+@query("x3_hash_embedding")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", answers.hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query("q5_gate", "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'según [1]' ELSE 'No hay evidencia suficiente en el material para responder.' END AS answer, item_id % 2 = 0 AS grounded FROM benchmark")
+def _(spark, d):
+    b = table(spark, d, "benchmark")
+    ev = b.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), "text")
+    return answers.ask(b.select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), ev, lambda system, user: "según [1]").select("question_id", "answer", "grounded")
