@@ -329,13 +329,17 @@ def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS,
     spark = docs.sparkSession
     met = _occurrences(docs, id_col, text_col, min_chars).select("doc_id", "pos", "line", *_names())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "pos"))
-    lines = met.groupBy("h1", "h2").agg(F.min("line").alias("line"), first.alias("first")).withColumn("lid", F.monotonically_increasing_id())
+    lines = met.groupBy("h1", "h2").agg(F.min("line").alias("line"), first.alias("first"), F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id())
     lines = materialise(spark, lines)
     roots = components(line_links(lines.select("lid", "line"), k))
-    slim = lines.select("lid", "h1", "h2", "first")
-    linked = slim.join(roots, F.col("lid") == F.col("node"), "left").select("h1", "h2", "first", F.coalesce("root", "lid").alias("root"))
+    # Only lines with a link or a second occurrence decide anything.
+    linked = lines.select("lid", "h1", "h2", "first").join(roots, F.col("lid") == F.col("node")).select("lid", "h1", "h2", "first", "root")
+    heads = lines.select("lid", "h1", "h2", "first").join(roots.select(F.col("root").alias("lid")).distinct(), "lid", "left_semi").withColumn("root", F.col("lid"))
+    linked = materialise(spark, linked.unionByName(heads))
     least = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    stays = linked.join(least, "root").select("h1", "h2", "stays")
+    near = linked.join(least, "root").select("h1", "h2", "stays")
+    again = lines.where("n > 1").select("lid", "h1", "h2", F.col("first").alias("stays")).join(linked.select("lid"), "lid", "left_anti").drop("lid")
+    stays = near.unionByName(again)
     rows = _occurrences(docs, id_col, text_col, min_chars).select("doc_id", "pos", *_names())
     same = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("stays.doc_id")) & (F.col("pos") == F.col("stays.pos"))
     gone = rows.join(stays, ["h1", "h2"]).where(~same).select("doc_id", "pos").distinct()
