@@ -27,6 +27,8 @@ EDITS = 2
 MIN_CHARS = 24
 #: Lines under one key up to which one task compares them; beyond, blocks of half as many.
 KEY_ROWS = 4096
+#: Bytes of ids of lines with candidates up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 # -- distance ---------------------------------------------------------------------------------------
@@ -248,7 +250,11 @@ def line_links(lines: DataFrame, k: int = EDITS, key_rows: int = KEY_ROWS) -> Da
                         links.append((int(lid[x]), int(lid[y])))
             yield pa.record_batch([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    dealt = ready.join(lines, "lid").select("key", "lid", "role", "side", "bag", "line").repartition(n, "key").sortWithinPartitions("key")
+    # The texts of lines that have a candidate; their ids are broadcast while they are few.
+    wanted = ready.select("lid").distinct()
+    few = 8 * wanted.count() <= BROADCAST_BYTES
+    texts = lines.join(F.broadcast(wanted) if few else wanted, "lid", "left_semi")
+    dealt = ready.join(texts, "lid").select("key", "lid", "role", "side", "bag", "line").repartition(n, "key").sortWithinPartitions("key")
     links = materialise(spark, dealt.mapInArrow(verify, "a long, b long"))
     release(spark, ready)
     return links
