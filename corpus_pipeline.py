@@ -25,10 +25,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).where("score >= 0.5").select(*docs.columns)
 
 
+#: Bytes of dropped ids up to which they are broadcast; beyond, documents and ids meet by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least id. Rows that share an id share its fate."""
-    stay = near_duplicates(docs).groupBy("class_id").agg(F.min("doc_id").alias("stay")).select("stay")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    """One document of each class: the one with the least id. Rows that share an id share its fate: they stay if one does."""
+    decided = materialise(spark, near_duplicates(docs).select("doc_id", "class_id"))
+    stay = decided.groupBy(F.col("class_id").alias("c")).agg(F.min("doc_id").alias("stay"))
+    others = decided.join(stay, F.col("class_id").eqNullSafe(F.col("c"))).where(~F.col("doc_id").eqNullSafe(F.col("stay"))).select(F.col("doc_id").alias("gone")).distinct()
+    gone = materialise(spark, others.join(stay.select("stay"), F.col("gone").eqNullSafe(F.col("stay")), "left_anti"))
+    small = 8 * gone.count() <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
