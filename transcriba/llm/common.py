@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark."""
@@ -33,9 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    The write's shuffle files are deleted when it ends, as nothing reads them again.
+    """
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
