@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from transcriba.llm import line_dedup as ld
+from transcriba.llm.queries import op7_line_dedup
 
 
 def test_banded_distance_against_table():
@@ -113,3 +114,9 @@ def test_edge_rows(docs, no_docs):
     assert len(got) == 12 and all(not r.removed for r in got if r.doc_id in (3, 4, 7, 8))
     assert ld.line_decisions(no_docs).count() == 0
     assert ld.line_dedup(docs).columns == docs.columns and ld.line_dedup(docs).count() == 12
+
+
+def test_query_removes_equal_short_lines(spark, tmp_path):
+    rows = [(1, "All rights reserved.\n\nab\nAll rights reserved."), (2, "All rights reserved!\n\nab"), (3, "ab\nxy"), (4, "All rights reserved.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "3", 2: "2", 3: "0", 4: "0"}

@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
-Distinct lines of at least MIN_CHARS characters are cut into EDITS + 1 segments. If two lines are within
-EDITS edits, some segment of the shorter one occurs unchanged in the longer one, at a place that the
+Equal lines of at least equal_chars characters are one line. Distinct lines of at least MIN_CHARS
+characters are cut into EDITS + 1 segments. If two lines are within EDITS edits, some segment of the shorter one occurs unchanged in the longer one, at a place that the
 lengths bound; so each line files its segments under (length, segment, content) and probes, for each
 length that a partner may have, the few substrings that the multi-match-aware selection leaves. Lines
 that meet under a key and whose character counts allow the distance are verified by a banded
@@ -23,7 +23,7 @@ from .near_dup import _groups, _runs, components
 from .words import _B, _INV, _powers, mix64
 
 EDITS = 2
-#: Shorter lines are never dropped and link to nothing: at that length two edits make another line.
+#: Shorter lines link to nothing: at that length two edits make another line.
 MIN_CHARS = 24
 #: Lines under one key up to which one task compares them; beyond, blocks of half as many.
 KEY_ROWS = 4096
@@ -178,7 +178,7 @@ def key_pairs(key: np.ndarray, role: np.ndarray, side: np.ndarray, lid: np.ndarr
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """doc_id, pos, line of lines long enough to be compared."""
+    """doc_id, pos, line of lines long enough to be grouped."""
     line = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(line).alias("pos", "line"))
     return out.where(F.length("line") >= least)
@@ -323,21 +323,25 @@ def _stretches(key: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(key)
 
 
-def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, removed array<int> of every row: positions of lines that an earlier line stands for.
 
     Lines end at a newline. Lines within k edits of each other, directly or through others, are one
     class; its first occurrence by (doc_id, position) stays and all other occurrences are removed.
-    Lines under min_chars characters always stay. A null doc_id comes first. Null and empty texts have
+    Lines under min_chars characters are a class with their equals only, and always stay if under
+    equal_chars characters (min_chars if none is given). A null doc_id comes first. Null and empty texts have
     one empty line. Repeated rows share one fate: where a row's id and position are the first of its
     class, all rows of that id keep the line. Other columns are ignored.
     """
     spark = docs.sparkSession
-    met = _occurrences(docs, id_col, text_col, min_chars).select("doc_id", "pos", "line", *_names())
+    shortest = min_chars if equal_chars is None else min(equal_chars, min_chars)
+    met = _occurrences(docs, id_col, text_col, shortest).select("doc_id", "pos", "line", *_names())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "pos"))
     lines = met.groupBy("h1", "h2").agg(F.min("line").alias("line"), first.alias("first"), F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id())
-    lines = materialise(spark, lines)
-    roots = components(line_links(lines.select("lid", "line"), k))
+    # Short lines are written if they repeat, and without their texts.
+    long = F.length("line") >= min_chars
+    lines = materialise(spark, lines.where(long | (F.col("n") > 1)).withColumn("line", F.when(long, F.col("line"))))
+    roots = components(line_links(lines.where(F.col("line").isNotNull()).select("lid", "line"), k))
     # Only lines with a link or a second occurrence decide anything.
     linked = lines.select("lid", "h1", "h2", "first").join(roots, F.col("lid") == F.col("node")).select("lid", "h1", "h2", "first", "root")
     heads = lines.select("lid", "h1", "h2", "first").join(roots.select(F.col("root").alias("lid")).distinct(), "lid", "left_semi").withColumn("root", F.col("lid"))
@@ -346,7 +350,7 @@ def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS,
     near = linked.join(least, "root").select("h1", "h2", "stays")
     again = lines.where("n > 1").select("lid", "h1", "h2", F.col("first").alias("stays")).join(linked.select("lid"), "lid", "left_anti").drop("lid")
     stays = near.unionByName(again)
-    rows = _occurrences(docs, id_col, text_col, min_chars).select("doc_id", "pos", *_names())
+    rows = _occurrences(docs, id_col, text_col, shortest).select("doc_id", "pos", *_names())
     same = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("stays.doc_id")) & (F.col("pos") == F.col("stays.pos"))
     gone = rows.join(stays, ["h1", "h2"]).where(~same).select("doc_id", "pos").distinct()
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("gone_id")).agg(F.array_sort(F.collect_list("pos")).alias("removed"))
@@ -356,9 +360,9 @@ def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS,
     return out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """docs with the removed lines cut from their texts; null texts stay null, other columns as they are."""
-    gone = line_decisions(docs, k, min_chars, id_col, text_col).where(F.size("removed") > 0).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone_id"), "removed").distinct()
+    gone = line_decisions(docs, k, min_chars, id_col, text_col, equal_chars).where(F.size("removed") > 0).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone_id"), "removed").distinct()
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("removed"), i), F.lit(False))), "\n")
     out = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_gone_id"), "left")
