@@ -102,6 +102,15 @@ def test_decontamination_against_all_windows(spark, docs, no_docs):
     assert all(not r.hits for r in dc.contamination(docs, bench.limit(0)).collect())
 
 
+def test_texts_shorter_than_an_item(spark):
+    item = [f"w{i}" for i in range(59)]
+    cut = {1: item[:58], 2: item[2:], 3: item[:47], 4: item[:30], 5: item[1:58], 6: item[:4]}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[::-1]))], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in cut.items()], "doc_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.similarity, h.word) for h in r.hits] for r in dc.contamination(frame, bench).collect()}
+    assert got == {1: [(1, 54 / 55, 0)], 2: [(1, 53 / 55, 0)], 3: [], 4: [], 5: [(1, 53 / 55, 0)], 6: []}
+
+
 def test_block_tables_find_all_within_radius():
     rng = np.random.default_rng(1)
     index = dc.ItemIndex([(i, " ".join(f"x{v}" for v in rng.integers(0, 99, 20))) for i in range(40)])

@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
 Every item of the benchmark has a 64-bit SimHash of its five-word shingles. Windows of a document with
-as many words as an item get the same fingerprint. The fingerprint is cut into four blocks of 16 bits:
+as many words as an item get the same fingerprint; for items of more words than the document has, the
+whole document is the window. The fingerprint is cut into four blocks of 16 bits:
 two fingerprints within 19 bits differ by at most 4 bits in some block, and a table of each block lists
 the items within 4 bits of every block value, so no item within the radius is missed. Candidates are
 verified on the words themselves: weighted Jaccard similarity of shingles, weights being their counts.
@@ -89,15 +90,15 @@ class ItemIndex:
             owner = (order // len(masks)).astype(np.int32)
             self.tables.append((np.searchsorted(near[order], np.arange(65537)), owner))
 
-    def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
-        """(window, item) with fingerprints within RADIUS, for items of the given number of words."""
+    def candidates(self, prints: np.ndarray, size: int, longer: bool = False) -> list[tuple[int, int]]:
+        """(window, item) with fingerprints within RADIUS, for items of the given number of words, or of more."""
         found = []
         for b, (first, owner) in enumerate(self.tables):
             v = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
             n = first[v + 1] - first[v]
             window = np.repeat(np.arange(len(v)), n)
             item = owner[np.repeat(first[v] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(window))] if len(window) else np.zeros(0, np.int32)
-            keep = self.words[item] == size
+            keep = self.words[item] > size if longer else self.words[item] == size
             window, item = window[keep], item[keep]
             near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             found.append(np.column_stack([window[near], item[near]]))
@@ -141,6 +142,12 @@ class ItemIndex:
                         sim = weighted_jaccard(shingle_counts(words[x : x + int(size)]), self.counts[i])
                         if sim >= threshold and sim > best.get(i, (0.0, 0))[0]:
                             best[i] = (sim, x)
+                if hi - lo < widest:  # the region is the whole text, the only window for longer items
+                    for _, i in self.candidates(fingerprints(total[-1:]), hi - lo, longer=True):
+                        words = word_list(texts[d]) if words is None else words
+                        sim = weighted_jaccard(shingle_counts(words), self.counts[i])
+                        if sim >= threshold:
+                            best[i] = (sim, 0)
             out[d] = sorted((self.ids[i], sim, x) for i, (sim, x) in best.items())
         return out
 
@@ -148,8 +155,8 @@ class ItemIndex:
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_block: int = ITEM_BLOCK) -> DataFrame:
     """doc_id and hits array<struct<item_id, similarity, word>> of every row of docs.
 
-    A hit: some window with as many words as the item has weighted five-word-shingle similarity of at
-    least the threshold to it; word is the first word of the best window. Items and texts under five
+    A hit: some window with as many words as the item, or the whole text if it has fewer, has weighted
+    five-word-shingle similarity of at least the threshold to it; word is the first word of the best window. Items and texts under five
     words, null and empty ones among them, match nothing. Repeated rows give repeated results; other
     columns are ignored. The benchmark is a stated query set: it is read in blocks of item_block items,
     each a pass over docs, so tables sent to executors stay bounded however many items there are.
