@@ -69,8 +69,9 @@ def _windows(text, items, threshold):
     words, out = dc.word_list(text or ""), {}
     for i, t in items:
         w = dc.word_list(t or "")
-        if len(w) >= dc.K:
-            sims = [dc.weighted_jaccard(dc.shingle_counts(words[x : x + len(w)]), dc.shingle_counts(w)) for x in range(len(words) - len(w) + 1)]
+        if w:
+            spans = [words[x : x + len(w)] for x in range(len(words) - len(w) + 1)] or ([words] if len(words) >= dc.K else [])
+            sims = [dc.weighted_jaccard(dc.shingle_counts(v), dc.shingle_counts(w)) for v in spans]
             if sims and max(sims) >= threshold:
                 out[i] = max(sims)
     return out
@@ -79,8 +80,8 @@ def _windows(text, items, threshold):
 def test_decontamination_against_all_windows(spark, docs, no_docs):
     rng = random.Random(4)
     word = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(word) for _ in range(rng.randrange(30, 60)))) for i in range(30)] + [(97, None), (98, ""), (99, "a b c")]
-    rows = []
+    items = [(i, " ".join(rng.choice(word) for _ in range(rng.randrange(30, 60)))) for i in range(30)] + [(97, None), (98, ""), (99, "a b c"), (100, "w1 W2"), (101, "a b c")]
+    rows = [(900, "x a B c y"), (901, "a b"), (902, "a b c"), (903, "a bc"), (904, "w1 w2 w3 w4")]
     for d in range(150):
         body = [rng.choice(word) for _ in range(rng.randrange(0, 200))]
         if d % 2:
@@ -94,8 +95,8 @@ def test_decontamination_against_all_windows(spark, docs, no_docs):
     want = {d: _windows(t, items, 0.8) for d, t in rows}
     assert sum(map(bool, want.values())) > 25
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (512, 7):
-        got = {r.doc_id: {h.item_id: h.similarity for h in r.hits} for r in dc.contamination(frame, bench, item_block=block).collect()}
+    for chars in (dc.PASS_CHARS, 5000):
+        got = {r.doc_id: {h.item_id: h.similarity for h in r.hits} for r in dc.contamination(frame, bench, pass_chars=chars).collect()}
         assert got == want
     assert len(dc.contamination(docs, bench).collect()) == 12
     assert dc.contamination(no_docs, bench).count() == 0
@@ -111,9 +112,27 @@ def test_texts_shorter_than_an_item(spark):
     assert got == {1: [(1, 54 / 55, 0)], 2: [(1, 53 / 55, 0)], 3: [], 4: [], 5: [(1, 53 / 55, 0)], 6: []}
 
 
+def test_many_items_make_several_tables(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{rng.randrange(60)}" for _ in range(20))) for i in range(120)]
+    monkeypatch.setattr(dc, "TABLE_ITEMS", 16)
+    index = dc.ItemIndex(items)
+    texts = [" ".join([f"q{d}"] * 9 + items[d % 120][1].split() + [f"r{d}"] * 3 + items[(d * 7) % 120][1].split()) for d in range(60)]
+    assert [{i: s for i, s, _ in f} for f in index.scan(texts, 0.8)] == [_windows(t, items, 0.8) for t in texts]
+
+
+def test_hits_leave_all_columns_and_decide_by_row(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, item, 1), (None, "clean words that are not in any item", 2), (5, item, 3), (5, "other clean words here now", 4), (None, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").withColumn("hits", F.lit("own")).withColumn("bad", F.lit(1))
+    out = dc.with_hits(frame, spark.createDataFrame([(1, item)], "item_id long, text string"), hits_col="_hits").collect()
+    assert [(r["a.b"], r.hits, r.bad) for r in out if not r._hits] == [(2, "own", 1), (4, "own", 1), (5, "own", 1)] and len(out) == 5
+
+
 def test_block_tables_find_all_within_radius():
     rng = np.random.default_rng(1)
-    index = dc.ItemIndex([(i, " ".join(f"x{v}" for v in rng.integers(0, 99, 20))) for i in range(40)])
+    items = dc.ItemIndex([(i, " ".join(f"x{v}" for v in rng.integers(0, 99, 20))) for i in range(40)])
+    index = items.block_tables(np.arange(40))[1]
     probes = index.prints[rng.integers(0, 40, 300)] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), False)) for _ in range(300)], np.uint64)
     want = {(w, i) for w in range(300) for i in range(40) if bin(int(probes[w] ^ index.prints[i])).count("1") <= dc.RADIUS}
     assert set(index.candidates(probes, 20)) == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting by which a query's shuffle files go when the query ends.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Writes under way in all threads, and the setting's value before the first of them.
+_SETTING, _WRITING = threading.Lock(), [0, None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +30,12 @@ def qualified(spark: SparkSession, path: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests on one machine) a local folder serves.
+    Where that setting is absent a local folder serves on one machine; on a cluster that is an error.
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="transcriba-")
     return qualified(spark, f"{top.rstrip('/')}/transcriba-{uuid.uuid4().hex}")
 
@@ -41,15 +46,21 @@ def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     The write's shuffle files are deleted when it ends, as nothing reads them again.
     """
     path = shared_dir(spark)
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
+    with _SETTING:
+        _WRITING[0] += 1
+        if _WRITING[0] == 1:
+            _WRITING[1] = spark.conf.get(DROP_SHUFFLES, None)
+            spark.conf.set(DROP_SHUFFLES, "true")
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLES)
-        else:
-            spark.conf.set(DROP_SHUFFLES, before)
+        with _SETTING:
+            _WRITING[0] -= 1
+            if _WRITING[0] == 0:
+                if _WRITING[1] is None:
+                    spark.conf.unset(DROP_SHUFFLES)
+                else:
+                    spark.conf.set(DROP_SHUFFLES, _WRITING[1])
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +74,24 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(docs: DataFrame, stem: str) -> str:
+    """A column name that docs does not have: the stem, with underscores before it as needed."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def named(col: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col(f"`{col.replace('`', '``')}`")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns of docs by their exact names."""
+    return [named(c) for c in docs.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, by which a cluster is tuned to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns, fresh, named
+
 #: Labelled rows that the fit reads at most, taken by the order of a hash of their id.
 MAX_FIT_ROWS = 20_000
 
@@ -197,21 +199,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> RuleModel:
-    """Fits the rules on at most max_rows labelled rows that are not held out. Labels other than 0 and 1 count as absent."""
+def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
+    """Fits the rules on at most max_rows labelled documents that are not held out, taken by a hash of their id.
+
+    Labels other than 0 and 1 count as absent; of several labels of one id the least counts. An id that
+    stands for several texts gives one row, the one of the least statistics. Null ids, and ids without a
+    document, teach nothing; without any row, or with labels of one kind alone, the model is a constant.
+    """
     ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = ok.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     stats = statistics(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id")  # max_rows bounds the broadcast
-    found = rows.select("_id", F.col("_y").cast("double").alias("_y"), *[c.cast("double").alias(k) for k, c in stats.items()]).orderBy("_id", "log_chars", "word_length", "upper").limit(2 * max_rows).toPandas()
+    rows = docs.select(named(id_col).cast("long").alias("_id"), named(text_col).alias("text")).join(F.broadcast(sample), "_id")  # max_rows bounds the broadcast
+    found = rows.select("_id", F.col("_y").cast("double").alias("_y"), F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]).alias("s"))
+    found = found.groupBy("_id", "_y").agg(F.min("s").alias("s")).select("_id", "_y", "s.*").orderBy("_id").toPandas()  # max_rows rows at most
     x = found[list(stats)].to_numpy(np.float64)
     return fit_rules(x, found["_y"].to_numpy(np.float64), list(stats))
 
 
-def quality_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs with a column score (0 to 1, higher: label 1 likelier). Every row gets one, empty and null texts too."""
-    stats = statistics(F.col("text"))
+def quality_scores(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column score_col (0 to 1, higher: label 1 likelier).
+
+    Every row gets one by its text alone: repeated rows and equal texts score alike, empty, null and
+    very long texts too; an empty table stays empty. Input columns keep their values whatever their
+    names, but for one already named score_col: the score takes its place, so name another score_col
+    to keep both.
+    """
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != score_col.lower()])
+    stats = statistics(named(text_col))
     used = sorted({model.names[i] for rule in model.rules for i, _, _ in rule})
-    rows = docs.drop("score").select("*", *[stats[k].cast("double").alias(f"_stat_{k}") for k in used])
-    score = model.column({k: F.col(f"_stat_{k}") for k in used})
-    return rows.withColumn("score", score).drop(*[f"_stat_{k}" for k in used])
+    own = {k: fresh(docs, f"_stat_{k}") for k in used}
+    rows = docs.select(*columns(docs), *[stats[k].cast("double").alias(own[k]) for k in used])
+    return rows.select(*columns(docs), model.column({k: F.col(own[k]) for k in used}).alias(score_col))
