@@ -1,10 +1,11 @@
 """Secret scans by one deterministic automaton for all rules.
 
-Each rule is a byte regex. Detection: the rules' necessary parts, each after any prefix, become one
-automaton by subset construction and minimisation, held as a transition array over byte classes; all
-texts of a batch run through it in step, one array gather per byte position, which marks for every text
-the rules that can match. Extraction: on marked texts alone, the rule's own automaton finds leftmost,
-longest, non-overlapping spans, and matches under the rule's least length are dropped.
+Each rule is a byte regex. Subset construction over all rules at once, then minimisation, give one
+transition array over byte classes. A state holds, rule by rule, the match attempts under way, ordered
+by where they began; a register keeps each beginning. A transition may move registers and may emit the
+leftmost, longest match of some rules that ends there; then the rule looks on behind it. So one pass
+over the bytes gives the non-overlapping spans of all rules; those under a rule's least length are
+dropped. Texts run through the array in step, one gather per byte position for all of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import named, text_bytes
 
 # -- regex to automaton -----------------------------------------------------------------------------
 
@@ -130,75 +131,122 @@ class _Parser:
 
 @dataclass
 class Automaton:
-    """classes: byte -> class; step: state x class -> state; accept: state -> bit set of rules. State 0 starts."""
+    """classes: byte -> class; step: state x class -> state; action: state x class -> row of actions (0: none).
+
+    State 0 starts. An action emits the rules of emit[action] (a bit set), whose first registers hold
+    where the matches began, and then register r takes the value of moves[action, r]: another register,
+    or the present position where that is -1.
+    """
 
     classes: np.ndarray
     step: np.ndarray
-    accept: np.ndarray
+    action: np.ndarray
+    emit: np.ndarray
+    moves: np.ndarray
+    registers: list[int]  # first register of each rule
 
-    def table(self) -> np.ndarray:
-        return self.step[:, self.classes]
+    def lists(self) -> tuple[list[int], list[int], list[int], list[list[tuple[int, int]]]]:
+        """step (times the number of classes), action, emit and the registers that each action changes, made once."""
+        if not hasattr(self, "_lists"):
+            changes = [[(r, x) for r, x in enumerate(row) if x != r] for row in self.moves.tolist()]
+            self._lists = (self.step.ravel() * self.step.shape[1]).tolist(), self.action.ravel().tolist(), self.emit.tolist(), changes
+        return self._lists
 
 
-def compile_rules(rules: list[tuple[str, bool]], anywhere: bool) -> Automaton:
-    """One minimal automaton for all rules (regex, fold ASCII case).
+def _search_step(groups: tuple, accept: int, start: frozenset, move) -> tuple[tuple, list[int], bool]:
+    """One rule's next groups of attempts, where their registers come from, and whether a match ended before the byte.
 
-    anywhere: a match may begin at every byte, and once a rule has matched its bit shows in the state
-    reached there.
+    groups: sets of states, one for each beginning, earliest first. A match is under way when the first
+    group accepts; later beginnings then lie inside it and are dropped. Once a group accepts it must
+    go on accepting until it dies, so that a match ends where its attempt does; other rules are refused.
     """
-    eps, step, accept_of, starts, base = defaultdict(list), defaultdict(list), {}, [], 0
-    for k, (rule, fold) in enumerate(rules):
+    matching = bool(groups) and accept in groups[0]
+    after, source, seen = [], [], set()
+    for g, states in enumerate(groups):
+        to = move(states) - seen
+        if to:
+            after.append(to)
+            source.append(g)
+            seen |= to
+    ended = matching and not after
+    if matching and after and accept not in after[0]:
+        raise ValueError("a rule whose match may go on without a match at each byte")
+    if not matching or ended:
+        to = move(start) - seen
+        if to:
+            after.append(to)
+            source.append(-1)
+    if any(accept in states for states in after[1:]):
+        raise ValueError("a rule whose later beginning may match before an earlier one is settled")
+    if after and accept in after[0]:
+        after, source = after[:1], source[:1]
+    return tuple(frozenset(x) for x in after), source, ended
+
+
+def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
+    """One minimal automaton for all rules (regex, fold ASCII case)."""
+    parts = []
+    for rule, fold in rules:
         p = _Parser(rule, fold)
-        a, b = p.alternatives()
-        for s, to in p.eps.items():
-            eps[s + base] += [t + base for t in to]
-        for s, to in p.step.items():
-            step[s + base] += [(bs, t + base) for bs, t in to]
-        starts.append(a + base)
-        accept_of[b + base] = k
-        base += p.n
-    signature = np.zeros(256, dtype=object)
-    for i, (bs, _) in enumerate(x for to in step.values() for x in to):
-        for b in bs:
-            signature[b] += 1 << i
-    kinds: dict[int, int] = {}
-    classes = np.array([kinds.setdefault(x, len(kinds)) for x in signature], np.uint8)
+        parts.append((p, *p.alternatives()))
+    sets = sorted({bs for p, _, _ in parts for to in p.step.values() for bs, _ in to}, key=sorted)
+    kinds: dict[tuple, int] = {}
+    classes = np.array([kinds.setdefault(tuple(b in bs for bs in sets), len(kinds)) for b in range(256)], np.uint8)
     sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
 
     @lru_cache(maxsize=None)
-    def closure(s: int) -> frozenset[int]:
+    def closure(k: int, s: int) -> frozenset[int]:
         seen, todo = {s}, [s]
         while todo:
-            for t in eps[todo.pop()]:
+            for t in parts[k][0].eps[todo.pop()]:
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
         return frozenset(seen)
 
-    first = frozenset().union(*(closure(s) for s in starts))
-    numbers, todo, table, accept = {first: 0}, [first], [], []
+    @lru_cache(maxsize=None)
+    def next_of(k: int, groups: tuple, byte: int) -> tuple[tuple, list[int], bool]:
+        p, first, last = parts[k]
+        return _search_step(groups, last, closure(k, first), lambda states: {x for s in states for bs, t in p.step[s] if byte in bs for x in closure(k, t)})
+
+    empty = tuple(() for _ in rules)
+    numbers, todo, table, found = {empty: 0}, [empty], [], []
     while todo:  # subset construction; states are numbered in the order in which they are met
         now = todo.pop(0)
-        accept.append(sum(1 << k for s, k in accept_of.items() if s in now))
-        row = []
-        for b in sample:
-            to: set[int] = set(first) if anywhere else set()
-            for s in now:
-                for bs, t in step[s]:
-                    if b in bs:
-                        to |= closure(t)
-            key = frozenset(to)
+        row, acts = [], []
+        for byte in sample:
+            nexts = [next_of(k, groups, byte) for k, groups in enumerate(now)]
+            key = tuple(n[0] for n in nexts)
             if key not in numbers:
                 numbers[key] = len(numbers)
                 todo.append(key)
             row.append(numbers[key])
+            acts.append((tuple(tuple(n[1]) for n in nexts), sum(1 << k for k, n in enumerate(nexts) if n[2])))
         table.append(row)
-    return minimise(Automaton(classes, np.array(table, np.int32), np.array(accept, np.int32)))
+        found.append(acts)
+    width = [max(len(state[k]) for state in numbers) for k in range(len(rules))]
+    registers = np.concatenate([[0], np.cumsum(width)]).tolist()
+    moves, emit, at = [tuple(range(registers[-1]))], [0], {}
+    at[moves[0], 0] = 0
+    action = np.zeros((len(table), len(sample)), np.int32)
+    for i, acts in enumerate(found):
+        for c, (sources, ended) in enumerate(acts):
+            move = list(moves[0])
+            for k, source in enumerate(sources):
+                for r, x in enumerate(source):
+                    move[registers[k] + r] = -1 if x < 0 else registers[k] + x
+            key = (tuple(move), ended)
+            if key not in at:
+                at[key] = len(moves)
+                moves.append(key[0])
+                emit.append(ended)
+            action[i, c] = at[key]
+    return minimise(Automaton(classes, np.array(table, np.int32), action, np.array(emit, np.int32), np.array(moves, np.int16), registers[:-1]))
 
 
 def minimise(a: Automaton) -> Automaton:
-    """Refines the partition of states by what they accept and where they lead until it is stable."""
-    block = np.unique(a.accept, return_inverse=True)[1]
+    """Refines the partition of states by what their transitions do and where they lead until it is stable."""
+    block = np.unique(a.action, axis=0, return_inverse=True)[1].ravel()
     while True:
         key = np.column_stack([block, block[a.step]])
         new = np.unique(key, axis=0, return_inverse=True)[1].ravel()
@@ -211,7 +259,7 @@ def minimise(a: Automaton) -> Automaton:
     order = np.argsort(first)  # the start's block comes first
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    return Automaton(a.classes, rank[block[a.step[first[order]]]].astype(np.int32), a.accept[first[order]])
+    return Automaton(a.classes, rank[block[a.step[first[order]]]].astype(np.int32), a.action[first[order]], a.emit, a.moves, a.registers)
 
 
 # -- rules ------------------------------------------------------------------------------------------
@@ -219,128 +267,142 @@ def minimise(a: Automaton) -> Automaton:
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; whole regex; fold; least length of the match; regex of a part that every kept match has (fold alike)."""
+    """kind; regex; fold ASCII case; least length of a match that is kept."""
 
     kind: str
     regex: str
     fold: bool
     least: int
-    part: str
 
 
 _VALUE = r"[A-Za-z0-9+/_.=\-]"
 _NAME = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 BASE = ("assign", "access", "hex")
-#: In the order in which kinds are listed. least of assign is that of its value.
+#: Characters of the value of an assignment that is kept.
+ASSIGN_CHARS = 6
+#: In the order in which kinds are listed.
 RULES = (
-    Rule("assign", _NAME + _VALUE + "+", True, 6, _NAME + _VALUE + "{6}"),
-    Rule("access", "AKIA[A-Z0-9]+", False, 20, "AKIA[A-Z0-9]{16}"),
-    Rule("hex", "[0-9a-f]+", False, 24, "[0-9a-f]{24}"),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", False, 40, "gh[pousr]_[A-Za-z0-9]{4}"),
-    Rule("google", "AIza[A-Za-z0-9_-]+", False, 39, "AIza[A-Za-z0-9_-]{4}"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", False, 20, "xox[abprs]-[A-Za-z0-9-]{4}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 40, r"\.eyJ[A-Za-z0-9_-]"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, "PRIVATE KEY-----"),
+    Rule("assign", _NAME + _VALUE + "+", True, 0),
+    Rule("access", "AKIA[A-Z0-9]+", False, 20),
+    Rule("hex", "[0-9a-f]+", False, 24),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", False, 40),
+    Rule("google", "AIza[A-Za-z0-9_-]+", False, 39),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", False, 20),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 40),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0),
 )
 
 
-def machines(rules: tuple[Rule, ...] = RULES) -> tuple[Automaton, list[Automaton]]:
-    """The combined detector and each rule's own automaton."""
-    return compile_rules([(r.part, r.fold) for r in rules], True), [compile_rules([(r.regex, r.fold)], False) for r in rules]
+# -- scanning ---------------------------------------------------------------------------------------
 
+#: Bytes between the places at which texts are cut; a stretch of more than four times as many without one runs alone.
+PIECE = 1024
+#: Ends every text: no rule has it in a match.
+SEPARATOR = 10
 
-# -- scanning ---------------------------------------------------------------------------------------
 
+def _cuts(cls: np.ndarray, a: Automaton, piece: int) -> np.ndarray:
+    """Places behind two bytes that lead every state to the start, the first at or after each multiple of piece."""
+    home = a.step == 0
+    k = home.shape[1]
+    pair = np.array([[home[a.step[:, c], d].all() for d in range(k)] for c in range(k)])
+    ok = np.flatnonzero(pair[cls[:-1], cls[1:]]) + 2
+    return np.unique(ok[np.minimum(np.searchsorted(ok, np.arange(0, len(cls), piece)), len(ok) - 1)]) if len(ok) else ok
 
-def detect(data: np.ndarray, offsets: np.ndarray, a: Automaton, piece: int = 1024) -> np.ndarray:
-    """The rules that each text may hold: texts lie in data, text i from offsets[i] to offsets[i + 1].
 
-    Texts are cut after bytes that lead every state to one and the same state, at most every `piece`
-    bytes, so a long text becomes many pieces that run in step; a stretch without such a byte stays whole.
+def matches(data: np.ndarray, ends: np.ndarray, a: Automaton, least: list[int], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rule, start, end) of all matches of at least a rule's least length, in no order.
+
+    data holds texts that end in SEPARATOR, which leads every state to the start; ends are their ends.
     """
-    n = len(offsets) - 1
+    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if not len(data):
-        return np.zeros(n, np.int32)
+        return (np.zeros(0, np.int64),) * 3
     cls = a.classes[data]
-    resets = np.array([(a.step[:, c] == 0).all() for c in range(a.step.shape[1])])
-    cut = np.flatnonzero(resets[cls]) + 1
-    grid = np.searchsorted(cut, np.arange(0, len(data), piece))  # the first cut at or after each grid point
-    cut = np.unique(np.concatenate([cut[grid[grid < len(cut)]], offsets[:-1]]))
-    cut = cut[cut < len(data)]
-    ends = np.append(cut[1:], len(data))
-    owner = np.searchsorted(offsets, cut, side="right") - 1
-    length = ends - cut
+    cut = np.unique(np.concatenate([[0], _cuts(cls, a, piece), ends]))
+    start, stop = cut[:-1], cut[1:]
+    alone = stop - start > 4 * piece
+    for x, y in zip(start[alone].tolist(), stop[alone].tolist(), strict=True):
+        got.append(_run_alone(cls[x:y].tobytes(), x, a, least))
+    start, length = start[~alone], (stop - start)[~alone]
     order = np.argsort(-length, kind="stable")
-    cut, length, owner = cut[order], length[order], owner[order]
-    k, flat, accept = a.step.shape[1], np.ascontiguousarray(a.step.ravel()), a.accept
-    state, seen = np.zeros(len(cut), np.int32), np.zeros(len(cut), np.int32)
-    live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
-    hit_any = accept != 0
-    for i, m in enumerate(live):
-        now = flat[state[:m] * k + cls[cut[:m] + i]]
-        state[:m] = now
-        hot = hit_any[now]
-        if hot.any():
-            j = np.flatnonzero(hot)
-            seen[j] |= accept[now[j]]
-    out = np.zeros(n, np.int32)
-    np.bitwise_or.at(out, owner, seen)
-    return out
-
-
-def spans(text: bytes, a: Automaton, table: list[list[int]], can_start: bytes) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping matches as byte offsets. table: rows of next states, the dead one last."""
-    out, i, n = [], 0, len(text)
-    dead = len(table) - 1
-    accept = a.accept
-    while i < n:
-        if not can_start[text[i]]:
-            i += 1
-            continue
-        s, j, end = 0, i, -1
-        while j < n:
-            s = table[s][text[j]]
-            if s == dead:
-                break
-            j += 1
-            if accept[s]:
-                end = j
-        if end > i:
-            out.append((i, end))
-            i = end
-        else:
-            i += 1
-    return out
-
-
-def _plain(a: Automaton) -> tuple[Automaton, list[list[int]], bytes]:
-    """An anchored automaton with its dead state last, as lists."""
-    full = a.table()
-    dead = [s for s in range(len(full)) if not a.accept[s] and (full[s] == s).all()]
-    order = [s for s in range(len(full)) if s not in dead] + dead[:1]
-    rank = np.empty(len(full), np.int64)
-    rank[order] = np.arange(len(order))
-    t = rank[full[order]]
-    return Automaton(a.classes, a.step, [int(x) for x in a.accept[order]]), t.tolist(), bytes(int(t[0][b] != len(order) - 1) for b in range(256))
-
-
-def find_secrets(text: bytes, marked: int, own: list, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """(start, rank of the kind, end) in code points, in order."""
-    got = []
-    for k, r in enumerate(rules):
-        if not marked >> k & 1:
-            continue
-        for a, b in spans(text, *own[k]):
-            size = b - a
-            if r.kind == "assign":
-                size = _value_length(text[a:b])
-            if size >= r.least:
-                got.append((a, k, b))
-    if not got:
-        return []
-    raw = np.frombuffer(text, np.uint8)
-    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return sorted((int(before[a]), k, int(before[b])) for a, k, b in got)
+    start, length = start[order], length[order]
+    if len(start):
+        k = a.step.shape[1]
+        step, action = np.ascontiguousarray(a.step.ravel()) * k, np.ascontiguousarray(a.action.ravel())
+        emit, to, source = a.emit, *_changes(a.moves)
+        width = a.moves.shape[1] + 2  # one more holds the present position, one takes what has no place
+        state, register = np.zeros(len(start), np.int32), np.zeros(len(start) * width, np.int64)
+        live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+        for i, m in enumerate(live.tolist()):
+            at = state[:m] + cls[start[:m] + i]
+            state[:m] = step[at]
+            act = action[at]
+            j = np.flatnonzero(act)
+            if not len(j):
+                continue
+            act, position, own = act[j], start[j] + i, j * width
+            out = emit[act]
+            for r in range(len(a.registers)) if out.any() else ():
+                on = np.flatnonzero(out >> r & 1)
+                began = register[own[on] + a.registers[r]]
+                long = position[on] - began >= least[r]
+                if long.any():
+                    got.append((np.full(int(long.sum()), r), began[long], position[on][long]))
+            register[own + (width - 2)] = position
+            register[own[:, None] + to[act]] = register[own[:, None] + source[act]]
+    return tuple(np.concatenate([g[i] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for i in range(3))
+
+
+def _changes(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The registers that each action changes and where their values come from, in rows of equal length."""
+    n, width = moves.shape
+    rows = [np.flatnonzero(row != np.arange(width)) for row in moves]
+    most = max(len(r) for r in rows)
+    to, source = np.full((n, most), width + 1), np.full((n, most), width)
+    for i, r in enumerate(rows):
+        to[i, : len(r)] = r
+        source[i, : len(r)] = np.where(moves[i, r] < 0, width, moves[i, r])
+    return to, source
+
+
+def _run_alone(cls: bytes, base: int, a: Automaton, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same over one long stretch, byte by byte."""
+    step, action, emit, changes = a.lists()
+    out, register, state = [], [0] * a.moves.shape[1], 0
+    for position, c in enumerate(cls, base):
+        at = state + c
+        state = step[at]
+        act = action[at]
+        if act:
+            if emit[act]:
+                for r, first in enumerate(a.registers):
+                    if emit[act] >> r & 1 and position - register[first] >= least[r]:
+                        out.append((r, register[first], position))
+            new = [(r, position if x < 0 else register[x]) for r, x in changes[act]]
+            for r, x in new:
+                register[r] = x
+    return tuple(np.array([o[i] for o in out], np.int64) for i in range(3))
+
+
+def find_secrets(texts: list[bytes], a: Automaton, rules: tuple[Rule, ...] = RULES, piece: int = PIECE) -> list[list[tuple[int, int, int]]]:
+    """(start, rank of the kind, end) in code points of each text's spans, in order."""
+    data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    rule, start, end = matches(data, ends, a, [r.least for r in rules], piece)
+    order = np.argsort(start, kind="stable")
+    rule, start, end = rule[order], start[order], end[order]
+    owner = np.searchsorted(ends, start, side="right")
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for d in np.unique(owner).tolist():
+        text, first = texts[d], int(ends[d]) - len(texts[d]) - 1
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        for i in range(*np.searchsorted(owner, [d, d + 1]).tolist()):
+            x, y, k = int(start[i]) - first, int(end[i]) - first, int(rule[i])
+            if rules[k].kind != "assign" or _value_length(text[x:y]) >= ASSIGN_CHARS:
+                found[d].append((int(before[x]), k, int(before[y])))
+        found[d].sort()
+    return found
 
 
 def _value_length(match: bytes) -> int:
@@ -354,14 +416,15 @@ def _value_length(match: bytes) -> int:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, batch_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end>> of every text, by start, then kind as listed.
 
-    Offsets are code points, the end exclusive. Null and empty texts have no spans; repeated rows give
-    repeated results; other columns are ignored; an empty table gives an empty result.
+    Offsets are code points, the end exclusive. Null and empty texts have no spans; a text of any length
+    is scanned whole, in time in proportion to its length; repeated rows give repeated results; other
+    columns are ignored; an empty table gives an empty result.
     """
-    detector, single = machines(rules)
+    automaton = compile_rules([(r.regex, r.fold) for r in rules]).__dict__  # plain data
     kinds = [r.kind for r in rules]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [_plain(a) for a in single]
+        own = Automaton(**automaton)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             texts, at = batch.column(1).to_pylist(), 0
@@ -370,14 +433,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 while stop < len(texts) and (stop == at or size + len(texts[stop]) <= batch_bytes):
                     size += len(texts[stop])
                     stop += 1
-                part = texts[at:stop]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-                marks = detect(np.frombuffer(b"".join(part), np.uint8), offsets, detector)
-                found = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in find_secrets(t, int(m), own, rules)] if m else [] for t, m in zip(part, marks, strict=True)]
+                found = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in f] for f in find_secrets(texts[at:stop], own, rules)]
                 yield pa.record_batch([batch.column(0).slice(at, stop - at), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
                 at = stop
 
-    rows = docs.select(F.col(id_col).cast("long"), text_bytes(text_col))
+    rows = docs.select(named(id_col).cast("long"), text_bytes(text_col))
     return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
