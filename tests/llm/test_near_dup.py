@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from transcriba.llm import near_dup as nd
+from transcriba.llm.queries import QUERIES
 
 
 def _shingles(t):
@@ -57,8 +58,14 @@ def test_links_and_classes_against_all_pairs(spark):
     rows += [(6000 + i, t) for i, (_, t) in enumerate(rows[:20])]
     want = _brute(rows)
     got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == len(rows)
-    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+    assert got == want
+
+
+def test_recall_over_all_pairs_of_documents(spark):
+    """Every link of two distinct documents at the threshold is found, and nothing else; likewise at a lower threshold."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = _brute([(r.doc_id, r.text) for r in frame.collect()])
+    assert {r.doc_id: (r.class_id, r.n_links) for r in QUERIES["op3_near_duplicates"](spark, "/root/testdata/sf0.001").collect()} == want
 
 
 @pytest.mark.parametrize("block", [40, 256])
@@ -83,10 +90,47 @@ def test_edge_rows(docs, no_docs):
     assert by[3].class_id == by[4].class_id and by[8].class_id == 8
 
 
-def test_prefix_is_shortened_to_the_target():
-    d = nd.prefix_length(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** nd.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** nd.TREES
-    assert nd.prefix_length(0.99, 0.9) == nd.DEPTH
+def test_rounds_end_at_the_target():
+    d = nd.shallowest(0.8, 0.999)
+    assert nd.meeting(0.8, d) >= 0.999 > nd.meeting(0.8, d + 1)
+    assert nd.measured_recall({}, 0.8, 10) == 0
+    assert nd.measured_recall({nd.BINS: 5}, 0.8, 10) == 1  # equal sets meet at any depth
+    near, far = nd.measured_recall({0: 100}, 0.8, 10), nd.measured_recall({0: 100}, 0.8, 9)
+    assert abs(near - nd.meeting(0.8, 10)) < 1e-9 and near < far < 1
+
+
+def test_prefixes_are_shortened_until_links_at_the_threshold_meet(spark, monkeypatch):
+    """Rounds find what whole labels miss, each link once, and stop early where links are close."""
+    depths = []
+    decide = nd._decide
+    monkeypatch.setattr(nd, "_decide", lambda cells, sketch, bodies, depth, *more: depths.append(depth) or decide(cells, sketch, bodies, depth, *more))
+    rows = []
+    for g in range(60):
+        base = [f"g{g}x{i}" for i in range(104)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-30], *(f"e{g}x{i}" for i in range(30))]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    _, counts, _ = nd.near_links(frame, threshold=0.5, target=0.99)
+    assert len(depths) > 2 and depths == list(range(nd.DEPTH, nd.DEPTH - len(depths), -1))
+    got = [r.n_links for r in counts.collect()]
+    assert set(got) == {1} and len(got) >= 0.95 * len(rows)
+    depths.clear()
+    near = [(i, " ".join([f"w{k}" for k in range(400)] + [f"own{i}"])) for i in range(20)]
+    _, counts, _ = nd.near_links(spark.createDataFrame(near, "doc_id long, text string"), target=0.99)
+    assert depths == [nd.DEPTH] and [r.n_links for r in counts.collect()] == [19] * 20
+
+
+def test_sorted_tries_find_company_in_any_partition(spark):
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 3, (60, nd.TREES * nd.DEPTH), dtype=np.uint8)
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(label)], "rid long, label binary")
+    got = {(r.rid, r.tree): r.company for r in nd._sorted_tries(frame, 1).collect()}
+    for t in range(nd.TREES):
+        part = label[:, t * nd.DEPTH : (t + 1) * nd.DEPTH]
+        shared = np.cumprod(part[:, None] == part[None], axis=2).sum(2)
+        np.fill_diagonal(shared, 0)
+        want = shared.max(1)
+        assert all(got.get((i, t), 0) >= want[i] for i in range(60))
+        assert sum(got.get((i, t), 0) > want[i] for i in range(60)) <= 2 * 4  # the ends of four partitions
 
 
 def test_labels_estimate_similarity():
