@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +16,7 @@ from transcriba.llm import quality as qu
 
 
 def test_license_scan(spark, docs, no_docs):
-    mit = li.TEXTS[0][1].upper().replace("\n\n", "\n\nCopyright (c) 1999, Someone\n\n").replace("SUBLICENSE", "sub-licence")
+    mit = dict(li.known_texts())["MIT"].upper().replace("SUBLICENSE", "sub-licence").replace("<YEAR>", "1999")
     rows = [(1, mit), (2, "Intro.\nReleased under the MIT Licence!\nrest\nLicensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, "the mit license is nice"), (2, "© 2020 me\n"), (None, "SPDX-License-Identifier: ISC")]
     got = {(r.doc_id, r.license, r.n_notices, r.notices) for r in li.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT", 1, "MIT"), (2, None, 2, "CC-BY-NC-4.0,MIT"), (3, None, 0, ""), (4, None, 0, ""), (5, None, 0, ""), (2, None, 0, ""), (None, "ISC", 1, "ISC")}
@@ -24,9 +25,31 @@ def test_license_scan(spark, docs, no_docs):
     assert li.license_scan(no_docs).count() == 0
 
 
+def test_whole_license_texts_in_many_guises(spark):
+    """Every known text in another wrapping, case, punctuation, with other owners, and without its title."""
+    rows, want = [], {}
+    for k, (spdx, text) in enumerate(li.known_texts()):
+        owner = "Copyright (C) 2001-2009 Some Body, Inc.\n(c) 2010 Else\nAll rights reserved.\n"
+        wrapped = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        for g, guise in enumerate((text, owner + text.upper(), wrapped if "opyright" not in text[:200] else text, text.replace(",", " ;").replace('"', "'"), text.replace("license", "licence").replace("License", "Licence"))):
+            rows.append((10 * k + g, guise))
+            want[10 * k + g] = spdx
+        rows.append((10 * k + 9, text.replace("software", "hardware").replace("Software", "Hardware").replace("work", "toil").replace("SOFTWARE", "HARDWARE") + " and more"))
+        want[10 * k + 9] = None
+    got = {r.doc_id: r.license for r in li.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    bsd = dict(li.known_texts())["BSD-3-Clause"].partition("\n\n")[2]
+    isc = "Copyright 2020 Me\n\n" + "\n".join(textwrap.wrap(dict(li.known_texts())["ISC"].split("\n\n", 2)[2], 68)).replace("provided that the above\ncopyright", "provided that the above\n copyright")
+    gpl = dict(li.known_texts())["GPL-3.0"]
+    gpl = gpl[: gpl.index("END OF TERMS")]
+    out = li.license_scan(spark.createDataFrame([(1, bsd), (2, isc), (3, gpl)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in out} == {1: "BSD-3-Clause", 2: "ISC", 3: "GPL-3.0"}
+
+
 def test_license_plan_is_native(docs):
     plan = li.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange hashpartitioning" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
 def _labelled(spark, n=600):

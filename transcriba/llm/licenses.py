@@ -1,17 +1,24 @@
 """Licence scans: canonical digests of entire texts, joined to the digests of known licences.
 
 Native throughout: a text loses case, punctuation, copyright lines and variant spellings, and its
-digest is looked up by a hash join against the known digests. The same canonical form of each short
-line is looked up too, so a notice inside a longer document is found by its entire line.
+digest meets the known digests in a hash join. Known are the whole texts in the folder license_texts
+(named by identifier), each also without its title and without what follows its terms. The same
+canonical form of each short line is joined to the digests of known notices, so a notice inside a longer
+document is found by its entire line.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
+from functools import lru_cache
+from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import named
+
 # Identifier, name as notices write it.
 NAMES = (
     ("MIT", "MIT License"),
@@ -36,18 +43,11 @@ NAMES = (
 )
 # How notices name a licence.
 NOTICES = ("{0}", "the {0}", "SPDX-License-Identifier: {1}", "License: {1}", "License: {0}") + tuple(f"{lead}{verb} under {art}{{0}}" for lead in ("", "This work is ", "This file is ", "This software is ", "This project is ") for verb in ("licensed", "released", "distributed", "available") for art in ("the ", ""))
-# Whole texts of short licences.
-TEXTS = (
-    ("MIT", 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
-    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-)
 # Spellings that count as one, applied to lower-case words in this order.
-SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https", "http"), ("v 2", "version 2"), ("v 3", "version 3"))
+SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https", "http"), ("v 2", "version 2"), ("v 3", "version 3"))
 
-#: Whole lines that only name owners and years.
-COPYRIGHT = r"(?m)^[^\n\p{L}\p{N}]*(copyright|\(c\)|©)[^\n]*$"
+#: Whole lines that only name owners and years, or reserve rights; a line that speaks of copyright notices, laws or holders is none.
+COPYRIGHT = r"(?m)^[^\n\p{L}\p{N}]*(?:copyright[^\n\p{L}\p{N}]*(?:c\)|©|[0-9]{4}|year|yyyy|by )|\(c\)[^\n\p{L}\p{N}]*(?:copyright|[0-9]{4}|year|yyyy)|©|all rights reserved[^\n\p{L}\p{N}]*$)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -60,69 +60,115 @@ def canonical_lines(text: Column) -> Column:
 
 
 def canonical(lines: Column) -> Column:
-    """The canonical text of canonical lines: words joined by single spaces."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    """The canonical text of canonical lines: words joined by single spaces, spellings applied across line ends too."""
+    t = F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    for old, new in ACROSS:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
+
+
+#: Spellings of two words, which a line end may part.
+ACROSS = tuple((old, new) for old, new in SPELLINGS if " " in old)
 
 
 def canonical_text(text: str) -> str:
     """The same form of a known text, on the driver."""
-    t = re.sub(r"(?m)^[^\n\w]*(copyright|\(c\)|©)[^\n]*$", "", text.lower())
-    t = re.sub(r"[^a-z0-9\n]+", " ", t)
+    t = regex.sub(COPYRIGHT, "", text.lower())
+    t = regex.sub(r"[^\p{L}\p{N}\n]+", " ", t)
     for old, new in SPELLINGS:
         t = t.replace(old, new)
-    return re.sub(r"[ \n]+", " ", t).strip()
+    t = regex.sub(r"[ \n]+", " ", t).strip(" ")
+    for old, new in ACROSS:
+        t = t.replace(old, new)
+    return t
+
 
+def _forms(text: str) -> list[str]:
+    """A whole text, and the same without its title, and both without what follows its terms."""
+    end = text.find("END OF TERMS AND CONDITIONS")
+    whole = [text] if end < 0 else [text, text[: end + len("END OF TERMS AND CONDITIONS")], text[:end]]
+    bare = []
+    for t in whole:
+        lead, _, rest = t.strip("\n").partition("\n\n")
+        if rest and len(lead) <= 120:
+            bare.append(rest)
+    return whole + bare
 
-def known_licenses() -> list[tuple[str, str]]:
-    """(canonical text, identifier) of all known texts and notices; the first identifier of a text counts."""
+
+@lru_cache(maxsize=1)
+def known_licenses() -> tuple[tuple[str, str], ...]:
+    """(SHA-256 of the canonical text, identifier) of all known texts and notices; the first identifier of a text counts."""
+    found: dict[str, str] = {}
+    for spdx, text in known_texts():
+        for form in _forms(text):
+            found.setdefault(canonical_text(form), spdx)
+    for form, spdx in known_notices():
+        found.setdefault(form, spdx)
+    return tuple(sorted((hashlib.sha256(k.encode()).hexdigest(), v) for k, v in found.items()))
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the files of license_texts, whose names begin with the identifier."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(f.name.removesuffix(".txt").removesuffix(".notice").removesuffix(".regents"), f.read_text(encoding="utf-8")) for f in files]
+
+
+def known_notices() -> list[tuple[str, str]]:
+    """(canonical line, identifier) of how notices name the licences of NAMES."""
     found: dict[str, str] = {}
-    for spdx, text in TEXTS:
-        found.setdefault(canonical_text(text), spdx)
     for spdx, name in NAMES:
         for form in NOTICES:
             found.setdefault(canonical_text(form.format(name, spdx)), spdx)
     return sorted(found.items())
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """doc_id, text_digest, license (of the entire text, or null), n_notices, notices.
 
     text_digest is the SHA-256 of the canonical text. notices: identifiers of the lines that are entire
     known notices, distinct, in alphabetical order, comma-joined; n_notices counts such lines. One row
     per input row, repeated rows too; null and empty texts have the digest of the empty string, no
-    licence and no notices; other columns are ignored. The known table is fixed and small, which
-    bounds its broadcast.
+    licence and no notices; texts of any length are read whole; other columns are ignored; an empty
+    table gives an empty result. Both joins probe the known digests, a fixed table of some thousand
+    rows, which bounds its broadcast; lines of a row come together again by its number, without texts.
     """
     spark: SparkSession = docs.sparkSession
     known = known_licenses() if known is None else known
-    longest = max(len(k) for k, _ in known)
-    table = spark.createDataFrame(known, "k string, license string").select(F.sha2("k", 256).alias("k_digest"), "license")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
+    ids = sorted({i for _, i in known})
+    longest = max((len(k) for k, _ in known_notices()), default=0)
+    table = spark.createDataFrame([(d, i, ids.index(i) // 60, 1 << ids.index(i) % 60) for d, i in known], "known string, license string, word int, bit long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), named(id_col).cast("long").alias("doc_id"), canonical_lines(named(text_col)).alias("lines"))
     short = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) <= longest) & (x != ""))
-    rows = rows.select("doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), F.transform(short, lambda x: F.sha2(x.cast("binary"), 256)).alias("line_digests"))
-    rows = rows.join(F.broadcast(table), F.col("text_digest") == F.col("k_digest"), "left")
-    by_digest = F.array(*[F.struct(F.sha2(F.lit(k), 256).alias("d"), F.lit(i).alias("i")) for k, i in known])
-    digests = F.array(*[F.sha2(F.lit(k), 256) for k, _ in known])
-    rows = rows.withColumn("hits", F.when(F.arrays_overlap("line_digests", digests), F.filter("line_digests", lambda d: F.array_contains(digests, d))))
-    names = F.array_sort(F.array_distinct(F.transform(F.filter(by_digest, lambda k: F.array_contains(F.col("hits"), k["d"])), lambda k: k["i"])))
-    return rows.select("doc_id", "text_digest", "license", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_notices"), F.when(F.col("hits").isNotNull(), F.array_join(names, ",")).otherwise(F.lit("")).alias("notices"))
-
-
-def license_sql(known: list[tuple[str, str]] | None = None) -> str:
+    rows = rows.select("row", "doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), short.alias("short"))
+    whole = table.select(F.col("known").alias("text_digest"), "license")
+    rows = rows.join(F.broadcast(whole), "text_digest", "left")
+    lines = rows.select("row", "doc_id", "text_digest", "license", F.explode_outer("short").alias("line")).withColumn("known", F.sha2(F.col("line").cast("binary"), 256))
+    lines = lines.join(F.broadcast(table.select("known", "word", "bit")), "known", "left")
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(len(ids) // 60 + 1)]
+    out = lines.groupBy("row", "doc_id", "text_digest", "license").agg(F.count("bit").alias("n_notices"), *words)
+    named_ids = [F.when(F.col(f"w{i // 60}").bitwiseAND(F.lit(1 << i % 60)) != 0, F.lit(x)) for i, x in enumerate(ids)]
+    notices = F.when(F.col("n_notices") == 0, F.lit("")).otherwise(F.concat_ws(",", *named_ids))
+    return out.select("doc_id", "text_digest", "license", "n_notices", notices.alias("notices"))
+
+
+def license_sql(known: tuple[tuple[str, str], ...] | None = None) -> str:
     """The scan over `documents` in DuckDB's SQL."""
     known = known_licenses() if known is None else known
-    values = ", ".join("('" + k.replace("'", "''") + f"', '{i}')" for k, i in known)
-    longest = max(len(k) for k, _ in known)
-    t = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[^\n\p{{L}}\p{{N}}]*(copyright|\(c\)|©)[^\n]*$', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    values = ", ".join(f"('{d}', '{i}')" for d, i in known)
+    longest = max(len(k) for k, _ in known_notices())
+    t = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '{COPYRIGHT}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for old, new in SPELLINGS:
         t = f"replace({t}, '{old}', '{new}')"
+    x = r"trim(regexp_replace(lines, '[ \n]+', ' ', 'g'))"
+    for old, new in ACROSS:
+        x = f"replace({x}, '{old}', '{new}')"
     return rf"""
         WITH known(k, license) AS (VALUES {values}),
         d AS (SELECT row_number() OVER () AS r, doc_id, {t} AS lines FROM documents),
         l AS (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM d),
         n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-              FROM l JOIN known ON line = k WHERE length(line) <= {longest} GROUP BY r),
-        w AS (SELECT r, doc_id, trim(regexp_replace(lines, '[ \n]+', ' ', 'g')) AS x FROM d)
+              FROM l JOIN known ON sha256(line) = k WHERE length(line) <= {longest} AND line <> '' GROUP BY r),
+        w AS (SELECT r, doc_id, {x} AS x FROM d)
         SELECT doc_id, sha256(x) AS text_digest, license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
-        FROM w LEFT JOIN known ON x = k LEFT JOIN n USING (r)
+        FROM w LEFT JOIN known ON sha256(x) = k LEFT JOIN n USING (r)
     """
