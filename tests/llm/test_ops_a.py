@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from transcriba.llm import exact_dedup as ed
 from transcriba.llm import secrets as sc
@@ -65,6 +66,36 @@ def test_shards_exact_and_uniform(spark, docs, no_docs):
     assert all(140 < head[s] < 260 for s in range(4))
 
 
+def test_cells_are_bounded_by_bytes(spark):
+    frame = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text"))
+    out = sh.uniform_shards(frame, 3, cell_bytes=5000)
+    rows = out.collect()
+    assert out.rdd.getNumPartitions() >= 75 and sorted(Counter(r.shard for r in rows).values()) == [133, 133, 134]
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(134 if s == 0 else 133)]
+
+
+def test_all_orders_are_as_likely():
+    """Over many seeds, each of the orders of four rows in two partitions comes about as often."""
+    seen = Counter()
+    counts, cells = np.array([2, 2]), sh.cell_sizes(4, 2, 1)[2]
+    for seed in range(1200):
+        at = [np.repeat(np.arange(len(cells)), sh.matrix_row(counts, cells, p, seed)) for p in range(2)]
+        for p in range(2):
+            np.random.Generator(np.random.PCG64([seed, p, 1 << 40])).shuffle(at[p])
+        seen[tuple(np.concatenate(at).tolist())] += 1
+    assert len(seen) == 24 and max(seen.values()) < 2.2 * min(seen.values())
+
+
+def test_registered_shard_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op8_uniform_shards"](spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == {d: (len(t) + 8, zlib.crc32(t)) for d, t in rows.items()} and len(got) == len(rows)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    n, k = divmod(len(rows), 24)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(24) for i in range(n + (s < k))]
+
+
 def test_matrix_margins():
     counts, cells = np.array([5, 0, 7, 100, 1]), np.array([40, 40, 33])
     m = np.array([sh.matrix_row(counts, cells, p, 9) for p in range(5)])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from transcriba.llm import decontaminate as dc
 from transcriba.llm import licenses as li
 from transcriba.llm import mixing as mx
 from transcriba.llm import quality as qu
+from transcriba.llm.queries import QUERIES
 
 
 def test_license_scan(spark, docs, no_docs):
@@ -161,14 +163,48 @@ def test_block_tables_find_all_within_radius():
     assert set(index.candidates(probes, 20)) == want
 
 
-def test_mixing_solves_limits():
-    tokens = {"a": 9000, "b": 1000, "c": 500, "d": 0}
+def test_mixing_solves_limits(spark):
+    tokens = {"a": 9000, "b": 1000, "c": 500, "d": 0, None: 700}
+    totals = spark.createDataFrame(list(tokens.items()), "s string, n long")
     for limit in (1.2, 2.0, 3.5):
-        _, r = mx.solve(tokens, max_repeat=limit)
-        assert abs(max(r.values()) - limit) < 1e-6 and min(r.values()) == 1.0
-    e, _ = mx.solve(tokens, target_entropy=0.9)
-    assert abs(mx.entropy(mx.temperature_weights(tokens, e)) - 0.9) < 1e-6
-    assert mx.solve({}, 2.0) == (1.0, {}) and mx.solve({"x": 0}, 2.0)[1] == {"x": 1.0}
+        e, most = mx.exponent(totals, limit, None)
+        r = mx.repetitions(tokens, e)
+        assert abs(max(r.values()) - limit) < 1e-6 and min(r.values()) == 1.0 and most == 9000
+        w = mx.temperature_weights(tokens, e)  # passes times tokens are the weights
+        assert all(abs(r[s] * n / sum(r[s] * n for s, n in tokens.items()) - w[s]) < 1e-9 for s, n in tokens.items())
+    for want in (0.9, 1.2):
+        e, _ = mx.exponent(totals, None, want)
+        assert abs(mx.entropy(mx.temperature_weights(tokens, e)) - want) < 1e-6
+    assert mx.exponent(totals.limit(0), 2.0, None) == (1.0, 0) and mx.exponent(totals.where("n = 0"), 2.0, None) == (1.0, 0)
+    assert mx.exponent(totals, None, 9.0)[0] < 1e-6 and mx.exponent(totals, None, 0.0)[0] > 1 - 1e-6
+
+
+def _mixed(rows, limit, block_tokens, key, block_key):
+    """Passes of each row by brute force: whole passes, then blocks in permuted order until the budget ends."""
+    total = Counter()
+    for _, t, s in rows:
+        total[s] += len((t or "").split())
+    e, out = mx.bisect(lambda e: (max(total.values()) / min(n for n in total.values() if n)) ** (1 - e), limit, False), Counter()
+    for s, n in total.items():
+        r = mx.repetitions(dict(total), e)[s]
+        full, blocks = int(r + 1e-9), max(1, -(-n // block_tokens))
+        mine = sorted(((block_key[s, key[d] % blocks], key[d], d, len((t or "").split())) for d, t, q in rows if q == s))
+        left = (r - full) * n if (r - full) * n >= 1 else -1
+        for _, _, d, size in mine:
+            left -= size
+            out[d] = 1 if not size else full + (left >= 0)
+    return out
+
+
+def test_registered_mixture_against_brute_force(spark):
+    """Every row's number of passes, as blocks and keys order them."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in frame.collect()]
+    key = {r[0]: r[1] for r in frame.select("doc_id", mx._row_key("doc_id", 11)).collect()}
+    pairs = spark.createDataFrame([(s, b) for s in {r[2] for r in rows} for b in range(8)], "s string, b long")
+    block_key = {(r[0], r[1]): r[2] for r in pairs.select("s", "b", mx._block_key(F.col("s"), F.col("b"), 11)).collect()}
+    for got, tokens in ((QUERIES["op9_mix_sources"](spark, "/root/testdata/sf0.001"), mx.BLOCK_TOKENS), (mx.mix_sources(frame, block_tokens=9000), 9000)):
+        assert Counter(r.doc_id for r in got.collect()) == _mixed(rows, 1.5, tokens, key, block_key)
 
 
 def test_mixing_realises_weights(spark, docs, no_docs):
@@ -178,7 +214,7 @@ def test_mixing_realises_weights(spark, docs, no_docs):
     total = Counter()
     for _, t, s in rows:
         total[s] += len(t.split())
-    want = mx.solve(dict(total), 2.3)[1]
+    want = mx.repetitions(dict(total), mx.bisect(lambda e: (max(total.values()) / min(total.values())) ** (1 - e), 2.3, False))
     out = mx.mix_sources(frame, 2.3, block_tokens=500).collect()
     got, passes = Counter(), defaultdict(set)
     for r in out:
@@ -191,3 +227,35 @@ def test_mixing_realises_weights(spark, docs, no_docs):
     edge = mx.mix_sources(docs).collect()
     assert {r.doc_id for r in edge} == {r.doc_id for r in docs.collect()} and edge[0].__fields__[:8] == docs.columns
     assert mx.mix_sources(no_docs).count() == 0
+
+
+def test_registered_quality_query(spark):
+    """held_out by Python's crc32, predicted by the score, and most held-out labels right."""
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op4_quality"](spark, sf).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held) > 50
+
+
+def test_quality_of_clashing_columns_and_ties(spark, docs):
+    data = _labelled(spark, 90)
+    model = qu.train_quality(data, data.select("doc_id", "quality"))
+    odd = docs.withColumn("score", F.lit("own")).withColumn("_stat_upper", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = qu.quality_scores(odd, model, score_col="_score")
+    assert out.columns == [*odd.columns, "_score"] and {r.score for r in out.collect()} == {"own"}
+    assert qu.quality_scores(odd, model).columns == [*[c for c in odd.columns if c != "score"], "score"]
+    assert len({r._score for r in out.where("doc_id = 8").collect()}) == 1
+
+
+def test_registered_decontamination_query(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    anchors = {g for _, t in items for g in dc.shingle_counts(dc.word_list(t or ""))}
+    got = {r.doc_id: r for r in QUERIES["op5_decontaminate"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        want = _windows(r.text, items, 0.8) if anchors & set(dc.shingle_counts(dc.word_list(r.text or ""))) else {}
+        x = got[r.doc_id]
+        assert (x.contaminated, sorted(x.item_ids), x.similarity) == (bool(want), sorted(want), max(want.values(), default=0.0))

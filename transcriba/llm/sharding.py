@@ -14,11 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-#: Rows of one cell at most: what one task permutes at a time.
+from .common import named, partitions
+
+#: Rows of one cell at most, and bytes of its texts on average at most: what one task permutes at a time.
 CELL_ROWS = 1 << 16
+CELL_BYTES = 16 << 20
 
 
 def cell_sizes(rows: int, shards: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,18 +60,30 @@ def matrix_row(counts: np.ndarray, cells: np.ndarray, p: int, seed: int) -> np.n
     return left
 
 
-def uniform_shards(docs: DataFrame, shards: int, seed: int = 1, cell_rows: int = CELL_ROWS) -> DataFrame:
+def row_bytes(docs: DataFrame) -> Column:
+    """About the bytes of a row: those of its strings and binaries, and 16 of each other column."""
+    total = F.lit(0).cast("long")
+    for f in docs.schema.fields:
+        known = isinstance(f.dataType, (StringType, BinaryType))
+        total = total + (F.coalesce(F.octet_length(named(f.name)), F.lit(0)) if known else F.lit(16))
+    return total
+
+
+def uniform_shards(docs: DataFrame, shards: int, seed: int = 1, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """docs with shard and slot: a uniform random permutation of all rows, cut into shards.
 
     Shard sizes differ by one row at most; slots of a shard run from 0 without a gap. Rows are counted,
     not compared, so nulls, repeated rows and extra columns travel as they are; columns named like the
-    new ones (shard, slot, _cell, _key, _first) are dropped from the input. An empty table gives an
-    empty result. The input must list the same rows in each partition when it is read twice (any scan
+    new ones (shard, slot, _cell, _key, _first) are dropped from the input. Texts of any length travel
+    whole; a cell's rows are fewer where rows are long. An empty table gives an empty result. The input must list the same rows in each partition when it is read twice (any scan
     does); a task that finds another number of rows than was counted raises an error.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot", "_cell", "_key", "_first")
-    found = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # a row for each partition
+    counted = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(row_bytes(docs)).alias("bytes")).collect()  # a row for each partition
+    found, held = {r.p: r.n for r in counted}, sum(r.bytes for r in counted)
+    if held:  # cells take a random choice of rows, so their bytes are near the mean
+        cell_rows = max(1, min(cell_rows, cell_bytes * sum(found.values()) // held))
     width = max(found, default=0) + 1
     counts = np.array([found.get(i, 0) for i in range(width)], np.int64)
     total = int(counts.sum())
@@ -95,5 +111,7 @@ def uniform_shards(docs: DataFrame, shards: int, seed: int = 1, cell_rows: int =
             raise RuntimeError(f"partition {p} has {at} rows; {n} were counted")
 
     dealt = docs.mapInArrow(deal, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f"{', ' if fields else ''}_cell int, shard int, _first long, _key long")
+    # As many partitions as cells: what a task permutes does not grow with the table.
+    dealt = dealt.repartition(max(partitions(spark), len(sizes)), "_cell")
     within = Window.partitionBy("_cell").orderBy("_key")
     return dealt.withColumn("slot", F.col("_first") + F.row_number().over(within) - 1).drop("_cell", "_first", "_key")
