@@ -263,11 +263,11 @@ def read_citation(lines: Column) -> Column:
     return F.when(found, F.struct(F.coalesce(out["title"], F.lit("No identificado")).alias("title"), out["author"].alias("author"), out["year"].alias("year")))
 
 
-def capitalised_words(c: Column) -> Column:
-    """Capitalised words of four letters or more, without edge punctuation, repeated as they occur."""
+def capitalised_words(c: Column, least: int = 4) -> Column:
+    """Capitalised words of at least so many letters, without edge punctuation, repeated as they occur."""
     w = F.transform(_words(c), lambda x: F.btrim(x, F.lit(".,;:¿?¡!()\"'")))
     first = lambda x: F.left(x, F.lit(1))
-    return F.filter(w, lambda x: (F.length(x) >= 4) & (F.upper(first(x)) == first(x)) & (F.lower(first(x)) != first(x)))
+    return F.filter(w, lambda x: (F.length(x) >= least) & (F.upper(first(x)) == first(x)) & (F.lower(first(x)) != first(x)))
 
 
 def capitalised_entities(c: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
 
-NO_EVIDENCE = "No hay evidencia suficiente en el material para responder."
+# Fixed value: the answer where there is no evidence.
+NO_EVIDENCE = "No hay evidencia suficiente en tu biblioteca para esta pregunta."
 
 
 def hash_embedding(c: Column, dimensions: int = 8) -> Column:
@@ -30,22 +32,33 @@ def ask(questions: DataFrame, evidence: DataFrame, model: Callable[[str, str], s
     """Q5: question_id, answer, cited, grounded. Without evidence the answer is fixed and no model is called.
 
     evidence: question_id, rank, title, start_time, end_time, text. A model is a callable of system and
-    user text; questions are few, so it is called for one row at a time on the executors.
+    user text, called on the executors for the questions of an Arrow batch one after another.
     """
-    from .search import prompt
+    from .search import framed
 
     item = F.struct("rank", "title", "start_time", "end_time", "text")
     per = evidence.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("e"))
     rows = questions.join(per, "question_id", "left").withColumn("n", F.coalesce(F.size("e"), F.lit(0)))
-    text = F.concat(prompt(F.col("e")), F.lit("\n\n"), F.col("question"))
+    text = framed(F.col("question"), F.col("e"))
     if model is None:
         answer = F.lit(NO_EVIDENCE)
     else:
-        answer = F.when(F.col("n") > 0, F.udf(lambda u: model(system, u) if u is not None else None)(F.when(F.col("n") > 0, text))).otherwise(NO_EVIDENCE)
+        answer = F.when(F.col("n") > 0, _asked(model, system)(F.when(F.col("n") > 0, text))).otherwise(NO_EVIDENCE)
     rows = rows.withColumn("answer", answer)
     return rows.select("question_id", "answer", T.cited(F.col("answer"), F.col("n")).alias("cited"), (F.size(T.cited(F.col("answer"), F.col("n"))) > 0).alias("grounded"))
 
 
+def _asked(model: Callable[[str, str], str], system: str):
+    """The model over an Arrow batch of user texts; null stays null."""
+
+    @F.arrow_udf("string")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if u is None else model(system, u) for u in batch.to_pylist()], pa.string())
+
+    return call
+
+
 def sources_list(evidence: Column, cited: Column) -> Column:
     """Numbered sources; those that the answer does not cite say so."""
     return F.array_join(F.transform(evidence, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["title"], F.lit(" "), N.clock(e["start_time"]), F.when(F.array_contains(cited, i + 1), "").otherwise(" (no citada)"))), "\n")

@@ -17,10 +17,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(T.fold(F.lower(F.coalesce(c, F.lit("")))), _PARTS), lambda x: x != "")
 
 
-def postings(chunks: DataFrame, columns: tuple[str, ...] = ("full_text", "summary")) -> DataFrame:
-    """chunk_id, term, tf over the text columns together."""
-    every = F.concat(*[tokens(F.col(c)) for c in columns])
-    return chunks.select("chunk_id", F.explode(every).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def phrases(words: Column, n: int) -> Column:
+    """Every run of n words, as one string."""
+    if n == 1:
+        return words
+    last = F.greatest(F.size(words) - n + 1, F.lit(0))
+    return F.transform(F.slice(words, F.lit(1), last), lambda _, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Q1: query_id, term, times, words. What white space separates is one term; a term of several words is a phrase."""
+    said = queries.select("query_id", F.explode(F.split(F.coalesce("query", F.lit("")), r"\s+")).alias("said"))
+    rows = said.select("query_id", tokens(F.col("said")).alias("w")).where(F.size("w") > 0)
+    return rows.groupBy("query_id", F.array_join("w", " ").alias("term"), F.size("w").alias("words")).agg(F.count("*").alias("times"))
 
 
 def project_filter(c: Column, project) -> Column:
@@ -30,24 +39,41 @@ def project_filter(c: Column, project) -> Column:
     return c.isNull() if project is None else c == project
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("full_text", "summary"), k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Q1: query_id, chunk_id, bm25 (negative, lower is better) of chunks that hold any term of a query.
+#: Distinct terms of all queries up to which they are broadcast to the chunks.
+BROADCAST_TERMS = 1_000_000
+
 
-    A term that a query repeats counts each time. Statistics are those of all chunks. Queries are few;
-    postings are joined to their terms, so only matching postings are shuffled further.
+def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("full_text", "summary"), k1: float = 1.2, b: float = 0.75, project="__todos__") -> DataFrame:
+    """query_id, chunk_id, bm25 (negative, lower is better) of chunks that hold any term of a query.
+
+    A term that a query repeats counts each time; a phrase is found within one column. Statistics are
+    those of all chunks; a project (of chunks' column project_id, as project_filter takes it) only
+    selects among them, before any limit. The query set is stated: its terms meet the words of the
+    chunks as these are made, in one pass for the statistics and one for the scores, so only words of
+    queries are shuffled. In the first an empty word, which is no term, stands for the chunk itself.
     """
-    every = F.concat(*[tokens(F.col(c)) for c in columns])
-    size = chunks.select("chunk_id", F.size(every).alias("len"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()  # two numbers
-    n, avgdl = F.lit(stats.n), F.lit(stats.avgdl or 1.0)
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term").distinct()
-    hits = postings(chunks, columns).join(wanted, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = query_terms(queries)
+    wanted = terms.select("term", "words").union(queries.sparkSession.createDataFrame([("", 1)], "term string, words int")).distinct()
+    lengths = sorted(r.words for r in wanted.select("words").distinct().collect())  # as many as phrases have lengths
+    few = wanted.count() <= BROADCAST_TERMS
+    keys = F.broadcast(wanted.select("term")) if few else wanted.select("term")
+    kept = "project_id" if project != "__todos__" else None
+    every = chunks.select("chunk_id", *([kept] if kept else []), *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    words = [F.col(f"w{i}") for i in range(len(columns))]
+    size = F.aggregate(F.array(*[F.size(w) for w in words]), F.lit(0), lambda x, y: x + y)
+    said = F.concat(*[phrases(w, n) for w in words for n in lengths])
+    once = every.select(size.alias("len"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), said))).alias("term")).join(keys, "term")
+    per = once.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avglen"))
+    all_chunks = per.where("term = ''").select(F.col("df").alias("n"), F.coalesce(F.nullif("avglen", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
+    stats = per.where("term <> ''").select("term", "df").join(F.broadcast(all_chunks), F.lit(True))
+    if kept:
+        every = every.where(project_filter(F.col(kept), project))
+    hits = every.select("chunk_id", size.alias("len"), F.explode(said).alias("term")).join(keys, "term").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
-    rows = hits.join(df, "term").join(terms, "term").join(size, "chunk_id")
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    weight = terms.join(stats, "term")
+    rows = hits.join(F.broadcast(weight) if few else weight, "term")
     return rows.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * idf * tf)).alias("bm25"))
 
 
@@ -74,16 +100,41 @@ def entity_overlap(query_entities: Column, chunk_entities: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(query_entities, chunk_entities)) / n)
 
 
-def fuse(semantic: DataFrame, textual: DataFrame, entities: DataFrame, confidence: DataFrame, k: int) -> DataFrame:
-    """Q2: weighted fusion of candidates of both searches, the k best of each query, ties by chunk_id.
+def query_overlap(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, entities) -> DataFrame:
+    """query_id, chunk_id, entity of candidate pairs: the share of a query's entities in the chunk.
+
+    entities: a column function from a text to its distinct normalised labels. Texts are read for
+    candidates alone; a query without entities gives no row.
+    """
+    asked = queries.select("query_id", entities(F.col("query")).alias("asked")).where(F.size("asked") > 0)
+    pairs = candidates.select("query_id", "chunk_id").distinct().join(asked, "query_id")
+    held = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", entities(F.col("full_text")).alias("held"))
+    return pairs.join(held, "chunk_id").select("query_id", "chunk_id", entity_overlap(F.col("asked"), F.col("held")).alias("entity"))
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, entities, confidence: Column, n: int = K.CANDIDATES, k: int = 10, project="__todos__") -> DataFrame:
+    """Q2: query_id, chunk_id, score and its signals: the k best of n candidates of each search, fused.
 
-    Signals are scaled within a query; confidence is not. A missing signal is 0.
+    queries: query_id, query. chunks: chunk_id, full_text, summary (project_id where a project is asked).
+    vectors: chunk_id, embedding; query_vectors: query_id, q. J3: vectors know no project, so with one
+    three times as many are taken and those of other projects dropped. confidence is a column over chunk_id.
+    Signals are scaled within a query, confidence is not; a missing signal is 0; ties go by chunk_id.
     """
+    filtered = project != "__todos__"
+    n = max(n, k)
+    semantic = vector_top(query_vectors, vectors, 3 * n if filtered else n)
+    if filtered:
+        own = chunks.where(project_filter(F.col("project_id"), project)).select("chunk_id")
+        best = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "chunk_id")
+        semantic = semantic.join(own, "chunk_id", "left_semi").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    first = Window.partitionBy("query_id").orderBy(F.round("bm25", 6), "chunk_id")
+    textual = bm25(chunks, queries, project=project).withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
     both = semantic.select("query_id", "chunk_id", "semantic").join(textual.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "full_outer")
-    rows = both.join(entities, ["query_id", "chunk_id"], "left").join(confidence, "chunk_id", "left")
+    overlap = query_overlap(both, queries, chunks, entities)
+    rows = both.join(overlap, ["query_id", "chunk_id"], "left").withColumn("confidence", confidence)
     w = N.per("query_id")
     rows = rows.withColumns({"s": N.minmax(F.col("semantic"), w), "t": N.minmax(F.col("bm25"), w, inverted=True)})
-    rows = rows.withColumn("score", N.fused(F.col("s"), F.col("t"), F.col("entity"), F.col("confidence")))
+    rows = rows.withColumn("score", F.round(N.fused(F.col("s"), F.col("t"), F.col("entity"), F.col("confidence")), 5))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -98,6 +149,15 @@ def evidence(results: DataFrame, k: int = K.EVIDENCES, threshold: float = K.EVID
     return results.where((F.col("rank") <= k) & (F.col("score") >= threshold))
 
 
+# The frame of a question to a model.
+QUESTION, EVIDENCE = "PREGUNTA: ", "EVIDENCIA:"
+
+
+def framed(question: Column, evidences: Column) -> Column:
+    """What a model is asked: the question, then the evidence."""
+    return F.concat(F.lit(QUESTION), question, F.lit(f"\n\n{EVIDENCE}\n"), prompt(evidences))
+
+
 def prompt(evidences: Column) -> Column:
     """Numbered evidence blocks, separated by blank lines; fields title, start_time, end_time, text."""
     return F.array_join(F.transform(evidences, lambda e, i: F.format_string("[%d] «%s» %s–%s: \"%s\"", i + 1, e["title"], N.clock(e["start_time"]), N.clock(e["end_time"]), e["text"])), "\n\n")

@@ -455,11 +455,12 @@ def _search_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_BM25 = rf"""qs AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id % 100 = 0),
-    qt AS (SELECT query_id, term, count(*) AS times FROM qs WHERE term <> '' GROUP BY ALL),
-    tok AS (SELECT chunk_id, unnest(list_concat({_WORDS.format('full_text')}, {_WORDS.format('summary')})) AS term FROM chunks),
-    p AS (SELECT chunk_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
-    len AS (SELECT c.chunk_id, coalesce(sum(tf), 0) AS len FROM chunks c LEFT JOIN p ON c.chunk_id = p.chunk_id GROUP BY ALL),
+_BM25 = rf"""qw AS (SELECT item_id AS query_id, list_filter({_WORDS.format('x')}, lambda y: y <> '') AS w FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS x FROM benchmark WHERE item_id % 100 = 0)),
+    qt AS (SELECT query_id, array_to_string(w, ' ') AS term, count(*) AS times FROM qw WHERE len(w) > 0 GROUP BY ALL),
+    cw AS (SELECT chunk_id, list_filter({_WORDS.format('full_text')}, lambda y: y <> '') AS a, list_filter({_WORDS.format('summary')}, lambda y: y <> '') AS b FROM chunks),
+    tok AS (SELECT chunk_id, unnest(list_concat(a, b, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]), list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]))) AS term FROM cw),
+    p AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    len AS (SELECT chunk_id, len(a) + len(b) AS len FROM cw),
     st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
     bm AS (SELECT query_id, p.chunk_id, -sum(times * CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS bm25
     FROM p JOIN qt ON p.term = qt.term JOIN df ON p.term = df.term JOIN len ON p.chunk_id = len.chunk_id CROSS JOIN st GROUP BY ALL)"""
@@ -505,29 +506,57 @@ def _(spark, d):
     return search.rrf(ranked).select("query_id", "chunk_id", _r("rrf", 8).alias("rrf"))
 
 
-_HYBRID = f"""WITH {CHUNK}, {_BM25},
-    t AS (SELECT query_id, chunk_id, bm25 FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), chunk_id) <= 50),
+_LABELS = r"""list_distinct(list_transform(list_filter(list_transform(list_filter(regexp_split_to_array(trim({0}), '\s+'), lambda x: x <> ''), lambda x: trim(x, '.,;:¿?¡!()"' || chr(39))), lambda x: length(x) >= 3 AND upper(left(x, 1)) = left(x, 1) AND lower(left(x, 1)) <> left(x, 1)), lambda x: lower(strip_accents(x))))"""
+
+
+def _hybrid_sql(chunk: str, where: str = "TRUE", times: int = 1) -> str:
+    """The fused scores f(query_id, chunk_id, entity, score) of a project's chunks; where selects the project."""
+    return f"""WITH {chunk}, {_BM25},
+    t AS (SELECT query_id, bm.chunk_id, bm25 FROM bm JOIN chunks USING (chunk_id) WHERE {where} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), chunk_id) <= 50),
     sv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS semantic FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0),
-    s AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, chunk_id) <= 50),
+    s3 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, chunk_id) <= 50 * {times}),
+    s AS (SELECT s3.* FROM s3 {'' if times == 1 else f'JOIN chunks USING (chunk_id) WHERE {where}'} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, s3.chunk_id) <= 50),
     u AS (SELECT coalesce(s.query_id, t.query_id) AS query_id, coalesce(s.chunk_id, t.chunk_id) AS chunk_id, semantic, bm25 FROM s FULL JOIN t ON s.query_id = t.query_id AND s.chunk_id = t.chunk_id),
-    n AS (SELECT *, CASE WHEN max(semantic) OVER w = min(semantic) OVER w THEN 1 ELSE (semantic - min(semantic) OVER w) / (max(semantic) OVER w - min(semantic) OVER w) END AS a,
-        CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1 ELSE (max(bm25) OVER w - bm25) / (max(bm25) OVER w - min(bm25) OVER w) END AS b, (chunk_id % 10) / 10 AS c FROM u WINDOW w AS (PARTITION BY query_id)),
-    f AS (SELECT query_id, chunk_id, round(coalesce(CASE WHEN semantic IS NOT NULL THEN a END, 0) * 0.45::DOUBLE + coalesce(CASE WHEN bm25 IS NOT NULL THEN b END, 0) * 0.3::DOUBLE + c * 0.1::DOUBLE, 5) AS score FROM n)"""
+    qe AS (SELECT item_id AS query_id, {_LABELS.format('text')} AS asked FROM benchmark WHERE item_id % 100 = 0),
+    ov AS (SELECT u.query_id, u.chunk_id, len(list_intersect(asked, {_LABELS.format('full_text')})) / len(asked) AS entity FROM u JOIN qe ON u.query_id = qe.query_id JOIN chunks c ON u.chunk_id = c.chunk_id WHERE len(asked) > 0),
+    n AS (SELECT u.*, entity, CASE WHEN max(semantic) OVER w = min(semantic) OVER w THEN 1 ELSE (semantic - min(semantic) OVER w) / (max(semantic) OVER w - min(semantic) OVER w) END AS a,
+        CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1 ELSE (max(bm25) OVER w - bm25) / (max(bm25) OVER w - min(bm25) OVER w) END AS b, (u.chunk_id % 10) / 10 AS c
+        FROM u LEFT JOIN ov ON u.query_id = ov.query_id AND u.chunk_id = ov.chunk_id WINDOW w AS (PARTITION BY u.query_id)),
+    f AS (SELECT query_id, chunk_id, round(coalesce(entity, 0)::DOUBLE, 5) AS entity, round(coalesce(CASE WHEN semantic IS NOT NULL THEN a END, 0) * 0.45::DOUBLE + coalesce(CASE WHEN bm25 IS NOT NULL THEN b END, 0) * 0.3::DOUBLE + coalesce(entity, 0) * 0.15::DOUBLE + c * 0.1::DOUBLE, 5) AS score FROM n)"""
 
 
-@query("q2_hybrid_search", _HYBRID + " SELECT query_id, chunk_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
-def _(spark, d):
-    rows = search.bm25(chunks(spark, d), _search_queries(spark, d))
-    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 6), "chunk_id")
-    textual = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K.CANDIDATES)
+def _hybrid(spark: SparkSession, d: str, rows: DataFrame, project="__todos__") -> DataFrame:
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
-    semantic = search.vector_top(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), e, K.CANDIDATES)
-    none = textual.select("query_id", "chunk_id", F.lit(0.0).alias("entity"))
-    ids = chunks(spark, d).select("chunk_id").union(e.select("chunk_id")).distinct()
-    out = search.fuse(semantic, textual, none, ids.withColumn("confidence", (F.col("chunk_id") % 10) / 10), 1 << 30)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    out = out.select("query_id", "chunk_id", _r("score", 5).alias("score")).withColumn("r", F.row_number().over(best))
-    return out.where("r <= 10").drop("r")
+    asked = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    labels = lambda c: F.array_distinct(F.transform(T.capitalised_words(c, 3), T.normalize_label))
+    out = search.hybrid(_search_queries(spark, d), rows, e, asked, labels, (F.col("chunk_id") % 10) / 10, project=project)
+    return out.select("query_id", "chunk_id", _r(F.coalesce("entity", F.lit(0.0)), 5).alias("entity"), "score")
+
+
+_BEST = " SELECT query_id, chunk_id, entity, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"
+
+
+@query("q2_hybrid_search", _hybrid_sql(CHUNK) + _BEST)
+def _(spark, d):
+    return _hybrid(spark, d, chunks(spark, d))
+
+
+_PROJECT_CHUNK = "chunks AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS full_text, concat_ws(' ', source, lang) AS summary, CASE WHEN doc_id % 3 <> 0 THEN lang END AS project_id FROM documents)"
+
+
+def _project_chunks(spark: SparkSession, d: str) -> DataFrame:
+    project = F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("project_id")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), project, F.coalesce("text", F.lit("")).alias("full_text"), F.concat_ws(" ", "source", "lang").alias("summary"))
+
+
+@query("j2_project_search", _hybrid_sql(_PROJECT_CHUNK, "project_id = 'en'", 3) + _BEST)
+def _(spark, d):
+    return _hybrid(spark, d, _project_chunks(spark, d), "en")
+
+
+@query("j3_search_without_project", _hybrid_sql(_PROJECT_CHUNK, "project_id IS NULL", 3) + _BEST)
+def _(spark, d):
+    return _hybrid(spark, d, _project_chunks(spark, d), None)
 
 
 # -- costs ------------------------------------------------------------------------------------------
@@ -604,11 +633,11 @@ def _(spark, d):
     return clustering.cluster_voices(e)
 
 
-@query("q3_evidence", _HYBRID + " SELECT query_id, chunk_id, score FROM f WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8")
+@query("q3_evidence", _hybrid_sql(CHUNK) + " SELECT query_id, chunk_id, score FROM f WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8")
 def _(spark, d):
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     out = _QUERIES["q2_hybrid_search"](spark, d).withColumn("rank", F.row_number().over(best))
-    return search.evidence(out).drop("rank")
+    return search.evidence(out).select("query_id", "chunk_id", "score")
 
 
 # -- answers ----------------------------------------------------------------------------------------
@@ -654,7 +683,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", answers.hash_embedding(F.col("text")).alias("embedding"))
 
 
-@query("q5_gate", "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'según [1]' ELSE 'No hay evidencia suficiente en el material para responder.' END AS answer, item_id % 2 = 0 AS grounded FROM benchmark")
+@query("q5_gate", "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'según [1]' ELSE 'No hay evidencia suficiente en tu biblioteca para esta pregunta.' END AS answer, item_id % 2 = 0 AS grounded FROM benchmark")
 def _(spark, d):
     b = table(spark, d, "benchmark")
     ev = b.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), "text")
