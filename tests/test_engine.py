@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transcriba.functions import numbers as N
 from transcriba.functions import text as T
-from transcriba.operators import answers, catalogue, clustering, documents, exports, intervals, search
+from transcriba.operators import answers, catalogue, clustering, documents, exports, glossary, intervals, search
 from transcriba.plans import registry
 from transcriba.sources import tables
 from transcriba.streaming import segments as stream
@@ -157,8 +157,68 @@ def test_clusters_and_glossary(spark):
     assert clustering.average_linkage(x, 0.75).tolist() == [0, 0, 1, 1] and clustering.average_linkage(x[:1], 0.75).tolist() == [0]
     rows = spark.createDataFrame([(1, float(i), i + 1.0, v) for i, v in enumerate(x.tolist())] + [(2, 0.0, 0.1, [1.0, 0.0])], "video_id long, start_time double, end_time double, embedding array<double>")
     assert clustering.cluster_voices(rows).count() == 4
-    r = clustering.correct_terms(spark.createDataFrame([("¿Y Bolano? Sí, Bolano.",), ("Bianchy",), (None,)], "text string"), ["Roberto Bolaño", "Soledad Bianchi"]).collect()
-    assert r[0].corrected == "¿Y Bolaño? Sí, Bolaño." and len(r[0].changes) == 2 and r[1].corrected == "Bianchy" and r[1].suggestions == ["Bianchy→Bianchi"]
+    clipped = clustering.cluster_voices(spark.createDataFrame([(1, 5.0, 90.0, [1.0, 0.0])], "video_id long, start_time double, end_time double, embedding array<double>")).first()
+    assert clipped.end_time == 35.0
+    names = spark.createDataFrame([("Roberto Bolaño",), ("Soledad Bianchi",), ("Estravagario",), ("Año",)], "name string")
+    cases = ["¿Y Bolano? Sí, Bolano.", "Bianchy", None, "BOLANO y bolano", "Bolaño bolaño", "Bianchy, Bianchy y bianchy", "estravagário", "Ano nuevo", "Boliviano"]
+    r = {x.n: x for x in glossary.correct_terms(spark.createDataFrame(list(enumerate(cases)), "n int, text string"), names).collect()}
+    assert [r[i].corrected for i in range(9)] == ["¿Y Bolaño? Sí, Bolaño.", "Bianchy", "", "BOLAÑO y bolaño", "Bolaño bolaño", cases[5], "estravagario", "Ano nuevo", "Boliviano"]
+    assert r[0].changes == ["Bolano→Bolaño"] * 2 and r[3].changes == ["BOLANO→BOLAÑO", "bolano→bolaño"] and not r[4].changes
+    assert r[1].suggestions == ["Bianchy→Bianchi"] == r[5].suggestions and not r[8].suggestions and r[2].text is None
+    assert not any(x.changes or x.suggestions for x in glossary.correct_terms(spark.createDataFrame([("Bolano",)], "text string"), names.limit(0)).collect())
+    assert glossary.reading_text(spark.createDataFrame([("Bolano",)], "text string"), names).first().reading.startswith("Bolaño")
+
+
+def test_semantic_cuts(spark):
+    """W1 rule 4 against a walk over each video; the encoder sees the texts of both windows."""
+    import random
+
+    def encode(texts):
+        return [[len(t) % 7 - 3, t.count("a") + 1] for t in texts]
+
+    rng, rows = random.Random(5), []
+    for v in range(30):
+        at = 0.0
+        for i in range(rng.randrange(1, 40)):
+            at += rng.choice([0, 0, 0.5, 3.0])
+            rows.append((v, i, at, at + 4.0, "".join(rng.choice("ab ") for _ in range(rng.randrange(12))), rng.choice(["x", "x", "x", None])))
+            at += 4.0
+    want = {}
+    for v in range(30):
+        own = [r for r in rows if r[0] == v]
+        start = chunk = 0
+        for i, r in enumerate(own):
+            want[v, r[1]] = chunk
+            if i == len(own) - 1:
+                break
+            n, spans = own[i + 1], r[3] - own[start][2]
+            cut = spans >= 60 or (n[2] - r[3] > 2 and spans >= 12) or r[5] != n[5]
+            if not cut and spans >= 12:
+                (a, b), (c, d) = encode([" ".join(t for x in part if (t := x[4].strip())) for part in (own[max(start, i - 3) : i + 1], own[i + 1 : i + 5])])
+                cut = (a * c + b * d) / ((a * a + b * b) * (c * c + d * d)) ** 0.5 < 0.55
+            if cut:
+                start, chunk = i + 1, chunk + 1
+    frame = spark.createDataFrame(rows, "video_id long, segment_id long, start_time double, end_time double, text string, speaker string")
+    got = {(r.video_id, r.segment_id): r.chunk for r in intervals.semantic_chunks(frame, encode, 2.0, 12.0, 60.0).collect()}
+    assert got == want
+    plain = {(r.video_id, r.segment_id): r.chunk for r in intervals.segment_chunks(frame, 2.0, 12.0, 60.0).collect()}
+    assert plain != want and {(r.video_id, r.segment_id): r.chunk for r in intervals.semantic_chunks(frame, lambda texts: [[1.0]] * len(texts), 2.0, 12.0, 60.0).collect()} == plain
+
+
+def test_review_list(spark):
+    seg = spark.createDataFrame([(1, float(i), i + 1.0, 0.01 * i, f" t{i} ") for i in range(70)], "video_id long, start_time double, end_time double, confidence double, text string")
+    who = spark.createDataFrame([(1, "A", None, "", True, 60.0, 5.0, 9.0, []), (1, "B", None, "", False, 30.0, 1.0, 2.0, []), (1, "C", "Ana", "MEDIO", False, 30.0, 3.0, 4.0, ["e1", "e2"]), (1, "D", "Eva", "ALTO", False, 9.0, 3.0, 4.0, [])], "video_id long, speaker string, name string, confidence string, off_screen boolean, spoken_s double, first_s double, last_s double, evidence array<string>")
+    quotes = spark.createDataFrame([(1, 8.0, "T", None, None), (1, 2.0, "U", "W", "1999")], "video_id long, start_time double, title string, author string, year string")
+    gone = spark.createDataFrame([(1, 4.0, "x" * 200)], "video_id long, start_time double, text string")
+    hints = spark.createDataFrame([(1, "Bianchy→Bianchi"), (1, "Bianchy→Bianchi"), (1, "Ana→Anna")], "video_id long, hint string")
+    got = exports.review_list(seg, who, quotes, gone, hints).orderBy("number").collect()
+    assert [r.number for r in got] == list(range(1, len(got) + 1)) and {r.issues for r in got} == {len(got)}
+    kinds = [r.issue for r in got]
+    assert kinds == ["voice without name"] * 2 + ["name in doubt"] + ["text read aloud"] * 2 + ["probably invented"] + ["name to correct"] * 2 + ["low confidence"] * 25
+    assert [(r.what, r.note) for r in got[:3]] == [("A", "off-screen voice"), ("B", "no clear function"), ("Ana", "MEDIO: e1; e2")]
+    assert [r.what for r in got[3:5]] == ["T", "U"] and got[5].note == "x" * 160 and [r.what for r in got[6:8]] == ["Ana→Anna", "Bianchy→Bianchi"]
+    assert [r.note for r in got[8:]] == [f"t{i}" for i in range(25)] and got[8].at_s == 0.0
+    assert exports.review_list(seg.limit(0), who.where("name = 'Eva'")).count() == 0
 
 
 def test_documents(spark):
@@ -194,7 +254,7 @@ def test_answers(spark):
     assert all(abs(sum(x * x for x in r.v) - 1) < 1e-9 and len(r.v) == 8 for r in v)
     q = spark.createDataFrame([(1, "¿qué?"), (2, "¿nada?")], "question_id long, question string")
     ev = spark.createDataFrame([(1, 1, "T", 5.0, 9.0, "texto")], "question_id long, rank int, title string, start_time double, end_time double, text string")
-    got = {r.question_id: r for r in answers.ask(q, ev, lambda system, user: user[:3] + " [7]").collect()}
+    got = {r.question_id: r for r in answers.ask(q, ev, lambda system, user: "[1] [7]" if user.startswith('PREGUNTA: ¿qué?\n\nEVIDENCIA:\n[1] «T»') else "?").collect()}
     assert got[1].cited == [1] and got[1].grounded and got[2].answer == answers.NO_EVIDENCE and not got[2].grounded
     e = ev.groupBy("question_id").agg(F.collect_list(F.struct("title", "start_time")).alias("e"))
     assert e.select(answers.sources_list(F.col("e"), F.array().cast("array<int>")).alias("s")).first().s == "1. T 00:00:05 (no citada)"

@@ -1,4 +1,4 @@
-"""Voices and glossary terms: the operators that need Python, in Arrow batches."""
+"""Voices: average linkage of regions, a recording at a time."""
 
 from __future__ import annotations
 
@@ -35,10 +35,11 @@ def average_linkage(x: np.ndarray, threshold: float, k: int = 0) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_s: float = 0.6) -> DataFrame:
+def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_s: float = 0.6, max_s: float = 30.0) -> DataFrame:
     """Regions (video_id, start_time, end_time, embedding) of at least min_s with a cluster.
 
-    One video's regions are one group: a recording bounds their number.
+    One video's regions are one group: a recording bounds their number. end_time is clipped to max_s
+    after the start: what a voice is embedded from.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -47,64 +48,5 @@ def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_
         out["cluster"] = average_linkage(np.stack(rows["embedding"].to_list()).astype(float), threshold, k)
         return out
 
-    kept = regions.where(F.col("end_time") - F.col("start_time") >= min_s).select("video_id", "start_time", "end_time", "embedding")
+    kept = regions.where(F.col("end_time") - F.col("start_time") >= min_s).select("video_id", "start_time", F.least("end_time", F.col("start_time") + max_s).alias("end_time"), "embedding")
     return kept.groupBy("video_id").applyInPandas(run, "video_id long, start_time double, end_time double, cluster int")
-
-
-def correct_terms(texts: DataFrame, glossary: list[str], text: str = "text", ratio: float = 0.85) -> DataFrame:
-    """Texts with corrected, changes and suggestions, by a glossary of names and works.
-
-    A word that equals a term but for diacritics gets them back, in its own case. A capitalised word of
-    five letters or more that is only similar to a term is suggested, never changed. The glossary is a
-    stated, small list.
-    """
-    import difflib
-    import re
-    import unicodedata
-
-    def flat(x: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
-
-    terms = sorted({w for g in glossary for w in re.findall(r"[^\W\d_]+", g) if len(w) >= 5})
-    exact, by_flat = set(terms), {}
-    for t in terms:
-        by_flat.setdefault(flat(t), t)
-
-    def cased(model: str, word: str) -> str:
-        return word.upper() if model.isupper() else word[:1].upper() + word[1:].lower() if model[:1].isupper() else word.lower()
-
-    def near(word: str) -> tuple[str, float] | None:
-        f, best = flat(word), None
-        for t in terms:
-            g = flat(t)
-            if abs(len(g) - len(f)) <= 2 and g[:1] == f[:1]:
-                r = difflib.SequenceMatcher(None, f, g).ratio()
-                if r >= ratio and (best is None or r > best[1]):
-                    best = (t, r)
-        return best
-
-    def one(value: str | None) -> tuple:
-        changes, hints = [], {}
-
-        def fix(m: re.Match) -> str:
-            w = m[0]
-            if len(w) < 5 or w in exact:
-                return w
-            t = by_flat.get(flat(w))
-            if t is not None:
-                if t.lower() == w.lower():
-                    return w
-                changes.append((w, cased(w, t)))
-                return changes[-1][1]
-            if w[:1].isupper() and (found := near(w)):
-                hints[w, found[0]] = found[1]
-            return w
-
-        fixed = re.sub(r"[^\W\d_]+", fix, value or "")
-        return fixed, [f"{a}→{b}" for a, b in changes], [f"{a}→{b}" for a, b in hints]
-
-    @F.pandas_udf("corrected string, changes array<string>, suggestions array<string>")
-    def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(v) for v in values], columns=["corrected", "changes", "suggestions"])
-
-    return texts.withColumn("_c", run(F.col(text))).select(*texts.columns, "_c.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -38,14 +40,41 @@ def participants(identities: DataFrame) -> DataFrame:
     return identities.select("video_id", n.alias("number"), who.alias("label"), "name", "role", "institution", "confidence", clock(F.col("first_s")).alias("first"), clock(F.col("last_s")).alias("last"), "off_screen")
 
 
-def review_list(segments: DataFrame, identities: DataFrame) -> DataFrame:
-    """What a person must look at: voices without a name, names in doubt, doubtful and invented passages."""
-    none = F.lit(None).cast("string")
-    nameless = identities.where("name is null and not off_screen").select("video_id", F.lit("voice without name").alias("issue"), F.col("speaker").alias("what"))
-    doubt = identities.where("name is not null and confidence <> 'ALTO'").select("video_id", F.lit("name in doubt").alias("issue"), F.col("name").alias("what"))
-    low = segments.where(F.col("confidence") < K.LOW_CONFIDENCE).select("video_id", F.lit("low confidence").alias("issue"), clock(F.col("start_time")).alias("what"))
-    invented = segments.where(T.is_hallucination(F.col("text"))).select("video_id", F.lit("probably invented").alias("issue"), clock(F.col("start_time")).alias("what"))
-    return nameless.unionByName(doubt).unionByName(low).unionByName(invented).withColumn("note", none)
+def review_list(segments: DataFrame, identities: DataFrame, citations: DataFrame | None = None, dropped: DataFrame | None = None, suggestions: DataFrame | None = None) -> DataFrame:
+    """video_id, number, issue, at_s, what, note, issues: what a person must decide, in order.
+
+    Six kinds, one after the other: voices without a name (off-screen ones too), names below the surest
+    class with their evidence, texts read aloud, passages left out as probably invented, names that a
+    glossary suggests (each once, sorted), and the LISTED_LOW segments recognised worst. issues is how
+    many there are of a video. identities: speaker, name, confidence, off_screen, spoken_s, first_s,
+    last_s, evidence. citations: start_time, title, author, year. dropped: start_time, text.
+    suggestions: hint. Tables that are not given count as empty.
+    """
+
+    def kind(rank: int, issue: str, rows: DataFrame, at: Column, what: Column, note: Column, order: Column | None = None) -> DataFrame:
+        place = F.coalesce(order, at) if order is not None else at
+        return rows.select("video_id", F.lit(rank).alias("rank"), place.cast("double").alias("place"), F.lit(issue).alias("issue"), at.cast("double").alias("at_s"), what.alias("what"), note.alias("note"))
+
+    nameless = identities.where("name is null or name = ''")
+    seat = F.row_number().over(Window.partitionBy("video_id").orderBy("speaker"))
+    out = [kind(1, "voice without name", nameless.withColumn("seat", seat), F.col("first_s"), F.col("speaker"), F.when(F.col("off_screen"), "off-screen voice").otherwise("no clear function"), F.col("seat"))]
+    doubt = identities.where("name <> '' and confidence <> 'ALTO'").withColumn("seat", seat)
+    out.append(kind(2, "name in doubt", doubt, F.col("first_s"), F.col("name"), F.concat_ws(": ", "confidence", F.nullif(F.array_join("evidence", "; "), F.lit(""))), F.col("seat")))
+    if citations is not None:
+        known = F.concat(F.coalesce("author", F.lit("No identificado")), F.coalesce(F.concat(F.lit(" ("), "year", F.lit(")")), F.lit("")))
+        out.append(kind(3, "text read aloud", citations, F.col("start_time"), F.col("title"), known, F.lit(0)))
+    if dropped is not None:
+        out.append(kind(4, "probably invented", dropped, F.col("start_time"), clock(F.col("start_time")), F.left("text", F.lit(160))))
+    if suggestions is not None:
+        once = suggestions.select("video_id", "hint").distinct()
+        out.append(kind(5, "name to correct", once, F.lit(None), F.col("hint"), F.lit(None).cast("string"), F.lit(0)))
+    worst = Window.partitionBy("video_id").orderBy("confidence", "start_time")
+    low = segments.where(F.col("confidence") < K.LOW_CONFIDENCE).withColumn("seat", F.row_number().over(worst)).where(F.col("seat") <= K.LISTED_LOW)
+    out.append(kind(6, "low confidence", low, F.col("start_time"), clock(F.col("start_time")), F.trim("text"), F.col("seat")))
+    rows = reduce(DataFrame.unionByName, out)
+    whole = Window.partitionBy("video_id")
+    number = F.row_number().over(whole.orderBy("rank", "place", "what", "at_s"))
+    return rows.select("video_id", number.alias("number"), "issue", "at_s", "what", "note", F.count("*").over(whole).alias("issues"))
 
 
 def process_report(media: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.numbers import overlap
 
 #: Width of the time buckets in which intervals of one video meet.
@@ -121,7 +126,7 @@ def utterances(segments: DataFrame, pause: float = 0.0, max_s: float = 0.0, text
 
 
 def segment_chunks(segments: DataFrame, pause: float, min_s: float, max_s: float, by_speaker: bool = True, id_col: str = "segment_id") -> DataFrame:
-    """W1, rules 1 to 3: video_id, segment id, chunk number.
+    """W1, rules 1 to 3: video_id, segment id, chunk number. semantic_chunks has the fourth, which needs an encoder.
 
     After a segment the chunk is cut if it spans max_s, or if the pause to the next segment is longer
     than `pause` and it spans min_s, or if the speaker changes (two null speakers do not).
@@ -144,6 +149,43 @@ def segment_chunks(segments: DataFrame, pause: float, min_s: float, max_s: float
     return runs.select("video_id", F.explode(F.arrays_zip("items", "chunks")).alias("z")).select("video_id", F.col("z.items.id").alias(id_col), F.col("z.chunks").alias("chunk"))
 
 
+def semantic_chunks(segments: DataFrame, encode: Callable[[list[str]], object], pause: float = K.SEGMENT_PAUSE_S, min_s: float = K.SEGMENT_MIN_S, max_s: float = K.SEGMENT_MAX_S, by_speaker: bool = True, cosine: float = K.SEGMENT_COSINE, window: int = K.SEGMENT_WINDOW, id_col: str = "segment_id") -> DataFrame:
+    """W1, all four rules: video_id, segment id, chunk number.
+
+    Rules 1 to 3 are those of segment_chunks. By the fourth, a chunk that spans min_s is cut after a
+    segment if the cosine of the texts before (up to `window` segments of the chunk) and after it is
+    below `cosine`. encode takes texts and gives a vector for each. Where a chunk begins only says how
+    far the window before reaches, so all windows of a video are encoded in one call, whatever the cuts.
+    A recording bounds a video's segments, which are one Arrow group.
+    """
+
+    def joined(part: list[str]) -> str:
+        return " ".join(t for t in (p.strip() for p in part) if t)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["start_time", id_col], kind="stable")
+        start, end, text = t["start_time"].to_numpy(), t["end_time"].to_numpy(), [x or "" for x in t["text"]]
+        who, n = [x if isinstance(x, str) else None for x in t["speaker"]], len(t)
+        before = [[joined(text[max(0, i - m) : i + 1]) for m in range(window)] for i in range(n - 1)]
+        after = [joined(text[i + 1 : i + 1 + window]) for i in range(n - 1)]
+        every = sorted({*after, *(x for row in before for x in row)})
+        vectors = np.asarray(encode(every), float).reshape(len(every), -1) if every else np.zeros((0, 1))
+        unit = dict(zip(every, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-10), strict=True))
+        chunk, first = np.zeros(n, np.int32), 0
+        for i in range(n - 1):
+            spans = end[i] - start[first]
+            cut = spans >= max_s or (start[i + 1] - end[i] > pause and spans >= min_s) or (by_speaker and who[i] != who[i + 1])
+            if not cut and spans >= min_s:
+                cut = float(unit[before[i][min(window - 1, i - first)]] @ unit[after[i]]) < cosine
+            chunk[i + 1] = chunk[i] + cut
+            first = i + 1 if cut else first
+        return pd.DataFrame({"video_id": t["video_id"], id_col: t[id_col], "chunk": chunk})
+
+    kept = segments.select("video_id", id_col, "start_time", "end_time", "text", "speaker")
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    return kept.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, {id_col} {kinds[id_col]}, chunk int")
+
+
 def sessions(readings: DataFrame, gap: float, key: str = "video_id", t: str = "t") -> DataFrame:
     """Readings with the number of their session: a new one when the gap to the previous reading is longer."""
     w = Window.partitionBy(key).orderBy(t)

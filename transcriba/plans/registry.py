@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, exports, intervals, search
+from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, search
 from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,6 +263,26 @@ def _(spark, d):
     return intervals.segment_chunks(segments(spark, d), 2.0, 12.0, 25.0)
 
 
+_SEMANTIC = f"""WITH RECURSIVE {SEG}, s0 AS (SELECT *, length(trim(coalesce(text, ''))) AS n, row_number() OVER v AS i FROM seg WINDOW v AS (PARTITION BY video_id ORDER BY start_time, segment_id)),
+    s AS (SELECT *, {', '.join(f"sum(n + 1) FILTER (n > 0) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS b{k}" for k in range(4))}, sum(n + 1) FILTER (n > 0) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS aft FROM s0),
+    e AS (SELECT *, {', '.join(f"greatest(coalesce(b{k}, 0) - 1, 0)::BIGINT AS w{k}" for k in range(4))}, greatest(coalesce(aft, 0) - 1, 0)::BIGINT AS wa FROM s),
+    c AS (SELECT *, {', '.join(f"((w{k} % 7 - 3) * (wa % 7 - 3) + (w{k} % 5 + 1) * (wa % 5 + 1)) / sqrt(((w{k} % 7 - 3) * (w{k} % 7 - 3) + (w{k} % 5 + 1) * (w{k} % 5 + 1))::DOUBLE * ((wa % 7 - 3) * (wa % 7 - 3) + (wa % 5 + 1) * (wa % 5 + 1))) AS c{k}" for k in range(4))} FROM e),
+    r AS (SELECT video_id, i, segment_id, speaker, end_time, start_time AS f, i AS fi, c0, c1, c2, c3, 0 AS chunk FROM c WHERE i = 1
+    UNION ALL SELECT q.video_id, q.i, q.segment_id, q.speaker, q.end_time, CASE WHEN cut THEN q.start_time ELSE q.f END, CASE WHEN cut THEN q.i ELSE q.fi END, q.c0, q.c1, q.c2, q.c3, q.chunk + CASE WHEN cut THEN 1 ELSE 0 END
+    FROM (SELECT n.*, r.f, r.fi, r.chunk, (r.end_time - r.f >= 25 OR (n.start_time - r.end_time > 2 AND r.end_time - r.f >= 12) 
+        OR (r.end_time - r.f >= 12 AND (CASE least(r.i - r.fi, 3) WHEN 0 THEN r.c0 WHEN 1 THEN r.c1 WHEN 2 THEN r.c2 ELSE r.c3 END) < 0.55)) AS cut FROM r JOIN c n ON n.video_id = r.video_id AND n.i = r.i + 1) q)
+    SELECT video_id, segment_id, chunk FROM r"""
+
+
+@query("w1_semantic_chunks", _SEMANTIC)
+def _(spark, d):
+    def encode(texts):
+        return [[len(t) % 7 - 3, len(t) % 5 + 1] for t in texts]
+
+    s = segments(spark, d).withColumn("speaker", F.lit("one"))
+    return intervals.semantic_chunks(s, encode, 2.0, 12.0, 25.0)
+
+
 @query("a5_chunk_facts", _fold_sql("(r.end_time - r.f >= 25 OR (n.start_time - r.end_time > 2 AND r.end_time - r.f >= 12))") + "SELECT r.video_id, chunk, round(avg(seg.confidence), 6) AS confidence, min(seg.start_time) AS start_time, round(max(seg.end_time), 6) AS end_time, string_agg(text, ' ' ORDER BY seg.segment_id) AS full_text FROM r JOIN seg ON r.video_id = seg.video_id AND r.segment_id = seg.segment_id GROUP BY ALL")
 def _(spark, d):
     s = segments(spark, d)
@@ -583,11 +603,23 @@ def _(spark, d):
     return exports.process_report(m, s).withColumns({"confidence": _r("confidence"), "seconds": _r("seconds")})
 
 
-@query("k11_low_confidence_issues", f"WITH {SEG} SELECT video_id, 'low confidence' AS issue, {_CLOCK.format('start_time')} AS what FROM seg WHERE confidence < 0.6")
+_ISSUES = """who AS (SELECT video_id, speaker, min(start_time) AS first_s, CASE WHEN length(speaker) > 4 THEN upper(speaker) END AS name FROM seg WHERE speaker IS NOT NULL GROUP BY ALL),
+    i AS (SELECT video_id, 1 AS rank, row_number() OVER (PARTITION BY video_id ORDER BY speaker) AS place, 'voice without name' AS issue, first_s AS at_s, speaker AS what, CASE WHEN video_id % 2 = 0 THEN 'off-screen voice' ELSE 'no clear function' END AS note FROM who WHERE name IS NULL
+    UNION ALL SELECT video_id, 2, row_number() OVER (PARTITION BY video_id ORDER BY speaker), 'name in doubt', first_s, name, 'MEDIO: seen' FROM who WHERE name IS NOT NULL
+    UNION ALL SELECT video_id, 3, 0, 'text read aloud', start_time, 'T' || segment_id, 'No identificado' FROM seg WHERE segment_id % 4 = 3
+    UNION ALL SELECT video_id, 4, start_time, 'probably invented', start_time, {clock}, left(text, 160) FROM seg WHERE confidence >= 0.9
+    UNION ALL SELECT * FROM (SELECT video_id, 6, row_number() OVER (PARTITION BY video_id ORDER BY confidence, start_time) AS place, 'low confidence', start_time, {clock}, trim(text) FROM seg WHERE confidence < 0.6) WHERE place <= 25)
+    SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY rank, place, what, at_s) AS number, issue, at_s, what, note, count(*) OVER (PARTITION BY video_id) AS issues FROM i"""
+
+
+@query("k11_review_list", f"WITH {SEG}, " + _ISSUES.format(clock=_CLOCK.format("start_time")))
 def _(spark, d):
     s = segments(spark, d)
-    nobody = s.limit(0).select("video_id", F.col("speaker"), F.lit(None).cast("string").alias("name"), F.lit("").alias("confidence"), F.lit(True).alias("off_screen"))
-    return exports.review_list(s, nobody).where("issue = 'low confidence'").drop("note")
+    who = s.where(F.col("speaker").isNotNull()).groupBy("video_id", "speaker").agg(F.min("start_time").alias("first_s"), F.max("end_time").alias("last_s"))
+    who = who.select("*", F.when(F.length("speaker") > 4, F.upper("speaker")).alias("name"), F.lit("MEDIO").alias("confidence"), (F.col("video_id") % 2 == 0).alias("off_screen"), F.array(F.lit("seen")).alias("evidence"))
+    null = F.lit(None).cast("string")
+    quotes = s.where("segment_id % 4 = 3").select("video_id", "start_time", F.concat(F.lit("T"), "segment_id").alias("title"), null.alias("author"), null.alias("year"))
+    return exports.review_list(s, who, quotes, s.where("confidence >= 0.9").select("video_id", "start_time", "text"))
 
 
 @query("q10_published", f"WITH {SEG} SELECT video_id, count(*) AS n FROM seg WHERE start_time < 30.0 GROUP BY ALL")
@@ -627,6 +659,19 @@ def _(spark, d):
     return j.select("video_id", F.json_array_length(F.get_json_object("json", "$.chunks")).cast("long").alias("chunks"))
 
 
+@query("t13_glossary_changes", f"""WITH {SEG}, w AS (SELECT video_id, segment_id, unnest(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+')) AS word FROM seg),
+    t AS (SELECT lower(word) AS low, strip_accents(lower(word)) AS plain FROM w WHERE length(word) >= 5 AND strip_accents(lower(word)) <> lower(word)),
+    g AS (SELECT plain, min(upper(left(low, 1)) || substr(low, 2)) AS term FROM t GROUP BY plain)
+    SELECT video_id, segment_id, string_agg(word || '→' || CASE WHEN upper(word) = word THEN upper(term) WHEN upper(left(word, 1)) = left(word, 1) THEN upper(left(term, 1)) || lower(substr(term, 2)) ELSE lower(term) END, ',' ORDER BY word) AS changes
+    FROM w JOIN g ON strip_accents(lower(word)) = plain WHERE length(word) >= 5 AND lower(word) <> lower(term) GROUP BY ALL""")
+def _(spark, d):
+    s = segments(spark, d)
+    low = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1))
+    names = s.select(low.alias("low")).where((F.length("low") >= 5) & (T.fold(F.col("low")) != F.col("low"))).select(F.concat(F.upper(F.left("low", F.lit(1))), F.substr("low", F.lit(2))).alias("name")).distinct()
+    out = glossary.correct_terms(s, names).where(F.size("changes") > 0)
+    return out.select("video_id", "segment_id", F.array_join(F.array_sort("changes"), ",").alias("changes"))
+
+
 @query("v5_cluster_voices")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").cast("double").alias("start_time"), (F.col("vec_id") + 1.0).alias("end_time"), F.col("embedding").cast("array<double>").alias("embedding"))
