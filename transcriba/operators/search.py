@@ -112,6 +112,22 @@ def query_overlap(candidates: DataFrame, queries: DataFrame, chunks: DataFrame,
     return pairs.join(held, "chunk_id").select("query_id", "chunk_id", entity_overlap(F.col("asked"), F.col("held")).alias("entity"))
 
 
+def fuse(semantic: DataFrame, textual: DataFrame, entities: DataFrame, confidence: DataFrame | Column, k: int, digits: int = 12) -> DataFrame:
+    """Q2: weighted fusion of candidates of both searches, the k best of each query, ties by chunk_id.
+
+    Signals are scaled within a query; confidence is not: a table (chunk_id, confidence), or a column over
+    chunk_id. A missing signal is 0. Scores are rounded before they are ranked.
+    """
+    both = semantic.select("query_id", "chunk_id", "semantic").join(textual.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "full_outer")
+    rows = both.join(entities, ["query_id", "chunk_id"], "left")
+    rows = rows.withColumn("confidence", confidence) if isinstance(confidence, Column) else rows.join(confidence, "chunk_id", "left")
+    w = N.per("query_id")
+    rows = rows.withColumns({"s": N.minmax(F.col("semantic"), w), "t": N.minmax(F.col("bm25"), w, inverted=True)})
+    rows = rows.withColumn("score", F.round(N.fused(F.col("s"), F.col("t"), F.col("entity"), F.col("confidence")), digits))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, entities, confidence: Column, n: int = K.CANDIDATES, k: int = 10, project="__todos__") -> DataFrame:
     """Q2: query_id, chunk_id, score and its signals: the k best of n candidates of each search, fused.
 
@@ -129,14 +145,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vect
         semantic = semantic.join(own, "chunk_id", "left_semi").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     first = Window.partitionBy("query_id").orderBy(F.round("bm25", 6), "chunk_id")
     textual = bm25(chunks, queries, project=project).withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
-    both = semantic.select("query_id", "chunk_id", "semantic").join(textual.select("query_id", "chunk_id", "bm25"), ["query_id", "chunk_id"], "full_outer")
-    overlap = query_overlap(both, queries, chunks, entities)
-    rows = both.join(overlap, ["query_id", "chunk_id"], "left").withColumn("confidence", confidence)
-    w = N.per("query_id")
-    rows = rows.withColumns({"s": N.minmax(F.col("semantic"), w), "t": N.minmax(F.col("bm25"), w, inverted=True)})
-    rows = rows.withColumn("score", F.round(N.fused(F.col("s"), F.col("t"), F.col("entity"), F.col("confidence")), 5))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    pairs = semantic.select("query_id", "chunk_id").union(textual.select("query_id", "chunk_id"))
+    return fuse(semantic, textual, query_overlap(pairs, queries, chunks, entities), confidence, k, 5)
 
 
 def rrf(rankings: DataFrame, k: int = K.RRF_K) -> DataFrame:
