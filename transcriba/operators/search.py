@@ -62,8 +62,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("ful
     words = [F.col(f"w{i}") for i in range(len(columns))]
     size = F.aggregate(F.array(*[F.size(w) for w in words]), F.lit(0), lambda x, y: x + y)
     said = F.concat(*[phrases(w, n) for w in words for n in lengths])
-    once = every.select(size.alias("len"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), said))).alias("term")).join(keys, "term")
-    per = once.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avglen"))
+    once = every.select("chunk_id", size.alias("len"), F.explode(F.concat(F.array(F.lit("")), said)).alias("term")).join(keys, "term")
+    per = once.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avglen"))
     all_chunks = per.where("term = ''").select(F.col("df").alias("n"), F.coalesce(F.nullif("avglen", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
     stats = per.where("term <> ''").select("term", "df").join(F.broadcast(all_chunks), F.lit(True))
     if kept:
