@@ -17,12 +17,16 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(T.fold(F.lower(F.coalesce(c, F.lit("")))), _PARTS), lambda x: x != "")
 
 
-def phrases(words: Column, n: int) -> Column:
-    """Every run of n words, as one string."""
+def phrases(words: Column, n: int, first: list[str] | None = None) -> Column:
+    """Every run of n words, as one string; of those that begin with a word of first, where it is given."""
     if n == 1:
         return words
     last = F.greatest(F.size(words) - n + 1, F.lit(0))
-    return F.transform(F.slice(words, F.lit(1), last), lambda _, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+    run = lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " ")
+    heads = F.slice(words, F.lit(1), last)
+    if first is None:
+        return F.transform(heads, lambda _, i: run(i))
+    return F.filter(F.transform(heads, lambda x, i: F.when(x.isin(first), run(i))), lambda x: x.isNotNull())
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -41,6 +45,8 @@ def project_filter(c: Column, project) -> Column:
 
 #: Distinct terms of all queries up to which they are broadcast to the chunks.
 BROADCAST_TERMS = 1_000_000
+#: Distinct terms of all queries up to which the plan holds them, so that other words never become rows.
+PLAN_TERMS = 2_000
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("full_text", "summary"), k1: float = 1.2, b: float = 0.75, project="__todos__") -> DataFrame:
@@ -49,26 +55,35 @@ def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("ful
     A term that a query repeats counts each time; a phrase is found within one column. Statistics are
     those of all chunks; a project (of chunks' column project_id, as project_filter takes it) only
     selects among them, before any limit. The query set is stated: its terms meet the words of the
-    chunks as these are made, in one pass for the statistics and one for the scores, so only words of
-    queries are shuffled. In the first an empty word, which is no term, stands for the chunk itself.
+    chunks as these are made, so only words of queries are shuffled. Statistics and scores read one
+    exchange of these counts (with a project, a second pass makes the scores): no branch filters or
+    drops a column of it. An empty word, which is no term, stands for the chunk itself.
     """
     terms = query_terms(queries)
     wanted = terms.select("term", "words").union(queries.sparkSession.createDataFrame([("", 1)], "term string, words int")).distinct()
     lengths = sorted(r.words for r in wanted.select("words").distinct().collect())  # as many as phrases have lengths
-    few = wanted.count() <= BROADCAST_TERMS
+    asked = wanted.count()
+    few = asked <= BROADCAST_TERMS
     keys = F.broadcast(wanted.select("term")) if few else wanted.select("term")
-    kept = "project_id" if project != "__todos__" else None
-    every = chunks.select("chunk_id", *([kept] if kept else []), *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    known = [r.term for r in wanted.collect()] if asked <= PLAN_TERMS else None
+    kept = ["project_id"] if project != "__todos__" else []
+    every = chunks.select("chunk_id", *kept, *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
     words = [F.col(f"w{i}") for i in range(len(columns))]
     size = F.aggregate(F.array(*[F.size(w) for w in words]), F.lit(0), lambda x, y: x + y)
-    said = F.concat(*[phrases(w, n) for w in words for n in lengths])
-    once = every.select("chunk_id", size.alias("len"), F.explode(F.concat(F.array(F.lit("")), said)).alias("term")).join(keys, "term")
-    per = once.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avglen"))
-    all_chunks = per.where("term = ''").select(F.col("df").alias("n"), F.coalesce(F.nullif("avglen", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
-    stats = per.where("term <> ''").select("term", "df").join(F.broadcast(all_chunks), F.lit(True))
+    heads = sorted({x.split(" ")[0] for x in known if " " in x}) if known is not None else None
+    said = F.concat(F.array(F.lit("")), *[phrases(w, n, heads) for w in words for n in lengths])
+    if known is not None:
+        said = F.filter(said, lambda x: x.isin(known))
+    # The length is a column before words become rows: beside the explode, each row would carry all words of its chunk.
+    sized = every.withColumn("len", size)
+    hits = sized.select("chunk_id", *kept, "len", F.explode(said).alias("term"))
+    hits = (hits if known is not None else hits.join(keys, "term")).groupBy("chunk_id", *kept, "len", "term").agg(F.count("*").alias("tf"))
+    per = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("len").alias("avglen"))
+    chunk = F.col("term") == ""
+    whole = per.agg(F.max(F.when(chunk, F.col("df"))).alias("n"), F.max(F.when(chunk & (F.col("avglen") > 0), F.col("avglen"))).alias("avg"))  # one row
+    stats = per.join(F.broadcast(whole.select("n", F.coalesce("avg", F.lit(1.0)).alias("avgdl"))), F.lit(True))
     if kept:
-        every = every.where(project_filter(F.col(kept), project))
-    hits = every.select("chunk_id", size.alias("len"), F.explode(said).alias("term")).join(keys, "term").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+        hits = hits.where(project_filter(F.col("project_id"), project))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
