@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transcriba.functions import numbers as N
 from transcriba.functions import text as T
-from transcriba.operators import answers, catalogue, clustering, documents, exports, glossary, intervals, search
+from transcriba.operators import answers, catalogue, clustering, documents, exports, glossary, intervals, readings, search, states
 from transcriba.plans import registry
 from transcriba.sources import tables
 from transcriba.streaming import segments as stream
@@ -270,3 +270,31 @@ def test_exports(spark, tmp_path):
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"file=a_b_", "file=c"}
     labels = spark.createDataFrame([(1, 85.0, ["PRODUCCION"]), (1, 90.0, ["Ana Perez"]), (1, 95.0, ["MUSICA"])], "video_id long, start_time double, lines array<string>")
     assert exports.content_end(labels, spark.createDataFrame([(1, 100.0)], "video_id long, duration_seconds double")).first().end_s == 95.0
+
+
+def test_state_changes(spark):
+    v = spark.createDataFrame([(1, "m", 3, True), (2, "n", 3, False)], "version_id long, model_name string, dimensions int, is_active boolean")
+    assert {(r.version_id, r.is_active) for r in states.activate_version(v, "m", 3).collect()} == {(1, True), (2, False)}
+    # A model that was active before gets another version.
+    assert {(r.version_id, r.model_name, r.is_active) for r in states.activate_version(v, "n", 4).collect()} == {(1, "m", False), (2, "n", False), (3, "n", True)}
+    assert [r.version_id for r in states.activate_version(v.limit(0), "a", 2).collect()] == [1]
+    who = spark.createDataFrame([(1, "A", " Ana ", "ALTO"), (1, "B", "", "ALTO"), (1, "C", None, "ALTO"), (1, "D", "Eva", "MEDIO")], "video_id long, speaker string, name string, confidence string")
+    assert [(r.speaker_label, r.display_name) for r in states.accepted_names(who, states.accepted_by_default(F.col("name"), F.col("confidence"))).collect()] == [("A", "Ana")]
+    m = spark.createDataFrame([(1, "p", "completed"), (2, None, "pending")], "video_id long, project_id string, processing_status string")
+    assert [r.video_id for r in states.completed(m).collect()] == [1]
+    assert states.pick(m, m.limit(0), "video_id").count() == 0
+    projects, free = states.delete_projects(m.select("project_id").where("project_id is not null"), m, spark.createDataFrame([("p",)], "project_id string"))
+    assert projects.count() == 0 and free.columns == m.columns and free.where("project_id is null").count() == 2
+
+
+def test_readings(spark):
+    label = spark.createDataFrame([(["SOLEDAD BIANCHI", "Crítica literaria"], "critica LITERARIA x"), (["ANA"], "otra"), ([], "otra")], "lines array<string>, read string")
+    assert [r.b for r in label.select(readings.best_line(F.col("lines"), F.col("read")).alias("b")).collect()] == ["Crítica literaria", None, None]
+    words = [("1973", True), ("12", False), ("—", False), ("V'1", False), ("de", True), (None, False), (" ", False)]
+    for text, want in words:
+        assert _one(spark, text, readings.useful_word) == want
+    rows = spark.createDataFrame([(0.9, 3, ["a"]), (0.9, 2, ["a"]), (0.8, 3, ["a"]), (0.9, 3, ["a", "b" * 46])], "confidence double, sightings int, lines array<string>")
+    assert readings.learnable(rows).count() == 1
+    assert _one(spark, "/a b/ñ*~.mp4", T.resource_uri) == "file:///a%20b/%C3%B1%2A~.mp4" and _one(spark, "a b", T.resource_uri) == "a b"
+    assert _one(spark, "", T.split_speakers) == [] and _one(spark, "A,B", T.split_speakers) == ["A", "B"]
+    assert _one(spark, [], T.joined_speakers, "array<string>") is None

@@ -276,3 +276,19 @@ def capitalised_entities(c: Column) -> Column:
     low = F.transform(w, F.lower)
     numbered = F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     return F.transform(F.filter(numbered, lambda s: F.array_position(low, F.lower(s["x"])) == s["i"] + 1), lambda s: s["x"])
+
+
+def resource_uri(path: Column) -> Column:
+    """D3: the file address of an absolute path, percent-encoded; any other path as it is."""
+    kept = F.replace(F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
+    return F.when(path.startswith("/"), F.concat(F.lit("file://"), F.replace(kept, F.lit("*"), F.lit("%2A")))).otherwise(path)
+
+
+def joined_speakers(speakers: Column) -> Column:
+    """Speakers as one text, separated by commas; null for none."""
+    return F.nullif(F.array_join(speakers, ","), F.lit(""))
+
+
+def split_speakers(c: Column) -> Column:
+    """The speakers of such a text; none of an empty one."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))

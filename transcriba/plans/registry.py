@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, search
+from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, readings, search, states
 from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -733,3 +733,86 @@ def _(spark, d):
     b = table(spark, d, "benchmark")
     ev = b.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.lit(1).alias("rank"), F.lit("t").alias("title"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), "text")
     return answers.ask(b.select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), ev, lambda system, user: "según [1]").select("question_id", "answer", "grounded")
+
+
+# -- changes of state -------------------------------------------------------------------------------
+
+
+@query("d16_set_status", f"WITH {MEDIA} SELECT video_id, title, CASE video_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE processing_status END AS processing_status, CASE WHEN video_id % 4 < 2 THEN NULL ELSE project_id END AS project_id FROM media")
+def _(spark, d):
+    m = media(spark, d)
+    k = F.col("video_id") % 4
+    changes = m.where(k < 2).select("video_id", F.when(k == 0, "failed").alias("processing_status"), F.lit(None).cast("string").alias("project_id"))
+    return states.set_fields(m, changes, "processing_status", "project_id").select("video_id", "title", "processing_status", "project_id")
+
+
+@query("d15_fill_speakers", f"WITH {SEG} SELECT video_id, segment_id, text, CASE WHEN segment_id % 3 = 0 THEN 'S' || segment_id ELSE speaker END AS speaker FROM seg")
+def _(spark, d):
+    s = segments(spark, d)
+    found = s.where("segment_id % 3 = 0").select("video_id", "segment_id", F.concat(F.lit("S"), F.col("segment_id")).alias("speaker"))
+    return states.fill_speakers(s, found).select("video_id", "segment_id", "text", "speaker")
+
+
+@query("d15_append_new", f"WITH {SEG} SELECT video_id, segment_id, CASE WHEN segment_id % 2 = 0 THEN 'old' ELSE text END AS text FROM seg")
+def _(spark, d):
+    s = segments(spark, d).select("video_id", "segment_id", "text")
+    return states.append_new(s.where("segment_id % 2 = 0").withColumn("text", F.lit("old")), s, "video_id", "segment_id")
+
+
+@query("d19_clean_derived", f"WITH {CHUNK} SELECT 'chunk' AS kind, chunk_id AS id FROM chunks WHERE chunk_id % 3 <> 0 UNION ALL SELECT 'vector', chunk_id FROM chunks WHERE chunk_id % 3 <> 0 UNION ALL SELECT 'segment', chunk_id FROM chunks WHERE chunk_id % 3 <> 0 UNION ALL SELECT 'resumed', chunk_id FROM chunks")
+def _(spark, d):
+    c = chunks(spark, d).select(F.col("chunk_id").alias("video_id"), "chunk_id")
+    gone, vectors = c.where("video_id % 3 = 0"), c.select("chunk_id")
+    parts = states.clean_derived(gone, c, c, vectors)
+    resumed = states.clean_derived(gone, c, c, vectors, keep_segments=True)[0]
+    named = zip(("segment", "chunk", "vector", "resumed"), (*parts, resumed), strict=True)
+    out = [rows.select(F.lit(kind).alias("kind"), F.col("chunk_id").alias("id")) for kind, rows in named]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query("d21_delete_projects", f"WITH {MEDIA} SELECT video_id, title, CASE WHEN project_id <> 'BUILDING' THEN project_id END AS project_id FROM media")
+def _(spark, d):
+    m = media(spark, d)
+    projects = m.where("project_id is not null").select("project_id").distinct()
+    return states.delete_projects(projects, m, projects.where("project_id = 'BUILDING'"))[1].select("video_id", "title", "project_id")
+
+
+@query("f14_skip_completed", f"WITH {MEDIA} SELECT video_id FROM media WHERE processing_status <> 'completed' AND video_id % 2 = 0")
+def _(spark, d):
+    m = media(spark, d)
+    return states.skip_completed(m.where("video_id % 2 = 0").select("video_id"), m)
+
+
+@query("f11_confirmed_names", f"WITH {TURN}, v AS (SELECT DISTINCT video_id, speaker FROM turns) SELECT video_id, speaker, CASE WHEN video_id % 2 = 0 THEN 'N' || video_id ELSE 'read' END AS name, CASE WHEN video_id % 2 = 0 THEN 'ALTO' ELSE 'MEDIO' END AS confidence, CASE WHEN video_id % 2 = 0 THEN 'seen; {states.BY_HAND}' ELSE 'seen' END AS evidence FROM v")
+def _(spark, d):
+    who = turns(spark, d).select("video_id", "speaker").distinct().withColumns({"name": F.lit("read"), "confidence": F.lit("MEDIO"), "evidence": F.array(F.lit("seen"))})
+    names = who.where("video_id % 2 = 0").select("video_id", F.col("speaker").alias("speaker_label"), F.concat(F.lit("N"), F.col("video_id")).alias("display_name"))
+    return states.confirmed_names(who, names).withColumn("evidence", F.array_join("evidence", "; "))
+
+
+@query("v2_update_vectors", "SELECT vec_id AS chunk_id, vec_id % 5 AS state FROM embeddings WHERE vec_id % 5 <> 0")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    old = e.where("chunk_id % 5 <> 1")
+    return states.update_vectors(old, e.where("chunk_id % 5 in (1, 2)"), e.where("chunk_id % 5 = 0")).select("chunk_id", (F.col("chunk_id") % 5).alias("state"))
+
+
+# -- readings ---------------------------------------------------------------------------------------
+
+_READ_WORDS = r"""w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS x, unnest(range(len(regexp_split_to_array(trim(text), '\s+')))) AS i FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, i // 8 AS line, i, x, 60 + (i * 7 + doc_id) % 40 AS conf FROM w WHERE CASE WHEN regexp_full_match(x, '\p{Nd}+') THEN length(x) = 4 ELSE length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 2 END)"""
+
+
+@query("t27_read_lines", rf"WITH {_READ_WORDS} SELECT doc_id AS video_id, line, string_agg(x, ' ' ORDER BY i) AS text, round(avg(conf) / 100, 6) AS conf, min(i) AS y FROM u WHERE conf >= 70 GROUP BY ALL HAVING length(string_agg(x, ' ')) >= 3")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    words = docs.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("ord", "text"))
+    words = words.select("video_id", "ord", "text", F.lit(0.0).alias("t"), F.lit(0).alias("block"), F.floor(F.col("ord") / 8).alias("line"), F.col("ord").cast("long").alias("top"), (60 + (F.col("ord") * 7 + F.col("video_id")) % 40).cast("double").alias("conf"))
+    return readings.read_lines(words).select("video_id", "line", "text", _r("conf").alias("conf"), "y")
+
+
+@query("d3_resource_uri", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'rel/' || p_name ELSE 'file:///media/' || replace(p_name, ' ', '%20') || '%23' || p_partkey END AS uri FROM part")
+def _(spark, d):
+    k = F.col("p_partkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("rel/"), "p_name")).otherwise(F.concat(F.lit("/media/"), "p_name", F.lit("#"), k))
+    return table(spark, d, "part").select("p_partkey", T.resource_uri(path).alias("uri"))
