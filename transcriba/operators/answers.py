@@ -59,6 +59,26 @@ def _asked(model: Callable[[str, str], str], system: str):
     return call
 
 
+def estimate(questions: DataFrame, evidence: DataFrame, system: str, model: str, provider: str) -> DataFrame:
+    """Q6: question_id, evidences, tokens_in, tokens_out, dollars, known: what each question would cost, before any call.
+
+    System text, question and evidence texts count as input; the answer as a fixed number. Local
+    providers cost nothing and count as catalogued.
+    """
+    per = evidence.groupBy("question_id").agg(F.count("*").alias("evidences"), F.sum(N.estimated_tokens(F.col("text"))).alias("read"))
+    zero = F.lit(0).cast("long")
+    rows = questions.join(per, "question_id", "left").withColumn("tokens_in", (N.estimated_tokens(F.lit(system)) + N.estimated_tokens(F.col("question")) + F.coalesce("read", zero)).cast("long"))
+    known = N.price(F.lit(model))["known"] | F.lit(provider in K.LOCAL_PROVIDERS)
+    return rows.select("question_id", F.coalesce("evidences", zero).alias("evidences"), "tokens_in", F.lit(K.ANSWER_TOKENS).cast("long").alias("tokens_out"), N.cost(F.col("tokens_in"), F.lit(K.ANSWER_TOKENS), F.lit(model), F.lit(provider)).alias("dollars"), known.alias("known"))
+
+
+def dossier_cost(estimates: DataFrame) -> DataFrame:
+    """Entities, tokens_in, tokens_out, dollars over the estimates of entities that have evidence; one row."""
+    rows = estimates.where("evidences > 0")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast(kind).alias(c) for c, kind in (("tokens_in", "long"), ("tokens_out", "long"), ("dollars", "double"))]
+    return rows.agg(F.count("*").alias("entities"), *sums)
+
+
 def sources_list(evidence: Column, cited: Column) -> Column:
     """Numbered sources; those that the answer does not cite say so."""
     return F.array_join(F.transform(evidence, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["title"], F.lit(" "), N.clock(e["start_time"]), F.when(F.array_contains(cited, i + 1), "").otherwise(" (no citada)"))), "\n")

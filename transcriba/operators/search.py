@@ -164,6 +164,13 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vect
     return fuse(semantic, textual, query_overlap(pairs, queries, chunks, entities), confidence, k, 5)
 
 
+def diagnosis(fused: DataFrame, k: int = 15) -> DataFrame:
+    """Q12: how the k best of each query came to their scores: every signal, raw and scaled; a missing one is 0, raw text null."""
+    zero = F.lit(0.0)
+    parts = [F.coalesce("semantic", zero).alias("semantic"), F.coalesce("s", zero).alias("semantic_scaled"), "bm25", F.coalesce("t", zero).alias("text_scaled"), F.coalesce("entity", zero).alias("entity"), F.coalesce("confidence", zero).cast("double").alias("confidence")]
+    return fused.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score", *parts)
+
+
 def rrf(rankings: DataFrame, k: int = K.RRF_K) -> DataFrame:
     """query_id, chunk_id, rrf from (query_id, source, chunk_id, pos), pos from 0."""
     return rankings.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("pos") + 1)).alias("rrf"))

@@ -545,12 +545,15 @@ def _hybrid_sql(chunk: str, where: str = "TRUE", times: int = 1) -> str:
     f AS (SELECT query_id, chunk_id, round(coalesce(entity, 0)::DOUBLE, 5) AS entity, round(coalesce(CASE WHEN semantic IS NOT NULL THEN a END, 0) * 0.45::DOUBLE + coalesce(CASE WHEN bm25 IS NOT NULL THEN b END, 0) * 0.3::DOUBLE + coalesce(entity, 0) * 0.15::DOUBLE + c * 0.1::DOUBLE, 5) AS score FROM n)"""
 
 
-def _hybrid(spark: SparkSession, d: str, rows: DataFrame, project="__todos__") -> DataFrame:
+def _fused(spark: SparkSession, d: str, rows: DataFrame, project="__todos__", k: int = 10) -> DataFrame:
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     asked = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
     labels = lambda c: F.array_distinct(F.transform(T.capitalised_words(c, 3), T.normalize_label))
-    out = search.hybrid(_search_queries(spark, d), rows, e, asked, labels, (F.col("chunk_id") % 10) / 10, project=project)
-    return out.select("query_id", "chunk_id", _r(F.coalesce("entity", F.lit(0.0)), 5).alias("entity"), "score")
+    return search.hybrid(_search_queries(spark, d), rows, e, asked, labels, (F.col("chunk_id") % 10) / 10, k=k, project=project)
+
+
+def _hybrid(spark: SparkSession, d: str, rows: DataFrame, project="__todos__") -> DataFrame:
+    return _fused(spark, d, rows, project).select("query_id", "chunk_id", _r(F.coalesce("entity", F.lit(0.0)), 5).alias("entity"), "score")
 
 
 _BEST = " SELECT query_id, chunk_id, entity, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"
@@ -579,6 +582,17 @@ def _(spark, d):
     return _hybrid(spark, d, _project_chunks(spark, d), None)
 
 
+@query(
+    "q12_search_diagnosis",
+    _hybrid_sql(CHUNK)
+    + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, round(coalesce(semantic, 0), 5) AS semantic, round(CASE WHEN semantic IS NULL THEN 0 ELSE a END, 5) AS semantic_scaled,
+    round(bm25, 5) AS bm25, round(CASE WHEN bm25 IS NULL THEN 0 ELSE b END, 5) AS text_scaled, f.entity, c::DOUBLE AS confidence FROM f JOIN n USING (query_id, chunk_id) QUALIFY rank <= 15""",
+)
+def _(spark, d):
+    out = search.diagnosis(_fused(spark, d, chunks(spark, d), k=15))
+    return out.withColumns({c: _r(c, 5) for c in ("semantic", "semantic_scaled", "bm25", "text_scaled", "entity")})
+
+
 # -- costs ------------------------------------------------------------------------------------------
 
 _PRICE = "CASE doc_id % 3 WHEN 0 THEN 0.4 WHEN 1 THEN 5.0 ELSE 0 END::DOUBLE"
@@ -593,6 +607,27 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sum(n).cast("long").alias("tokens"), _r(F.sum(dollars)).alias("dollars"))
 
 
+_ESTIMATE = """WITH q AS (SELECT conv_id AS question_id, text AS question FROM conversations WHERE turn = 0),
+    e AS (SELECT conv_id AS question_id, count(*) AS evidences, sum(CASE WHEN text = '' THEN 0 ELSE length(text) // 4 + 1 END) AS n FROM conversations WHERE turn > 0 GROUP BY ALL),
+    s AS (SELECT question_id, coalesce(evidences, 0) AS evidences, (6 + CASE WHEN question = '' THEN 0 ELSE length(question) // 4 + 1 END + coalesce(n, 0))::BIGINT AS tokens_in, 1500 AS tokens_out FROM q LEFT JOIN e USING (question_id)),
+    c AS (SELECT *, round(tokens_in / 1e6 * 0.4 + tokens_out / 1e6 * 1.6, 8) AS dollars FROM s)"""
+
+
+def _estimates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), "turn", "text")
+    return answers.estimate(rows.where("turn = 0").withColumnRenamed("text", "question"), rows.where("turn > 0"), "Answer with evidence.", "gpt-4.1-mini", "openai")
+
+
+@query("q6_estimate", _ESTIMATE + " SELECT question_id, evidences, tokens_in, tokens_out, dollars, TRUE AS known FROM c")
+def _(spark, d):
+    return _estimates(spark, d).withColumn("dollars", _r("dollars", 8))
+
+
+@query("a12_dossier_cost", _ESTIMATE + " SELECT count(*) AS entities, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(tokens_in / 1e6 * 0.4 + tokens_out / 1e6 * 1.6), 6) AS dollars FROM c WHERE evidences > 0")
+def _(spark, d):
+    return answers.dossier_cost(_estimates(spark, d)).withColumn("dollars", _r("dollars"))
+
+
 # -- exports ----------------------------------------------------------------------------------------
 
 
