@@ -585,7 +585,7 @@ def _(spark, d):
 @query(
     "q12_search_diagnosis",
     _hybrid_sql(CHUNK)
-    + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, round(coalesce(semantic, 0), 5) AS semantic, round(CASE WHEN semantic IS NULL THEN 0 ELSE a END, 5) AS semantic_scaled,
+    + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score, round(coalesce(semantic, 0), 5) AS semantic, round(CASE WHEN semantic IS NULL THEN 0 ELSE a END, 5) AS semantic_scaled,
     round(bm25, 5) AS bm25, round(CASE WHEN bm25 IS NULL THEN 0 ELSE b END, 5) AS text_scaled, f.entity, c::DOUBLE AS confidence FROM f JOIN n USING (query_id, chunk_id) QUALIFY rank <= 15""",
 )
 def _(spark, d):
@@ -609,7 +609,7 @@ def _(spark, d):
 
 _ESTIMATE = """WITH q AS (SELECT conv_id AS question_id, text AS question FROM conversations WHERE turn = 0),
     e AS (SELECT conv_id AS question_id, count(*) AS evidences, sum(CASE WHEN text = '' THEN 0 ELSE length(text) // 4 + 1 END) AS n FROM conversations WHERE turn > 0 GROUP BY ALL),
-    s AS (SELECT question_id, coalesce(evidences, 0) AS evidences, (6 + CASE WHEN question = '' THEN 0 ELSE length(question) // 4 + 1 END + coalesce(n, 0))::BIGINT AS tokens_in, 1500 AS tokens_out FROM q LEFT JOIN e USING (question_id)),
+    s AS (SELECT question_id, coalesce(evidences, 0) AS evidences, (6 + CASE WHEN question = '' THEN 0 ELSE length(question) // 4 + 1 END + coalesce(n, 0))::BIGINT AS tokens_in, 1500::BIGINT AS tokens_out FROM q LEFT JOIN e USING (question_id)),
     c AS (SELECT *, round(tokens_in / 1e6 * 0.4 + tokens_out / 1e6 * 1.6, 8) AS dollars FROM s)"""
 
 
@@ -673,7 +673,13 @@ def _(spark, d):
     return exports.participants(_QUERIES["q8_identities"](spark, d))
 
 
-@query("w9_content_end")
+@query(
+    "w9_content_end",
+    f"""WITH {SEG}, d AS (SELECT video_id, max(end_time) AS s FROM seg GROUP BY ALL),
+    r AS (SELECT seg.video_id, start_time, segment_id % 5 = 4 AS credit FROM seg JOIN d ON seg.video_id = d.video_id WHERE start_time >= s * 0.8::DOUBLE),
+    x AS (SELECT *, bool_or(NOT credit) OVER (PARTITION BY video_id ORDER BY start_time ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM r)
+    SELECT video_id, min(start_time) AS end_s FROM x WHERE credit AND NOT coalesce(later, FALSE) GROUP BY ALL""",
+)
 def _(spark, d):
     s = segments(spark, d)
     line = F.when(F.col("segment_id") % 5 == 4, "PRODUCCION GENERAL").otherwise("Ana Perez")
@@ -758,9 +764,15 @@ def _(spark, d):
     return answers.register_copy(m, copies).select("video_id", "title", "processing_status", "project_id")
 
 
-@query("x3_hash_embedding")
+@query(
+    "x3_hash_embedding",
+    """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), v AS (SELECT doc_id, list_transform(range(8), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT / 255::DOUBLE - 0.5::DOUBLE) AS v FROM h),
+    u AS (SELECT doc_id, v, greatest(sqrt(list_inner_product(v, v)), 1e-10::DOUBLE) AS norm FROM v)
+    SELECT doc_id, unnest(range(8))::INT AS pos, round(unnest(v) / norm, 6) AS value FROM u""",
+)
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", answers.hash_embedding(F.col("text")).alias("embedding"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(answers.hash_embedding(F.col("text"))).alias("pos", "value"))
+    return rows.withColumn("value", _r("value"))
 
 
 @query("q5_gate", "SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'según [1]' ELSE 'No hay evidencia suficiente en tu biblioteca para esta pregunta.' END AS answer, item_id % 2 = 0 AS grounded FROM benchmark")
