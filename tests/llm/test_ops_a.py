@@ -1,6 +1,7 @@
 """Exact dedup, sharding, token store, secrets: edge rows and brute-force counterparts."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -124,12 +125,50 @@ def test_token_store_round_trip(docs, no_docs, width):
 
 
 def test_pieces_encode_as_whole():
+    """Characters of all planes among contractions, digits, spaces of every kind and added tokens."""
     from tokenizers import Tokenizer
 
     tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(5)
-    texts = ["".join(rng.choice("ab  \n\t'sé1,. <|endoftext|>") for _ in range(rng.randrange(25))) for _ in range(3000)]
-    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
-    assert ts.encode(texts, tokenizer_path(), 2, True) == want
+    planes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in planes if c.isspace()] + ["\u180e", "\u200b", "\ufeff", "\x1c", "\x1f", "\u0892", "\U00010940"]
+    texts = ["".join(rng.choice("ab  \n\t'sé1,. <|endoftext|>") for _ in range(rng.randrange(25))) for _ in range(3000)]
+    parts = [" ", " ", "  ", "'s", "'ll", "'", "a", "Zx", "é", "7", "٣", "<|endoftext|>", ".", "\n"]
+    texts += ["".join(rng.choice(planes if rng.random() < 0.3 else odd if rng.random() < 0.2 else parts) for _ in range(rng.randrange(14))) for _ in range(30_000)]
+    texts += [f"x {c}'s {c}{c}7 a{c}'t {c} " for c in planes[0x80::7]] + [f"x{c}y {c} {c}'d" for c in odd]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x for k in range(0, len(texts), 5000) for x in ts.encode(texts[k : k + 5000], tokenizer_path(), 2)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello  World's 12x", " é ", "", "a<|endoftext|>b"]
+    tok = Tokenizer.from_file(path)
+    assert ts.encode(texts, path, 4) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    spec = json.load(open(tokenizer_path()))
+    assert ts.splits_at_spaces(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}, {"model": {**spec["model"], "dropout": 0.1}}):
+        assert not ts.splits_at_spaces({**spec, **change})
+    (tmp_path / "nfc.json").write_text(json.dumps({**spec, "normalizer": {"type": "Lowercase"}}))
+    low = Tokenizer.from_file(str(tmp_path / "nfc.json"))
+    assert ts.encode(["Abc DEF"], str(tmp_path / "nfc.json"), 2) == [np.array(low.encode("Abc DEF").ids, "<u2").tobytes()]
+
+
+def test_token_query(spark):
+    """The registered query against the library, document by document."""
+    from tokenizers import Tokenizer
+
+    sf, tok, start = "/root/testdata/sf0.001", Tokenizer.from_file(tokenizer_path()), 0
+    got = sorted(tuple(r)[:4] for r in QUERIES["op1_token_store"](spark, sf).collect())
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
 
 
 def test_mph_is_minimal_and_perfect():

@@ -9,6 +9,7 @@ reads one displacement and one slot, and compares the fingerprint: constant time
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, shared_dir
+from .common import materialise, named, partitions, shared_dir
 
 SHARD_MAGIC, INDEX_MAGIC = b"TRSHARD1", b"TRINDEX1"
 #: Keys of one index bucket, about.
@@ -37,7 +38,8 @@ CACHE_PIECES = 800_000
 # -- encoding ---------------------------------------------------------------------------------------
 
 
-_ODD_SPACE = re.compile(r" (?=\s|$)")
+#: Space that a cut must not come before: what any table of white space has had.
+_ODD_SPACE = re.compile("[ ](?=[\\s\u180e]|$)")
 
 
 def pieces(text: str) -> list[str]:
@@ -50,15 +52,25 @@ def pieces(text: str) -> list[str]:
         return parts
     out = parts[:1]
     for part in parts[1:]:
-        if part and not part[0].isspace():
+        if part and not part[0].isspace() and part[0] != "\u180e":
             out.append(part)
         else:
             out[-1] += " " + part
     return out
 
 
-#: How byte-level BPE of this family splits a text into words.
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How byte-level BPE of this family splits ASCII into words; for any other character the library is asked.
+ASCII_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\v\f\r A-Za-z0-9]+|[\t\n\v\f\r ]+(?![^\t\n\v\f\r ])|[\t\n\v\f\r ]+""")
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file is one whose ids may be put together piece by piece: byte-level BPE with the
+    usual word pattern, without normaliser, prefix space, dropout, affixes, or added tokens that reach over spaces."""
+    model, before = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    added = [t for t in spec.get("added_tokens", []) if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].isalpha()]
+    return model.get("type") == "BPE" and spec.get("normalizer") is None and plain and bare and not added
 
 
 class PieceEncoder:
@@ -68,36 +80,52 @@ class PieceEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tok, self.kind = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4"
-        self.code, self.word = "H" if width == 2 else "I", regex.compile(WORDS)
+        self.code = "H" if width == 2 else "I"
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = splits_at_spaces(json.load(f))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # Byte-level vocabularies write each byte as one printable character.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.after: dict[str, bytes] = {}  # pieces that follow a space, without it
-        self.inner: dict[str, bytes] = {}  # words inside a piece
+        self.inner: dict[str, bytes] = {}  # words inside a piece, as the vocabulary writes them
+        self.known: dict[str, bool] = {}  # whether the library takes a character for a letter
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def one(self, word: str) -> bytes:
-        ids = [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+    def written(self, word: str) -> str:
+        """A word as the vocabulary writes it."""
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def one(self, written: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(written)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def all_letters(self, p: str) -> bool:
+        for c in set(p):
+            if c not in self.known:  # a letter joins the letter before it
+                self.known[c] = len(self.tok.pre_tokenizer.pre_tokenize_str("a" + c)) == 1
+            if not self.known[c]:
+                return False
+        return bool(p)
+
     def piece(self, p: str) -> bytes:
         """Ids of a piece and the space before it."""
-        if p.isalpha():
-            return self.one(" " + p)
+        if self.all_letters(p):
+            return self.one(self.written(" " + p))
         if any(a in p for a in self.added):
             return self.whole(" " + p)
-        first, *rest = self.word.findall(" " + p)
-        if (out := self.after.get(first[1:])) is None:
-            out = self.after[first[1:]] = self.one(first)
-        for w in rest:
+        if p.isascii():
+            words = [self.written(w) for w in ASCII_WORDS.findall(" " + p)]
+        else:
+            words = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(" " + p)]
+        out = b""
+        for w in words:
             if (ids := self.inner.get(w)) is None:
                 ids = self.inner[w] = self.one(w)
             out += ids
@@ -116,17 +144,17 @@ class PieceEncoder:
         return [h + b"".join(map(get, b)) for h, b in zip(heads, bodies, strict=True)]
 
 
-def encode(texts: list[str], path: str, width: int, by_piece: bool) -> list[bytes]:
+def encode(texts: list[str], path: str, width: int) -> list[bytes]:
     """Ids of each text as little-endian integers of the given width; no special tokens are added.
 
-    by_piece is right for byte-level BPE with the usual word pattern: each piece that the worker has not
-    met is encoded once, word by word, by the tokenizer's model.
+    They are the library's for every text. Where the file allows it (splits_at_spaces), each piece that the
+    worker has not met is encoded once, word by word, by the tokenizer's model; else whole texts are.
     """
     held = sys.__dict__.setdefault("_transcriba_tokenizers", {})
     if (path, width) not in held:
         held[path, width] = PieceEncoder(path, width)
     own = held[path, width]
-    if by_piece:
+    if own.by_piece:
         return own.encode(texts)
     return [np.array(e.ids, own.kind).tobytes() for e in own.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -272,7 +300,7 @@ class TokenStore:
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """shard, first, count of each distinct key of the single column of keys; unknown keys give no row."""
-        key = F.coalesce(F.col(keys.columns[0]).cast("long"), F.lit(NULL_KEY))
+        key = F.coalesce(named(keys.columns[0]).cast("long"), F.lit(NULL_KEY))
         asked = keys.select(key.alias("key")).distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
         asked = asked.join(self.index.select("bucket", "file"), "bucket").select("bucket", "file", "key")
         asked = asked.repartition(partitions(self.spark), "bucket").sortWithinPartitions("bucket")
@@ -316,7 +344,7 @@ class TokenStore:
         return asked.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, by_piece: bool = True, bucket_keys: int = BUCKET_KEYS) -> TokenStore:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, bucket_keys: int = BUCKET_KEYS) -> TokenStore:
     """Encodes whole texts, adds end_id to each, and writes shards in ascending id order with their index.
 
     Null texts count as empty and hold the end id alone. Null ids come first, under one key of their
@@ -327,7 +355,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     """
     spark = docs.sparkSession
     out, n = shared_dir(spark), partitions(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", F.xxhash64("text"))
     end = struct.pack("<H" if width == 2 else "<I", end_id)
 
@@ -345,7 +373,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
                     while stop < len(text) and size < 4_000_000:
                         size += len(text[stop])
                         stop += 1
-                    for ids in encode(text[at:stop], tokenizer, width, by_piece):
+                    for ids in encode(text[at:stop], tokenizer, width):
                         body.write(ids + end)
                         lengths.append(len(ids) // width + 1)
                     at = stop
