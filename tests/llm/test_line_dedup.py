@@ -5,9 +5,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from transcriba.llm import exact_dedup as ed
 from transcriba.llm import line_dedup as ld
-from transcriba.llm.queries import op7_line_dedup
+from transcriba.llm import token_store as ts
+from transcriba.llm.queries import op7_line_dedup, tokenizer_path
 
 
 def test_banded_distance_against_table():
@@ -62,7 +65,7 @@ def test_bounded_groups():
         assert sorted(seen) == key.tolist()
 
 
-def _brute(rows, k, least):
+def _brute(rows, k, per_edit=ld.PER_EDIT, least=1):
     lines = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         for i, x in enumerate((t or "").split("\n")):
@@ -77,7 +80,8 @@ def _brute(rows, k, least):
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            if abs(len(a) - len(b)) <= k and ld._plain(a, b) <= k:
+            limit = min(k, min(len(a), len(b)) // per_edit)
+            if abs(len(a) - len(b)) <= limit and ld._plain(a, b) <= limit:
                 root[top(a)] = top(b)
     first = {}
     for x, at in lines.items():
@@ -87,9 +91,9 @@ def _brute(rows, k, least):
 
 @pytest.mark.parametrize("key_rows", [4096, 6])
 def test_decisions_against_all_pairs(spark, monkeypatch, key_rows):
-    monkeypatch.setattr(ld.line_links, "__defaults__", (ld.EDITS, key_rows))
+    monkeypatch.setattr(ld.line_links, "__defaults__", (ld.EDITS, ld.PER_EDIT, key_rows))
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(20, 50))) for _ in range(12)]
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(3, 40))) for _ in range(24)]
     rows = []
     for d in range(60):
         lines = []
@@ -100,7 +104,7 @@ def test_decisions_against_all_pairs(spark, monkeypatch, key_rows):
                 x[at : at + rng.randrange(2)] = rng.choice(["", "z", "a"])
             lines.append("".join(x))
         rows.append((d, "\n".join(lines)))
-    want = _brute(rows, ld.EDITS, ld.MIN_CHARS)
+    want = _brute(rows, ld.EDITS)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.removed for r in ld.line_decisions(frame).collect()}
     assert got == want and sum(map(len, want.values())) > 30
@@ -116,7 +120,32 @@ def test_edge_rows(docs, no_docs):
     assert ld.line_dedup(docs).columns == docs.columns and ld.line_dedup(docs).count() == 12
 
 
-def test_query_removes_equal_short_lines(spark, tmp_path):
+def test_clashing_and_dotted_names(spark, docs):
+    rows = docs.withColumns({"removed": F.lit(7), "gone_id": F.lit(8), "_gone_id": F.lit(9)}).withColumnsRenamed({"doc_id": "a.id", "text": "a.text"})
+    out = ld.line_dedup(rows, id_col="a.id", text_col="a.text")
+    assert out.columns == rows.columns and out.count() == 12 and {r.removed for r in out.collect()} == {7}
+    assert ed.exact_dedup(rows, "a.id", "a.text").count() == 12
+    assert ts.write_tokens(rows, tokenizer_path(), 2, "a.id", "a.text").records(rows.select("`a.id`")).count() == 12
+
+
+def test_near_lines_of_every_length(spark):
+    """The query's own settings against all pairs, around the lengths where the limit changes."""
+    rng, rows = random.Random(11), []
+    for n in (0, 1, 5, 7, 8, 9, 14, 15, 16, 17, 18, 23, 24, 31):
+        for copy in range(3):
+            base = "".join(rng.choice("abcdefghijkl") for _ in range(n))
+            for d in range(4):
+                x = list(base)
+                for _ in range(d):
+                    at = rng.randrange(len(x) + 1)
+                    x[at : at + rng.randrange(2)] = rng.choice(["", "z", "y"])
+                rows.append((len(rows), "".join(x) + "\n" + base))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in ld.line_decisions(frame).collect()}
+    assert got == _brute(rows, ld.EDITS)
+
+
+def test_query_removes_short_lines(spark, tmp_path):
     rows = [(1, "All rights reserved.\n\nab\nAll rights reserved."), (2, "All rights reserved!\n\nab"), (3, "ab\nxy"), (4, "All rights reserved.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.removed for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "3", 2: "2", 3: "0", 4: "0"}
+    assert {r.doc_id: r.removed for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "3", 2: "0,2", 3: "0", 4: "0"}

@@ -99,4 +99,4 @@ def partitions(spark: SparkSession) -> int:
 
 def text_bytes(col: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(named(col).cast("string"), F.lit("")).cast("binary").alias("content")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes
+from .common import named, partitions, text_bytes
 
 #: Bytes of content that one table may hold before it hands over or spills.
 TABLE_BYTES = 48 << 20
@@ -155,7 +155,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per content that two or more rows hold: g_sha, g_keep (its largest id), g_size."""
-    rows = docs.select(F.col(id_col).cast("long"), text_bytes(text_col))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_bytes(text_col))
     folded = rows.mapInArrow(_fold, "h long, content binary, best long, n long")
     dealt = folded.repartition(partitions(docs.sparkSession), "h")
     return dealt.mapInArrow(_resolve, "g_sha binary, g_keep long, g_size long")
@@ -171,7 +171,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col)).mapInArrow(_digest, "doc_id long, sha binary")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_bytes(text_col)).mapInArrow(_digest, "doc_id long, sha binary")
     out = rows.join(exact_groups(docs, id_col, text_col), F.col("sha") == F.col("g_sha"), "left")
     # A content of one row has no group record: its row stays. With a group, its largest id decides.
     grouped = F.col("g_size").isNotNull()

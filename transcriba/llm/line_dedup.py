@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
-Equal lines of at least equal_chars characters are one line. Distinct lines of at least MIN_CHARS
-characters are cut into EDITS + 1 segments. If two lines are within EDITS edits, some segment of the shorter one occurs unchanged in the longer one, at a place that the
+Equal lines are one line. Two distinct lines are linked by one edit for every PER_EDIT characters of the
+shorter one, EDITS at most. For a limit of k edits lines are cut into k + 1 segments: if two lines are within the limit, some segment of the shorter one occurs unchanged in the longer one, at a place that the
 lengths bound; so each line files its segments under (length, segment, content) and probes, for each
 length that a partner may have, the few substrings that the multi-match-aware selection leaves. Lines
 that meet under a key and whose character counts allow the distance are verified by a banded
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, release
+from .common import fresh, materialise, named, partitions, release
 from .near_dup import _groups, _runs, components
 from .words import _B, _INV, _powers, mix64
 
 EDITS = 2
-#: Shorter lines link to nothing: at that length two edits make another line.
-MIN_CHARS = 24
+#: Characters of the shorter line for each edit: 0 edits under 8 characters, 1 from 8 on, 2 from 16 on.
+PER_EDIT = 8
 #: Lines under one key up to which one task compares them; beyond, blocks of half as many.
 KEY_ROWS = 4096
 #: Bytes of ids of lines with candidates up to which they are broadcast.
@@ -124,6 +124,22 @@ def line_keys(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def limited_keys(lines: list[str], k: int, per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_keys for a limit that grows with the shorter line: a line has keys for each limit that a pair of its length may have."""
+    length, out = np.array([len(t) for t in lines], np.int64), []
+    for j in range(1, k + 1):
+        ok = length >= per_edit * j
+        if j < k:  # the longer line of a pair has up to j characters more than the longest shorter one
+            ok &= length < per_edit * (j + 1) + j
+        if ok.any():
+            at = np.flatnonzero(ok)
+            which, key, role = line_keys([lines[i] for i in at.tolist()], j)
+            out.append((at[which], mix64(key + np.uint64(j)), role))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def bag(lines: list[str]) -> np.ndarray:
     """Counts of characters in 16 classes, each modulo 16, in one integer: within k edits they differ by 2k at most."""
     out = np.zeros(len(lines), np.uint64)
@@ -179,8 +195,8 @@ def key_pairs(key: np.ndarray, role: np.ndarray, side: np.ndarray, lid: np.ndarr
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """doc_id, pos, line of lines long enough to be grouped."""
-    line = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(line).alias("pos", "line"))
+    line = F.split(F.coalesce(named(text_col).cast("string"), F.lit("")), "\n")
+    out = docs.select(named(id_col).cast("long").alias("doc_id"), F.posexplode(line).alias("pos", "line"))
     return out.where(F.length("line") >= least)
 
 
@@ -188,8 +204,8 @@ def _names() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line", F.length("line")).alias("h2")]
 
 
-def line_links(lines: DataFrame, k: int = EDITS, key_rows: int = KEY_ROWS) -> DataFrame:
-    """a, b: links between lid of lines (lid, line) within k edits, spanning what each unit of work verified."""
+def line_links(lines: DataFrame, k: int = EDITS, per_edit: int = PER_EDIT, key_rows: int = KEY_ROWS) -> DataFrame:
+    """a, b: links between lid of lines (lid, line) within the limit of their lengths, spanning what each unit of work verified."""
     spark = lines.sparkSession
     n = partitions(spark)
     schema = "key long, lid long, role byte, side int, bag long"
@@ -202,7 +218,7 @@ def line_links(lines: DataFrame, k: int = EDITS, key_rows: int = KEY_ROWS) -> Da
                 while stop < len(text) and (stop == at or size + len(text[stop]) <= 1_000_000):
                     size += len(text[stop])
                     stop += 1
-                which, key, role = line_keys(text[at:stop], k)
+                which, key, role = limited_keys(text[at:stop], k, per_edit)
                 bags = bag(text[at:stop]).view(np.int64)
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(lid[at:stop][which]), pa.array(role), pa.array(np.full(len(key), -1, np.int32)), pa.array(bags[which])], ["key", "lid", "role", "side", "bag"])
                 at = stop
@@ -245,7 +261,10 @@ def line_links(lines: DataFrame, k: int = EDITS, key_rows: int = KEY_ROWS) -> Da
             for i, j in key_pairs(t.column(0).to_numpy(), t.column(2).to_numpy(), t.column(3).to_numpy(), lid, t.column(4).to_numpy().view(np.uint64), k):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     a, b = top(int(lid[x])), top(int(lid[y]))
-                    if a != b and within(text[x].as_py(), text[y].as_py(), k):
+                    if a == b:
+                        continue
+                    p, q = text[x].as_py(), text[y].as_py()
+                    if within(p, q, min(k, min(len(p), len(q)) // per_edit)):
                         root[max(a, b)] = min(a, b)
                         links.append((int(lid[x]), int(lid[y])))
             yield pa.record_batch([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
@@ -323,25 +342,24 @@ def _stretches(key: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(key)
 
 
-def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
+def line_decisions(docs: DataFrame, k: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text", equal_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, removed array<int> of every row: positions of lines that an earlier line stands for.
 
-    Lines end at a newline. Lines within k edits of each other, directly or through others, are one
+    Lines end at a newline. Two lines are alike if equal, or within one edit for every per_edit characters of
+    the shorter one and k edits at most. Lines alike, directly or through others, are one
     class; its first occurrence by (doc_id, position) stays and all other occurrences are removed.
-    Lines under min_chars characters are a class with their equals only, and always stay if under
-    equal_chars characters (min_chars if none is given). A null doc_id comes first. Null and empty texts have
+    Lines under equal_chars characters always stay: empty ones, unless that is 0. A null doc_id comes first. Null and empty texts have
     one empty line. Repeated rows share one fate: where a row's id and position are the first of its
     class, all rows of that id keep the line. Other columns are ignored.
     """
     spark = docs.sparkSession
-    shortest = min_chars if equal_chars is None else min(equal_chars, min_chars)
-    met = _occurrences(docs, id_col, text_col, shortest).select("doc_id", "pos", "line", *_names())
+    met = _occurrences(docs, id_col, text_col, equal_chars).select("doc_id", "pos", "line", *_names())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "pos"))
     lines = met.groupBy("h1", "h2").agg(F.min("line").alias("line"), first.alias("first"), F.count("*").alias("n")).withColumn("lid", F.monotonically_increasing_id())
-    # Short lines are written if they repeat, and without their texts.
-    long = F.length("line") >= min_chars
+    # Lines too short for an edit are written if they repeat, and without their texts.
+    long = F.length("line") >= per_edit
     lines = materialise(spark, lines.where(long | (F.col("n") > 1)).withColumn("line", F.when(long, F.col("line"))))
-    roots = components(line_links(lines.where(F.col("line").isNotNull()).select("lid", "line"), k))
+    roots = components(line_links(lines.where(F.col("line").isNotNull()).select("lid", "line"), k, per_edit))
     # Only lines with a link or a second occurrence decide anything.
     linked = lines.select("lid", "h1", "h2", "first").join(roots, F.col("lid") == F.col("node")).select("lid", "h1", "h2", "first", "root")
     heads = lines.select("lid", "h1", "h2", "first").join(roots.select(F.col("root").alias("lid")).distinct(), "lid", "left_semi").withColumn("root", F.col("lid"))
@@ -350,20 +368,23 @@ def line_decisions(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS,
     near = linked.join(least, "root").select("h1", "h2", "stays")
     again = lines.where("n > 1").select("lid", "h1", "h2", F.col("first").alias("stays")).join(linked.select("lid"), "lid", "left_anti").drop("lid")
     stays = near.unionByName(again)
-    rows = _occurrences(docs, id_col, text_col, shortest).select("doc_id", "pos", *_names())
+    rows = _occurrences(docs, id_col, text_col, equal_chars).select("doc_id", "pos", *_names())
     same = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("stays.doc_id")) & (F.col("pos") == F.col("stays.pos"))
     gone = rows.join(stays, ["h1", "h2"]).where(~same).select("doc_id", "pos").distinct()
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("gone_id")).agg(F.array_sort(F.collect_list("pos")).alias("removed"))
-    count = F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("n_lines"))
+    count = F.size(F.split(F.coalesce(named(text_col).cast("string"), F.lit("")), "\n"))
+    out = docs.select(named(id_col).cast("long").alias("doc_id"), count.alias("n_lines"))
     out = out.join(gone, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("gone_id"), "left")
     return out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
-    """docs with the removed lines cut from their texts; null texts stay null, other columns as they are."""
-    gone = line_decisions(docs, k, min_chars, id_col, text_col, equal_chars).where(F.size("removed") > 0).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone_id"), "removed").distinct()
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("removed"), i), F.lit(False))), "\n")
-    out = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_gone_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+def line_dedup(docs: DataFrame, k: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text", equal_chars: int = 1) -> DataFrame:
+    """docs with the removed lines cut from their texts; null texts stay null, other columns of any name as they are."""
+    key, cut = fresh(docs, "gone_id"), fresh(docs, "removed")
+    gone = line_decisions(docs, k, per_edit, id_col, text_col, equal_chars).where(F.size("removed") > 0)
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(key), F.col("removed").alias(cut)).distinct()
+    text = named(text_col)
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col(cut), i), F.lit(False))), "\n")
+    out = docs.join(gone, F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))) == F.col(key), "left")
+    result = F.when(F.col(cut).isNull(), text).otherwise(kept).alias(text_col)
+    return out.select(*[result if c == text_col else named(c) for c in docs.columns])

@@ -437,7 +437,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch([batch.column(0).slice(at, stop - at), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
                 at = stop
 
-    rows = docs.select(named(id_col).cast("long"), text_bytes(text_col))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_bytes(text_col))
     return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
