@@ -75,6 +75,24 @@ def test_cells_are_bounded_by_bytes(spark):
     assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(134 if s == 0 else 133)]
 
 
+def test_cells_and_reducers_stop_growing(spark):
+    """A hundred times the rows: the same cells, reducers and work for a task's row of the matrix."""
+    plans = []
+    for rows in (2_000, 200_000):
+        out = sh.uniform_shards(spark.range(0, rows, 1, 4), 3, cell_rows=10, most_cells=40)
+        plans.append((out.rdd.getNumPartitions(), len(sh.cell_sizes(rows, 3, -(-rows // 37))[0])))
+    assert plans[0] == plans[1] and plans[0][0] <= 40
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [66_666, 66_667, 66_667]
+    assert out.groupBy("shard").agg(F.countDistinct("slot").alias("n"), (F.max("slot") + 1).alias("m")).where("n <> m").count() == 0
+
+
+def test_shards_keep_columns_of_any_name(spark, docs):
+    rows = docs.withColumns({"shard": F.lit(5), "cell": F.lit(6), "c0": F.lit(7), "key": F.lit(8)}).withColumnRenamed("lang", "a.b")
+    out = sh.uniform_shards(rows, 3, shard_col="part", slot_col="place")
+    assert out.columns == [*rows.columns, "part", "place"]
+    assert Counter(map(tuple, out.select(*[f"`{c}`" for c in rows.columns]).collect())) == Counter(map(tuple, rows.collect()))
+
+
 def test_all_orders_are_as_likely():
     """Over many seeds, each of the orders of four rows in two partitions comes about as often."""
     seen = Counter()
