@@ -15,6 +15,7 @@ import struct
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.kind = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4"
-        self.code = "H" if width == 2 else "I"
+        self.code = "H" if width == 2 else "I" 
         with open(path, encoding="utf-8") as f:
             self.by_piece = splits_at_spaces(json.load(f))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -92,27 +93,29 @@ class PieceEncoder:
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.after: dict[str, bytes] = {}  # pieces that follow a space, without it
-        self.inner: dict[str, bytes] = {}  # words inside a piece, as the vocabulary writes them
-        self.known: dict[str, bool] = {}  # whether the library takes a character for a letter
+        self.inner: dict[str, bytes] = {}  # words inside an ASCII piece
+        self.wide: dict[str, bytes] = {}  # words inside any other piece, as the vocabulary writes them
+        self.alpha: set[str] = set()  # characters that the library takes for letters
+        self.other: set[str] = set()  # and those that it does not
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def written(self, word: str) -> str:
         """A word as the vocabulary writes it."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", "\u0120")
         return word.encode().decode("latin-1").translate(self.letters)
 
     def one(self, written: str) -> bytes:
-        ids = [t.id for t in self.tok.model.tokenize(written)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(written)]).tobytes()
 
     def all_letters(self, p: str) -> bool:
-        for c in set(p):
-            if c not in self.known:  # a letter joins the letter before it
-                self.known[c] = len(self.tok.pre_tokenizer.pre_tokenize_str("a" + c)) == 1
-            if not self.known[c]:
-                return False
-        return bool(p)
+        if self.alpha.issuperset(p):
+            return True
+        for c in set(p) - self.alpha - self.other:  # a letter joins the letter before it
+            (self.alpha if len(self.tok.pre_tokenizer.pre_tokenize_str("a" + c)) == 1 else self.other).add(c)
+        return self.alpha.issuperset(p)
 
     def piece(self, p: str) -> bytes:
         """Ids of a piece and the space before it."""
@@ -120,14 +123,12 @@ class PieceEncoder:
             return self.one(self.written(" " + p))
         if any(a in p for a in self.added):
             return self.whole(" " + p)
-        if p.isascii():
-            words = [self.written(w) for w in ASCII_WORDS.findall(" " + p)]
-        else:
-            words = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(" " + p)]
-        out = b""
+        ascii_only = p.isascii()
+        words = ASCII_WORDS.findall(" " + p) if ascii_only else [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(" " + p)]
+        out, held = b"", self.inner if ascii_only else self.wide
         for w in words:
-            if (ids := self.inner.get(w)) is None:
-                ids = self.inner[w] = self.one(w)
+            if (ids := held.get(w)) is None:
+                ids = held[w] = self.one(self.written(w) if ascii_only else w)
             out += ids
         return out
 
@@ -135,9 +136,9 @@ class PieceEncoder:
         cut = [pieces(t) for t in texts]
         heads = [self.whole(c[0]) for c in cut]
         bodies = [c[1:] for c in cut]
-        if len(self.after) + len(self.inner) > CACHE_PIECES:
-            self.after.clear()
-            self.inner.clear()
+        if len(self.after) + len(self.inner) + len(self.wide) > CACHE_PIECES:
+            for held in (self.after, self.inner, self.wide):
+                held.clear()
         for p in set().union(*bodies) - self.after.keys():
             self.after[p] = self.piece(p)
         get = self.after.__getitem__
