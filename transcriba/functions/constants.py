@@ -6,11 +6,11 @@ from __future__ import annotations
 VIDEO_EXTENSIONS = (".mp4", ".mkv", ".avi", ".webm", ".mov", ".m4v", ".wmv", ".flv", ".mpg", ".mpeg", ".ts", ".3gp")
 AUDIO_EXTENSIONS = (".mp3", ".m4a", ".wav", ".flac", ".ogg", ".opus", ".aac", ".wma")
 
-# Phrases that mark the discourse types, in the order in which they are tried.
+# Patterns of the discourse types, in the order in which they are tried; case does not count.
 DISCOURSE = (
-    ("definicion", ("se define", "es decir", "significa", "se entiende por", "definimos?")),
-    ("ejemplo", ("por ejemplo", "imaginen", "supongamos", "pongamos el caso", "un caso")),
-    ("resumen", ("en resumen", "recapitulando", "para cerrar", "en síntesis", "en conclusión")),
+    ("definicion", r"\b(se define|es decir|significa|se entiende por|definimos?)\b"),
+    ("ejemplo", r"\b(por ejemplo|imaginen|supongamos|pongamos el caso|un caso)\b"),
+    ("resumen", r"\b(en resumen|recapitulando|para cerrar|en síntesis|en conclusión)\b"),
 )
 
 # Words that are never keywords.
@@ -18,6 +18,15 @@ STOPWORDS = ("el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del",
 
 # Hesitations that reading text leaves out.
 FILLERS = ("eh", "ehh", "ehhh", "em", "emm", "mm", "mmm", "ah", "ehm")
+# The cleanup for reading, pattern and replacement in the order in which they apply; case does not count.
+CLEANUP = (
+    (r"(?<![\wáéíóúñ])(?:eh|ehh|ehhh|em|emm|mm|mmm|ah|ehm)(?![\wáéíóúñ])\s*[,.]?\s*", " "),
+    (r"\b(\w+)(\s+\1\b)+", r"\1"),
+    (r"\s+([,.;:!?])", r"\1"),
+    (r"([,.;:])\1+", r"\1"),
+    (r"\s{2,}", " "),
+    (r"^[,.;:\s]+", ""),
+)
 
 # Stock phrases that transcribers invent in silence, folded.
 STOCK_PHRASES = (
@@ -43,8 +52,21 @@ INSTITUTIONS = ("UNAM", "UAM", "COLMEX", "UDP", "USACH", "PUC", "UBA", "UC")
 FUNCTION_WORDS = ("QUE", "HE", "HA", "HAS", "HAN", "ES", "SON", "ERA", "FUE", "SE", "ME", "TE", "NOS", "LE", "LES", "MI", "TU", "SU", "SUS", "EN", "CON", "POR", "PARA", "SIN", "SOBRE", "UN", "UNA", "UNOS", "UNAS", "AL", "LO", "NO", "SI", "YA", "MUY", "MAS", "MÁS", "PERO", "COMO", "CUANDO", "DONDE", "VIVIDO", "DIJO", "DICE", "HABLA")
 # Words of credits and plates, folded.
 CREDITS = ("FUNDACION", "EDITORIAL", "UNIVERSIDAD", "MUSEO", "ARCHIVO", "BIBLIOTECA", "INSTITUTO", "CENTRO", "COLECCION", "PRODUCCION", "REALIZACION", "MONTAJE", "GUION", "CAMARA", "SONIDO", "EDICION", "JEFA", "JEFE", "AGRADECIMIENTOS", "VOZ", "IMAGENES", "MUSICA", "DERECHOS")
-# How speakers introduce themselves or others.
-INTRODUCTIONS = ("mi nombre es", "yo soy", "(?:estamos con|entrevistamos a|les presento a|nos acompaña)")
+# Patterns by which speakers introduce themselves or others.
+INTRODUCTIONS = (
+    r"\bmi nombre es\s+([A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+){0,3})",
+    r"\byo soy\s+([A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+){0,3})",
+    r"\b(?:estamos con|entrevistamos a|les presento a|nos acompaña)\s+([A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+){0,3})",
+)
+
+# Lines of evidence for the name of a voice.
+EVIDENCE_LABEL = "Rótulo en pantalla [%s]: «%s» (leído %d veces, OCR %s%%)"
+EVIDENCE_CONFLICT = "CONFLICTO: otro rótulo [%s] dice «%s» sobre esta misma voz"
+EVIDENCE_REPEATED = "Rótulo repetido [%s] confirma el nombre"
+EVIDENCE_SHARED = "«%s» aparece atribuido a %d voces distintas (%s): revisar si la separación de voces partió a la misma persona"
+EVIDENCE_SPOKEN = "Mención verbal [%s]: se nombra a «%s»"
+EVIDENCE_SPOKEN_AGAIN = " (no altera la identificación visual)"
+EVIDENCE_OFF_SCREEN = "Habla %s min repartidos por todo el video y nunca aparece rotulada: se trata como voz en off / narración"
 
 # Entity types by tagger label.
 ENTITY_TYPES = {"PER": "persona", "PERSON": "persona", "LOC": "lugar", "GPE": "lugar", "ORG": "organizacion", "MISC": "otro"}
@@ -79,3 +101,4 @@ WEIGHTS = {"semantic": 0.45, "bm25": 0.30, "entity": 0.15, "confidence": 0.10}
 CANDIDATES, RRF_K, EVIDENCES, EVIDENCE_THRESHOLD, SNIPPET_CHARS = 50, 60, 8, 0.25, 240
 LOW_CONFIDENCE, LISTED_LOW, PARAGRAPH_S, PAUSE_S = 0.60, 25, 90.0, 8.0
 LABEL_GAP_S, LABEL_SIGHTINGS, LABEL_MARGIN_S, LABEL_LINE_CHARS, OFF_SCREEN_S = 6.0, 2, 6.0, 45, 60.0
+SHARED_S, SPOKEN_WINDOW_S = 2.0, 8.0

@@ -10,19 +10,51 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A with a mark, and what they are without it."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))) for i in range(0xC0, 0x180)]
-    pairs = [(c, n[0]) for c, n in pairs if len(n) > 1 and all(unicodedata.combining(x) for x in n[1:])]
-    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """By compatibility decomposition without combining marks: characters that become one, their images with
+    the marks themselves at the end of the first list (which drops them), and characters that become several.
 
+    Hangul syllables stay whole: their letters are no marks.
+    """
+    one, several, marks = {}, {}, []
+    for i in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
+        c = chr(i)
+        n = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not n:
+            marks.append(c)
+        elif n != c and len(n) == 1:
+            one[c] = n
+        elif n != c:
+            several[c] = n
+    return "".join(one) + "".join(marks), "".join(one.values()), several
 
-_FROM, _TO = _fold_table()
+
+_FROM, _TO, _SEVERAL = _fold_tables()
+
+
+def _ranges(chars: str) -> str:
+    """A pattern class of characters, neighbours as ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+_SEVERAL_CLASS = _ranges("".join(_SEVERAL))
+_SEVERAL_PAIRS = "\x02".join(f"{c}\x01{n}" for c, n in _SEVERAL.items())
+#: Where such a character may be: not in Latin letters, quotes and dashes, so most texts stop here.
+_MAYBE = "[" + _ranges("".join(c for c in _SEVERAL if ord(c) < 0x180)) + r"\x{180}-\x{200f}\x{2020}-\x{10ffff}]"
 
 
 def fold(c: Column) -> Column:
-    """Without diacritics; letters written with combining marks lose the marks."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _FROM, _TO)
+    """Without diacritics and compatibility forms: letters lose their marks, ligatures and wide letters become plain ones."""
+    known = F.str_to_map(F.lit(_SEVERAL_PAIRS), F.lit("\x02"), F.lit("\x01"))
+    parts = F.regexp_extract_all(c, F.lit(f"[{_SEVERAL_CLASS}]|[^{_SEVERAL_CLASS}]+"), F.lit(0))
+    plain = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.translate(F.when(c.rlike(_MAYBE), plain).otherwise(c), _FROM, _TO)
 
 
 def _words(c: Column) -> Column:
@@ -58,8 +90,8 @@ def discourse_type(c: Column) -> Column:
     """Question by density of question marks, then the first type whose phrases occur, else exposition."""
     asks = F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit("")))
     out = F.when((asks >= 3) | ((asks >= 1) & (F.length(c) < 200)), "pregunta")
-    for kind, phrases in K.DISCOURSE:
-        out = out.when(c.rlike(rf"(?iU)\b({'|'.join(phrases)})\b"), kind)
+    for kind, pattern in K.DISCOURSE:
+        out = out.when(c.rlike(f"(?iU){pattern}"), kind)
     return out.otherwise("exposicion")
 
 
@@ -82,13 +114,10 @@ def first_sentence(c: Column) -> Column:
 
 def clean_for_reading(c: Column) -> Column:
     """Without hesitations, immediate repetitions and stray punctuation; the first letter is upper case."""
-    word = r"[\wáéíóúñ]"
-    t = F.regexp_replace(c, rf"(?iu)(?<!{word})(?:{'|'.join(K.FILLERS)})(?!{word})\s*[,.]?\s*", " ")
-    t = F.regexp_replace(t, r"(?iU)\b(\w+)(\s+\1\b)+", "$1")
-    t = F.regexp_replace(t, r"\s+([,.;:!?])", "$1")
-    t = F.regexp_replace(t, r"([,.;:])\1+", "$1")
-    t = F.trim(F.regexp_replace(t, r"\s{2,}", " "))
-    t = F.regexp_replace(t, r"^[,.;:\s]+", "")
+    t = c
+    for pattern, new in K.CLEANUP:
+        t = F.regexp_replace(t, f"(?iuU){pattern}", new.replace("\\", "$"))
+        t = F.trim(t) if new == " " and pattern.startswith(r"\s{2") else t
     return F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, 2, 1 << 30))
 
 
@@ -151,8 +180,7 @@ def split_role(line: Column) -> Column:
 
 def spoken_names(c: Column) -> Column:
     """Names of up to four capitalised words after an introduction, pattern by pattern."""
-    name = r"([A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+){0,3})"
-    return F.concat(*[F.regexp_extract_all(c, F.lit(rf"(?U)\b{p}\s+{name}"), F.lit(1)) for p in K.INTRODUCTIONS])
+    return F.concat(*[F.regexp_extract_all(c, F.lit(f"(?U){p}"), F.lit(1)) for p in K.INTRODUCTIONS])
 
 
 def editorial_label(name: Column, off_screen: Column) -> Column:

@@ -387,7 +387,7 @@ _doc_query("t4_normalize_spoken", lambda _t: {"x": F.md5(T.normalize_spoken(_t).
 _doc_query(
     "t6_discourse_type",
     lambda _t: {"kind": T.discourse_type(_t)},
-    {"kind": "CASE WHEN length(text) - length(replace(text, '?', '')) >= 3 OR (length(text) - length(replace(text, '?', '')) >= 1 AND length(text) < 200) THEN 'pregunta' " + " ".join(rf"WHEN regexp_matches(text, '(?i)\b({'|'.join(p)})\b') THEN '{k}'" for k, p in K.DISCOURSE) + " ELSE 'exposicion' END"},
+    {"kind": "CASE WHEN length(text) - length(replace(text, '?', '')) >= 3 OR (length(text) - length(replace(text, '?', '')) >= 1 AND length(text) < 200) THEN 'pregunta' " + " ".join(rf"WHEN regexp_matches(text, '(?i){p}') THEN '{k}'" for k, p in K.DISCOURSE) + " ELSE 'exposicion' END"},
 )
 _doc_query("t17_snippet", lambda _t: {"snippet": T.snippet(_t)}, {"snippet": "left(text, 240) || CASE WHEN length(text) > 240 THEN '…' ELSE '' END"})
 _doc_query("m8_estimated_tokens", lambda _t: {"tokens": N.estimated_tokens(_t)}, {"tokens": "CASE WHEN text = '' THEN 0 ELSE floor(length(text) / 4)::INT + 1 END"})
@@ -702,15 +702,26 @@ def _(spark, d):
 
 @query("t13_glossary_changes", f"""WITH {SEG}, w AS (SELECT video_id, segment_id, unnest(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+')) AS word FROM seg),
     t AS (SELECT lower(word) AS low, strip_accents(lower(word)) AS plain FROM w WHERE length(word) >= 5 AND strip_accents(lower(word)) <> lower(word)),
-    g AS (SELECT plain, min(upper(left(low, 1)) || substr(low, 2)) AS term FROM t GROUP BY plain)
-    SELECT video_id, segment_id, string_agg(word || '→' || CASE WHEN upper(word) = word THEN upper(term) WHEN upper(left(word, 1)) = left(word, 1) THEN upper(left(term, 1)) || lower(substr(term, 2)) ELSE lower(term) END, ',' ORDER BY word) AS changes
-    FROM w JOIN g ON strip_accents(lower(word)) = plain WHERE length(word) >= 5 AND lower(word) <> lower(term) GROUP BY ALL""")
+    g AS (SELECT plain, min(upper(left(low, 1)) || substr(low, 2)) AS term FROM t GROUP BY plain),
+    c AS (SELECT video_id, segment_id, word || '→' || CASE WHEN upper(word) = word THEN upper(term) WHEN upper(left(word, 1)) = left(word, 1) THEN upper(left(term, 1)) || lower(substr(term, 2)) ELSE lower(term) END AS change
+        FROM w JOIN g ON strip_accents(lower(word)) = plain WHERE length(word) >= 5 AND lower(word) <> lower(term) AND word NOT IN (SELECT upper(left(low, 1)) || substr(low, 2) FROM t))
+    SELECT video_id, segment_id, string_agg(change, ',' ORDER BY change) AS changes FROM c GROUP BY ALL""")
 def _(spark, d):
+    out = _glossed(spark, d).where(F.size("changes") > 0)
+    return out.select("video_id", "segment_id", F.array_join(F.array_sort("changes"), ",").alias("changes"))
+
+
+def _glossed(spark: SparkSession, d: str) -> DataFrame:
+    """Turns by a glossary of their own words with diacritics."""
     s = segments(spark, d)
     low = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1))
     names = s.select(low.alias("low")).where((F.length("low") >= 5) & (T.fold(F.col("low")) != F.col("low"))).select(F.concat(F.upper(F.left("low", F.lit(1))), F.substr("low", F.lit(2))).alias("name")).distinct()
-    out = glossary.correct_terms(s, names).where(F.size("changes") > 0)
-    return out.select("video_id", "segment_id", F.array_join(F.array_sort("changes"), ",").alias("changes"))
+    return glossary.correct_terms(s, names)
+
+
+@query("j14_glossary_suggestions")
+def _(spark, d):
+    return _glossed(spark, d).where(F.size("suggestions") > 0).select("video_id", "segment_id", F.array_join(F.array_sort("suggestions"), ",").alias("suggestions"))
 
 
 @query("v5_cluster_voices")
