@@ -1,6 +1,8 @@
 """Registered queries against their SQL, and literal cases of the functions and operators."""
 
 
+import unicodedata
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from transcriba.functions import numbers as N
 from transcriba.functions import text as T
-from transcriba.operators import answers, catalogue, clustering, documents, exports, glossary, intervals, readings, search, states
+from transcriba.operators import answers, catalogue, clustering, documents, exports, glossary, intervals, labels, readings, search, states
 from transcriba.plans import registry
 from transcriba.sources import tables
 from transcriba.streaming import segments as stream
@@ -141,14 +143,14 @@ def test_fusion_literal(spark):
 
 def test_catalogue(spark):
     names = spark.createDataFrame([(n,) for n in ("CARLA ULLOA", "ULLOA", "CARLA ULL", "CARLAULLOA", "SOLEDAD BIANCHI")], "name string")
-    got = {r.name: r.canonical for r in catalogue.canonical_names(names).collect()}
+    got = {r.name: r.canonical for r in labels.canonical_names(names).collect()}
     assert got == {n: "CARLA ULLOA" for n in ("CARLA ULLOA", "ULLOA", "CARLA ULL", "CARLAULLOA")} | {"SOLEDAD BIANCHI": "SOLEDAD BIANCHI"}
     turns = spark.createDataFrame([(1, 200.0, 260.0, "S01"), (1, 300.0, 420.0, "S02")], "video_id long, start_time double, end_time double, speaker string")
-    labels = spark.createDataFrame([(1, 0, 205.0, 211.0, ["CARLA ULLOA", "HISTORIADORA"])], "video_id long, label_ord int, start_time double, end_time double, lines array<string>")
-    by = {r.speaker: r for r in catalogue.identities(turns, labels).collect()}
+    shown = spark.createDataFrame([(1, 0, 205.0, 211.0, ["CARLA ULLOA", "HISTORIADORA"])], "video_id long, label_ord int, start_time double, end_time double, lines array<string>")
+    by = {r.speaker: r for r in labels.identities(turns, shown).collect()}
     assert by["S01"].confidence == "ALTO" and by["S01"].name == "CARLA ULLOA" and by["S02"].off_screen
     read = spark.createDataFrame([(1, 0, float(i), t, 0.9, 1) for i, t in enumerate(("SOLEDAD BIANCHI", "TE SOLEDAD BIANCHI", "IANCHI", "SOLEDAD BIANCHI"))] + [(1, 1, 9.0, "SOLO", 0.9, 1)], "video_id long, session int, t double, text string, conf double, y int")
-    fam = catalogue.label_families(read).collect()
+    fam = labels.label_families(read).collect()
     assert [(f.text, f.sightings) for f in fam] == [("SOLEDAD BIANCHI", 4)]
 
 
@@ -298,3 +300,44 @@ def test_readings(spark):
     assert _one(spark, "/a b/ñ*~.mp4", T.resource_uri) == "file:///a%20b/%C3%B1%2A~.mp4" and _one(spark, "a b", T.resource_uri) == "a b"
     assert _one(spark, "", T.split_speakers) == [] and _one(spark, "A,B", T.split_speakers) == ["A", "B"]
     assert _one(spark, [], T.joined_speakers, "array<string>") is None
+
+
+@pytest.mark.parametrize(("value", "want"), [("Thế ǎ ά", "the a α"), ("ﬁn ＡＢｃ ½", "fin abc 1⁄2"), ("Ñandú…", "nandu..."), ("дом й", "дом и"), ("が", "か")])
+def test_fold_beyond_latin(spark, value, want):
+    assert _one(spark, value, T.normalize_label) == want
+    assert want == "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
+
+
+def test_containment_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = {(int(rng.integers(3)), "".join(rng.choice(list("abcd é"), rng.integers(0, 9)))) for _ in range(400)}
+    frame = spark.createDataFrame([(s, k, len(k) % 3) for s, k in rows] + [(0, None, 1)], "s int, k string, seat int")
+    got = {(r.s, r.k): r["head"] for r in labels.containment(frame, "k", "seat", ("s",)).collect()}
+    want = {}
+    for s, k in rows:
+        if k:
+            over = [x for t, x in rows if t == s and k in x and len(x) > len(k)]
+            want[s, k] = min(over, key=lambda x: (-len(x), len(x) % 3, x.encode()), default=k)
+    assert got == want
+
+
+def test_stable_labels(spark):
+    read = [(1, float(i), t, 0.9 if i else 0.6, 40) for i, t in enumerate(("SOLEDAD BIANCHI", "TE SOLEDAD BIANCHI", "IANCHI"))]
+    read += [(1, 2.0, "POETA", 0.8, 60), (1, 3.0, "POETA,", 0.8, 61), (1, 9.0, "x", 0.9, 1), (1, 30.0, "RUIDO", 0.9, 1)]
+    (r,) = labels.stable_labels(spark.createDataFrame(read, "video_id long, t double, text string, conf double, y int")).collect()
+    assert (r.start_time, r.end_time, r["lines"], r.sightings) == (0.0, 9.0, ["SOLEDAD BIANCHI", "POETA,"], 3) or r["lines"] == ["SOLEDAD BIANCHI", "POETA"]
+    assert abs(r.confidence - (0.8 + 0.8) / 2) < 1e-9
+
+
+def test_identities_by_labels_and_speech(spark):
+    turns = spark.createDataFrame([(1, 0.0, 50.0, "S00"), (1, 50.0, 100.0, "S01"), (1, 100.0, 150.0, "S02"), (1, 150.0, 250.0, "S03")], "video_id long, start_time double, end_time double, speaker string")
+    rows = [(1, 0, 5.0, 8.0, ["CARLA ULLOA", "HISTORIADORA UDP"], 0.9, 4), (1, 1, 20.0, 23.0, ["CARLA ULL"], 0.8, 2), (1, 2, 60.0, 63.0, ["PABLO ROJAS", "POETA"], 0.9, 3), (1, 3, 70.0, 72.0, ["CARLAULLOA"], 0.9, 2)]
+    shown = spark.createDataFrame(rows, "video_id long, label_ord int, start_time double, end_time double, lines array<string>, confidence double, sightings long")
+    spoken = spark.createDataFrame([(1, 7, 101.0, "Hola, yo soy Ana Mora y más"), (1, 8, 120.0, "mi nombre es Eva"), (1, 9, 10.0, "yo soy Carla")], "video_id long, segment_id long, start_time double, text string")
+    by = {r.speaker: r for r in labels.identities(turns, shown, spoken).collect()}
+    shared = "«CARLA ULLOA» aparece atribuido a 2 voces distintas (S00, S01): revisar si la separación de voces partió a la misma persona"
+    assert (by["S00"].name, by["S00"].role, by["S00"].institution, by["S00"].confidence) == ("CARLA ULLOA", "HISTORIADORA", "UDP", "MEDIO")
+    assert by["S00"].evidence == ["Rótulo en pantalla [00:00:05]: «CARLA ULLOA / HISTORIADORA UDP» (leído 4 veces, OCR 90%)", "Rótulo repetido [00:00:20] confirma el nombre", shared, "Mención verbal [00:00:10]: se nombra a «Carla» (no altera la identificación visual)"]
+    assert by["S01"].evidence == ["Rótulo en pantalla [00:01:00]: «PABLO ROJAS / POETA» (leído 3 veces, OCR 90%)", "CONFLICTO: otro rótulo [00:01:10] dice «CARLA ULLOA» sobre esta misma voz", shared]
+    assert (by["S02"].name, by["S02"].confidence, len(by["S02"].evidence)) == ("Ana Mora", "MEDIO", 2) and by["S02"].evidence[0] == "Mención verbal [00:01:41]: se nombra a «Ana Mora»"
+    assert by["S03"].off_screen and by["S03"].confidence == "BAJO" and by["S03"].evidence[0].startswith("Habla 2 min repartidos")

@@ -14,17 +14,18 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """By compatibility decomposition without combining marks: characters that become one, their images with
     the marks themselves at the end of the first list (which drops them), and characters that become several.
 
-    Hangul syllables stay whole: their letters are no marks.
+    The rule holds for the basic plane but for Han forms and Hangul syllables, which hold no marks; characters
+    that become several, for alphabetic scripts up to U+2E7F and Latin ligatures.
     """
     one, several, marks = {}, {}, []
-    for i in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
+    for i in (*range(0x80, 0x2E80), *range(0x3000, 0x3200), *range(0xA000, 0xAC00), *range(0xFB00, 0xFFF0)):
         c = chr(i)
         n = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if not n:
             marks.append(c)
         elif n != c and len(n) == 1:
             one[c] = n
-        elif n != c:
+        elif n != c and i < 0xFB07:
             several[c] = n
     return "".join(one) + "".join(marks), "".join(one.values()), several
 
@@ -44,17 +45,20 @@ def _ranges(chars: str) -> str:
 
 
 _SEVERAL_CLASS = _ranges("".join(_SEVERAL))
-_SEVERAL_PAIRS = "\x02".join(f"{c}\x01{n}" for c, n in _SEVERAL.items())
+_SEVERAL_PAIRS = "".join(f"\x02{c}\x01{n}" for c, n in _SEVERAL.items())  # one string: a map of so many entries is slow to plan with
 #: Where such a character may be: not in Latin letters, quotes and dashes, so most texts stop here.
-_MAYBE = "[" + _ranges("".join(c for c in _SEVERAL if ord(c) < 0x180)) + r"\x{180}-\x{200f}\x{2020}-\x{10ffff}]"
+_MAYBE = "[" + _ranges("".join(c for c in _SEVERAL if ord(c) < 0x180)) + r"\x{180}-\x{200f}\x{2020}-\x{fb06}]"
 
 
 def fold(c: Column) -> Column:
     """Without diacritics and compatibility forms: letters lose their marks, ligatures and wide letters become plain ones."""
-    known = F.str_to_map(F.lit(_SEVERAL_PAIRS), F.lit("\x02"), F.lit("\x01"))
+    def image(x: Column) -> Column:
+        mark = F.concat(F.lit("\x02"), x, F.lit("\x01"))
+        after = F.call_function("substring_index", F.lit(_SEVERAL_PAIRS), mark, F.lit(-1))
+        return F.when((F.length(x) == 1) & F.contains(F.lit(_SEVERAL_PAIRS), mark), F.substring_index(after, "\x02", 1)).otherwise(x)
+
     parts = F.regexp_extract_all(c, F.lit(f"[{_SEVERAL_CLASS}]|[^{_SEVERAL_CLASS}]+"), F.lit(0))
-    plain = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
-    return F.translate(F.when(c.rlike(_MAYBE), plain).otherwise(c), _FROM, _TO)
+    return F.translate(F.when(c.rlike(_MAYBE), F.array_join(F.transform(parts, image), "")).otherwise(c), _FROM, _TO)
 
 
 def _words(c: Column) -> Column:
@@ -251,24 +255,32 @@ def is_media(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*K.VIDEO_EXTENSIONS, *K.AUDIO_EXTENSIONS)
 
 
+def _told(lines: Column) -> Column:
+    """What each line of a label is, decided once: text, credit, name, role and institution."""
+    def tell(x: Column) -> Column:
+        part = split_role(x)
+        return F.struct(F.trim(x).alias("text"), is_credit(x).alias("credit"), looks_like_name(x).alias("name"), part["role"].alias("role"), part["institution"].alias("institution"))
+
+    return F.transform(lines, tell)
+
+
 def read_label(lines: Column) -> Column:
     """Struct of name, role and institution of a label's lines; null if it identifies nobody."""
     start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("institution"))
 
     def step(a: Column, x: Column) -> Column:
-        part = split_role(x)
-        is_name = a["name"].isNull() & ~is_credit(x) & looks_like_name(x)
-        is_inst = ~is_name & is_credit(x) & a["institution"].isNull()
+        is_name = a["name"].isNull() & ~x["credit"] & x["name"]
+        is_inst = ~is_name & x["credit"] & a["institution"].isNull()
         rest = ~is_name & ~is_inst
         return F.struct(
-            F.when(is_name, F.trim(x)).otherwise(a["name"]).alias("name"),
-            F.when(rest & a["role"].isNull() & (part["role"] != ""), part["role"]).otherwise(a["role"]).alias("role"),
-            F.when(is_inst, F.trim(x)).when(rest & part["institution"].isNotNull(), part["institution"]).otherwise(a["institution"]).alias("institution"),
+            F.when(is_name, x["text"]).otherwise(a["name"]).alias("name"),
+            F.when(rest & a["role"].isNull() & (x["role"] != ""), x["role"]).otherwise(a["role"]).alias("role"),
+            F.when(is_inst, x["text"]).when(rest & x["institution"].isNotNull(), x["institution"]).otherwise(a["institution"]).alias("institution"),
         )
 
-    out = F.aggregate(lines, start, step)
+    out = F.aggregate(_told(lines), start, step)
     usable = (F.size(lines) > 0) & ~F.exists(lines, lambda x: x.rlike(_YEAR) | (F.length(x) > K.LABEL_LINE_CHARS))
-    return F.when(usable & out["name"].isNotNull(), out)
+    return F.when(usable, F.get(F.filter(F.array(out), lambda x: x["name"].isNotNull()), F.lit(0)))
 
 
 def read_citation(lines: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions import text as T
 
 
@@ -32,38 +31,6 @@ def cooccurrence(mentions: DataFrame) -> DataFrame:
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
 
 
-def label_families(readings: DataFrame) -> DataFrame:
-    """Variants of on-screen lines within a session (video_id, session, text, conf, y).
-
-    The shorter of two folded texts joins the first longer one that contains it; families seen fewer than
-    two times go; a family's text is its longest, without short edge words, dropped under three letters.
-    """
-    rows = readings.withColumn("norm", T.normalize_ocr(F.col("text"))).where("norm <> ''")
-    texts = rows.groupBy("video_id", "session", "norm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.min("y").alias("y"), F.min_by("text", F.struct("t", "text")).alias("text"), F.min("t").alias("t"), F.max("t").alias("last"))
-    item = F.struct((-F.length("norm")).alias("size"), "t", "norm", "n", "conf", "y", "text", "last")
-    groups = texts.groupBy("video_id", "session").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    heads = F.aggregate("items", F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda h: F.contains(h, x["norm"])), a).otherwise(F.concat(a, F.array(x["norm"]))))
-    groups = groups.withColumn("heads", heads).withColumn("head", F.explode("heads"))
-    head, all_heads = F.col("head"), F.col("heads")
-    own = F.filter("items", lambda x: F.get(F.filter(all_heads, lambda h: F.contains(h, x["norm"])), F.lit(0)) == head)
-    groups = groups.withColumn("own", own)
-    seen = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    conf = F.aggregate("own", F.lit(0.0), lambda a, x: a + x["conf"])
-    out = groups.select("video_id", "session", T.strip_edges(F.get("own", F.lit(0))["text"]).alias("text"), seen.alias("sightings"), (conf / seen).alias("confidence"), F.array_min(F.transform("own", lambda x: x["y"])).alias("y"))
-    return out.where((F.col("sightings") >= K.LABEL_SIGHTINGS) & (F.length("text") >= 3))
-
-
-def canonical_names(names: DataFrame) -> DataFrame:
-    """Name, canonical of one group of names: the first longer name whose key contains this one's."""
-    keyed = names.select("name").distinct().withColumn("key", T.name_key(F.col("name"))).where("key <> ''")
-    items = keyed.agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("k"), (-F.length("name")).alias("n"), "name", "key"))).alias("items"))
-    start = F.array().cast("array<struct<name:string,key:string>>")
-    heads = F.aggregate("items", start, lambda a, x: F.when(F.exists(a, lambda h: F.contains(h["key"], x["key"])), a).otherwise(F.concat(a, F.array(F.struct(x["name"].alias("name"), x["key"].alias("key"))))))
-    rows = items.withColumn("heads", heads).select(F.explode("items").alias("i"), "heads")
-    key = F.col("i.key")
-    return rows.select(F.col("i.name").alias("name"), F.get(F.filter("heads", lambda h: F.contains(h["key"], key)), F.lit(0))["name"].alias("canonical"))
-
-
 def upsert_media(old: DataFrame, new: DataFrame) -> DataFrame:
     """Media by checksum: path and title of the new row, its provenance where given; the rest stays."""
     a, b = old.alias("a"), new.alias("b")
@@ -95,27 +62,6 @@ def delete_videos(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("video_id").distinct(), "video_id", "left_anti")
 
 
-def identities(turns: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each voice with the name that labels give it and its confidence.
-
-    labels: video_id, label_ord, start_time, end_time, lines. A label names the dominant voice around it.
-    ALTO needs a role and two seconds of shared time; another name on the voice, or another voice with
-    the name, makes it MEDIO; none leaves BAJO, and 60 seconds of nameless speech are an off-screen voice.
-    """
-    from .intervals import dominant_speaker
-
-    voice = turns.groupBy("video_id", "speaker").agg(F.min("start_time").alias("first_s"), F.max("end_time").alias("last_s"), F.sum(F.col("end_time") - F.col("start_time")).alias("spoken_s"))
-    read = labels.withColumn("p", T.read_label(F.col("lines"))).where(F.col("p").isNotNull())
-    at = dominant_speaker(read, turns, "label_ord", K.LABEL_MARGIN_S).where(F.col("speaker").isNotNull())
-    claims = read.select("video_id", "label_ord", "p").join(at, ["video_id", "label_ord"])
-    voices = claims.groupBy("video_id", "p.name").agg(F.countDistinct("speaker").alias("voices"))
-    claims = claims.withColumn("name", F.col("p.name")).join(voices, ["video_id", "name"])
-    per = claims.groupBy("video_id", "speaker").agg(F.min_by(F.struct("name", "p.role", "p.institution", "seconds"), "label_ord").alias("c"), F.countDistinct("name").alias("names"), F.max("voices").alias("voices"))
-    level = F.when(F.col("c").isNull(), "BAJO").when((F.col("names") > 1) | (F.col("voices") > 1) | F.col("c.role").isNull() | (F.col("c.seconds") < 2.0), "MEDIO").otherwise("ALTO")
-    out = voice.join(per, ["video_id", "speaker"], "left")
-    return out.select("video_id", "speaker", F.col("c.name").alias("name"), F.col("c.role").alias("role"), F.col("c.institution").alias("institution"), level.alias("confidence"), "first_s", "last_s", "spoken_s", (F.col("c").isNull() & (F.col("spoken_s") >= K.OFF_SCREEN_S)).alias("off_screen"))
-
-
 def holdout(rows: DataFrame, person: str, order: str) -> DataFrame:
     """Of each person the first half of the rows, rounded down, trains; the rest tests; single rows train."""
     w, n = Window.partitionBy(person).orderBy(order), F.count("*").over(Window.partitionBy(person))

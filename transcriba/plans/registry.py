@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, readings, search, states
+from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, labels, readings, search, states
 from ..sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,17 +358,99 @@ def _(spark, d):
     return intervals.content_start(f)
 
 
-@query("q8_identities")
+def screen_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words on screen: each turn's lines in three frames, of which later ones lose words at the left."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j"), "text")
+    lines = c.select("conv_id", "turn", "j", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
+    words = lines.select("conv_id", "turn", "j", "line", F.posexplode(F.split(F.trim("said"), r"\s+")).alias("ord", "text")).where(F.col("ord") >= F.col("j"))
+    t = F.col("turn") * (8 + F.col("conv_id") % 4) + F.col("j") * 2
+    conf = 60 + (F.col("ord") * 7 + F.col("conv_id") + F.col("j")) % 40
+    return words.select(F.col("conv_id").alias("video_id"), t.cast("double").alias("t"), F.lit(0).alias("block"), "line", "ord", "text", conf.cast("double").alias("conf"), (F.col("line") * 10 + F.col("j")).alias("top"))
+
+
+_OCR = r"trim(regexp_replace(regexp_replace(strip_accents(upper(replace({0}, 'ß', 'SS'))), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
+_SCREEN = rf"""fr AS (SELECT conv_id AS video_id, turn, j, coalesce(text, '') AS text FROM conversations CROSS JOIN (SELECT unnest(range(3)) AS j)),
+    li AS (SELECT video_id, turn, j, unnest(string_split(text, chr(10))) AS said, unnest(range(len(string_split(text, chr(10))))) AS line FROM fr),
+    wo AS (SELECT video_id, turn * (8 + video_id % 4) + j * 2 AS t, line, j, unnest(regexp_split_to_array(trim(said), '\s+')) AS x, unnest(range(len(regexp_split_to_array(trim(said), '\s+')))) AS ord FROM li),
+    us AS (SELECT *, 60 + (ord * 7 + video_id + j) % 40 AS conf FROM wo WHERE ord >= j AND CASE WHEN regexp_full_match(x, '\p{{Nd}}+') THEN length(x) = 4 ELSE length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 2 END),
+    rd AS (SELECT video_id, t::DOUBLE AS t, string_agg(x, ' ' ORDER BY ord) AS text, avg(conf) / 100 AS conf, min(line * 10 + j) AS y FROM us WHERE conf >= 70 GROUP BY video_id, t, line HAVING length(string_agg(x, ' ')) >= 3),
+    sn AS (SELECT *, sum(c) OVER (PARTITION BY video_id ORDER BY t) - 1 AS session FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id ORDER BY t) > 6 THEN 1 WHEN lag(t) OVER (PARTITION BY video_id ORDER BY t) IS NULL THEN 1 ELSE 0 END AS c FROM rd)),
+    nt AS (SELECT video_id, session, {_OCR.format("text")} AS norm, count(*) AS n, sum(conf) AS conf, min(y) AS y, min({{'t': t, 'y': y, 'text': text}}) AS seat FROM sn GROUP BY ALL HAVING norm <> ''),
+    hd AS (SELECT * FROM nt a WHERE NOT EXISTS (SELECT 1 FROM nt b WHERE a.video_id = b.video_id AND a.session = b.session AND length(b.norm) > length(a.norm) AND contains(b.norm, a.norm))),
+    fm AS (SELECT nt.*, hd.norm AS head, hd.seat AS head_seat FROM nt JOIN hd ON nt.video_id = hd.video_id AND nt.session = hd.session AND contains(hd.norm, nt.norm) QUALIFY row_number() OVER (PARTITION BY nt.video_id, nt.session, nt.norm ORDER BY length(hd.norm) DESC, hd.seat, hd.norm) = 1),
+    fs AS (SELECT video_id, session, head, head_seat, regexp_split_to_array(trim(head_seat.text), '\s+') AS w, sum(n) AS sightings, sum(conf) / sum(n) AS confidence, min(y) AS y FROM fm GROUP BY ALL),
+    fx AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: length(trim(w[i], '.,;:-—|')) > 2) AS ix FROM fs),
+    ft AS (SELECT *, CASE WHEN len(ix) > 0 THEN array_to_string(w[ix[1]:ix[-1]], ' ') ELSE '' END AS text FROM fx),
+    fa AS (SELECT * FROM ft WHERE sightings >= 2 AND length(text) >= 3)"""
+
+
+@query("w8_label_families", f"WITH {_SCREEN} SELECT video_id, session::BIGINT AS session, text, sightings::BIGINT AS sightings, round(confidence, 6) AS confidence, y FROM fa")
+def _(spark, d):
+    rows = labels.label_families(intervals.sessions(readings.read_lines(screen_words(spark, d)), K.LABEL_GAP_S))
+    return rows.select("video_id", F.col("session").cast("long").alias("session"), "text", F.col("sightings").cast("long").alias("sightings"), _r("confidence").alias("confidence"), "y")
+
+
+@query(
+    "q9_detect_labels",
+    f"""WITH {_SCREEN}, sp AS (SELECT video_id, session, min(t) AS start_time, max(t) AS end_time FROM sn GROUP BY ALL)
+    SELECT video_id, session::BIGINT AS label_ord, start_time, end_time, string_agg(text, ' / ' ORDER BY y, -length(head), head_seat) AS lines, round(avg(confidence), 6) AS confidence, max(sightings)::BIGINT AS sightings FROM sp JOIN fa USING (video_id, session) GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = labels.detect_labels(screen_words(spark, d))
+    return rows.select("video_id", F.col("label_ord").cast("long").alias("label_ord"), "start_time", "end_time", F.array_join("lines", " / ").alias("lines"), _r("confidence").alias("confidence"), F.col("sightings").cast("long").alias("sightings"))
+
+
+@query(
+    "j15_canonical_names",
+    r"""WITH w AS (SELECT DISTINCT conv_id AS video_id, trim(unnest(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda x: x <> '')), '.,;:¿?¡!()"' || chr(39)) AS name FROM conversations),
+    n AS (SELECT *, regexp_replace(strip_accents(upper(replace(name, 'ß', 'SS'))), '[^A-Z0-9]', '', 'g') AS key FROM w WHERE length(name) >= 3 AND upper(left(name, 1)) = left(name, 1) AND lower(left(name, 1)) <> left(name, 1))
+    SELECT a.video_id, a.name, b.name AS canonical FROM n a JOIN n b ON a.video_id = b.video_id AND contains(b.key, a.key) WHERE a.key <> '' QUALIFY row_number() OVER (PARTITION BY a.video_id, a.name ORDER BY length(b.key) DESC, length(b.name) DESC, b.name) = 1""",
+)
 def _(spark, d):
+    words = F.explode(T.capitalised_words(F.coalesce("text", F.lit("")), 3))
+    return labels.canonical_names(segments(spark, d).select("video_id", words.alias("name")), ("video_id",))
+
+
+_Q8 = f"""{SEG}, {TURN}, lab AS (SELECT video_id, segment_id AS label_ord, start_time, end_time, CASE segment_id % 3 WHEN 0 THEN 'Ana ' ELSE 'ANA' END || upper(left(speaker, 1 + segment_id % 5)) AS name, CASE WHEN segment_id % 4 <> 1 THEN 'POETA' END AS role, segment_id % 4 <> 1 AS has, 0.5 + segment_id / 20 AS conf, segment_id + 2 AS seen FROM seg WHERE speaker IS NOT NULL),
+    lk AS (SELECT DISTINCT video_id, name, replace(upper(name), ' ', '') AS key FROM lab),
+    ca AS (SELECT a.video_id, a.name, b.name AS canonical FROM lk a JOIN lk b ON a.video_id = b.video_id AND contains(b.key, a.key) QUALIFY row_number() OVER (PARTITION BY a.video_id, a.name ORDER BY length(b.key) DESC, length(b.name) DESC, b.name) = 1),
+    o AS (SELECT l.video_id, label_ord, t.speaker, sum(least(l.end_time + 6, t.end_time) - greatest(l.start_time - 6, t.start_time)) AS o, min(t.start_time) AS ts FROM lab l JOIN turns t ON l.video_id = t.video_id AND l.start_time - 6 < t.end_time AND t.start_time < l.end_time + 6 GROUP BY ALL),
+    dm AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY video_id, label_ord ORDER BY round(o, 9) DESC, ts) = 1),
+    cl AS (SELECT l.video_id, l.label_ord, l.start_time, ca.canonical AS name, l.name AS raw, role, has, conf, seen, speaker, o FROM lab l JOIN ca ON l.video_id = ca.video_id AND l.name = ca.name JOIN dm ON l.video_id = dm.video_id AND l.label_ord = dm.label_ord),
+    cf AS (SELECT *, first_value(name) OVER w AS name1, first_value(role) OVER w AS role1, first_value(has) OVER w AS has1, first_value(o) OVER w AS o1, row_number() OVER w AS r FROM cl WINDOW w AS (PARTITION BY video_id, speaker ORDER BY label_ord)),
+    sh AS (SELECT video_id, name, list_sort(list(DISTINCT speaker)) AS who, min(label_ord) AS since FROM cl GROUP BY ALL HAVING len(who) > 1),
+    sa AS (SELECT video_id, segment_id, start_time, 'Luis ' || CASE WHEN segment_id % 2 = 0 THEN 'Mora' ELSE 'Vera' END AS said FROM seg WHERE segment_id % 3 <> 1),
+    so AS (SELECT a.video_id, segment_id, t.speaker, sum(least(a.start_time + 8, t.end_time) - greatest(a.start_time, t.start_time)) AS o, min(t.start_time) AS ts FROM sa a JOIN turns t ON a.video_id = t.video_id AND a.start_time < t.end_time AND t.start_time < a.start_time + 8 GROUP BY ALL),
+    sd AS (SELECT * FROM so QUALIFY row_number() OVER (PARTITION BY video_id, segment_id ORDER BY round(o, 9) DESC, ts) = 1),
+    sv AS (SELECT a.*, d.speaker, row_number() OVER (PARTITION BY a.video_id, d.speaker ORDER BY a.start_time, a.segment_id) AS r, d.speaker IN (SELECT c.speaker FROM cl c WHERE c.video_id = a.video_id) AS seen FROM sa a JOIN sd d ON a.video_id = d.video_id AND a.segment_id = d.segment_id),
+    no AS (SELECT video_id, speaker, 1 AS phase, label_ord::DOUBLE AS a, CASE WHEN r = 1 THEN 'Rótulo en pantalla [' || {{clock}} || ']: «' || raw || CASE WHEN has THEN ' / POETA UNAM' ELSE '' END || '» (leído ' || seen || ' veces, OCR ' || round_even(conf * 100, 0)::INT || '%)' WHEN name <> name1 THEN 'CONFLICTO: otro rótulo [' || {{clock}} || '] dice «' || name || '» sobre esta misma voz' ELSE 'Rótulo repetido [' || {{clock}} || '] confirma el nombre' END AS note FROM cf
+        UNION ALL SELECT video_id, unnest(who), 2, since, '«' || name || '» aparece atribuido a ' || len(who) || ' voces distintas (' || array_to_string(who, ', ') || '): revisar si la separación de voces partió a la misma persona' FROM sh
+        UNION ALL SELECT video_id, speaker, 3, start_time, 'Mención verbal [' || {{clock}} || ']: se nombra a «' || said || '»' || CASE WHEN r = 1 AND NOT seen THEN '' ELSE ' (no altera la identificación visual)' END FROM sv),
+    vo AS (SELECT video_id, speaker, min(start_time) AS first_s, max(end_time) AS last_s, sum(end_time - start_time) AS spoken_s FROM turns GROUP BY ALL),
+    ev AS (SELECT video_id, speaker, string_agg(note, chr(10) ORDER BY phase, a, note) AS evidence FROM no GROUP BY ALL),
+    c1 AS (SELECT video_id, speaker, name1, role1, has1, o1, bool_or(name <> name1) AS conflict FROM cf GROUP BY ALL),
+    pr AS (SELECT v.*, coalesce(name1, said) AS name, role1 AS role, CASE WHEN has1 THEN 'UNAM' END AS institution, evidence,
+        CASE WHEN name1 IS NULL AND said IS NULL THEN 'BAJO' WHEN name1 IS NULL THEN 'MEDIO' WHEN has1 AND o1 >= 2 AND NOT conflict AND v.speaker NOT IN (SELECT unnest(who) FROM sh WHERE sh.video_id = v.video_id) THEN 'ALTO' ELSE 'MEDIO' END AS confidence, (name1 IS NULL AND said IS NULL AND spoken_s >= 60) AS off_screen
+        FROM vo v LEFT JOIN c1 ON v.video_id = c1.video_id AND v.speaker = c1.speaker LEFT JOIN (SELECT * FROM sv WHERE r = 1) s ON v.video_id = s.video_id AND v.speaker = s.speaker LEFT JOIN ev ON v.video_id = ev.video_id AND v.speaker = ev.speaker)"""
+
+
+def _identities(spark: SparkSession, d: str) -> DataFrame:
+    """Voices of the conversations by labels with variants of names, and by names said aloud."""
     s = segments(spark, d)
-    labels = s.select("video_id", F.col("segment_id").alias("label_ord"), "start_time", "end_time", F.array(F.concat(F.lit("Ana "), F.initcap("speaker")), F.lit("POETA UNAM")).alias("lines")).where("speaker is not null")
-    return catalogue.identities(turns(spark, d), labels)
+    k = F.col("segment_id")
+    name = F.concat(F.when(k % 3 == 0, "Ana ").otherwise("ANA"), F.upper(F.left("speaker", (1 + k % 5).cast("int"))))
+    lines = F.when(k % 4 != 1, F.array(name, F.lit("POETA UNAM"))).otherwise(F.array(name))
+    shown = s.where("speaker is not null").select("video_id", k.alias("label_ord"), "start_time", "end_time", lines.alias("lines"), (0.5 + k / 20).alias("confidence"), (k + 2).alias("sightings"))
+    said = F.concat(F.lit("Hola, yo soy Luis "), F.when(k % 2 == 0, "Mora").otherwise("Vera"), F.lit(" . "), F.lower("text"))
+    return labels.identities(turns(spark, d), shown, s.where(k % 3 != 1).select("video_id", "segment_id", "start_time", said.alias("text")))
+
+
+_IDENTITIES = "WITH " + _Q8.replace("{clock}", _CLOCK.format("start_time"))
 
 
-@query("w8_label_families")
+@query("q8_identities", _IDENTITIES + " SELECT video_id, speaker, name, role, institution, confidence, first_s, last_s, spoken_s, off_screen, coalesce(evidence, '') AS evidence FROM pr")
 def _(spark, d):
-    r = table(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.upper("event_type").alias("text"), F.lit(0.9).alias("conf"), (F.col("event_id") % 7).alias("y"))
-    return catalogue.label_families(intervals.sessions(r, 86400.0))
+    return _identities(spark, d).withColumn("evidence", F.array_join("evidence", "\n"))
 
 
 # -- text functions, over whole documents -----------------------------------------------------------
@@ -668,9 +750,10 @@ def _(spark, d):
     return exports.bundle(m.select("video_id", F.concat(F.lit("v"), "video_id").alias("title")).distinct(), m)
 
 
-@query("k10_participants")
+@query("k10_participants", _IDENTITIES + f""" SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY first_s, speaker) AS number, CASE WHEN name IS NOT NULL THEN upper(name) WHEN off_screen THEN 'VOZ EN OFF' ELSE 'VOZ NO IDENTIFICADA' END AS label, name, role, institution, confidence,
+    {_CLOCK.format("first_s")} AS first, {_CLOCK.format("last_s")} AS last, off_screen FROM pr""")
 def _(spark, d):
-    return exports.participants(_QUERIES["q8_identities"](spark, d))
+    return exports.participants(_identities(spark, d))
 
 
 @query(
