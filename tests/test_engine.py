@@ -341,3 +341,25 @@ def test_identities_by_labels_and_speech(spark):
     assert by["S01"].evidence == ["Rótulo en pantalla [00:01:00]: «PABLO ROJAS / POETA» (leído 3 veces, OCR 90%)", "CONFLICTO: otro rótulo [00:01:10] dice «CARLA ULLOA» sobre esta misma voz", shared]
     assert (by["S02"].name, by["S02"].confidence, len(by["S02"].evidence)) == ("Ana Mora", "MEDIO", 2) and by["S02"].evidence[0] == "Mención verbal [00:01:41]: se nombra a «Ana Mora»"
     assert by["S03"].off_screen and by["S03"].confidence == "BAJO" and by["S03"].evidence[0].startswith("Habla 2 min repartidos")
+
+
+def test_live_videos_end_resume_and_time_out(spark, tmp_path):
+    kinds = "video_id long, segment_id long, start_time double, end_time double, text string, speaker string, status string, at timestamp"
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, kinds.replace("at timestamp", "sec long")).withColumn("at", F.timestamp_seconds(F.col("sec") + 86400)).drop("sec")
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        stream.run_available(stream.live_utterances(spark.readStream.schema(kinds).parquet(f"{tmp_path}/in"), pause=2.0, max_s=6.0, late="1 second", idle_s=100), f"{tmp_path}/out", f"{tmp_path}/check")
+
+    def found():
+        return {(r.video_id, r.kind, r.speaker, r.start_time, r.end_time, r.text, r.n, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    arrive([(1, 0, 0.0, 1.0, " a ", "A", None, 1), (1, 1, 1.0, 2.0, None, "A", None, 2), (2, 0, 0.0, 1.0, "x", None, None, 2)])
+    arrive([(1, 1, 1.0, 2.0, "again", "A", None, 3), (1, 2, 2.0, 3.0, "b", "A", None, 3), (1, 3, 9.0, 16.0, "c", "A", None, 4), (1, 4, 16.0, 17.0, "d", "A", None, 5)])
+    assert found() == {(1, "utterance", "A", 0.0, 3.0, "a b", 3, None), (1, "utterance", "A", 9.0, 16.0, "c", 1, None)}
+    arrive([(1, None, None, None, None, None, "completed", 6), (1, 5, 17.0, 18.0, "late", "A", None, 7), (3, 0, 0.0, 1.0, "z", "Z", None, 900)])
+    arrive([(3, 1, 1.0, 2.0, "z", "Z", None, 901)])
+    rest = found() - {(1, "utterance", "A", 0.0, 3.0, "a b", 3, None), (1, "utterance", "A", 9.0, 16.0, "c", 1, None)}
+    assert {(1, "utterance", "A", 16.0, 17.0, "d", 1, None), (1, "status", None, None, 17.0, None, 5, "completed")} <= rest
+    assert {(2, "utterance", None, 0.0, 1.0, "x", 1, None), (2, "status", None, None, 1.0, None, 1, "failed")} <= rest
+    assert [stream.moved(a, b) for a, b in (("pending", "indexing"), ("indexing", "segmenting"), ("completed", "failed"), ("segmenting", "failed"))] == ["indexing", "indexing", "completed", "failed"]

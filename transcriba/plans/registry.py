@@ -15,7 +15,8 @@ from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, labels, readings, search, states
-from ..sources.tables import table
+from ..sources.tables import table, work_folder
+from ..streaming import segments as live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -250,6 +251,27 @@ def _(spark, d):
     return u.select("video_id", "speaker", "start_time", _r("end_time").alias("end_time"), "text", F.size("segment_ids").cast("long").alias("n"))
 
 
+@query(
+    "r1_live_utterances",
+    rf"""WITH {SEG}, {_UTT}, u AS (SELECT video_id, speaker, min(start_time) AS start_time, max_by(end_time, segment_id) AS end_time, coalesce(string_agg(trim(text), ' ' ORDER BY segment_id) FILTER (trim(text) <> ''), '') AS text, count(*) AS n FROM y GROUP BY video_id, run, speaker)
+    SELECT video_id, 'utterance' AS kind, speaker, start_time, round(end_time, 6) AS end_time, text, n, NULL AS status FROM u
+    UNION ALL SELECT video_id, 'status', NULL, NULL, round(max(end_time), 6), NULL, count(*), CASE WHEN video_id % 5 = 0 THEN 'failed' ELSE 'completed' END FROM seg GROUP BY video_id""",
+)
+def _(spark, d):
+    """Turns arrive in three parts, of which each run takes what is there and sends the part before again; then the ends."""
+    folder = work_folder(spark)
+    s = segments(spark, d).withColumns({"status": F.lit(None).cast("string"), "at": F.timestamp_seconds(86400 + F.col("segment_id"))})
+    s = s.select("video_id", "segment_id", "start_time", "end_time", "text", "speaker", "status", "at")
+    parts = [s.where("segment_id < 3"), s.where("segment_id between 1 and 4"), s.where("segment_id >= 4")]
+    ended = s.groupBy("video_id").agg(F.max("at").alias("at")).select("video_id", F.when(F.col("video_id") % 5 == 0, "failed").otherwise("completed").alias("status"), "at")
+    for part in (*parts, ended):
+        part.write.mode("append").parquet(f"{folder}/arrived")
+        stream = spark.readStream.schema(s.schema).parquet(f"{folder}/arrived")
+        live.run_available(live.live_utterances(stream, pause=3.0), f"{folder}/said", f"{folder}/checkpoint")
+    out = spark.read.parquet(f"{folder}/said")
+    return out.withColumn("end_time", _r("end_time"))
+
+
 def _fold_sql(cut: str) -> str:
     """Chunk numbers by recursion over the segments of a video; cut sees cur, nxt and the chunk's start."""
     return f"""WITH RECURSIVE {SEG}, s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, segment_id) AS i FROM seg),

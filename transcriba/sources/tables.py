@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,16 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+
+    Where that setting is absent a local folder serves on one machine; on a cluster that is an error.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="transcriba-")
+    return f"{top.rstrip('/')}/transcriba-{uuid.uuid4().hex}"
