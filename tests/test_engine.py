@@ -363,3 +363,14 @@ def test_live_videos_end_resume_and_time_out(spark, tmp_path):
     assert {(1, "utterance", "A", 16.0, 17.0, "d", 1, None), (1, "status", None, None, 17.0, None, 5, "completed")} <= rest
     assert {(2, "utterance", None, 0.0, 1.0, "x", 1, None), (2, "status", None, None, 1.0, None, 1, "failed")} <= rest
     assert [stream.moved(a, b) for a, b in (("pending", "indexing"), ("indexing", "segmenting"), ("completed", "failed"), ("segmenting", "failed"))] == ["indexing", "indexing", "completed", "failed"]
+
+
+def test_folds_are_linear(spark):
+    """One video of 200,000 rows: chunks of 25 s, utterances of 90 s, frames every 5 s."""
+    t = F.col("id") * 2.0
+    rows = spark.range(200_000).select(F.lit(1).alias("video_id"), F.col("id").alias("segment_id"), t.alias("start_time"), (t + 1.5).alias("end_time"), F.lit("a").alias("speaker"), F.lit("hola").alias("text"))
+    chunks = intervals.segment_chunks(rows, 2.0, 12.0, 25.0).groupBy("chunk").count().collect()
+    assert len(chunks) == 15385 and max(r["count"] for r in chunks) == 13
+    said = intervals.utterances(rows, 8.0, 90.0).select(F.size("segment_ids").alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in said} == {46: 4347, 38: 1}
+    assert intervals.sample_frames(rows.select("video_id", F.col("start_time").alias("t"), F.lit(1.0).alias("luma")), 5.0).count() == 66667

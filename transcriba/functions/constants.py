@@ -102,3 +102,6 @@ CANDIDATES, RRF_K, EVIDENCES, EVIDENCE_THRESHOLD, SNIPPET_CHARS = 50, 60, 8, 0.2
 LOW_CONFIDENCE, LISTED_LOW, PARAGRAPH_S, PAUSE_S = 0.60, 25, 90.0, 8.0
 LABEL_GAP_S, LABEL_SIGHTINGS, LABEL_MARGIN_S, LABEL_LINE_CHARS, OFF_SCREEN_S = 6.0, 2, 6.0, 45, 60.0
 SHARED_S, SPOKEN_WINDOW_S = 2.0, 8.0
+
+# Fixed value: what every transcript warns of.
+WARNING = "Transcripción automática (voz a texto) sin revisar. Las etiquetas de hablante las asigna un modelo y pueden confundirse en cruces de voz. Antes de publicar: cotejar con el audio las citas textuales, los nombres propios y las cifras."

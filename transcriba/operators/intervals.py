@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,32 +96,61 @@ def relabel(turns: DataFrame, label: str = "speaker") -> DataFrame:
     return turns.join(names, ["video_id", label]).withColumn(label, F.col("_name")).drop("_name")
 
 
+def numbered(rows: DataFrame, order: list[str], uses: list[str], begin: Callable[[], Callable[..., int]], out: str, key: str = "video_id") -> DataFrame:
+    """rows with a number that depends on all earlier rows of the key: a fold whose state is as small as one row.
+
+    begin makes the function that is called with the values of `uses`, row by row in order, and gives the
+    number. Spark sorts and spills; a task streams through its keys, holds one state, and takes time in
+    proportion to its rows, so a key of any length is read once.
+    """
+    fields = rows.schema.fieldNames()
+    at, own = [fields.index(c) for c in uses], fields.index(key)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, last = None, None
+        for batch in batches:
+            got = []
+            for k, *values in zip(batch.column(own).to_pylist(), *(batch.column(i).to_pylist() for i in at), strict=True):
+                if step is None or k != last:
+                    step, last = begin(), k
+                got.append(step(*values))
+            yield pa.record_batch([*batch.columns, pa.array(got, pa.int64())], [*fields, out])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kinds}, `{out}` bigint")
+
+
 def utterances(segments: DataFrame, pause: float = 0.0, max_s: float = 0.0, text: str = "text", id_col: str = "segment_id") -> DataFrame:
     """Segments of one speaker in a row, cut at pauses longer than `pause` and at spans of `max_s` or more.
 
     Null speakers are one speaker. An utterance ends with its last segment; its text is their trimmed
     texts joined by spaces. Zero switches a limit off. With a limit on the span the cut depends on the
-    previous cut, so a fold over the speaker's run decides; without, windows do.
+    previous cut, so a fold over the video decides; without, windows do.
     """
-    w = Window.partitionBy("video_id").orderBy("start_time", id_col)
-    change = ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker"))
-    if pause > 0:
-        change = change | (F.col("start_time") - F.lag("end_time").over(w) > pause)
-    rows = _runs(segments, change, ["start_time", id_col])
-    item = F.struct("start_time", F.col(id_col).alias("id"), "end_time", F.trim(text).alias("text"))
+    if max_s > 0:
+        def begin() -> Callable[..., int]:
+            held: list = []
+
+            def step(start: float, end: float, speaker: str | None) -> int:
+                if not held:
+                    held[:] = [0, start, end, speaker]
+                elif speaker != held[3] or (pause > 0 and start - held[2] > pause) or held[2] - held[1] >= max_s:
+                    held[:] = [held[0] + 1, start, end, speaker]
+                else:
+                    held[2] = end
+                return held[0]
+
+            return step
+
+        rows = numbered(segments.select("video_id", id_col, "start_time", "end_time", "speaker", F.col(text).alias("text")), ["start_time", id_col], ["start_time", "end_time", "speaker"], begin, "run")
+    else:
+        w = Window.partitionBy("video_id").orderBy("start_time", id_col)
+        change = ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker"))
+        if pause > 0:
+            change = change | (F.col("start_time") - F.lag("end_time").over(w) > pause)
+        rows = _runs(segments.withColumn("text", F.col(text)), change, ["start_time", id_col])
+    item = F.struct("start_time", F.col(id_col).alias("id"), "end_time", F.trim("text").alias("text"))
     runs = rows.groupBy("video_id", "run", "speaker").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    if max_s > 0:  # cut numbers within the run, then one group for each number
-        start = F.struct(F.lit(-1).alias("cut"), F.lit(0.0).cast("double").alias("from"), F.lit(0.0).cast("double").alias("to"), F.array().cast("array<int>").alias("cuts"))
-
-        def step(a: Column, x: Column) -> Column:
-            new = (a["cut"] < 0) | (a["to"] - a["from"] >= max_s)
-            cut = F.when(new, a["cut"] + 1).otherwise(a["cut"])
-            return F.struct(cut.alias("cut"), F.when(new, x["start_time"]).otherwise(a["from"]).alias("from"), x["end_time"].alias("to"), F.concat(a["cuts"], F.array(cut)).alias("cuts"))
-
-        runs = runs.withColumn("cuts", F.aggregate("items", start, step)["cuts"])
-        runs = runs.withColumn("cut", F.explode(F.array_distinct("cuts")))
-        cuts, n = F.col("cuts"), F.col("cut")
-        runs = runs.withColumn("items", F.filter("items", lambda x, i: F.get(cuts, i) == n))
     nonblank = F.filter(F.transform("items", lambda x: x["text"]), lambda x: x != "")
     return runs.select("video_id", "speaker", F.get("items", F.lit(0))["start_time"].alias("start_time"), F.element_at("items", -1)["end_time"].alias("end_time"), F.array_join(nonblank, " ").alias("text"), F.transform("items", lambda x: x["id"]).alias("segment_ids"))
 
@@ -131,22 +161,23 @@ def segment_chunks(segments: DataFrame, pause: float, min_s: float, max_s: float
     After a segment the chunk is cut if it spans max_s, or if the pause to the next segment is longer
     than `pause` and it spans min_s, or if the speaker changes (two null speakers do not).
     """
-    item = F.struct("start_time", F.col(id_col).alias("id"), "end_time", "speaker")
-    runs = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    null = F.lit(None)
-    start = F.struct(F.lit(0).alias("chunk"), null.cast("double").alias("from"), null.cast("double").alias("to"), null.cast("string").alias("speaker"), F.array().cast("array<int>").alias("chunks"))
+    def begin() -> Callable[..., int]:
+        held: list = []
 
-    def step(a: Column, x: Column) -> Column:
-        dur = a["to"] - a["from"]
-        cut = (dur >= max_s) | ((x["start_time"] - a["to"] > pause) & (dur >= min_s))
-        if by_speaker:
-            cut = cut | ~a["speaker"].eqNullSafe(x["speaker"])
-        cut = a["to"].isNotNull() & cut
-        n = a["chunk"] + cut.cast("int")
-        return F.struct(n.alias("chunk"), F.when(cut | a["to"].isNull(), x["start_time"]).otherwise(a["from"]).alias("from"), x["end_time"].alias("to"), x["speaker"].alias("speaker"), F.concat(a["chunks"], F.array(n)).alias("chunks"))
+        def step(start: float, end: float, speaker: str | None) -> int:
+            if not held:
+                held[:] = [0, start, end, speaker]
+                return 0
+            spans = held[2] - held[1]
+            if spans >= max_s or (start - held[2] > pause and spans >= min_s) or (by_speaker and speaker != held[3]):
+                held[:2] = [held[0] + 1, start]
+            held[2:] = [end, speaker]
+            return held[0]
 
-    runs = runs.withColumn("chunks", F.aggregate("items", start, step)["chunks"])
-    return runs.select("video_id", F.explode(F.arrays_zip("items", "chunks")).alias("z")).select("video_id", F.col("z.items.id").alias(id_col), F.col("z.chunks").alias("chunk"))
+        return step
+
+    rows = numbered(segments.select("video_id", id_col, "start_time", "end_time", "speaker"), ["start_time", id_col], ["start_time", "end_time", "speaker"], begin, "chunk")
+    return rows.select("video_id", id_col, F.col("chunk").cast("int").alias("chunk"))
 
 
 def semantic_chunks(segments: DataFrame, encode: Callable[[list[str]], object], pause: float = K.SEGMENT_PAUSE_S, min_s: float = K.SEGMENT_MIN_S, max_s: float = K.SEGMENT_MAX_S, by_speaker: bool = True, cosine: float = K.SEGMENT_COSINE, window: int = K.SEGMENT_WINDOW, id_col: str = "segment_id") -> DataFrame:
@@ -194,14 +225,18 @@ def sessions(readings: DataFrame, gap: float, key: str = "video_id", t: str = "t
 
 def sample_frames(frames: DataFrame, every: float) -> DataFrame:
     """Greedy sampling: each kept frame sets the next target to its own time plus `every`."""
-    runs = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "luma"))).alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("next"), F.array().cast("array<struct<t:double,luma:double>>").alias("kept"))
+    def begin() -> Callable[..., int]:
+        after: list = []
+
+        def step(t: float) -> int:
+            take = not after or t >= after[0]
+            if take:
+                after[:] = [t + every]
+            return int(take)
 
-    def step(a: Column, x: Column) -> Column:
-        take = a["next"].isNull() | (x["t"] >= a["next"])
-        return F.struct(F.when(take, x["t"] + every).otherwise(a["next"]).alias("next"), F.when(take, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
+        return step
 
-    return runs.select("video_id", F.explode(F.aggregate("items", start, step)["kept"]).alias("k")).select("video_id", "k.t", "k.luma")
+    return numbered(frames.select("video_id", "t", "luma"), ["t", "luma"], ["t"], begin, "kept").where("kept = 1").drop("kept")
 
 
 def content_start(frames: DataFrame, luma: float = 16.0, every: float = 1.0, until: float = 120.0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, exports, glossary, intervals, labels, readings, search, states
+from ..operators import answers, catalogue, clustering, documents, editorial, exports, glossary, intervals, labels, readings, search, states
 from ..sources.tables import table, work_folder
 from ..streaming import segments as live
 
@@ -351,10 +351,21 @@ def _(spark, d):
     return documents.srt(segments(spark, d))
 
 
-@query("k5_markdown", f"WITH {SEG}, f AS (SELECT video_id, speaker, min(start_time) AS s FROM seg WHERE speaker IS NOT NULL GROUP BY ALL), h AS (SELECT video_id, string_agg(speaker, ', ' ORDER BY s) AS who FROM f GROUP BY ALL) SELECT seg.video_id, '# v' || seg.video_id || chr(10) || chr(10) || coalesce(who, '') || chr(10) || chr(10) || string_agg('**' || coalesce(speaker, 'SPEAKER_?') || '** [' || {_CLOCK.format('start_time')} || '] ' || text, chr(10) || chr(10) ORDER BY start_time) AS markdown FROM seg LEFT JOIN h ON seg.video_id = h.video_id GROUP BY seg.video_id, who")
+@query(
+    "k5_markdown",
+    rf"""WITH {SEG}, {_UTT}, u AS (SELECT video_id, speaker, min(start_time) AS start_time, max_by(end_time, segment_id) AS end_time, coalesce(string_agg(trim(text), ' ' ORDER BY segment_id) FILTER (trim(text) <> ''), '') AS text FROM y GROUP BY video_id, run, speaker),
+    v AS (SELECT *, CASE WHEN speaker = 'user' AND video_id % 2 = 0 THEN 'Ana ' || video_id ELSE coalesce(speaker, 'SPEAKER_?') END AS who FROM u), f AS (SELECT video_id, who, min(start_time) AS s FROM v GROUP BY ALL), h AS (SELECT video_id, string_agg(who, ', ' ORDER BY s) AS who FROM f GROUP BY ALL),
+    l AS (SELECT video_id, max(end_time) AS s FROM seg GROUP BY ALL)
+    SELECT v.video_id, '# v' || v.video_id || chr(10) || chr(10) || '- **Título:** v' || v.video_id || chr(10) || CASE WHEN v.video_id % 3 = 0 THEN '- **Fuente:** http://x/' || v.video_id || chr(10) ELSE '' END || '- **Duración:** ' || {_CLOCK.format('l.s')} || chr(10) || '- **Archivo:** ' || v.video_id || '.mp4' || chr(10) || '- **Exportado:** 2024-01-31 10:00'
+        || chr(10) || chr(10) || '> {K.WARNING}' || chr(10) || chr(10) || '**Intervienen:** ' || h.who || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('`[' || {_CLOCK.format('start_time')} || ']` **' || v.who || ':** ' || text || chr(10), chr(10) ORDER BY start_time) AS markdown
+    FROM v JOIN h ON v.video_id = h.video_id JOIN l ON v.video_id = l.video_id GROUP BY v.video_id, h.who, l.s""",
+)
 def _(spark, d):
     s = segments(spark, d)
-    return documents.markdown(s, s.select("video_id").distinct().withColumn("title", F.concat(F.lit("v"), F.col("video_id"))))
+    k = F.col("video_id")
+    m = s.groupBy("video_id").agg(F.max("end_time").alias("duration_seconds")).select("video_id", F.concat(F.lit("v"), k).alias("title"), F.concat(F.lit("/media/"), k, F.lit(".mp4")).alias("path"), F.when(k % 3 == 0, F.concat(F.lit("http://x/"), k)).alias("source_url"), "duration_seconds")
+    names = s.where("speaker = 'user' and video_id % 2 = 0").select("video_id", F.lit("user").alias("speaker_label"), F.concat(F.lit("Ana "), k).alias("display_name")).distinct()
+    return editorial.markdown_transcripts(m, editorial.prepare(m, s, names, pause=3.0), exported="2024-01-31 10:00")
 
 
 @query("m5_clock", f"WITH {MEDIA} SELECT video_id, {_CLOCK.format('duration_seconds')} AS clock FROM media")
@@ -499,8 +510,6 @@ _doc_query("d2_yaml_value", lambda _t: {"x": F.md5(T.yaml_value(_t).cast("binary
 _doc_query("d4_safe_file_name", lambda _t: {"x": F.md5(T.safe_file_name(_t).cast("binary"))}, {"x": r"md5(regexp_replace(text, '[^\p{L}\p{N} _.\-]', '_', 'g'))"})
 _doc_query("d1_slug", lambda _t: {"slug": F.md5(T.slug(_t, F.md5(F.col("doc_id").cast("string").cast("binary"))).cast("binary"))}, {"slug": r"md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'sin-titulo') || '-' || left(md5(doc_id::VARCHAR), 8))"})
 _doc_query("t8_clean_for_reading", lambda _t: {"x": F.md5(T.clean_for_reading(_t).cast("binary"))}, None)
-_doc_query("t11_hallucination", lambda _t: {"loop": T.is_loop(_t), "invented": T.is_hallucination(_t)}, None)
-_doc_query("t18_name_lines", lambda _t: {"names": F.size(F.filter(F.split(_t, "\n"), T.looks_like_name)), "credits": F.size(F.filter(F.split(_t, "\n"), T.is_credit))}, None)
 
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOPWORDS)
@@ -761,9 +770,94 @@ def _(spark, d):
     return exports.review_list(s, who, quotes, s.where("confidence >= 0.9").select("video_id", "start_time", "text"))
 
 
-@query("q10_published", f"WITH {SEG} SELECT video_id, count(*) AS n FROM seg WHERE start_time < 30.0 GROUP BY ALL")
+_SPOKEN = r"trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _loop_sql(text: str) -> str:
+    """T10 of a text column."""
+    parts = rf"list_filter(list_transform(list_filter(string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda z: trim(z) <> ''), lambda z: {_SPOKEN.format('z')}), lambda z: z <> '')"
+    words = rf"len(list_filter(regexp_split_to_array({parts}[1], '\s+'), lambda z: z <> ''))"
+    return f"coalesce(len({parts}) >= 2 AND len(list_distinct({parts})) = 1 AND {words} < 12, FALSE)"
+
+
+def _invented_sql(text: str) -> str:
+    """T11 of a text column."""
+    said = _SPOKEN.format(text)
+    stock = " OR ".join(f"(contains({said}, '{p}') AND {len(p)} / greatest(length({said}), 1) > 0.6)" for p in K.STOCK_PHRASES)
+    return f"CASE WHEN coalesce({said}, '') = '' THEN FALSE ELSE {_loop_sql(text)} OR {stock} END"
+
+
+_doc_query("t11_hallucination", lambda _t: {"loop": T.is_loop(_t), "invented": T.is_hallucination(_t)}, {"loop": _loop_sql("text"), "invented": _invented_sql("text")})
+_BARE = r"list_filter(regexp_split_to_array(trim(regexp_replace(upper({0}), '{1}', ' ', 'g')), '\s+'), lambda z: z <> '')"
+_NOT_NAMES = ", ".join(f"'{w}'" for w in (*K.ROLES, *K.INSTITUTIONS, *K.FUNCTION_WORDS))
+_CREDIT_WORDS = ", ".join(f"'{w}'" for w in K.CREDITS)
+_doc_query(
+    "t18_name_lines",
+    lambda _t: {"names": F.size(F.filter(F.split(_t, "\n"), T.looks_like_name)), "credits": F.size(F.filter(F.split(_t, "\n"), T.is_credit))},
+    {
+        "names": rf"len(list_filter(string_split(text, chr(10)), lambda l: len(list_filter(regexp_split_to_array(trim(l), '\s+'), lambda z: z <> '')) BETWEEN 1 AND 4 AND NOT list_has_any({_BARE.format('l', '[^\p{L}\p{M}\p{Nd}_ ]')}, [{_NOT_NAMES}]) AND NOT regexp_matches(l, '\b(1[89]\d\d|20\d\d)\b')))::INT",
+        "credits": rf"len(list_filter(string_split(text, chr(10)), lambda l: list_has_any({_BARE.format('strip_accents(l)', '[^A-Z ]')}, [{_CREDIT_WORDS}])))::INT",
+    },
+)
+
+_SAID = _fold_sql("(r.speaker IS DISTINCT FROM n.speaker OR n.start_time - r.end_time > 8 OR r.end_time - r.f >= 90)") + ", said AS (SELECT r.video_id, r.speaker, min(seg.start_time) AS start_time, max_by(seg.end_time, seg.segment_id) AS end_time, coalesce(string_agg(trim(text), ' ' ORDER BY seg.segment_id) FILTER (trim(text) <> ''), '') AS text FROM r JOIN seg ON r.video_id = seg.video_id AND r.segment_id = seg.segment_id WHERE seg.start_time < 30 + r.video_id % 20 GROUP BY r.video_id, chunk, r.speaker)"
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """Utterances for publication of conversations whose content ends after 30 to 49 seconds."""
+    s = segments(spark, d)
+    return editorial.interventions(s, s.groupBy("video_id").agg(F.lit(0).alias("z")).select("video_id", (F.col("video_id") % 20 + 30.0).alias("end_s")))
+
+
+@query("q10_published", _SAID + f" SELECT video_id, speaker, start_time, round(end_time, 6) AS end_time, text, {_invented_sql('text')} AS invented FROM said")
+def _(spark, d):
+    return _said(spark, d).select("video_id", "speaker", "start_time", _r("end_time").alias("end_time"), "text", "invented")
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """Citations on screen: one for each fourth turn."""
+    s = segments(spark, d).where("segment_id % 4 = 2")
+    return s.select("video_id", F.col("segment_id").alias("citation_id"), (F.col("start_time") - 2).alias("start_time"), F.col("end_time"), F.concat(F.lit("T"), "segment_id").alias("title"), F.when(F.col("video_id") % 2 == 0, "Ana").alias("author"), F.when(F.col("video_id") % 3 == 0, "1974").alias("year"))
+
+
+@query(
+    "k9_body_lines",
+    _SAID.replace("WITH RECURSIVE", "WITH RECURSIVE " + _IDENTITIES[5:] + ",", 1).replace(SEG + ", s AS", "s AS")
+    + f""", c AS (SELECT video_id, segment_id AS citation_id, start_time - 2 AS cs, 'Título en pantalla: «T' || segment_id || '»' || CASE WHEN video_id % 2 = 0 THEN ' · Autor: Ana' ELSE '' END || CASE WHEN video_id % 3 = 0 THEN ' · 1974' ELSE '' END AS card FROM seg WHERE segment_id % 4 = 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time) AS ord FROM said WHERE NOT {_invented_sql('text')}),
+    k AS (SELECT p.video_id, ord, arg_min(citation_id, cs) AS citation_id, arg_min(card, cs) AS card FROM p JOIN c ON p.video_id = c.video_id AND cs BETWEEN p.start_time - 4 AND p.end_time GROUP BY ALL),
+    m AS (SELECT p.*, k.citation_id, k.card, pr.speaker IS NOT NULL AS known, pr.name, pr.role, pr.institution, pr.off_screen, lag(k.citation_id) OVER (PARTITION BY p.video_id ORDER BY p.ord) AS before, row_number() OVER (PARTITION BY p.video_id, p.speaker ORDER BY p.ord) = 1 AS first
+        FROM p LEFT JOIN k ON p.video_id = k.video_id AND p.ord = k.ord LEFT JOIN pr ON p.video_id = pr.video_id AND p.speaker = pr.speaker),
+    w AS (SELECT *, CASE WHEN NOT known THEN 'VOZ NO IDENTIFICADA' WHEN name IS NOT NULL THEN upper(name) WHEN off_screen THEN 'VOZ EN OFF' ELSE 'VOZ NO IDENTIFICADA' END AS short FROM m)
+    SELECT video_id, ord, start_time, round(end_time, 6) AS end_time, CASE WHEN citation_id IS NOT NULL AND before IS DISTINCT FROM citation_id THEN card END AS opens,
+        short || CASE WHEN NOT (known AND first) THEN '' WHEN role IS NOT NULL OR institution IS NOT NULL THEN ' — ' || concat_ws(', ', role, institution) WHEN off_screen THEN ' — NARRACIÓN' ELSE '' END AS who, short, text, citation_id IS NULL AND before IS NOT NULL AS closes FROM w""",
+)
+def _(spark, d):
+    return editorial.body_lines(_said(spark, d), _identities(spark, d), _cards(spark, d), clean=False).withColumn("end_time", _r("end_time"))
+
+
+@query("k8_package")
+def _(spark, d):
+    s = segments(spark, d)
+    m = s.groupBy("video_id").agg(F.max("end_time").alias("duration_seconds")).select("video_id", F.concat(F.lit("v"), "video_id").alias("title"), F.when(F.col("video_id") % 2 == 0, F.concat(F.lit("http://x/"), "video_id")).alias("url"), "duration_seconds")
+    ends = m.select("video_id", (F.col("video_id") % 20 + 30.0).alias("end_s"))
+    return editorial.package(m, s, _identities(spark, d), _cards(spark, d), ends)
+
+
+@query(
+    "k17_free_names",
+    """WITH RECURSIVE w AS (SELECT doc_id AS ord, source || '_recortado.mp4' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0),
+    t AS (SELECT DISTINCT source || '_recortado' || CASE WHEN doc_id % 7 < 2 THEN '' ELSE '_' || (doc_id % 7) END || '.mp4' AS name FROM documents WHERE doc_id % 7 <> 4),
+    g AS (SELECT name, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT name, unnest(range(1, n + 10)) AS k FROM g),
+    f AS (SELECT name, CASE WHEN k = 1 THEN name ELSE replace(name, '.mp4', '_' || k || '.mp4') END AS free, k FROM k), o AS (SELECT name, free, row_number() OVER (PARTITION BY name ORDER BY k) AS rank FROM f WHERE free NOT IN (SELECT name FROM t))
+    SELECT w.ord, w.name, o.free FROM w JOIN o ON w.name = o.name AND w.rank = o.rank""",
+)
 def _(spark, d):
-    return exports.published(segments(spark, d), 30.0).groupBy("video_id").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents")
+    wanted = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("_recortado.mp4")).alias("name"))
+    k = F.col("doc_id") % 7
+    taken = docs.where(k != 4).select(F.concat("source", F.lit("_recortado"), F.when(k < 2, "").otherwise(F.concat(F.lit("_"), k)), F.lit(".mp4")).alias("name"))
+    return editorial.free_names(wanted, taken)
 
 
 @query("k4_bundle")

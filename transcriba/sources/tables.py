@@ -52,3 +52,10 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="transcriba-")
     return f"{top.rstrip('/')}/transcriba-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what several results need is made once, and a lost executor costs nothing."""
+    path = f"{work_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
