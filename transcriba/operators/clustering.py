@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,81 @@ def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_
 
     kept = regions.where(F.col("end_time") - F.col("start_time") >= min_s).select("video_id", "start_time", F.least("end_time", F.col("start_time") + max_s).alias("end_time"), "embedding")
     return kept.groupBy("video_id").applyInPandas(run, "video_id long, start_time double, end_time double, cluster int")
+
+
+def scatter(rows: DataFrame, label: str = "label", embedding: str = "embedding") -> DataFrame:
+    """V9: i, j, within, between: the scatter matrices of labelled vectors, entry by entry (from 0), i <= j.
+
+    Each task sums the products of its vectors as one matrix; these and the sums of the classes are added up by
+    i and j, so what is shuffled is a matrix for each task, whatever the number of vectors. Null labels and vectors do not count.
+    """
+    kept = rows.where(F.col(label).isNotNull() & F.col(embedding).isNotNull()).select(F.col(label).cast("string").alias("c"), F.col(embedding).cast("array<double>").alias("x"))
+
+    def products(batches):
+        total = None
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float)
+            if len(x):
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "v"])
+
+    squares = kept.mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("all"))
+    sums = kept.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))  # a row for each class and dimension
+    a, b = sums.select("c", "i", "s", "n"), sums.select("c", F.col("i").alias("j"), F.col("s").alias("t"))
+    own = a.join(b, "c").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("s") * F.col("t") / F.col("n")).alias("classes"), F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("n").alias("n"))
+    out = squares.join(own, ["i", "j"])
+    return out.select("i", "j", (F.col("all") - F.col("classes")).alias("within"), (F.col("classes") - F.col("s") * F.col("t") / F.col("n")).alias("between"))
+
+
+def discriminants(matrices: DataFrame, k: int) -> np.ndarray:
+    """V9: the k directions (as columns) that most part the classes against their own spread, from scatter's rows: d by d, on the driver."""
+    rows = matrices.collect()  # a row for each pair of dimensions
+    d = max(r.i for r in rows) + 1
+    w, b = np.zeros((d, d)), np.zeros((d, d))
+    for r in rows:
+        w[r.i, r.j] = w[r.j, r.i] = r.within
+        b[r.i, r.j] = b[r.j, r.i] = r.between
+    value, vector = np.linalg.eigh(w)
+    white = vector / np.sqrt(np.maximum(value, 1e-6 * max(value.max(), 1e-12)))
+    share, turn = np.linalg.eigh(white.T @ b @ white)
+    return white @ turn[:, np.argsort(-share)[:k]]
+
+
+def projected(rows: DataFrame, directions: np.ndarray, embedding: str = "embedding") -> DataFrame:
+    """V9: rows with their vectors projected and of length one."""
+    @F.arrow_udf("array<double>")
+    def project(x: pa.Array) -> pa.Array:
+        p = np.array(x.to_pylist(), float).reshape(len(x), -1) @ directions
+        return pa.array((p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-10)).tolist(), pa.list_(pa.float64()))
+
+    return rows.withColumn(embedding, project(F.col(embedding)))
+
+
+def tune_projection(regions: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8), base: float = 0.75) -> tuple[np.ndarray | None, float, tuple[int, int], tuple[int, int]]:
+    """Directions and threshold for regions (video_id, start_time, end_time, person, embedding), with errors before and after.
+
+    The first half of each person's regions teaches, the second measures: fusions and fragmentations of the clusters of all regions,
+    counted there. A projection that does not make fewer errors than the vectors as they are, at the base threshold, is not kept: None.
+    """
+    from .catalogue import diarization_errors, holdout
+
+    parts = holdout(regions.where(F.col("person").isNotNull()), "person", "start_time").select("video_id", "start_time", "end_time", "person", "part")
+    known = regions.join(parts.where("part = 'train'").select("video_id", "start_time", "end_time"), ["video_id", "start_time", "end_time"], "left_semi")
+    tested = parts.where("part = 'test'").select("video_id", "start_time", "person")
+
+    def errors(rows: DataFrame, at: float) -> tuple[int, int]:
+        found = cluster_voices(rows, at).select("video_id", "start_time", F.concat_ws("-", "video_id", "cluster").alias("cluster"))
+        r = diarization_errors(found.join(tested, ["video_id", "start_time"])).first()
+        return r.fusions, r.fragmentations
+
+    before = errors(regions, base)
+    people = known.select("person").distinct().count()
+    if people < 3:
+        return None, base, before, before
+    directions = discriminants(scatter(known, "person"), people - 1)
+    turned = projected(regions, directions)
+    tried = {at: errors(turned, at) for at in thresholds}  # a run for each threshold
+    best = min(tried, key=lambda at: (sum(tried[at]), at))
+    return (directions, best, before, tried[best]) if sum(tried[best]) < sum(before) else (None, base, before, tried[best])

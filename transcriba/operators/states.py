@@ -108,3 +108,22 @@ def accepted_by_default(name: Column, confidence: Column) -> Column:
 def accepted_names(identities: DataFrame, checked: Column) -> DataFrame:
     """the names of ticked identities that are not blank, trimmed."""
     return identities.where(checked & (F.trim("name") != "")).select("video_id", F.col("speaker").alias("speaker_label"), F.trim("name").alias("display_name"))
+
+
+#: The tables of a video in the order in which a deletion empties them, and the key by which a row belongs to it.
+CASCADE = (("vectors", "chunk_id"), ("mappings", "chunk_id"), ("mentions", "video_id"), ("notes", "video_id"), ("speakers", "video_id"), ("chunks", "video_id"), ("segments", "video_id"), ("videos", "video_id"))
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables without what hangs on the deleted videos (video_id), in the order of CASCADE.
+
+    Vectors and mappings go by the chunks that go. Entities and their relations stay: other videos may
+    stand behind them. Unknown ids and a second deletion change nothing; tables of other names come back as they are.
+    RuntimeError if a deleted video has chunks and there is no table of vectors: they would be left behind.
+    """
+    ids = gone.select("video_id").distinct()
+    lost = tables["chunks"].join(ids, "video_id", "left_semi").select("chunk_id").distinct()
+    if "vectors" not in tables and lost.limit(1).count():
+        raise RuntimeError("the videos have indexed chunks: deleting them takes the index too")
+    keys = dict(CASCADE)
+    return {name: rows.join(lost if keys[name] == "chunk_id" else ids, keys[name], "left_anti") if name in keys else rows for name, rows in tables.items()}

@@ -7,6 +7,7 @@ Transcripts come from `conversations` (a conversation is a video, a turn a segme
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, editorial, exports, glossary, intervals, labels, readings, search, states
+from ..operators import answers, catalogue, clustering, documents, editorial, exports, glossary, intervals, labels, readings, search, states, vector_index
+from ..sources import store
 from ..sources.tables import table, work_folder
 from ..streaming import segments as live
 
@@ -146,10 +148,48 @@ def _(spark, d):
     return catalogue.ingest(found, media(spark, d), "P").drop("title")
 
 
-@query("d20_delete_videos", f"WITH {SEG} SELECT video_id, count(*) AS n FROM seg WHERE video_id % 3 <> 0 GROUP BY ALL")
+_CASCADE = ("vectors", "mappings", "mentions", "notes", "speakers", "chunks", "segments", "videos", "entities")
+
+
+@query(
+    "d20_delete_videos",
+    f"""WITH {SEG}, x AS (SELECT video_id || '-' || segment_id AS id, video_id, segment_id, speaker FROM seg WHERE video_id % 3 <> 0)
+    SELECT 'vectors' AS kind, id FROM x UNION ALL SELECT 'mappings', id FROM x UNION ALL SELECT 'mentions', id FROM x WHERE segment_id % 2 = 0 UNION ALL SELECT 'notes', id FROM x WHERE segment_id = 1
+    UNION ALL SELECT DISTINCT 'speakers', video_id || '-' || speaker FROM x WHERE speaker IS NOT NULL UNION ALL SELECT 'chunks', id FROM x UNION ALL SELECT 'segments', id FROM x UNION ALL SELECT DISTINCT 'videos', video_id::VARCHAR FROM x
+    UNION ALL SELECT DISTINCT 'entities', speaker FROM seg WHERE speaker IS NOT NULL""",
+)
 def _(spark, d):
     s = segments(spark, d)
-    return catalogue.delete_videos(s, s.where("video_id % 3 = 0").select("video_id")).groupBy("video_id").agg(F.count("*").alias("n"))
+    ident = F.concat_ws("-", "video_id", "segment_id")
+    rows = s.select("video_id", "segment_id", "speaker", ident.alias("id"), ident.alias("chunk_id"))
+    tables = {
+        "vectors": rows.select("chunk_id", "id"), "mappings": rows.select("chunk_id", "id"), "mentions": rows.where("segment_id % 2 = 0"), "notes": rows.where("segment_id = 1"),
+        "speakers": rows.where("speaker is not null").select("video_id", F.concat_ws("-", "video_id", "speaker").alias("id")).distinct(), "chunks": rows, "segments": rows,
+        "videos": rows.select("video_id", F.col("video_id").cast("string").alias("id")).distinct(), "entities": rows.where("speaker is not null").select(F.col("speaker").alias("id")).distinct(),
+    }
+    gone = s.where("video_id % 3 = 0").select("video_id").unionByName(s.limit(1).select(F.lit(-7).cast("long").alias("video_id")))
+    left = states.delete_cascade(states.delete_cascade(tables, gone), gone)
+    out = [left[k].select(F.lit(k).alias("kind"), "id") for k in _CASCADE]
+    return reduce(DataFrame.unionAll, out)
+
+
+@query("d22_migrations", f"WITH {MEDIA} SELECT video_id, title, CASE WHEN video_id % 2 = 1 THEN NULL ELSE -1.0::DOUBLE END AS content_start_s, CASE video_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'none' ELSE project_id END AS project FROM media")
+def _(spark, d):
+    """Media written under three versions of their table, migrations applied twice, read under the last."""
+    m = media(spark, d)
+    base = store.Store(spark, work_folder(spark))
+    one = (1, (store.CreateTable("videos", (("video_id", "long"), ("title", "string"))),))
+    two = (2, (store.AddColumn("videos", "content_start_s", "double", "-1.0"),))
+    three = (3, (store.AddColumn("videos", "project", "string", "'none'"),))
+    base.migrate([one])
+    base.append("videos", m.where("video_id % 3 = 0 and video_id % 2 = 0"))
+    base.migrate([one, two])
+    start = F.when(F.col("video_id") % 2 == 0, -1.0)
+    base.append("videos", m.where("video_id % 3 = 1 or (video_id % 3 = 0 and video_id % 2 = 1)").withColumn("content_start_s", start))
+    base.migrate([three, two, one])
+    base.migrate([one, two, three])
+    base.append("videos", m.where("video_id % 3 = 2").select("video_id", "title", start.alias("content_start_s"), F.col("project_id").alias("project")))
+    return base.read("videos")
 
 
 @query("d17_rename_speakers", f"WITH {SEG}, c AS (SELECT DISTINCT video_id, speaker AS speaker_label FROM seg WHERE speaker IS NOT NULL) SELECT video_id, speaker_label, CASE WHEN speaker_label = 'user' THEN 'U' || video_id ELSE 'old' END AS display_name FROM c WHERE NOT (speaker_label = 'user' AND video_id % 2 = 0)")
@@ -613,6 +653,31 @@ def _(spark, d):
     return search.vector_top(q, e, 10, "vec_id").select("query_id", "vec_id", _r("semantic", 5).alias("semantic"))
 
 
+@query("k14_index_top", _SQL["l2_vector_top"])
+def _(spark, d):
+    """An index of four fifths of the vectors, some of them wrong; the rest is added, the wrong ones replaced, and a vector of no use removed."""
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    folder, k = work_folder(spark), F.col("chunk_id") % 5
+    wrong = F.when(k == 2, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    start = e.where(k != 1).select("chunk_id", wrong.alias("embedding"))
+    vector_index.VectorIndex.create(start.unionByName(start.limit(1).withColumn("chunk_id", F.lit(-1).cast("long"))), folder)
+    index = vector_index.VectorIndex(spark, folder)
+    index.update(e.where(k.isin(1, 2)), start.limit(1).select(F.lit(-1).cast("long").alias("chunk_id")))
+    q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    return index.search(q, 10).select("query_id", F.col("chunk_id").alias("vec_id"), _r("semantic", 5).alias("semantic"))
+
+
+@query(
+    "v9_scatter",
+    """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i, vec_id FROM embeddings), m AS (SELECT label, i, sum(v) AS s, count(*) AS n FROM e GROUP BY ALL),
+    g AS (SELECT i, sum(s) AS s, sum(n) AS n FROM m GROUP BY ALL), p AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL),
+    c AS (SELECT a.i, b.i AS j, sum(a.s * b.s / a.n) AS v FROM m a JOIN m b ON a.label = b.label AND a.i <= b.i GROUP BY ALL)
+    SELECT p.i::INT AS i, p.j::INT AS j, round(p.v - c.v, 4) AS within, round(c.v - x.s * y.s / x.n, 4) AS between FROM p JOIN c ON p.i = c.i AND p.j = c.j JOIN g x ON x.i = p.i JOIN g y ON y.i = p.j""",
+)
+def _(spark, d):
+    return clustering.scatter(table(spark, d, "embeddings")).select("i", "j", _r("within", 4).alias("within"), _r("between", 4).alias("between"))
+
+
 @query("w2_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
     e = table(spark, d, "embeddings")
