@@ -89,6 +89,39 @@ def test_discriminants_part_the_classes(spark):
     assert kept[0] is None
 
 
+def _matrix_linkage(x, threshold, k=0):
+    """Average linkage by the whole matrix of distances, the nearest pair first."""
+    n = len(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups, d = [[i] for i in range(n)], 1 - unit @ unit.T
+    while len(groups) > max(1, k):
+        h, i, j = min((float(d[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if k == 0 and h > threshold:
+            break
+        groups[i] += groups.pop(j)
+    label = np.zeros(n, int)
+    for g, rows in enumerate(sorted(groups, key=min)):
+        label[rows] = g
+    return label.tolist()
+
+
+def test_chains_give_the_clusters_of_the_matrix():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 9, 30, 90):
+        x = rng.normal(size=(n, 5)) + np.repeat(rng.normal(size=(-(-n // 10), 5)) * 2, 10, 0)[:n]
+        for at in (0.2, 0.6, 0.75, 1.1):
+            assert clustering.average_linkage(x, at).tolist() == _matrix_linkage(x, at)
+        assert clustering.average_linkage(x, 0, min(4, n)).tolist() == _matrix_linkage(x, 0, min(4, n))
+    assert clustering.average_linkage(np.zeros((0, 3)), 0.7).tolist() == []
+
+
+def test_diarize_names_turns(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 0.0, 2.0, w), (1, 2.0, 2.3, v), (1, 2.3, 5.0, w), (1, 5.0, 9.0, v), (1, 9.0, 60.0, v), (2, 0.0, 0.1, v)]
+    got = clustering.diarize(spark.createDataFrame(rows, "video_id long, start_time double, end_time double, embedding array<double>")).collect()
+    assert sorted(tuple(r[c] for c in ("video_id", "start_time", "end_time", "speaker")) for r in got) == [(1, 0.0, 5.0, "SPEAKER_00"), (1, 5.0, 60.0, "SPEAKER_01")]
+
+
 def test_free_names_fill_gaps(spark):
     wanted = spark.createDataFrame([(1, "a.mp4"), (2, "a.mp4"), (3, "a.mp4"), (4, "b.mp4"), (5, "a_3.mp4"), (6, "a_3.mp4"), (7, "x.y"), (8, "nodot"), (9, "nodot")], "ord int, name string")
     taken = spark.createDataFrame([("a.mp4",), ("a_2.mp4",), ("a_5.mp4",), ("b_2.mp4",)], "name string")

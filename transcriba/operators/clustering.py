@@ -8,32 +8,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import merge_runs, relabel
+
+
+def linkage_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """V5: the n - 1 merges of average linkage by cosine distance: height and a row of either side, by nearest-neighbour chains.
+
+    Rows of length one make it cheap: the mean distance of two clusters is 1 less the product of their sums over
+    that of their sizes. So a cluster is its sum and its size, memory is that of the rows, and a step is one
+    product of a matrix with a vector. Two clusters that are each other's nearest merge at once; average linkage never makes
+    a merged cluster nearer to others than its parts were, so the merges are those of the greedy order.
+    """
+    n = len(x)
+    total = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+    size, row, merges, chain = np.ones(n), np.arange(n), [], []
+    alive = np.ones(n, bool)
+    left = n
+    while left > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            c = chain[-1]
+            far = 1 - (total @ total[c]) / (size * size[c])
+            far[~alive] = np.inf
+            far[c] = np.inf
+            near = int(far.argmin())
+            if len(chain) > 1 and far[chain[-2]] <= far[near]:  # on equal distances the one before, so a chain ends
+                near = chain.pop(-2)
+                chain.pop()
+                break
+            chain.append(near)
+        merges.append((float(far[near]), int(row[near]), int(row[c])))
+        total[near] += total[c]
+        size[near] += size[c]
+        alive[c] = False
+        left -= 1
+        if len(alive) > 64 and left < len(alive) // 2:  # what has merged away is not multiplied again
+            place = np.cumsum(alive) - 1
+            total, size, row = total[alive], size[alive], row[alive]
+            chain = [int(place[i]) for i in chain]
+            alive = np.ones(left, bool)
+    return merges
+
 
 def average_linkage(x: np.ndarray, threshold: float, k: int = 0) -> np.ndarray:
-    """V5: clusters of rows by cosine distance and average linkage, to k clusters or up to a distance."""
+    """V5: clusters of rows by cosine distance and average linkage, to k clusters or up to a distance; numbered by their first rows."""
     n = len(x)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
-    groups = n
-    while groups > max(1, min(k, n)):
-        i, j = sorted(divmod(int(d.argmin()), n))
-        if not np.isfinite(d[i, j]) or (k == 0 and d[i, j] > threshold):
+    root = np.arange(n)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    done = sorted(linkage_merges(x), key=lambda m: m[0])
+    for height, a, b in done[: max(0, n - max(1, min(k, n)))] if k else done:
+        if k == 0 and height > threshold:
             break
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-        size[i] += size[j]
-        label[label == j] = i
-        groups -= 1
-    return np.unique(label, return_inverse=True)[1]
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
 
 
 def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_s: float = 0.6, max_s: float = 30.0) -> DataFrame:
@@ -53,6 +88,17 @@ def cluster_voices(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_
     return kept.groupBy("video_id").applyInPandas(run, "video_id long, start_time double, end_time double, cluster int")
 
 
+def diarize(regions: DataFrame, threshold: float = 0.75, k: int = 0, min_s: float = 0.6) -> DataFrame:
+    """Turns (video_id, start_time, end_time, speaker) of voice regions (video_id, start_time, end_time, embedding).
+
+    Regions of min_s or more are clustered, neighbours of one voice become one turn, and voices are named by first
+    appearance. Shorter regions belong to nobody and part no turn. A video without a longer one has no turns.
+    """
+    found = cluster_voices(regions, threshold, k, min_s, float("inf"))
+    named = found.select("video_id", "start_time", "end_time", F.concat(F.lit("c"), "cluster").alias("speaker"))
+    return relabel(merge_runs(named))
+
+
 def scatter(rows: DataFrame, label: str = "label", embedding: str = "embedding") -> DataFrame:
     """V9: i, j, within, between: the scatter matrices of labelled vectors, entry by entry (from 0), i <= j.
 

@@ -994,6 +994,13 @@ def _(spark, d):
     return clustering.cluster_voices(e)
 
 
+@query("v6_diarize")
+def _(spark, d):
+    k = F.col("vec_id")
+    e = table(spark, d, "embeddings").select((k % 7).alias("video_id"), k.cast("double").alias("start_time"), (k + F.when(k % 11 == 0, 0.5).otherwise(1.0)).alias("end_time"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return clustering.diarize(e)
+
+
 @query("q3_evidence", _hybrid_sql(CHUNK) + " SELECT query_id, chunk_id, score FROM f WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8")
 def _(spark, d):
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
