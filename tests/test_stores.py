@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from transcriba.operators import clustering, editorial, states
+from transcriba.operators import clustering, documents, editorial, exports, names, states
 from transcriba.operators.vector_index import VectorIndex
 from transcriba.sources.store import AddColumn, CreateTable, Store
 
@@ -125,7 +125,7 @@ def test_diarize_names_turns(spark):
 def test_free_names_fill_gaps(spark):
     wanted = spark.createDataFrame([(1, "a.mp4"), (2, "a.mp4"), (3, "a.mp4"), (4, "b.mp4"), (5, "a_3.mp4"), (6, "a_3.mp4"), (7, "x.y"), (8, "nodot"), (9, "nodot")], "ord int, name string")
     taken = spark.createDataFrame([("a.mp4",), ("a_2.mp4",), ("a_5.mp4",), ("b_2.mp4",)], "name string")
-    got = {r.ord: r.free for r in editorial.free_names(wanted, taken).collect()}
+    got = {r.ord: r.free for r in names.free_names(wanted, taken).collect()}
     assert got == {1: "a_4.mp4", 2: "a_6.mp4", 3: "a_7.mp4", 4: "b.mp4", 5: "a_3.mp4", 6: "a_3_2.mp4", 7: "x.y", 8: "nodot", 9: "nodot_2"}
     assert len(set(got.values())) == 9
 
@@ -166,3 +166,17 @@ def test_prepared_transcripts(spark):
     for a, b in ((-1.0, 2.0), (3.0, 3.0)):
         with pytest.raises(ValueError, match="clip"):
             editorial.clip(segments, a, b)
+
+
+def test_documents_never_overwrite_each_other(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b", "1"), ("a:b", "2"), ("c", "3"), ("a_b", "4")], "title string, json string")
+    got = exports.write_documents(docs, f"{tmp_path}/out", "title", "json").collect()
+    assert len({r.file for r in got}) == 4 and {r.value for r in spark.read.text(f"{tmp_path}/out").collect()} == {"1", "2", "3", "4"}
+    media = spark.createDataFrame([(1, "t", "completed"), (2, "u", "failed")], "video_id long, title string, processing_status string")
+    chunks = spark.createDataFrame([(1, "x", 0.0, 1.0, "hola")], "video_id long, chunk_id string, start_time double, end_time double, full_text string")
+    rows = documents.corpus_json(media, chunks, exported="now")
+    assert exports.completed_documents(media, rows).count() == 1
+    text = {r.video_id: r.json for r in rows.collect()}
+    assert '"entidades":[]' in text[1] and '"chunks":[]' in text[2] and '"estado":"failed"' in text[2] and text[1].endswith('"anotaciones_manuales":[],"exportado_el":"now"}')
+    with pytest.raises(ValueError, match="unknown"):
+        documents.corpus_json(media, chunks, wanted=spark.createDataFrame([(9,)], "video_id long"))

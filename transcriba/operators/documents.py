@@ -28,10 +28,42 @@ def markdown(utterances: DataFrame, media: DataFrame, stamps: bool = True) -> Da
     return rows.join(media.select("video_id", "title"), "video_id").select("video_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(named, ", "), F.lit("\n\n"), body).alias("markdown"))
 
 
-def corpus_json(media: DataFrame, chunks: DataFrame) -> DataFrame:
-    """K1: video_id, json of a medium and its chunks in time order."""
-    body = chunks.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_time", "chunk_id", "end_time", "full_text"))).alias("chunks"))
-    return media.join(body, "video_id").select("video_id", F.to_json(F.struct("video_id", "title", "chunks")).alias("json"))
+# Keys of the corpus document and the columns they hold, in order.
+VIDEO_KEYS = (("video_id", "video_id"), ("titulo", "title"), ("archivo", "path"), ("checksum_sha256", "checksum"), ("duracion_s", "duration_seconds"), ("proyecto", "project"), ("curso", "course_name"), ("estado", "processing_status"), ("inicio_contenido_s", "content_start_s"))
+CHUNK_KEYS = (("chunk_id", "chunk_id"), ("inicio_s", "start_time"), ("fin_s", "end_time"), ("texto", "full_text"), ("tipo_discurso", "discourse_type"), ("confianza", "avg_confidence"))
+
+
+def corpus_json(media: DataFrame, chunks: DataFrame, mentions: DataFrame | None = None, notes: DataFrame | None = None, exported: str = "", wanted: DataFrame | None = None) -> DataFrame:
+    """K1: video_id, json of each medium: its facts, its chunks in time order with their entities, its notes in time order, the time of export.
+
+    Columns of VIDEO_KEYS and CHUNK_KEYS that a table lacks are null. mentions: chunk_id, label, entity_type; entities of a chunk come
+    by label. notes: video_id, timestamp_s, text. Media without chunks have an empty list. ValueError names a wanted video_id that is unknown.
+    """
+    if wanted is not None:
+        lost = wanted.select("video_id").join(media.select("video_id"), "video_id", "left_anti").orderBy("video_id").first()
+        if lost is not None:
+            raise ValueError(f"unknown video: {lost.video_id}")
+        media = media.join(wanted.select("video_id").distinct(), "video_id", "left_semi")
+    take = lambda rows, keys: [(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(k) for k, c in keys]
+    entity = "array<struct<label:string,tipo:string>>"
+    if mentions is not None:
+        per = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct(F.col("label"), F.col("entity_type").alias("tipo")))).alias("entidades"))
+        chunks = chunks.join(per, "chunk_id", "left")
+    else:
+        chunks = chunks.withColumn("entidades", F.lit(None).cast(entity))
+    said = F.struct(*take(chunks, CHUNK_KEYS), F.coalesce("entidades", F.array().cast(entity)).alias("entidades"))
+    item = F.struct("start_time", F.col("chunk_id").alias("id"), said.alias("c"))
+    body = chunks.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("c")).select("video_id", F.transform("c", lambda x: x["c"]).alias("chunks"))
+    rows = media.select("video_id", F.struct(*take(media, VIDEO_KEYS)).alias("video")).join(body, "video_id", "left")
+    note = "array<struct<timestamp_s:double,texto:string>>"
+    if notes is not None:
+        per = notes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("timestamp_s").cast("double").alias("timestamp_s"), F.col("text").alias("texto")))).alias("n"))
+        rows = rows.join(per, "video_id", "left")
+    else:
+        rows = rows.withColumn("n", F.lit(None).cast(note))
+    kind = body.schema["chunks"].dataType
+    whole = F.struct("video", F.coalesce("chunks", F.array().cast(kind)).alias("chunks"), F.coalesce("n", F.array().cast(note)).alias("anotaciones_manuales"), F.lit(exported).alias("exportado_el"))
+    return rows.select("video_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def low_confidence(segments: DataFrame, below: float = K.LOW_CONFIDENCE, n: int = K.LISTED_LOW) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as T
 from ..functions.numbers import clock
+from .names import free_names
 
 
 def bundle(media: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -28,9 +29,20 @@ def bundle(media: DataFrame, mentions: DataFrame) -> DataFrame:
     return videos.unionByName(entities)
 
 
-def write_documents(docs: DataFrame, folder: str, name: str, content: str) -> None:
-    """K2, K3: one row for each file, partitioned by its safe name, written by the tasks."""
-    docs.select(T.safe_file_name(F.col(name)).alias("file"), F.col(content).alias("value")).write.mode("overwrite").partitionBy("file").text(folder, lineSep="\n")
+def write_documents(docs: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """K2, K3: a file for each row, in a partition of its safe name, written by the tasks; the names (name, ord, file) that they got.
+
+    Rows whose names become the same when made safe get names of their own, by content and name: none overwrites another.
+    """
+    rows = docs.select(F.col(name).alias("_given"), T.safe_file_name(F.col(name)).alias("name"), F.struct(name, content).alias("ord"))
+    rows = free_names(rows, rows.select("name").limit(0)).select("_given", "ord", F.col("free").alias("file"))
+    rows.select("file", F.col(f"ord.{content}").alias("value")).write.mode("overwrite").partitionBy("file").text(folder, lineSep="\n")
+    return rows.select(F.col("_given").alias("name"), "file")
+
+
+def completed_documents(media: DataFrame, documents: DataFrame) -> DataFrame:
+    """K3: title, json of the media of a project that are completed, from corpus_json's rows."""
+    return media.where("processing_status = 'completed'").select("video_id", "title").join(documents, "video_id").select("title", "json")
 
 
 def participants(identities: DataFrame) -> DataFrame:

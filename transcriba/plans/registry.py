@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import answers, catalogue, clustering, documents, editorial, exports, glossary, intervals, labels, readings, search, states, vector_index
+from ..operators import answers, catalogue, clustering, documents, editorial, exports, glossary, intervals, labels, names, readings, search, states, vector_index
 from ..sources import store
-from ..sources.tables import table, work_folder
+from ..sources.tables import checkpoint_lines, table, work_folder
 from ..streaming import segments as live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,6 +578,20 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.is_url(F.col("url")).alias("is_url"))
 
 
+@query("s15_checkpoint_lines", f"WITH {SEG} SELECT video_id % 4 AS part, count(*) FILTER (segment_id % 7 <> 3) AS n_rows, count(*) FILTER (segment_id % 7 = 3) AS n_broken, sum(length(text)) FILTER (segment_id % 7 <> 3)::BIGINT AS chars FROM seg GROUP BY ALL")
+def _(spark, d):
+    """Turns written as JSON lines in four parts, some lines cut short, with blank ones between; read back with what is lost counted."""
+    s = segments(spark, d)
+    line = F.to_json(F.struct("video_id", "segment_id", "text"))
+    cut = F.when(F.col("segment_id") % 7 == 3, F.left(line, F.length(line) - 1)).otherwise(line)
+    lines = s.select(F.concat(cut, F.when(F.col("segment_id") % 2 == 0, "\n").otherwise("")).alias("value"), (F.col("video_id") % 4).alias("part"))
+    folder = work_folder(spark)
+    lines.write.partitionBy("part").text(folder)
+    rows = checkpoint_lines(spark, folder, "video_id long, segment_id long, text string, part int")
+    good = F.col("broken_line").isNull()
+    return rows.groupBy(F.col("part").cast("long").alias("part")).agg(F.count_if(good).alias("n_rows"), F.count_if(~good).alias("n_broken"), F.sum(F.when(good, F.length("text"))).alias("chars"))
+
+
 @query("s13_iso_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
 def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.iso_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso"))
@@ -589,9 +603,15 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", T.is_media(F.concat(F.lit("/a.b/"), F.col("p_name"), ext)).alias("is_media"))
 
 
-@query("d5_cited", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1' WHEN doc_id % 3 = 1 THEN '1,2' ELSE '' END AS cited FROM documents")
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(text, 'th', '[1]', 'g'), 'an', '[2]', 'g'), 'en', '[7]', 'g')"
+
+
+@query("d5_cited", rf"SELECT doc_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(n), lambda x: {{'p': list_position(n, x), 'x': x}})), lambda s: s.x), ','), '') AS cited FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all({_MARKED}, '\[(\d+)\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 3) AS n FROM documents)")
 def _(spark, d):
-    text = F.when(F.col("doc_id") % 3 == 0, "[1], [9], [1]").when(F.col("doc_id") % 3 == 1, "[1][4] [1] [2][99999999999]").otherwise("none")
+    """Numbers in brackets stand in the texts for three pairs of letters."""
+    text = F.col("text")
+    for letters, mark in (("th", "[1]"), ("an", "[2]"), ("en", "[7]")):
+        text = F.replace(text, F.lit(letters), F.lit(mark))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.cited(text, 3).cast("array<string>"), ",").alias("cited"))
 
 
@@ -853,6 +873,7 @@ def _invented_sql(text: str) -> str:
 
 
 _doc_query("t11_hallucination", lambda _t: {"loop": T.is_loop(_t), "invented": T.is_hallucination(_t)}, {"loop": _loop_sql("text"), "invented": _invented_sql("text")})
+_NO_WORD, _NO_CAPITAL = r"[^\p{L}\p{M}\p{Nd}_ ]", "[^A-Z ]"
 _BARE = r"list_filter(regexp_split_to_array(trim(regexp_replace(upper({0}), '{1}', ' ', 'g')), '\s+'), lambda z: z <> '')"
 _NOT_NAMES = ", ".join(f"'{w}'" for w in (*K.ROLES, *K.INSTITUTIONS, *K.FUNCTION_WORDS))
 _CREDIT_WORDS = ", ".join(f"'{w}'" for w in K.CREDITS)
@@ -860,8 +881,8 @@ _doc_query(
     "t18_name_lines",
     lambda _t: {"names": F.size(F.filter(F.split(_t, "\n"), T.looks_like_name)), "credits": F.size(F.filter(F.split(_t, "\n"), T.is_credit))},
     {
-        "names": rf"len(list_filter(string_split(text, chr(10)), lambda l: len(list_filter(regexp_split_to_array(trim(l), '\s+'), lambda z: z <> '')) BETWEEN 1 AND 4 AND NOT list_has_any({_BARE.format('l', '[^\p{L}\p{M}\p{Nd}_ ]')}, [{_NOT_NAMES}]) AND NOT regexp_matches(l, '\b(1[89]\d\d|20\d\d)\b')))::INT",
-        "credits": rf"len(list_filter(string_split(text, chr(10)), lambda l: list_has_any({_BARE.format('strip_accents(l)', '[^A-Z ]')}, [{_CREDIT_WORDS}])))::INT",
+        "names": rf"len(list_filter(string_split(text, chr(10)), lambda l: len(list_filter(regexp_split_to_array(trim(l), '\s+'), lambda z: z <> '')) BETWEEN 1 AND 4 AND NOT list_has_any({_BARE.format('l', _NO_WORD)}, [{_NOT_NAMES}]) AND NOT regexp_matches(l, '\b(1[89]\d\d|20\d\d)\b')))::INT",
+        "credits": rf"len(list_filter(string_split(text, chr(10)), lambda l: list_has_any({_BARE.format('strip_accents(l)', _NO_CAPITAL)}, [{_CREDIT_WORDS}])))::INT",
     },
 )
 
@@ -922,10 +943,24 @@ def _(spark, d):
     wanted = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit("_recortado.mp4")).alias("name"))
     k = F.col("doc_id") % 7
     taken = docs.where(k != 4).select(F.concat("source", F.lit("_recortado"), F.when(k < 2, "").otherwise(F.concat(F.lit("_"), k)), F.lit(".mp4")).alias("name"))
-    return editorial.free_names(wanted, taken)
+    return names.free_names(wanted, taken)
+
+
+_SLUG = r"coalesce(nullif(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-'), ''), 'sin-titulo') || '-' || left({1}, 8)"
+_YAML = r"""'"' || replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), ' ') || '"'"""
+_MENTIONED = r"""w AS (SELECT chunk_id, video_id, unnest(list_filter(regexp_split_to_array(trim(full_text), '\s+'), lambda x: x <> '')) AS x, unnest(range(len(list_filter(regexp_split_to_array(trim(full_text), '\s+'), lambda x: x <> '')))) AS pos FROM chunks),
+    v AS (SELECT chunk_id, video_id, pos, trim(x, '.,;:¿?¡!()"' || chr(39)) AS s FROM w),
+    m AS (SELECT chunk_id, video_id, lower(strip_accents(s)) AS e, arg_min(s, pos) AS surface FROM v WHERE length(s) >= 4 AND upper(left(s, 1)) = left(s, 1) AND lower(left(s, 1)) <> left(s, 1) GROUP BY ALL)"""
 
 
-@query("k4_bundle")
+@query(
+    "k4_bundle",
+    f"""WITH {TURN_CHUNK}, {_MENTIONED}, n AS (SELECT *, 'v' || video_id AS title, split_part(chunk_id, '-', 2)::DOUBLE AS t FROM m),
+    p AS (SELECT e, first(surface ORDER BY title, t, surface) AS name, count(DISTINCT video_id) AS videos, string_agg('- ' || title || ' ' || {_CLOCK.format('t')}, chr(10) ORDER BY title, t, surface) AS body FROM n GROUP BY e),
+    l AS (SELECT video_id, title, string_agg('- ' || e, chr(10) ORDER BY e) AS body FROM (SELECT DISTINCT video_id, title, e FROM n) GROUP BY ALL)
+    SELECT 'entities/' || {_SLUG.format('name', 'md5(e)')} || '.md' AS path, '---' || chr(10) || 'title: ' || {_YAML.format('name')} || chr(10) || 'videos: ' || videos || chr(10) || '---' || chr(10) || body AS content FROM p
+    UNION ALL SELECT 'videos/' || {_SLUG.format('title', 'md5(video_id::VARCHAR)')} || '.md', '---' || chr(10) || 'title: ' || {_YAML.format('title')} || chr(10) || '---' || chr(10) || body FROM l""",
+)
 def _(spark, d):
     m = turn_mentions(spark, d).withColumn("start_time", F.substring_index("chunk_id", "-", -1).cast("double"))
     return exports.bundle(m.select("video_id", F.concat(F.lit("v"), "video_id").alias("title")).distinct(), m)
@@ -950,18 +985,34 @@ def _(spark, d):
     return exports.content_end(s.select("video_id", "start_time", F.array(line).alias("lines")), s.groupBy("video_id").agg(F.max("end_time").alias("duration_seconds")))
 
 
-@query("q7_dossier", f"WITH {TURN_CHUNK}, {_ENT} SELECT e AS label_norm, count(*) AS evidences FROM m GROUP BY ALL")
+_SURFACES = _MENTIONED
+
+
+@query(
+    "q7_dossier",
+    f"""WITH {TURN_CHUNK}, {_SURFACES}, n AS (SELECT *, split_part(chunk_id, '-', 2)::DOUBLE AS t FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY video_id, t, surface) AS i FROM n)
+    SELECT e AS label_norm, count(*) AS evidences, string_agg('[' || i || '] ' || video_id || ' ' || {_CLOCK.format('t')} || ' ' || surface, chr(10) ORDER BY i) AS document FROM o GROUP BY e""",
+)
 def _(spark, d):
     m = turn_mentions(spark, d).withColumn("start_time", F.substring_index("chunk_id", "-", -1).cast("double"))
-    return documents.dossier(m).select("label_norm", F.col("evidences").cast("long").alias("evidences"))
+    return documents.dossier(m).select("label_norm", F.col("evidences").cast("long").alias("evidences"), "document")
 
 
-@query("k1_corpus_json", f"WITH {SEG} SELECT video_id, count(*) AS chunks FROM seg GROUP BY ALL")
+@query(
+    "k1_corpus_json",
+    f"""WITH {SEG}, {TURN_CHUNK}, {_SURFACES}, g AS (SELECT chunk_id, list_sort(list(DISTINCT {{'label': surface, 'tipo': 'persona'}})) AS entidades FROM m GROUP BY ALL),
+    c AS (SELECT s.video_id, list({{'chunk_id': s.video_id || '-' || segment_id, 'inicio_s': start_time, 'fin_s': round(end_time, 3), 'texto': text, 'tipo_discurso': NULL::VARCHAR, 'confianza': round(confidence, 3), 'entidades': coalesce(entidades, [])}} ORDER BY start_time) AS chunks FROM seg s LEFT JOIN g ON g.chunk_id = s.video_id || '-' || segment_id GROUP BY s.video_id),
+    n AS (SELECT video_id, list({{'timestamp_s': start_time, 'texto': left(text, 20)}} ORDER BY start_time) AS notes FROM seg WHERE segment_id % 3 = 1 GROUP BY video_id)
+    SELECT c.video_id, md5(to_json({{'video': {{'video_id': c.video_id, 'titulo': 'v' || c.video_id, 'archivo': NULL::VARCHAR, 'checksum_sha256': NULL::VARCHAR, 'duracion_s': NULL::VARCHAR, 'proyecto': 'P', 'curso': NULL::VARCHAR, 'estado': 'completed', 'inicio_contenido_s': NULL::VARCHAR}},
+        'chunks': chunks, 'anotaciones_manuales': coalesce(notes, []), 'exportado_el': '2024-01-31'}})) AS json_md5 FROM c LEFT JOIN n ON c.video_id = n.video_id""",
+)
 def _(spark, d):
     s = segments(spark, d)
-    m = s.select("video_id").distinct().withColumn("title", F.concat(F.lit("v"), F.col("video_id")))
-    j = documents.corpus_json(m, s.select("video_id", F.col("segment_id").alias("chunk_id"), "start_time", "end_time", F.col("text").alias("full_text")))
-    return j.select("video_id", F.json_array_length(F.get_json_object("json", "$.chunks")).cast("long").alias("chunks"))
+    m = s.select("video_id").distinct().select("video_id", F.concat(F.lit("v"), "video_id").alias("title"), F.lit("P").alias("project"), F.lit("completed").alias("processing_status"))
+    chunk = s.select("video_id", F.concat_ws("-", "video_id", "segment_id").alias("chunk_id"), "start_time", _r("end_time", 3).alias("end_time"), F.col("text").alias("full_text"), _r("confidence", 3).alias("avg_confidence"))
+    entities = turn_mentions(spark, d).select("chunk_id", F.col("surface").alias("label"), "entity_type")
+    notes = s.where("segment_id % 3 = 1").select("video_id", F.col("start_time").alias("timestamp_s"), F.left("text", F.lit(20)).alias("text"))
+    return documents.corpus_json(m, chunk, entities, notes, "2024-01-31").select("video_id", F.md5(F.col("json").cast("binary")).alias("json_md5"))
 
 
 @query("t13_glossary_changes", f"""WITH {SEG}, w AS (SELECT video_id, segment_id, unnest(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+')) AS word FROM seg),

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def media_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, size, checksum and title of the media files under a folder; an error if it is none."""
+    """Path, size, checksum and title of the media files under a folder, by path; an error if it is none."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(folder)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -25,6 +25,7 @@ def media_folder(spark: SparkSession, folder: str) -> DataFrame:
         raise NotADirectoryError(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(is_media(F.col("path")))
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]+)?$", 1)
+    files = files.orderBy("path")
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("checksum"), name.alias("title"))
 
 
@@ -33,6 +34,15 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def checkpoint_lines(spark: SparkSession, path: str, schema: str, broken: str = "broken_line") -> DataFrame:
+    """Rows of JSON lines under a path, file and broken_line: the text of a line that is no row of the schema, null for rows.
+
+    Blank lines give no row. So a count of broken_line by file says what was lost; rows alone are those where it is null.
+    """
+    rows = spark.read.schema(f"{schema}, {broken} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array; an empty frame where the file is missing."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
