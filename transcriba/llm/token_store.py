@@ -33,7 +33,7 @@ BUCKET_KEYS = 1 << 16
 #: The key of records whose id is null.
 NULL_KEY = -(1 << 63)
 #: Distinct pieces of text that a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 
 
 # -- encoding ---------------------------------------------------------------------------------------
@@ -64,6 +64,10 @@ def pieces(text: str) -> list[str]:
 ASCII_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\v\f\r A-Za-z0-9]+|[\t\n\v\f\r ]+(?![^\t\n\v\f\r ])|[\t\n\v\f\r ]+""")
 
 
+#: Marks that end a word and are no letter, digit or space, nor begin a contraction.
+MARKS = ".,;:!?"
+
+
 def splits_at_spaces(spec: dict) -> bool:
     """Whether a tokenizer file is one whose ids may be put together piece by piece: byte-level BPE with the
     usual word pattern, without normaliser, prefix space, dropout, affixes, or added tokens that reach over spaces."""
@@ -84,7 +88,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.kind = Tokenizer.from_file(path), "<u2" if width == 2 else "<u4"
-        self.code = "H" if width == 2 else "I" 
+        self.code = "H" if width == 2 else "I"
         with open(path, encoding="utf-8") as f:
             self.by_piece = splits_at_spaces(json.load(f))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -118,9 +122,7 @@ class PieceEncoder:
         return self.alpha.issuperset(p)
 
     def piece(self, p: str) -> bytes:
-        """Ids of a piece and the space before it."""
-        if self.all_letters(p):
-            return self.one(self.written(" " + p))
+        """Ids of a piece that is not letters alone, and the space before it."""
         if any(a in p for a in self.added):
             return self.whole(" " + p)
         ascii_only = p.isascii()
@@ -132,6 +134,25 @@ class PieceEncoder:
             out += ids
         return out
 
+    def learn(self, unseen: set[str]) -> None:
+        """Ids of pieces and the space before them, the commonest kinds first: letters, and letters with one mark at their end."""
+        after, alpha, tokenize, code = self.after, self.alpha, self.tok.model.tokenize, self.code
+        for p in unseen:
+            tail = b""
+            if not alpha.issuperset(p):
+                if p[-1] in MARKS and alpha.issuperset(p[:-1]) and len(p) > 1:
+                    tail, whole, p = self.inner.get(p[-1]) or self.inner.setdefault(p[-1], self.one(p[-1])), p, p[:-1]
+                    if (ids := after.get(p)) is not None:
+                        after[whole] = ids + tail
+                        continue
+                elif not self.all_letters(p):
+                    after[p] = self.piece(p)
+                    continue
+            word = "\u0120" + p if p.isascii() else self.written(" " + p)
+            ids = after[p] = array(code, [t.id for t in tokenize(word)]).tobytes()
+            if tail:
+                after[whole] = ids + tail
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
         heads = [self.whole(c[0]) for c in cut]
@@ -139,8 +160,7 @@ class PieceEncoder:
         if len(self.after) + len(self.inner) + len(self.wide) > CACHE_PIECES:
             for held in (self.after, self.inner, self.wide):
                 held.clear()
-        for p in set().union(*bodies) - self.after.keys():
-            self.after[p] = self.piece(p)
+        self.learn(set().union(*bodies) - self.after.keys())
         get = self.after.__getitem__
         return [h + b"".join(map(get, b)) for h, b in zip(heads, bodies, strict=True)]
 
