@@ -92,8 +92,24 @@ def labels(sets: list[np.ndarray], mul: np.ndarray, add: np.ndarray) -> list[byt
     return out
 
 
+#: Characters that are hashed at a time: hashing takes some forty bytes for each.
+HASHED_CHARS = 1_000_000
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes; a text of one to four words has one shingle, all its words."""
+    """Sorted distinct shingle hashes; a text of one to four words has one shingle, all its words. Texts are hashed block by block."""
+    out, at = [], 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= HASHED_CHARS):
+            size += len(texts[stop])
+            stop += 1
+        out += _block_sets(texts[at:stop])
+        at = stop
+    return out
+
+
+def _block_sets(texts: list[str]) -> list[np.ndarray]:
     h, first = hashed_words(texts)
     s = shingles(h, K)
     out = []
