@@ -268,7 +268,7 @@ def _scanner(index, name: str, threshold: float):
             texts, at, parts = [t or "" for t in batch.to_pylist()], 0, []
             while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 4_000_000):
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 1_000_000):
                     size += len(texts[stop])
                     stop += 1
                 parts += [[{"item_id": i, "similarity": s, "word": w} for i, s, w in f] for f in own.scan(texts[at:stop], threshold)]
