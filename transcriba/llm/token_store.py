@@ -39,8 +39,8 @@ CACHE_PIECES = 400_000
 # -- encoding ---------------------------------------------------------------------------------------
 
 
-#: Space that a cut must not come before: what any table of white space has had.
-_ODD_SPACE = re.compile("[ ](?=[\\s\u180e]|$)")
+#: A space before white space, of which no cut may come: what any table of white space has had.
+ODD_SPACES = tuple(" " + chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def pieces(text: str) -> list[str]:
@@ -49,11 +49,11 @@ def pieces(text: str) -> list[str]:
     The space itself is left out; it belongs to the piece after it.
     """
     parts = text.split(" ")
-    if not _ODD_SPACE.search(text):
+    if not text.endswith(" ") and not any(odd in text for odd in ODD_SPACES):  # a search for each is faster than a pattern for all
         return parts
     out = parts[:1]
     for part in parts[1:]:
-        if part and not part[0].isspace() and part[0] != "\u180e":
+        if part and " " + part[0] not in ODD_SPACES:
             out.append(part)
         else:
             out[-1] += " " + part
@@ -180,6 +180,11 @@ def encode(texts: list[str], path: str, width: int) -> list[bytes]:
     return [np.array(e.ids, own.kind).tobytes() for e in own.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def forget_pieces() -> None:
+    """Frees the tokenizers and pieces of this worker: the tasks that follow the encoding have no use for them."""
+    sys.__dict__.pop("_transcriba_tokenizers", None)
+
+
 # -- minimal perfect hash ---------------------------------------------------------------------------
 
 
@@ -327,6 +332,7 @@ class TokenStore:
         asked = asked.repartition(partitions(self.spark), "bucket").sortWithinPartitions("bucket")
 
         def find(batches):
+            forget_pieces()
             held, name = None, None
             for batch in batches:
                 bucket, files, key = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
@@ -349,6 +355,7 @@ class TokenStore:
         asked = asked.repartition(partitions(self.spark), "shard").sortWithinPartitions("shard", "first")
 
         def read(batches):
+            forget_pieces()
             shard, name = None, None
             for batch in batches:
                 rows = []
