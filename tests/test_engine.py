@@ -374,3 +374,25 @@ def test_folds_are_linear(spark):
     said = intervals.utterances(rows, 8.0, 90.0).select(F.size("segment_ids").alias("n")).groupBy("n").count().collect()
     assert {r.n: r["count"] for r in said} == {46: 4347, 38: 1}
     assert intervals.sample_frames(rows.select("video_id", F.col("start_time").alias("t"), F.lit(1.0).alias("luma")), 5.0).count() == 66667
+
+
+def test_containment_deals_large_scopes_into_cells(spark, monkeypatch):
+    """Scopes of many blocks, line feeds and a null scope: equal to all pairs; a text stands in as many cells as its scope has blocks on either side."""
+    rng = np.random.default_rng(3)
+    texts = [(s, "".join(rng.choice(list("AB\n"), rng.integers(1, 9))), int(i)) for s in ("x", "y", None) for i in range(120)]
+    frame = spark.createDataFrame(texts, "s string, k string, seat int")
+    monkeypatch.setattr(labels, "BLOCK_CHARS", 150)
+    got = {(r.s, r.k): (r["head"], r.seat) for r in labels.containment(frame, "k", "seat", ("s",)).collect()}
+    least: dict = {}
+    for s, k, i in texts:
+        least[s, k] = min(i, least.get((s, k), i))
+    want = {(s, k): min(((-len(h), i, h) for (t, h), i in least.items() if t == s and k in h)) for s, k in least}
+    assert got == {key: (h, i) for key, (_, i, h) in want.items()}
+
+
+def test_label_families_read_their_readings_once(spark):
+    """Neither the lines of a screen nor their substrings are made again by each branch of the plan."""
+    read = spark.createDataFrame([(1, 0, float(i), "ANA LUZ DIAZ"[i % 3 :], 0.9, i) for i in range(9)], "video_id int, session int, t double, text string, conf double, y int")
+    plan = labels.label_families(read)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 1
+    assert "LogicalRDD" not in plan

@@ -2,44 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import constants as K
 from ..functions import text as T
 from ..functions.numbers import clock
+from ..sources.tables import materialise
 from .intervals import dominant_speaker, sessions
 from .readings import read_lines
 
-#: Characters of the substrings under which texts are filed.
-GRAM = 3
+#: Characters of the texts of one cell, on each side: a scope with more is dealt into blocks that meet pair by pair.
+BLOCK_CHARS = 1 << 18
+
 
+def _first_containers(texts: list[str], sides: list[int]) -> Iterator[tuple[int, int]]:
+    """Positions of the texts asked for (side 0 or 1) and of the first of those looked in (side 0 or 2) that contains each.
 
-def _grams(c: Column, size: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    All that are looked in become one string in their order, so the first place where a text is found lies in its container.
+    """
+    within = [i for i, s in enumerate(sides) if s != 1]
+    ends = list(accumulate(len(texts[i]) + 1 for i in within))
+    blob = "\n".join(texts[i] for i in within)
+    for i, s in enumerate(sides):
+        at = blob.find(texts[i]) if s != 2 else -1
+        while at >= 0:
+            j = bisect_right(ends, at)
+            if at + len(texts[i]) < ends[j]:
+                yield i, within[j]
+                break
+            at = blob.find(texts[i], at + 1)  # across two texts: only where a text holds a line feed
 
 
 def containment(texts: DataFrame, key: str, seat: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """scope, key, head, seat: for each distinct key of a scope the first of the longest texts that contain it, itself if none does.
 
     Of equal lengths the lower seat is first; seat in the result is the head's. What contains a text's container contains
-    the text, so the longest container is contained in nothing. Every text is filed under all its substrings of up to
-    GRAM characters; a text looks only under its rarest one, and what it meets there is compared. No text
-    is compared with all others of its scope, and no scope is gathered anywhere. Blank and null keys give no row.
+    the text, so the longest container is contained in nothing. The texts of a scope meet in one cell, sorted by Spark; a
+    scope of more than BLOCK_CHARS characters is dealt into blocks by a hash of the text, each pair of blocks is a cell of its
+    own, and the first container of all cells counts. So no task holds more than a cell. Blank and null keys give no row.
     """
     rows = texts.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(*scope, F.col(key).alias("k")).agg(F.min(seat).alias("seat"))
-    filed = rows.select(*scope, "k", "seat", F.explode(F.flatten(F.array(*[_grams(F.col("k"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
-    held = filed.groupBy(*scope, "gram").agg(F.count("*").alias("held")).where("held > 1")
-    size = F.least(F.length("k"), F.lit(GRAM))
-    own = filed.where(F.length("gram") == size).join(held, [*scope, "gram"])
-    # A text with a substring of its own is contained in nothing; it has fewer shared substrings than substrings.
-    shared = own.groupBy(*scope, "k").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"), F.count("*").alias("n"))
-    every = F.element_at(F.array(*[F.size(_grams(F.col("k"), n)) for n in range(1, GRAM + 1)]), size)
-    asked = shared.where(F.col("n") == every).select(*scope, F.col("k").alias("short"), "gram")
-    met = asked.join(filed, [*scope, "gram"]).where((F.length("k") > F.length("short")) & F.contains(F.col("k"), F.col("short")))
-    best = met.groupBy(*scope, F.col("short").alias("k")).agg(F.min(F.struct((-F.length("k")).alias("n"), "seat", F.col("k").alias("head"))).alias("best"))
-    out = rows.join(best, [*scope, "k"], "left")
-    return out.select(*scope, F.col("k").alias(key), F.coalesce("best.head", "k").alias("head"), F.coalesce("best.seat", "seat").alias("seat"))
+    rows = rows.withColumn("_scope", F.xxhash64(F.lit(0), *scope))
+    large = rows.groupBy("_scope").agg(F.sum(F.length("k")).alias("chars")).where(F.col("chars") > BLOCK_CHARS)
+    blocks = F.coalesce(F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
+    dealt = rows.join(large, "_scope", "left").withColumn("n", blocks).withColumn("b", F.pmod(F.xxhash64("k"), "n").cast("int"))
+    other = F.sequence(F.lit(0), F.col("n") - 1)
+    asks = F.transform(other, lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.when(j == F.col("b"), 0).otherwise(1).alias("side")))
+    holds = F.transform(F.filter(other, lambda i: i != F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(2).alias("side")))
+    cells = dealt.select("_scope", *scope, "k", "seat", F.explode(F.concat(asks, holds)).alias("c")).select("_scope", *scope, "k", "seat", "c.*")
+    cells = cells.repartition("_scope", "i", "j").sortWithinPartitions("_scope", "i", "j", *scope, -F.length("k"), "seat", "k")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    out = StructType([StructField(c, kinds[c]) for c in (*scope, "k")] + [StructField("head", kinds["k"]), StructField("seat", kinds["seat"])])
+
+    def solved(t: pa.Table, runs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        words, sides, found = t.column("k").to_pylist(), t.column("side").to_pylist(), []
+        for a, b in runs:
+            found += [(a + i, a + j) for i, j in _first_containers(words[a:b], sides[a:b])]
+        own, head = (pa.array([p[x] for p in found], pa.int64()) for x in (0, 1))
+        got = [t.column(c).take(own) for c in (*scope, "k")] + [t.column(c).take(head) for c in ("k", "seat")]
+        yield from pa.table(got, names=out.names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last cell so far, which may go on
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            at = list(zip(*(t.column(c).to_pylist() for c in (*scope, "i", "j")), strict=True))
+            starts = [i for i in range(len(at)) if i == 0 or at[i] != at[i - 1]]
+            yield from solved(t, list(pairwise(starts)))
+            held = t.slice(starts[-1]) if starts else None
+        if held is not None:
+            yield from solved(held, [(0, held.num_rows)])
+
+    met = cells.mapInArrow(run, out)
+    first = F.min(F.struct((-F.length("head")).alias("n"), "seat", "head")).alias("best")
+    return met.groupBy(*scope, F.col("k").alias(key)).agg(first).select(*scope, key, F.col("best.head").alias("head"), F.col("best.seat").alias("seat"))
 
 
 def label_families(readings: DataFrame) -> DataFrame:
@@ -52,7 +96,7 @@ def label_families(readings: DataFrame) -> DataFrame:
     scope = ("video_id", "session")
     rows = readings.withColumn("norm", T.normalize_ocr(F.col("text")))  # blank ones have no family
     seen = F.struct("t", "y", "text")
-    texts = rows.groupBy(*scope, "norm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.min("y").alias("y"), F.min(seen).alias("seat"))
+    texts = materialise(rows.groupBy(*scope, "norm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.min("y").alias("y"), F.min(seen).alias("seat")))
     own = texts.drop("seat").join(containment(texts, "norm", "seat", scope), [*scope, "norm"])
     per = own.groupBy(*scope, "head", "seat").agg(F.sum("n").alias("sightings"), F.sum("conf").alias("conf"), F.min("y").alias("y"))
     out = per.select(*scope, T.strip_edges(F.col("seat.text")).alias("text"), "sightings", (F.col("conf") / F.col("sightings")).alias("confidence"), "y", F.struct((-F.length("head")).alias("n"), "seat").alias("place"))
