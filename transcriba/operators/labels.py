@@ -109,7 +109,7 @@ def stable_labels(readings: DataFrame, gap: float = K.LABEL_GAP_S) -> DataFrame:
     Readings at most gap seconds apart are one label, from the first to the last of them; its lines are the
     families seen, from the top down, confidence their mean, sightings their most. A label without a line gives no row.
     """
-    rows = sessions(readings, gap)
+    rows = materialise(sessions(readings, gap))
     span = rows.groupBy("video_id", "session").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"))
     lines = F.array_sort(F.collect_list(F.struct("y", "place", "text")))
     per = label_families(rows).groupBy("video_id", "session").agg(lines.alias("lines"), F.avg("confidence").alias("confidence"), F.max("sightings").alias("sightings"))
