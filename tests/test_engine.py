@@ -406,3 +406,7 @@ def test_invented_texts_are_normalised_once(spark):
     assert got == cases
     plan = spark.createDataFrame([("x",)], "t string").select(T.is_hallucination(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") <= 8  # two for each place that normalises
+
+
+def test_changes_look_for_no_suggestions(spark):
+    assert "similarity" not in registry.queries()["t13_glossary_changes"](spark, SF)._jdf.queryExecution().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.tables import materialise
 
 #: Letters of a word from which it is compared, and how similar a suggestion must be.
 LETTERS, RATIO = 5, 0.85
@@ -44,12 +45,38 @@ def similarity(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-def word_decisions(words: DataFrame, terms: DataFrame) -> DataFrame:
+def _segment_keys(c: Column, term: bool) -> Column:
+    """Keys of which a word and a term of about its length share one if their similarity can reach RATIO.
+
+    The ratio is twice the letters in matching blocks by those of both, so at most 1 - RATIO of all letters lie outside: gone from one
+    or new in the other. A term in one segment more than that leaves a segment whole, moved by no more places. A term is filed under
+    its segments, for each length that a word may have; a word looks under what it has at their places, for each length of a term.
+    """
+    def filed(off: Column) -> Column:
+        other = F.length(c) + off
+        n, m = (other, F.length(c)) if term else (F.length(c), other)
+        edits = F.floor((n + m) * (1 - RATIO) + 1e-9).cast("int")
+        shifts = F.array(F.lit(0)) if term else F.sequence(-edits, edits)
+
+        def segment(i: Column) -> Column:
+            start = F.floor(i * m / (edits + 1)).cast("int")
+            size = F.floor((i + 1) * m / (edits + 1)).cast("int") - start
+            fits = F.filter(shifts, lambda s: (start + s >= 0) & (start + s + size <= F.length(c)))
+            return F.transform(fits, lambda s: F.struct(n.alias("n"), m.alias("m"), i.alias("i"), F.substring(c, 1, 1).alias("first"), F.substr(c, start + s + 1, size).alias("piece")))
+
+        return F.when((n > 0) & (m > 0), F.flatten(F.transform(F.sequence(F.lit(0), edits), segment)))
+
+    offs = F.array(*[F.lit(i) for i in range(-2, 3)])
+    return F.array_distinct(F.flatten(F.filter(F.transform(offs, filed), lambda x: x.isNotNull())))
+
+
+def word_decisions(words: DataFrame, terms: DataFrame, hints: bool = True) -> DataFrame:
     """word, fixed, hint of the distinct words (column word) for which a glossary has something to say.
 
     fixed: the term of the same folded form in the word's own case, unless they differ by case alone.
     hint: for other capitalised words the most similar term (J14) of about the same length and the same
-    first letter, the first in order among equals. A word that is a term is left alone.
+    first letter, the first in order among equals; without hints none is looked for. A word that is a term is left alone.
+    Only words and terms that share a segment are compared, not all of one length and letter.
     """
     known = terms.select("term", T.fold(F.lower("term")).alias("plain"))
     first = known.groupBy("plain").agg(F.min("term").alias("term"))
@@ -59,38 +86,47 @@ def word_decisions(words: DataFrame, terms: DataFrame) -> DataFrame:
     own = own.select("word", T.fold(F.lower("word")).alias("plain"))
     met = own.join(side(first), "plain", "left")
     fixed = met.where(F.col("term").isNotNull() & (F.lower("term") != F.lower("word"))).select("word", in_case_of(F.col("term"), F.col("word")).alias("fixed"), F.lit(None).cast("string").alias("hint"))
+    if not hints:
+        return fixed
     capital = F.substring("word", 1, 1)
-    open_words = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).select("word", F.col("plain").alias("p"), F.length("plain").alias("n"))
-    near = F.array(*[F.length("plain") + i for i in range(-2, 3)])
-    slots = known.select("term", "plain", F.explode(near).alias("n"), F.substring("plain", 1, 1).alias("c"))
-    pairs = open_words.withColumn("c", F.substring("p", 1, 1)).join(side(slots), ["n", "c"])
-    scored = pairs.withColumn("ratio", similarity("p", "plain")).where(F.col("ratio") >= RATIO)
-    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "term")).alias("b"))
-    return fixed.unionByName(best.select("word", F.lit(None).cast("string").alias("fixed"), F.col("b.term").alias("hint")))
+    open_words = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).select(F.col("plain").alias("p")).distinct()
+    sought = open_words.select("p", F.explode(_segment_keys(F.col("p"), False)).alias("key"))
+    filed = first.select("plain", F.explode(_segment_keys(F.col("plain"), True)).alias("key"))
+    pairs = sought.join(filed, "key").select("p", "plain").distinct()
+    scored = pairs.withColumn("ratio", similarity("p", "plain")).where(F.col("ratio") >= RATIO).join(first, "plain")
+    best = scored.groupBy("p").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "term")).alias("b"))
+    near = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).join(best, F.col("plain") == F.col("p"))
+    return fixed.unionByName(near.select("word", F.lit(None).cast("string").alias("fixed"), F.col("b.term").alias("hint")))
 
 
-def correct_terms(texts: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
+def correct_terms(texts: DataFrame, glossary: DataFrame, text: str = "text", hints: bool = True) -> DataFrame:
     """Texts with corrected, changes and suggestions, by a glossary (one column of names and works).
 
     A word that equals a term but for diacritics gets them back, in its own case: each occurrence is a
-    change. A capitalised word that is only similar to a term is suggested once, never changed. A null
-    text counts as empty; an empty glossary changes nothing.
+    change. A capitalised word that is only similar to a term is suggested once, never changed; without hints
+    no suggestion is looked for. A null text counts as empty; an empty glossary changes nothing. Only words of which something
+    is said are brought together by text, with their places; what lies between is taken from the text itself.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = texts.withColumn("_text_key", F.sha2(body.cast("binary"), 256))
-    whole = texts.select(F.sha2(body.cast("binary"), 256).alias("key"), body.alias("body")).dropDuplicates(["key"])
-    pieces = whole.select("key", F.posexplode(F.regexp_extract_all("body", F.lit(_PIECE), 1)).alias("pos", "piece"))
-    words = pieces.where(F.col("piece").rlike(r"^\p{L}")).select(F.col("piece").alias("word")).distinct()
-    told = word_decisions(words, glossary_terms(glossary))
-    rows = pieces.join(told, F.col("piece") == F.col("word"), "left")
-    new = F.coalesce("fixed", "piece")
-    note = F.struct("pos", new.alias("new"), F.when(F.col("fixed").isNotNull(), F.concat("piece", F.lit("→"), "fixed")).alias("change"), F.when(F.col("hint").isNotNull(), F.concat("piece", F.lit("→"), "hint")).alias("hint"))
-    built = rows.groupBy("key").agg(F.max(F.col("word").isNotNull()).alias("touched"), F.array_sort(F.collect_list(note)).alias("a")).where("touched")
-    pick = lambda f: F.filter(F.transform("a", lambda x: x[f]), lambda x: x.isNotNull())
-    built = built.select("key", F.array_join(F.transform("a", lambda x: x["new"]), "").alias("corrected"), pick("change").alias("changes"), F.array_distinct(pick("hint")).alias("suggestions"))
-    out = keyed.join(built, F.col("_text_key") == F.col("key"), "left")
+    parts = F.regexp_extract_all(body, F.lit(_PIECE), 1)
+    spoken = texts.select(F.explode(F.regexp_extract_all(body, F.lit(_LETTER_RUN), 1)).alias("word")).where(F.length("word") >= LETTERS).distinct()
+    told = materialise(word_decisions(materialise(spoken), materialise(glossary_terms(glossary)), hints))
+    # The same text may be there in many rows: it is known by its digest, and its words meet as a set.
+    digest = F.unhex(F.sha2(body.cast("binary"), 256))
+    pieces = texts.select(digest.alias("key"), F.posexplode(parts).alias("pos", "word")).where(F.length("word") >= LETTERS)
+    note = F.struct("pos", "word", "fixed", "hint")
+    built = pieces.join(told, "word").groupBy("key").agg(F.sort_array(F.collect_set(note)).alias("a"))
+    out = texts.withColumn("_text_key", digest).join(built, F.col("_text_key") == F.col("key"), "left")
+
+    def between(p: Column, a: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(a, i)["pos"], F.size(p))
+        after = lambda i: F.array_join(F.slice(p, F.get(a, i)["pos"] + 2, F.greatest(end(i + 1) - F.get(a, i)["pos"] - 1, F.lit(0))), "")
+        return F.concat(F.array_join(F.slice(p, F.lit(1), F.get(a, F.lit(0))["pos"]), ""), F.array_join(F.transform(a, lambda x, i: F.concat(F.coalesce(x["fixed"], x["word"]), after(i))), ""))
+
+    pick = lambda f: F.transform(F.filter("a", lambda x: x[f].isNotNull()), lambda x: F.concat(x["word"], F.lit("→"), x[f]))
     none = F.array().cast("array<string>")
-    return out.select(*[F.col(c) for c in texts.columns], F.coalesce("corrected", body).alias("corrected"), F.coalesce("changes", none).alias("changes"), F.coalesce("suggestions", none).alias("suggestions"))
+    corrected = F.when(F.col("a").isNotNull(), T.once(parts, lambda p: between(p, F.col("a"))))
+    return out.select(*[F.col(c) for c in texts.columns], F.coalesce(corrected, body).alias("corrected"), F.coalesce(pick("fixed"), none).alias("changes"), F.coalesce(F.array_distinct(pick("hint")), none).alias("suggestions"))
 
 
 def reading_text(texts: DataFrame, glossary: DataFrame | None = None, text: str = "text") -> DataFrame:
