@@ -410,3 +410,18 @@ def test_invented_texts_are_normalised_once(spark):
 
 def test_changes_look_for_no_suggestions(spark):
     assert "similarity" not in registry.queries()["t13_glossary_changes"](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_similar_words_share_a_segment(spark):
+    """Every pair that all pairs would find shares a key, and few others do."""
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcdef"), rng.integers(5, 22))) for _ in range(60)]
+    near = [w[:i] + "".join(rng.choice(list("abx"), rng.integers(0, 3))) + w[i + int(rng.integers(0, 3)) :] for w in base for i in rng.integers(1, len(w), 3)]
+    keys = lambda words, term: spark.createDataFrame([(w,) for w in set(words)], "w string").select(F.col("w").alias("t" if term else "p"), F.explode(glossary._segment_keys(F.col("w"), term)).alias("key"))
+    met = {(r.p, r.t) for r in keys(near, False).join(keys(base, True), "key").select("p", "t").distinct().collect()}
+    want = {(p, t) for p in set(near) for t in base if p[0] == t[0] and abs(len(p) - len(t)) <= 2 and SequenceMatcher(None, p, t).ratio() >= glossary.RATIO}
+    assert len(want) > 30
+    assert want <= met
+    assert len(met) < len(set(near)) * len(base) / 5
