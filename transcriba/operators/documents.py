@@ -77,16 +77,23 @@ def dossier(entity: DataFrame) -> DataFrame:
     return rows.select("label_norm", F.size("e").alias("evidences"), F.array_join(F.transform("e", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["video_id"].cast("string"), F.lit(" "), clock(x["start_time"]), F.lit(" "), x["surface"])), "\n").alias("document"))
 
 
+def _frequent(words: Column, n: int) -> Column:
+    """The n most frequent of an array's words, ties by first occurrence: sorted with their positions, equal words are runs.
+
+    The array is sorted once and each run is counted by where the next begins, so a long text costs little more than its sort.
+    """
+    placed = F.sort_array(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("pos"))))
+    begins = lambda w: F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (F.get(w, i - 1)["word"] != x["word"]), F.struct(x["word"].alias("word"), x["pos"].alias("pos"), i.alias("at")))), lambda x: x.isNotNull())
+    counted = lambda w, b: F.transform(b, lambda x, j: F.struct((x["at"] - F.coalesce(F.get(b, j + 1)["at"], F.size(w))).alias("n"), x["pos"].alias("pos"), x["word"].alias("word")))
+    runs = T.once(placed, lambda w: T.once(begins(w), lambda b: counted(w, b)))
+    return F.transform(F.slice(F.sort_array(runs), 1, n), lambda x: x["word"])
+
+
 def local_summaries(chunks: DataFrame, id_col: str = "chunk_id", text: str = "full_text", n: int = 5) -> DataFrame:
     """Id, summary: the first sentence and the n most frequent keywords, ties by first occurrence.
 
-    Words are counted by a grouped aggregate, so a long text costs in proportion to its length.
+    Words are counted within their own row: nothing is shuffled, and a row repeats or lacks its id as it may.
     """
-    words = chunks.select(id_col, F.posexplode(T.keyword_candidates(F.col(text))).alias("pos", "word"))
-    counts = words.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "pos"))
-    best = counts.withColumn("r", rank).where(F.col("r") <= n).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("k"))
-    firsts = chunks.select(id_col, T.first_sentence(F.col(text)).alias("first"), (F.trim(text) == "").alias("blank"))
-    words = F.array_join(F.transform("k", lambda x: x["word"]), ", ")
-    full = F.when(F.col("blank"), "").when(F.col("k").isNotNull(), F.concat("first", F.lit(" ["), words, F.lit("]"))).otherwise(F.col("first"))
-    return firsts.join(best, id_col, "left").select(id_col, full.alias("summary"))
+    rows = chunks.select(id_col, T.first_sentence(F.col(text)).alias("first"), (F.trim(text) == "").alias("blank"), _frequent(T.keyword_candidates(F.col(text)), n).alias("k"))
+    full = F.when(F.col("blank"), "").when(F.size("k") > 0, F.concat("first", F.lit(" ["), F.array_join("k", ", "), F.lit("]"))).otherwise(F.col("first"))
+    return rows.select(id_col, full.alias("summary"))
