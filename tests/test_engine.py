@@ -427,6 +427,6 @@ def test_similar_words_share_a_segment(spark):
     assert len(met) < len(set(near)) * len(base) / 5
 
 
-@pytest.mark.parametrize("name", ["t7_local_summary"])
+@pytest.mark.parametrize("name", ["t7_local_summary", "t27_read_lines"])
 def test_rows_that_hold_their_words_are_not_shuffled(spark, name):
     assert "Exchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

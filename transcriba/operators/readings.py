@@ -19,12 +19,26 @@ def useful_word(c: Column) -> Column:
     return F.coalesce(F.when(t.rlike(r"^\p{Nd}+$"), F.length(t) == 4).otherwise(letters), F.lit(False))
 
 
-def read_lines(words: DataFrame) -> DataFrame:
-    """video_id, t, text, conf, y of each line of a frame, from its words.
+def told_lines(lines: DataFrame) -> DataFrame:
+    """video_id, t, block, line, text, conf, y of each line of a frame, from lines that hold their words.
 
-    words: video_id, t, block, line, ord, text, conf (0 to 100), top. Words in doubt and those that say
-    nothing are left out; a line of under three letters goes. conf is the mean as a share, y the top.
+    lines: video_id, t, block, line, words: an array of (ord, text, conf (0 to 100), top) in any order. Each row is decided by
+    itself. Words in doubt and those that say nothing are left out; a line of under three letters goes. conf is
+    the mean as a share, y the top.
     """
+    def tell(kept: Column) -> Column:
+        said = F.sort_array(F.transform(kept, lambda x: F.struct(x["ord"].alias("ord"), F.trim(x["text"]).alias("w"))))
+        text = F.trim(F.regexp_replace(F.array_join(F.transform(said, lambda x: x["w"]), " "), r"\s+", " "))
+        total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["conf"])
+        return F.struct(text.alias("text"), (total / F.size(kept) / 100).alias("conf"), F.array_min(F.transform(kept, lambda x: x["top"])).alias("y"))
+
+    kept = F.filter("words", lambda x: (x["conf"] >= WORD_CONFIDENCE) & useful_word(x["text"]))
+    told = F.filter(F.transform(F.filter(F.array(kept), lambda k: F.size(k) > 0), tell), lambda r: F.length(r["text"]) >= 3)  # exploded, not filtered: a filter would go below and work it all out once more
+    return lines.select("video_id", "t", "block", "line", F.explode(told).alias("r")).select("video_id", "t", "block", "line", "r.*")
+
+
+def read_lines(words: DataFrame) -> DataFrame:
+    """The lines of told_lines, from words: video_id, t, block, line, ord, text, conf (0 to 100), top."""
     rows = words.where((F.col("conf") >= WORD_CONFIDENCE) & useful_word(F.col("text")))
     said = F.array_sort(F.collect_list(F.struct("ord", F.trim("text").alias("w"))))
     lines = rows.groupBy("video_id", "t", "block", "line").agg(said.alias("s"), (F.avg("conf") / 100).alias("conf"), F.min("top").alias("y"))
