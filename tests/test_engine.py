@@ -430,3 +430,20 @@ def test_similar_words_share_a_segment(spark):
 @pytest.mark.parametrize("name", ["t7_local_summary", "t27_read_lines"])
 def test_rows_that_hold_their_words_are_not_shuffled(spark, name):
     assert "Exchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_top_keeps_equal_products_apart(spark):
+    """Copies of one vector tie and go by id; null, short and broken vectors come last; every id type; equal to all pairs."""
+    rng = np.random.default_rng(7)
+    v = [(f"v{i:03d}", [float(x) for x in rng.normal(size=5).astype("float32")]) for i in range(150)]
+    v += [(f"w{i:03d}", v[3][1]) for i in range(40)] + [("n0", None), ("n1", [1.0]), ("n2", [1.0, None, 1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(v, "chunk_id string, embedding array<float>")
+    asked = frame.where("chunk_id like 'v%0'").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in search.vector_top(asked, frame, 194).collect()}
+    held, want = dict(v), {}
+    for q in (i for i in held if i[0] == "v" and i[-1] == "0"):
+        score = lambda i: sum(a * b for a, b in zip(held[q], held[i], strict=True)) if held[i] and len(held[i]) == 5 and None not in held[i] else None  # noqa: B023, E731
+        by = sorted(held, key=lambda i: (score(i) is None, -(score(i) or 0), i))
+        want |= {(q, n + 1): i for n, i in enumerate(by)}
+    assert got == want
+    assert "zip_with" not in search.vector_top(asked, frame, 3)._jdf.queryExecution().optimizedPlan().toString()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions import numbers as N
@@ -92,21 +96,98 @@ def bm25(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("ful
     return rows.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * idf * tf)).alias("bm25"))
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", block: int = 1000) -> DataFrame:
+#: Numbers of the vectors, and of the queries, that one cell holds at most; products of a cell at a time.
+CELL_VALUES, ASKED_VALUES, PRODUCTS = 4_000_000, 1_000_000, 4_000_000
+
+
+def _matrix(c: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of a column of vectors (-1: null or with a null in it), and the vectors of the most common length with zeros for the others."""
+    c = c.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = c.flatten()
+    ends = np.cumsum(np.maximum(size, 0))
+    if flat.null_count:
+        bad = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+        size[np.searchsorted(ends, bad, side="right")] = -1
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    d = int(np.bincount(size[size >= 0]).argmax()) if (size >= 0).any() else 0
+    out, ok = np.zeros((len(size), d)), size == d
+    out[ok] = values[(ends[ok] - d)[:, None] + np.arange(d)]
+    return size, out
+
+
+def _best_of_cell(q: np.ndarray, v: np.ndarray, valid: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of v and products of the k best of each query; equal products go by place, invalid vectors come last.
+
+    A matrix product says which come near the k best, by more than its error; those are summed from the first
+    number to the last, as a fold would, so equal vectors have equal products.
+    """
+    found, step, n = [], max(1, PRODUCTS // max(1, len(v))), len(v)
+    slack = 1e-12 * (1 + np.linalg.norm(q, axis=1)) * (1 + np.linalg.norm(v, axis=1).max(initial=0.0))
+    for lo in range(0, len(q), step):
+        near = np.nan_to_num(q[lo : lo + step] @ v.T, nan=np.inf, posinf=np.inf, neginf=-np.finfo(float).max)
+        near[:, ~valid] = -np.inf
+        floor = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+        i, j = np.nonzero(near >= (floor - slack[lo : lo + step])[:, None])
+        exact = np.zeros(len(i))
+        for c in range(q.shape[1]):
+            exact += q[lo + i, c] * v[j, c]
+        order = np.lexsort((place[j], np.where(np.isnan(exact), -np.inf, -exact), ~valid[j], i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i)  # of equal rows the first
+        top = np.arange(len(i)) - first < k
+        found.append((lo + i[top], j[top], exact[top]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+
+
+def cell_top(asked: DataFrame, vectors: DataFrame, cell: list[str], k: int, id_col: str = "chunk_id") -> DataFrame:
+    """query_id, id, semantic: the k largest inner products of each query with the vectors of its cell, as candidates.
+
+    asked: cell columns, query_id, q; vectors: cell columns, id, embedding. Cells are grouped by Spark; who makes them bounds them.
+    """
+    kinds = {f.name: f.dataType for f in (*asked.schema.fields, *vectors.schema.fields)}
+    out = StructType([StructField("query_id", kinds["query_id"]), StructField(id_col, kinds[id_col]), StructField("semantic", DoubleType())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, ids = left.column("query_id").combine_chunks(), right.column(id_col).combine_chunks()
+        if not len(names) or not len(ids):
+            return pa.table([names.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=out.names)
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        (q_size, q), (v_size, v) = _matrix(left.column("q")), _matrix(right.column("embedding"))
+        parts = []
+        for d in np.unique(q_size):
+            rows, ok = np.flatnonzero(q_size == d), (v_size == d) & (d >= 0)
+            mine = q[rows] if d == q.shape[1] and d >= 0 else _matrix(left.column("q").take(pa.array(rows)))[1]
+            held = v if d == v.shape[1] or not ok.any() else np.zeros((len(v), d))
+            if held is not v:
+                held[ok] = _matrix(right.column("embedding").take(pa.array(np.flatnonzero(ok))))[1]
+            if not ok.any():
+                mine, held = np.zeros((len(rows), 0)), np.zeros((len(v), 0))
+            i, j, x = _best_of_cell(mine, np.where(ok[:, None], held, 0.0), ok, place, k)
+            parts.append((rows[i], j, x, ~ok[j]))
+        i, j, x, none = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pa.table([names.take(pa.array(i)), ids.take(pa.array(j)), pa.array(x, mask=none)], names=out.names)
+
+    return asked.select(*cell, "query_id", "q").groupBy(*cell).cogroup(vectors.select(*cell, id_col, "embedding").groupBy(*cell)).applyInArrow(best, out)
+
+
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """L2: query_id, id, semantic, rank: the k largest inner products of each query, ties by id.
 
-    queries (query_id, q) is a stated query set; it meets the vectors in blocks, which bounds what is
-    broadcast, and each task keeps k rows of a query before the exchange.
+    queries (query_id, q) is a stated query set. Vectors are dealt into parts and queries into blocks of bounded size; each pair of
+    them is a cell, whose products are made as matrices and which keeps k rows of a query. So nothing passes through the driver
+    and memory stays that of a cell. The work is that of all pairs, as an exact answer demands.
     """
-    asked = queries.select("query_id", "q")
-    blocks = max(1, -(-asked.count() // block))
-    w, out = Window.partitionBy("query_id").orderBy(F.desc("semantic"), id_col), None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = vectors.select(id_col, "embedding").join(F.broadcast(part), F.lit(True)).select("query_id", id_col, N.dot(F.col("q"), F.col("embedding")).alias("semantic"))
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    width = max(1, size.d or 1)
+    parts = max(-(-size.n * width // CELL_VALUES), min(16, -(-size.n // 256)), 1)
+    blocks = max(1, -(-queries.count() * width // ASKED_VALUES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"))
+    held = vectors.select(id_col, "embedding", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), id_col)
+    return cell_top(asked, held, ["block", "part"], k, id_col).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def entity_overlap(query_entities: Column, chunk_entities: Column) -> Column:
