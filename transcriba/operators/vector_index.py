@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from .search import ASKED_VALUES, CELL_VALUES, cell_top
 
 #: Buckets at most, and vectors that place their centroids for each of them, taken by a hash of the id.
 BUCKETS, SAMPLE = 1024, 32
@@ -58,7 +59,7 @@ class VectorIndex:
 
         def place(batches):
             for batch in batches:
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 near = (x @ c.T - (c**2).sum(1) / 2).argmax(1) if len(x) else np.zeros(0, np.int64)
                 far = np.linalg.norm(x - c[near], axis=1) if len(x) else np.zeros(0)
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(far), pa.array(near.astype(np.int32))], ["chunk_id", "embedding", "far", "bucket"])
@@ -88,7 +89,15 @@ class VectorIndex:
         return pairs.select("query_id", "q", "bucket", "n", (N.dot(F.col("q"), F.col("centroid")) + norm * F.col("radius") + SLACK).alias("bound"))
 
     def _best(self, pairs: DataFrame, k: int) -> DataFrame:
-        rows = self.vectors().join(pairs.select("query_id", "q", "bucket"), "bucket").select("query_id", "chunk_id", N.dot(F.col("q"), F.col("embedding")).alias("semantic"))
+        """The k best of each query in its buckets. A bucket of many vectors is dealt into parts, many queries into blocks."""
+        sizes = self.spark.read.schema("radius double, n long, bucket int").parquet(f"{self.folder}/radii").select("bucket", (F.col("n") * self.centroids.shape[1] / CELL_VALUES).cast("int").alias("more"))
+        blocks = max(1, -(-pairs.select("query_id").distinct().count() * self.centroids.shape[1] // ASKED_VALUES))
+        each = lambda n: F.explode(F.sequence(F.lit(0), n))
+        held = self.vectors().join(F.broadcast(sizes), "bucket")  # BUCKETS rows at most
+        held = held.select("bucket", "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("more") + 1).cast("int").alias("part"), each(F.lit(blocks - 1)).alias("block"))
+        asked = pairs.select("bucket", "query_id", "q").join(F.broadcast(sizes), "bucket")
+        asked = asked.select("bucket", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(F.col("more")).alias("part"))
+        rows = cell_top(asked, held, ["bucket", "block", "part"], k)
         w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "chunk_id")
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
