@@ -427,6 +427,48 @@ def test_similar_words_share_a_segment(spark):
     assert len(met) < len(set(near)) * len(base) / 5
 
 
+def _alike(seed, letters, least=5, most=22):
+    rng = np.random.default_rng(seed)
+    base = sorted({"".join(rng.choice(list(letters), rng.integers(least, most))) for _ in range(80)})
+    return sorted({w[:i] + "".join(rng.choice(list(letters), rng.integers(0, 3))) + w[i + int(rng.integers(0, 3)) :] for w in base for i in rng.integers(1, len(w), 4)}), base
+
+
+def _most_similar(words, terms):
+    from difflib import SequenceMatcher
+
+    found = {p: min(((-SequenceMatcher(None, p, t).ratio(), t) for t in terms if p[0] == t[0] and abs(len(p) - len(t)) <= 2), default=(0, "")) for p in words}
+    return {p: (-r, t.upper()) for p, (r, t) in found.items() if -r >= glossary.RATIO}
+
+
+def test_nearest_terms_are_those_of_all_pairs(spark, monkeypatch):
+    """Cells of a few words, terms of more letters than a cell takes, letters beyond the basic plane and equal ratios."""
+    monkeypatch.setattr(glossary, "CELL", 6)
+    monkeypatch.setattr(glossary, "LONG", 16)
+    near, base = _alike(6, "abcdé\U00010428")
+    frame = spark.createDataFrame([(p,) for p in near], "p string")
+    terms = spark.createDataFrame([(t, t.upper()) for t in base], "plain string, term string")
+    best = {}
+    for r in glossary.nearest_terms(frame, terms, max(map(len, base))).collect():
+        best[r.p] = min(best.get(r.p, (0, "")), (-r.ratio, r.term))
+    want = _most_similar(near, base)
+    assert len(want) > 40 and any(len(p) > 18 for p in want)
+    assert {p: (-r, t) for p, (r, t) in best.items()} == want
+    assert glossary.nearest_terms(frame, terms.limit(0), 0).count() == 0
+
+
+def test_few_similar_words_are_matched(monkeypatch):
+    """Of thousands of pairs in a cell only those are matched that their letters allow, and no more once the best is found."""
+    import pyarrow as pa
+
+    calls, matcher = [], glossary.SequenceMatcher
+    monkeypatch.setattr(glossary, "SequenceMatcher", lambda *a: calls.append(a) or matcher(*a))
+    near, base = _alike(7, "aehnort", 10, 11)
+    near = [p for p in near if len(p) == 10]
+    got = glossary._nearest(pa.table({"p": near}), pa.table({"plain": base, "term": [t.upper() for t in base]})).to_pylist()
+    assert {r["p"]: (r["ratio"], r["term"]) for r in got if r["p"][0] == r["term"][0].lower()}.items() >= _most_similar(near, base).items()
+    assert len(near) * len(base) > 5000 and len(calls) < 3 * len(near)
+
+
 @pytest.mark.parametrize("name", ["t7_local_summary", "t27_read_lines"])
 def test_rows_that_hold_their_words_are_not_shuffled(spark, name):
     assert "Exchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from ..sources.tables import materialise
 LETTERS, RATIO = 5, 0.85
 #: Terms up to which a glossary is broadcast.
 BROADCAST_TERMS = 100_000
+#: Letters of a term up to which words meet it in cells, and words and terms of a cell, about.
+LONG, CELL = 60, 8192
 _LETTER_RUN = r"(\p{L}+)"
 _PIECE = r"(\p{L}+|[^\p{L}]+)"
 
@@ -55,7 +58,7 @@ def _segment_keys(c: Column, term: bool) -> Column:
     def filed(off: Column) -> Column:
         other = F.length(c) + off
         n, m = (other, F.length(c)) if term else (F.length(c), other)
-        edits = F.floor((n + m) * (1 - RATIO) + 1e-9).cast("int")
+        edits = F.floor(_edits(n, m)).cast("int")
         shifts = F.array(F.lit(0)) if term else F.sequence(-edits, edits)
 
         def segment(i: Column) -> Column:
@@ -70,32 +73,131 @@ def _segment_keys(c: Column, term: bool) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.transform(offs, filed), lambda x: x.isNotNull())))
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of each word, a row each, zeros after its end."""
+    return np.array(words, dtype=f"U{max(map(len, words))}").view(np.uint32).reshape(len(words), -1)
+
+
+def _bags(codes: np.ndarray) -> np.ndarray:
+    """Letters of each word as bits: three for each of 21 kinds, as many set as letters of the kind, three at most.
+
+    The bits in which two words differ are no more than the letters that one has and the other has not.
+    """
+    counts = np.zeros((len(codes), 21), np.uint8)
+    for c in codes.T:
+        counts[np.arange(len(codes)), c % 21] += c > 0
+    unary = (np.uint64(1) << np.minimum(counts, 3).astype(np.uint64)) - np.uint64(1)
+    return np.bitwise_or.reduce(unary << (3 * np.arange(21, dtype=np.uint64)), axis=1)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of rows of code points; rows of a may end in zeros."""
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    row = np.zeros((len(b) + 1, b.shape[1]), np.int8)
+    for x in a:
+        before = row
+        row = np.zeros_like(before)
+        for j, y in enumerate(b):
+            np.maximum(before[j + 1], row[j], out=row[j + 1])
+            np.maximum(row[j + 1], before[j] + (x == y), out=row[j + 1])
+    return row[-1]
+
+
+def _edits(n: Column | np.ndarray, m: Column | int) -> Column | np.ndarray:
+    """Letters of both that may lie outside the matching blocks, where their similarity reaches RATIO: to be rounded down."""
+    return (n + m) * (1 - RATIO) + 1e-9
+
+
+def _nearest(words: pa.Table, terms: pa.Table) -> pa.Table:
+    """p, ratio, term: the most similar term of one length for each word of a cell that has one.
+
+    The letters that two words have, then their longest common subsequence, bound the letters in matching blocks; only pairs
+    that both bounds allow are matched, the best bound of a word first, until no bound is as good as what was found.
+    """
+    found = []
+    if words.num_rows and terms.num_rows:
+        p, plain, names = words.column("p").to_pylist(), terms.column("plain").to_pylist(), terms.column("term").to_pylist()
+        a, b, m = _codes(p), _codes(plain), len(plain[0])
+        bags, others, n = _bags(a), _bags(b), np.array([len(x) for x in p])
+        most = np.floor(_edits(n, m)).astype(np.int64)
+        for at in range(0, len(p), 256):
+            w, t = np.nonzero(np.bitwise_count(bags[at : at + 256, None] ^ others) <= most[at : at + 256, None])
+            w += at
+            common = np.concatenate([_common(a[w[i : i + 65536]], b[t[i : i + 65536]]) for i in range(0, len(w), 65536)] or [np.zeros(0)]).astype(np.int64)
+            may = n[w] + m - 2 * common <= most[w]
+            w, t, common = w[may], t[may], common[may]
+            order = np.lexsort((-common, w))
+            last, best = -1, None
+            for i, j, c in zip(w[order].tolist(), t[order].tolist(), common[order].tolist(), strict=True):
+                if i != last:
+                    if best:
+                        found.append((p[last], -best[0], best[1]))
+                    last, best = i, None
+                if best and 2.0 * c / (len(p[i]) + m) < -best[0]:
+                    continue
+                ratio = SequenceMatcher(None, p[i], plain[j]).ratio()
+                if ratio >= RATIO and (best is None or (-ratio, names[j]) < best):
+                    best = (-ratio, names[j])
+            if best:
+                found.append((p[last], -best[0], best[1]))
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [[]] * 3, (pa.string(), pa.float64(), pa.string()), strict=True)], names=["p", "ratio", "term"])
+
+
+def nearest_terms(words: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
+    """p, ratio, term: terms of about the length of each word (column p) and its first letter, similar by RATIO, the most similar among them.
+
+    terms: plain, term; longest is the most letters of a plain. Words meet the terms of one length and letter in cells of about
+    CELL words and CELL terms; of each cell the best counts. Terms of more than LONG letters, which are few, meet words by segments.
+    """
+    n, m = F.length("p"), F.col("m")
+    at = ["first", "m"]
+    asked = words.where("p <> ''").select("p", F.left("p", F.lit(1)).alias("first"), F.explode(F.sequence(n - 2, n + 2)).alias("m")).where((m > 0) & (m <= LONG) & (F.abs(n - m) <= _edits(n, m)))
+    held = terms.select("plain", "term", F.left("plain", F.lit(1)).alias("first"), F.length("plain").alias("m")).where((m > 0) & (m <= LONG))
+    size = lambda rows, c: rows.groupBy(*at).agg(F.ceil(F.count("*") / CELL).cast("int").alias(c))
+    cells = size(asked, "rows").join(size(held, "cols"), at)
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        met = rows.join(cells, at).withColumn(names[0], F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        return met.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows", "cols")
+
+    cell = [*at, "i", "j"]
+    parts = words.sparkSession.sparkContext.defaultParallelism * 4  # cells hold few bytes and much work
+    left, right = dealt(asked, "p", "rows", "cols", ("i", "j")), dealt(held, "plain", "cols", "rows", ("j", "i"))
+    left, right = left.repartition(parts, *cell), right.repartition(parts, *cell)
+    out = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_nearest, "p string, ratio double, term string")
+    if longest <= LONG:
+        return out
+    sought = words.where(n > LONG - 2).select("p", F.explode(_segment_keys(F.col("p"), False)).alias("key"))
+    filed = terms.where(F.length("plain") > LONG).select("plain", F.explode(_segment_keys(F.col("plain"), True)).alias("key"))
+    pairs = sought.join(filed, "key").select("p", "plain").distinct()
+    scored = pairs.withColumn("ratio", similarity("p", "plain")).where(F.col("ratio") >= RATIO).join(terms, "plain")
+    return out.unionByName(scored.select("p", "ratio", "term"))
+
+
 def word_decisions(words: DataFrame, terms: DataFrame, hints: bool = True) -> DataFrame:
     """word, fixed, hint of the distinct words (column word) for which a glossary has something to say.
 
     fixed: the term of the same folded form in the word's own case, unless they differ by case alone.
     hint: for other capitalised words the most similar term (J14) of about the same length and the same
     first letter, the first in order among equals; without hints none is looked for. A word that is a term is left alone.
-    Only words and terms that share a segment are compared, not all of one length and letter.
+    Only words and terms that may be so similar by their letters are compared, not all of one length and letter.
     """
     known = terms.select("term", T.fold(F.lower("term")).alias("plain"))
     first = known.groupBy("plain").agg(F.min("term").alias("term"))
-    few = terms.count() <= BROADCAST_TERMS
-    side = F.broadcast if few else (lambda x: x)
+    count, longest = known.agg(F.count("*"), F.max(F.length("plain"))).first()
+    side = F.broadcast if count <= BROADCAST_TERMS else (lambda x: x)
     own = words.where(F.length("word") >= LETTERS).join(side(terms.select(F.col("term").alias("word"))), "word", "left_anti")
     own = own.select("word", T.fold(F.lower("word")).alias("plain"))
     met = own.join(side(first), "plain", "left")
+    met = materialise(met) if hints else met
     fixed = met.where(F.col("term").isNotNull() & (F.lower("term") != F.lower("word"))).select("word", in_case_of(F.col("term"), F.col("word")).alias("fixed"), F.lit(None).cast("string").alias("hint"))
     if not hints:
         return fixed
     capital = F.substring("word", 1, 1)
-    open_words = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).select(F.col("plain").alias("p")).distinct()
-    sought = open_words.select("p", F.explode(_segment_keys(F.col("p"), False)).alias("key"))
-    filed = first.select("plain", F.explode(_segment_keys(F.col("plain"), True)).alias("key"))
-    pairs = sought.join(filed, "key").select("p", "plain").distinct()
-    scored = pairs.withColumn("ratio", similarity("p", "plain")).where(F.col("ratio") >= RATIO).join(first, "plain")
+    open_words = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).select("word", F.col("plain").alias("p"))
+    scored = nearest_terms(open_words.select("p").distinct(), first, longest or 0)
     best = scored.groupBy("p").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "term")).alias("b"))
-    near = met.where(F.col("term").isNull() & (F.upper(capital) == capital) & (F.lower(capital) != capital)).join(best, F.col("plain") == F.col("p"))
+    near = open_words.join(best, "p")
     return fixed.unionByName(near.select("word", F.lit(None).cast("string").alias("fixed"), F.col("b.term").alias("hint")))
 
 
