@@ -469,6 +469,13 @@ def test_few_similar_words_are_matched(monkeypatch):
     assert len(near) * len(base) > 5000 and len(calls) < 3 * len(near)
 
 
+@pytest.mark.parametrize(("name", "once"), [("q8_identities", []), ("k9_body_lines", ["gracias por ver el video", "MapInArrow"])])
+def test_what_labels_and_texts_say_is_worked_out_once(spark, name, once):
+    """Joins read kept rows: no plan looks for names in texts, reads labels or normalises utterances again in each of its branches."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in (r"yo soy\s", "PERIODISTA", *once) if x in plan] == []
+
+
 @pytest.mark.parametrize("name", ["t7_local_summary", "t27_read_lines"])
 def test_rows_that_hold_their_words_are_not_shuffled(spark, name):
     assert "Exchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

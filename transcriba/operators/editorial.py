@@ -38,8 +38,13 @@ def body_lines(said: DataFrame, identities: DataFrame, citations: DataFrame | No
 
     who is the voice with its role the first time and by name alone after; short is the name alone. clean gives the
     text as it reads, by the glossary if there is one. opens is the detail of a card whose reading begins here, closes says
-    that one has ended. citations: video_id, citation_id, start_time, title, author, year.
+    that one has ended. citations: video_id, citation_id, start_time, title, author, year. The utterances are made once, in the shared folder.
     """
+    return _lines(materialise(said), identities, citations, glossary, clean)
+
+
+def _lines(said: DataFrame, identities: DataFrame, citations: DataFrame | None, glossary: DataFrame | None, clean: bool) -> DataFrame:
+    """body_lines of utterances that are kept already."""
     rows = said.where(~F.col("invented")).select("video_id", "start_time", "end_time", "speaker", "text")
     in_video = Window.partitionBy("video_id").orderBy("start_time", "end_time")
     rows = rows.withColumn("ord", F.row_number().over(in_video))
@@ -120,8 +125,8 @@ def package(media: DataFrame, segments: DataFrame, identities: DataFrame, citati
     Word files and spreadsheets are Markdown and CSV with the same rows. A medium without utterances gets its documents with empty bodies.
     """
     said, identities = materialise(interventions(segments, ends)), materialise(identities)
-    clean = materialise(body_lines(said, identities, citations, glossary))
-    raw = body_lines(said, identities, citations, clean=False)
+    clean = materialise(_lines(said, identities, citations, glossary, True))
+    raw = _lines(said, identities, citations, None, False)
     title = media.select("video_id", "title", "url", "duration_seconds")
     head = F.concat("title", F.lit("\n"), F.repeat(F.lit("="), F.length("title")), F.lit("\n\n"), F.coalesce(F.concat(F.lit("Fuente: "), "url", F.lit("\n")), F.lit("")), F.lit("Duración: "), _stamp("duration_seconds"), F.lit(f"\n\n{K.WARNING}\n\n{'-' * 70}\n\n"))
     heading = lambda what: F.concat(F.lit("# "), "title", F.lit(f"\n\n{what}\n\n> {K.WARNING}\n\n"))

@@ -127,7 +127,7 @@ def canonical_names(names: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
 
     Of names with one key the longest counts, as the one with its spaces, then the first. A name without a key has no row.
     """
-    keyed = names.select(*scope, "name").distinct().withColumn("key", T.name_key(F.col("name"))).where("key <> ''")
+    keyed = materialise(names.select(*scope, "name").distinct().withColumn("key", T.name_key(F.col("name")))).where("key <> ''")
     seat = F.struct((-F.length("name")).alias("n"), "name")
     best = keyed.groupBy(*scope, "key").agg(F.min(seat).alias("seat"))
     named = containment(best, "key", "seat", scope).select(*scope, "key", F.col("seat.name").alias("canonical"))
@@ -149,8 +149,9 @@ def identities(turns: DataFrame, labels: DataFrame, spoken: DataFrame | None = N
     voice = turns.groupBy(*at_voice).agg(F.min("start_time").alias("first_s"), F.max("end_time").alias("last_s"), F.sum(F.col("end_time") - F.col("start_time")).alias("spoken_s"))
     for c, kind in (("confidence", "double"), ("sightings", "long")):
         labels = labels if c in labels.columns else labels.withColumn(c, F.lit(0).cast(kind))
-    read = labels.withColumn("p", T.read_label(F.col("lines"))).where(F.col("p").isNotNull()).withColumn("name", F.col("p.name"))
-    read = read.join(canonical_names(read, ("video_id",)), ["video_id", "name"], "left").withColumn("name", F.coalesce("canonical", "name"))
+    # What lines and texts say is worked out once and kept: several joins below need it, and a filter would work it out again.
+    read = materialise(labels.withColumn("p", T.read_label(F.col("lines")))).where(F.col("p").isNotNull()).withColumn("name", F.col("p.name"))
+    read = materialise(read.join(canonical_names(read, ("video_id",)), ["video_id", "name"], "left").withColumn("name", F.coalesce("canonical", "name")))
     heard = dominant_speaker(read, turns, "label_ord", K.LABEL_MARGIN_S).where(F.col("speaker").isNotNull())
     claims = read.select("video_id", "label_ord", "start_time", "name", "p", "lines", "confidence", "sightings").join(heard, ["video_id", "label_ord"])
     at = Window.partitionBy(*at_voice)
@@ -171,7 +172,8 @@ def identities(turns: DataFrame, labels: DataFrame, spoken: DataFrame | None = N
     name, level = F.col("c.name"), F.when(~named, "BAJO").when(sure, "ALTO").otherwise("MEDIO")
 
     if spoken is not None:
-        said = spoken.select("video_id", "segment_id", "start_time", F.posexplode(T.spoken_names(F.coalesce("text", F.lit("")))).alias("pos", "said"))
+        told_names = materialise(spoken.select("video_id", "segment_id", "start_time", T.spoken_names(F.coalesce("text", F.lit(""))).alias("names")))
+        said = told_names.select("video_id", "segment_id", "start_time", F.posexplode("names").alias("pos", "said"))
         said = said.select("video_id", F.struct("start_time", "segment_id", "pos").alias("mention"), "start_time", (F.col("start_time") + K.SPOKEN_WINDOW_S).alias("end_time"), F.trim("said").alias("said"))
         near = dominant_speaker(said, turns, "mention").where(F.col("speaker").isNotNull())
         said = said.join(near.select("video_id", "mention", "speaker"), ["video_id", "mention"])
