@@ -158,6 +158,31 @@ def test_pieces_encode_as_whole():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_common_pieces_outlast_the_memory_of_rare_ones(monkeypatch):
+    """Ids are the library's across ageing; a piece of each batch is encoded once, and letters beyond ASCII need no library to be split."""
+    monkeypatch.setattr(ts, "CACHE_PIECES", 40)
+    own, rng, asked = ts.PieceEncoder(tokenizer_path(), 2), random.Random(3), []
+    texts = [" ".join(["x", "cómo", "thing.\nÉtait", "señor's", *("".join(rng.choices("aeñt\u0301", k=7)) for _ in range(30)), "cómo", "a\u0301!!", "\u0968९ñ"]) for _ in range(40)]
+    model, split = own.tokenize, []
+    monkeypatch.setattr(own, "tokenize", lambda w: asked.append(w) or model(w))
+
+    class Splitter:
+        def __init__(self, tok):
+            self.tok, self.model, self.encode = tok, tok.model, tok.encode
+            self.pre_tokenizer = self
+
+        def pre_tokenize_str(self, t):
+            split.append(t)
+            return self.tok.pre_tokenizer.pre_tokenize_str(t)
+
+    whole = own.tok
+    monkeypatch.setattr(own, "tok", Splitter(whole))
+    got = [own.encode([t])[0] for t in texts]
+    assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert asked.count(own.written(" cómo")) == 1 and asked.count("\u0120thing") == 1
+    assert not any("thing" in t or "señor" in t for t in split)
+
+
 def test_other_tokenizer_files_encode_whole_texts(tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

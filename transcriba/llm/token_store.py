@@ -16,7 +16,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ CACHE_PIECES = 400_000
 # -- encoding ---------------------------------------------------------------------------------------
 
 
-#: A space before white space, of which no cut may come: what any table of white space has had.
-ODD_SPACES = tuple(" " + chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: White space of any table that ever was: no cut may come at a space before it.
+ODD_SPACES = tuple(chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def pieces(text: str) -> list[str]:
@@ -49,11 +49,12 @@ def pieces(text: str) -> list[str]:
     The space itself is left out; it belongs to the piece after it.
     """
     parts = text.split(" ")
-    if not text.endswith(" ") and not any(odd in text for odd in ODD_SPACES):  # a search for each is faster than a pattern for all
+    # A search for one character is the fastest there is, and most kinds of white space are in no text.
+    if not text.endswith(" ") and "  " not in text and not any(c in text and " " + c in text for c in ODD_SPACES):
         return parts
     out = parts[:1]
     for part in parts[1:]:
-        if part and " " + part[0] not in ODD_SPACES:
+        if part and part[0] not in ODD_SPACES:
             out.append(part)
         else:
             out[-1] += " " + part
@@ -64,6 +65,8 @@ def pieces(text: str) -> list[str]:
 ASCII_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\v\f\r A-Za-z0-9]+|[\t\n\v\f\r ]+(?![^\t\n\v\f\r ])|[\t\n\v\f\r ]+""")
 
 
+#: What stands for a letter beyond ASCII where only the kinds of characters count.
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 #: Marks that end a word and are no letter, digit or space, nor begin a contraction.
 MARKS = ".,;:!?"
 
@@ -78,6 +81,22 @@ def splits_at_spaces(spec: dict) -> bool:
     return model.get("type") == "BPE" and spec.get("normalizer") is None and plain and bare and not added
 
 
+class Recent(dict):
+    """What a function made of the keys that were asked for of late. Those of before the last ageing are looked up first, then made anew."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        got = self[key] = self.make(key) if got is None else got
+        return got
+
+    def age(self) -> None:
+        self.old = self.copy()
+        self.clear()
+
+
 class PieceEncoder:
     """A byte-level BPE tokenizer with the pieces that this worker has met; lives as long as the worker."""
 
@@ -92,13 +111,15 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             self.by_piece = splits_at_spaces(json.load(f))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        if self.by_piece:
+            self.tokenize = self.tok.model.tokenize
         # Byte-level vocabularies write each byte as one printable character.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.after: dict[str, bytes] = {}  # pieces that follow a space, without it
-        self.inner: dict[str, bytes] = {}  # words inside an ASCII piece
-        self.wide: dict[str, bytes] = {}  # words inside any other piece, as the vocabulary writes them
+        self.after = Recent(self.follow)  # pieces that follow a space, without it
+        self.inner = Recent(lambda w: self.one(self.written(w)))  # words inside a piece
+        self.wide = Recent(self.one)  # those that the library found, as the vocabulary writes them
         self.alpha: set[str] = set()  # characters that the library takes for letters
         self.other: set[str] = set()  # and those that it does not
 
@@ -112,7 +133,7 @@ class PieceEncoder:
         return word.encode().decode("latin-1").translate(self.letters)
 
     def one(self, written: str) -> bytes:
-        return array(self.code, [t.id for t in self.tok.model.tokenize(written)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
 
     def all_letters(self, p: str) -> bool:
         if self.alpha.issuperset(p):
@@ -125,44 +146,37 @@ class PieceEncoder:
         """Ids of a piece that is not letters alone, and the space before it."""
         if any(a in p for a in self.added):
             return self.whole(" " + p)
-        ascii_only = p.isascii()
-        words = ASCII_WORDS.findall(" " + p) if ascii_only else [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(" " + p)]
-        out, held = b"", self.inner if ascii_only else self.wide
-        for w in words:
-            if (ids := held.get(w)) is None:
-                ids = held[w] = self.one(self.written(w) if ascii_only else w)
-            out += ids
-        return out
-
-    def learn(self, unseen: set[str]) -> None:
-        """Ids of pieces and the space before them, the commonest kinds first: letters, and letters with one mark at their end."""
-        after, alpha, tokenize, code = self.after, self.alpha, self.tok.model.tokenize, self.code
-        for p in unseen:
-            tail = b""
-            if not alpha.issuperset(p):
-                if p[-1] in MARKS and alpha.issuperset(p[:-1]) and len(p) > 1:
-                    tail, whole, p = self.inner.get(p[-1]) or self.inner.setdefault(p[-1], self.one(p[-1])), p, p[:-1]
-                    if (ids := after.get(p)) is not None:
-                        after[whole] = ids + tail
-                        continue
-                elif not self.all_letters(p):
-                    after[p] = self.piece(p)
-                    continue
-            word = "\u0120" + p if p.isascii() else self.written(" " + p)
-            ids = after[p] = array(code, [t.id for t in tokenize(word)]).tobytes()
-            if tail:
-                after[whole] = ids + tail
+        text = " " + p
+        if p.isascii():
+            words = ASCII_WORDS.findall(text)
+        elif self.all_letters("".join(BEYOND_ASCII.findall(p))):  # any other letter splits as an ASCII one does
+            words = [text[m.start() : m.end()] for m in ASCII_WORDS.finditer(BEYOND_ASCII.sub("a", text))]
+        else:
+            return b"".join([self.wide[w] for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)])
+        first, inner = words[0], self.inner
+        if len(first) > 1 and self.alpha.issuperset(first[1:]):
+            return self.after[first[1:]] + b"".join([inner[w] for w in words[1:]])
+        return b"".join([inner[w] for w in words])
+
+    def follow(self, p: str) -> bytes:
+        """Ids of a piece and the space before it, the commonest kinds first: letters, and letters with one mark at their end."""
+        alpha = self.alpha
+        if not alpha.issuperset(p):
+            if p[-1] in MARKS and alpha.issuperset(p[:-1]) and len(p) > 1:
+                return self.after[p[:-1]] + self.inner[p[-1]]
+            if not self.all_letters(p):
+                return self.piece(p)
+        return array(self.code, [t.id for t in self.tokenize("\u0120" + p if p.isascii() else self.written(" " + p))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        heads = [self.whole(c[0]) for c in cut]
-        bodies = [c[1:] for c in cut]
-        if len(self.after) + len(self.inner) + len(self.wide) > CACHE_PIECES:
+        if len(self.after) + len(self.inner) + len(self.wide) > CACHE_PIECES // 2:
             for held in (self.after, self.inner, self.wide):
-                held.clear()
-        self.learn(set().union(*bodies) - self.after.keys())
-        get = self.after.__getitem__
-        return [h + b"".join(map(get, b)) for h, b in zip(heads, bodies, strict=True)]
+                held.age()
+        get, out = self.after.__getitem__, []
+        for t in texts:
+            head, *body = pieces(t)
+            out.append(self.whole(head) + b"".join(map(get, body)))
+        return out
 
 
 def encode(texts: list[str], path: str, width: int) -> list[bytes]:
