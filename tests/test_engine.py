@@ -488,6 +488,39 @@ def test_package_works_out_its_steps_once(spark, monkeypatch):
     assert not any(x in p for p in plans for x in (r"yo soy\s", "PERIODISTA"))
 
 
+def test_package_gathers_a_medium_once(spark, monkeypatch):
+    """Lines are made and gathered in one plan for all documents that hold them, and documents are told from kept rows without a shuffle."""
+    from transcriba.operators import editorial
+
+    plans, keep = [], editorial.materialise
+    monkeypatch.setattr(editorial, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    package = registry.queries()["k8_package"](spark, SF)
+    plans.append(package._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("Título en pantalla: «") for p in plans) == 1
+    assert "Exchange" not in package._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cleaning_and_loops_are_as_by_the_plain_rules(spark):
+    """The guarded patterns of the cleanup, spoken text and loops give what the plain ones give: marks, cases, wide spaces, letters beyond ASCII."""
+    bits = ["eh", "Ehm", "EHH,", "ém", "ahí", "mm.", "em em", "la la", "La lA la", "él él", "no", "nono", "a\u200da", "x_x x_x", "ÀÀ àà", "ß SS", "\u212aa ka", "  ", "\u3000", "\t", " ,", ",,", ";;:", ".", "! ", "? ", "a\u0301h", "12 12", "ah"]
+    rng = np.random.default_rng(11)
+    texts = ["", " ", "a. ", ". . .", "Sí. sí! SI?", "Hola. hola.", *(rng.choice([" ", "", ". "]).join(rng.choice(bits, int(rng.integers(1, 9)))) for _ in range(3000))]
+    plain = [(r"(?<![\wáéíóúñ])(?:eh|ehh|ehhh|em|emm|mm|mmm|ah|ehm)(?![\wáéíóúñ])\s*[,.]?\s*", " "), (r"\b(\w+)(\s+\1\b)+", "$1"), (r"\s+([,.;:!?])", "$1"), (r"([,.;:])\1+", "$1"), (r"\s{2,}", " "), (r"^[,.;:\s]+", "")]
+    t = F.col("t")
+    want = t
+    for pattern, new in plain:
+        want = F.regexp_replace(want, f"(?iuU){pattern}", new)
+        want = F.trim(want) if pattern == r"\s{2,}" else want
+    want = F.concat(F.upper(F.left(want, F.lit(1))), F.substring(want, 2, 1 << 30))
+    spoken = lambda c: F.trim(F.regexp_replace(F.regexp_replace(T.fold(F.lower(c)), "[^a-z0-9 ]", " "), r"\s+", " "))
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    every = F.filter(F.transform(T.sentences(t), spoken), lambda x: x != "")
+    loop = (F.size(every) >= 2) & (F.size(F.array_distinct(every)) == 1) & (F.size(F.split(F.get(every, F.lit(0)), " ")) < 12)
+    rows = rows.select("t", T.clean_for_reading(t).alias("got"), want.alias("want"), T.normalize_spoken(t).alias("said"), spoken(t).alias("plain"), T.is_loop(t).alias("loop"), F.coalesce(loop, F.lit(False)).alias("loops")).collect()
+    assert [r.t for r in rows if (r.got, r.said, r.loop) != (r.want, r.plain, r.loops)] == []
+    assert sum(r.got != r.t for r in rows) > 1000 and 3 < sum(r.loop for r in rows) < 2000
+
+
 @pytest.mark.parametrize("name", ["t7_local_summary", "t27_read_lines"])
 def test_rows_that_hold_their_words_are_not_shuffled(spark, name):
     assert "Exchange" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -20,9 +20,9 @@ STOPWORDS = ("el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del",
 FILLERS = ("eh", "ehh", "ehhh", "em", "emm", "mm", "mmm", "ah", "ehm")
 # The cleanup for reading, pattern and replacement in the order in which they apply; case does not count.
 CLEANUP = (
-    (r"(?<![\wáéíóúñ])(?:eh|ehh|ehhh|em|emm|mm|mmm|ah|ehm)(?![\wáéíóúñ])\s*[,.]?\s*", " "),
-    (r"\b(\w+)(\s+\1\b)+", r"\1"),
-    (r"\s+([,.;:!?])", r"\1"),
+    (r"(?=[ema][hm])(?<![\wáéíóúñ])(?:eh|ehh|ehhh|em|emm|mm|mmm|ah|ehm)(?![\wáéíóúñ])\s*[,.]?\s*", " "),
+    (r"\b(\w++)(\s+\1\b)+", r"\1"),
+    (r"\s++([,.;:!?])", r"\1"),
     (r"([,.;:])\1+", r"\1"),
     (r"\s{2,}", " "),
     (r"^[,.;:\s]+", ""),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from .intervals import active_citation, utterances
 # Headers of the sheets, lines of the documents.
 PARTICIPANTS = ("Identificación", "Nombre", "Función", "Institución", "ID de voz", "Primera aparición", "Última aparición", "Minutos hablados", "Nivel de confianza", "Evidencia", "Observaciones")
 CITATIONS = ("Nº", "Inicio", "Fin", "Título (según pantalla)", "Autor", "Año", "Evidencia", "Nivel de confianza", "Observaciones")
+REVIEW = ("number", "issue", "at_s", "what", "note")
 NO_EVIDENCE, OFF_SCREEN_NOTE, NARRATION = "Sin evidencia en el video", "Voz en off / narración", "NARRACIÓN"
 CARD, CHECK_BY_EAR, NO_AUTHOR = "Tarjeta sobreimpresa en ", "El inicio y el fin del pasaje leído requieren cotejo con el audio", "No identificado"
 READING_OPENS, READING_CLOSES = "INICIO — LECTURA DE TEXTO", "FIN — LECTURA DE TEXTO"
@@ -48,6 +52,7 @@ def _lines(said: DataFrame, identities: DataFrame, citations: DataFrame | None,
     rows = said.where(~F.col("invented")).select("video_id", "start_time", "end_time", "speaker", "text")
     in_video = Window.partitionBy("video_id").orderBy("start_time", "end_time")
     rows = rows.withColumn("ord", F.row_number().over(in_video))
+    times = rows.select("video_id", "ord", "start_time", "end_time")
     who = identities.select("video_id", "speaker", "name", "role", "institution", "off_screen")
     rows = rows.join(who.withColumn("known", F.lit(True)), ["video_id", "speaker"], "left")
     first = F.row_number().over(Window.partitionBy("video_id", "speaker").orderBy("ord")) == 1
@@ -56,9 +61,9 @@ def _lines(said: DataFrame, identities: DataFrame, citations: DataFrame | None,
     rows = rows.select("video_id", "ord", "start_time", "end_time", full.alias("who"), short.alias("short"), "text")
     detail = F.lit(None).cast("string")
     if citations is not None:
-        now = active_citation(rows, citations, "ord")
         card = citations.select("video_id", "citation_id", F.concat(F.lit("Título en pantalla: «"), "title", F.lit("»"), F.coalesce(F.concat(F.lit(" · Autor: "), "author"), F.lit("")), F.coalesce(F.concat(F.lit(" · "), "year"), F.lit(""))).alias("card"))
-        rows = rows.join(now, ["video_id", "ord"], "left").join(card, ["video_id", "citation_id"], "left")
+        now = active_citation(times, citations, "ord").join(card, ["video_id", "citation_id"], "left")
+        rows = rows.join(now, ["video_id", "ord"], "left")
         detail = F.col("card")
     else:
         rows = rows.withColumn("citation_id", F.lit(None).cast("long"))
@@ -70,20 +75,31 @@ def _lines(said: DataFrame, identities: DataFrame, citations: DataFrame | None,
     return rows.select("video_id", "ord", "start_time", "end_time", "opens", "who", "short", "text", "closes")
 
 
+def _gathered(lines: DataFrame, **parts: Column | str) -> DataFrame:
+    """video_id, l: the parts of a video's lines in order."""
+    return lines.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in parts.items()]))).alias("l"))
+
+
+def _joined(line: Callable[[Column], Column], between: str) -> Column:
+    """The lines of l as one text."""
+    return F.array_join(F.transform("l", line), between)
+
+
 def _document(lines: DataFrame, line: Column, between: str) -> DataFrame:
-    rows = lines.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
-    return rows.select("video_id", F.array_join(F.transform("l", lambda x: x["line"]), between).alias("body"))
+    return _gathered(lines, line=line).select("video_id", _joined(lambda x: x["line"], between).alias("body"))
 
 
 def _stamp(c: str, ms: bool = False) -> Column:
     return clock(F.col(c), ms)
 
 
-def _body(lines: DataFrame) -> DataFrame:
-    """The transcript of a document: stamps, voices, texts, and where a reading opens and closes."""
+def _transcripts(lines: DataFrame) -> DataFrame:
+    """video_id, l: what documents say of each line: opens and closes where a reading does, stamp and voice, block and short name, text and reading."""
     opens = F.coalesce(F.concat(F.lit("["), _stamp("start_time"), F.lit(f"] {READING_OPENS}\n"), "opens", F.lit("\n\n")), F.lit(""))
     closes = F.when(F.col("closes"), F.concat(F.lit("\n\n["), _stamp("start_time"), F.lit(f"] {READING_CLOSES}"))).otherwise("")
-    return _document(lines, F.concat(opens, F.lit("["), _stamp("start_time"), F.lit("] "), "who", F.lit("\n"), "text", closes), "\n\n")
+    voice = F.concat(F.lit("["), _stamp("start_time"), F.lit("] "), "who", F.lit("\n"))
+    block = F.concat(F.col("ord").cast("string"), F.lit("\n"), _stamp("start_time", True), F.lit(" --> "), _stamp("end_time", True), F.lit("\n"), "short", F.lit(": "))
+    return _gathered(lines, opens=opens, closes=closes, voice=voice, block=block, text="text", reading="reading")
 
 
 def _csv(cells: list[Column]) -> Column:
@@ -91,11 +107,9 @@ def _csv(cells: list[Column]) -> Column:
     return F.concat_ws(",", *quoted)
 
 
-def _sheet(header: tuple[str, ...], rows: DataFrame, media: DataFrame) -> DataFrame:
-    """A CSV document for every medium, of rows (video_id, ord, line)."""
-    body = _document(rows, F.col("line"), "\n")
-    head = ",".join(f'"{h}"' for h in header)
-    return media.select("video_id").join(body, "video_id", "left").select("video_id", F.concat_ws("\n", F.lit(head), "body").alias("content"))
+def _sheet(header: tuple[str, ...], body: str) -> Column:
+    """A CSV document of its lines, or the header alone."""
+    return F.concat_ws("\n", F.lit(",".join(f'"{h}"' for h in header)), body)
 
 
 def participant_rows(identities: DataFrame) -> DataFrame:
@@ -121,42 +135,43 @@ def citation_rows(citations: DataFrame) -> DataFrame:
 def package(media: DataFrame, segments: DataFrame, identities: DataFrame, citations: DataFrame, ends: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
     """K8, K9: video_id, file, content: the eight documents of every medium (video_id, title, url, duration_seconds).
 
-    The utterances, the voices and the lines are made once for all documents, in the shared folder. The literal transcript keeps what was recognised; all others read clean.
+    The utterances and the voices are made once, in the shared folder, and so is what the documents of a medium say, gathered with
+    each table shuffled once; the documents are then told row by row. The literal transcript keeps what was recognised; all others read clean.
     Word files and spreadsheets are Markdown and CSV with the same rows. A medium without utterances gets its documents with empty bodies.
     """
     said, identities = materialise(interventions(segments, ends)), materialise(identities)
-    clean = materialise(_lines(said, identities, citations, glossary, True))
-    raw = _lines(said, identities, citations, None, False)
-    title = media.select("video_id", "title", "url", "duration_seconds")
+    lines = _lines(said, identities, citations, None, False)
+    lines = reading_text(lines if glossary is None else materialise(lines), glossary)  # a glossary asks for the lines three times
+    doubts = review_list(segments, identities, citations, said.where("invented").select("video_id", "start_time", "text"))
+    sheets = {
+        "participants": participant_rows(identities).select("video_id", "ord", _csv([F.col(f"`{h}`") for h in PARTICIPANTS]).alias("line")),
+        "citations": citation_rows(citations).select("video_id", "ord", _csv([F.col(f"`{h}`") for h in CITATIONS]).alias("line")),
+        "doubts": doubts.select("video_id", F.col("number").alias("ord"), _csv([F.col(c) for c in REVIEW]).alias("line")),
+    }
+    parts = [_document(rows, F.col("line"), "\n").withColumnRenamed("body", name) for name, rows in sheets.items()]
+    parts += [segments.groupBy("video_id").agg(F.count("*").alias("n")), identities.groupBy("video_id").agg(F.count("*").alias("voices"), F.count("name").alias("named")), citations.groupBy("video_id").agg(F.count("*").alias("cards"))]
+    known = media.select("video_id", "title", "url", "duration_seconds")
+    for rows in (*parts, _transcripts(lines)):
+        known = known.join(rows, "video_id", "left")
+    known = materialise(known)
+
     head = F.concat("title", F.lit("\n"), F.repeat(F.lit("="), F.length("title")), F.lit("\n\n"), F.coalesce(F.concat(F.lit("Fuente: "), "url", F.lit("\n")), F.lit("")), F.lit("Duración: "), _stamp("duration_seconds"), F.lit(f"\n\n{K.WARNING}\n\n{'-' * 70}\n\n"))
     heading = lambda what: F.concat(F.lit("# "), "title", F.lit(f"\n\n{what}\n\n> {K.WARNING}\n\n"))
-
-    def page(head: Column, body: DataFrame) -> DataFrame:
-        return title.join(body, "video_id", "left").select("video_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("content"))
-
-    plain = _document(clean, F.concat(F.lit("["), _stamp("start_time"), F.lit("] "), "who", F.lit("\n"), "text", F.lit("\n")), "\n")
-    blocks = _document(clean, F.concat(F.col("ord").cast("string"), F.lit("\n"), _stamp("start_time", True), F.lit(" --> "), _stamp("end_time", True), F.lit("\n"), "short", F.lit(": "), "text", F.lit("\n")), "\n")
-    who, cards = participant_rows(identities), citation_rows(citations)
-    doubts = review_list(segments, identities, citations, said.where("invented").select("video_id", "start_time", "text"))
-    doubts = doubts.select("video_id", F.col("number").alias("ord"), _csv([F.col(c) for c in ("number", "issue", "at_s", "what", "note")]).alias("line"))
-    counts = segments.groupBy("video_id").agg(F.count("*").alias("n")).join(identities.groupBy("video_id").agg(F.count("*").alias("voices"), F.count("name").alias("named")), "video_id", "left").join(citations.groupBy("video_id").agg(F.count("*").alias("cards")), "video_id", "left")
+    page = lambda head, body: F.concat(head, F.coalesce(body, F.lit("")))
+    body = lambda text: _joined(lambda x: F.concat(x["opens"], x["voice"], x[text], x["closes"]), "\n\n")
     told = (("Segmentos de habla transcritos", "n"), ("Voces distinguidas", "voices"), ("Voces con nombre propio", "named"), ("Textos literarios anunciados por tarjeta", "cards"))
-    process = counts.select("video_id", F.concat_ws("\n", *[F.concat(F.lit(f"- {k}: "), F.coalesce(F.col(c), F.lit(0)).cast("string")) for k, c in told]).alias("body"))
+    process = F.concat_ws("\n", *[F.concat(F.lit(f"- {k}: "), F.coalesce(F.col(c), F.lit(0)).cast("string")) for k, c in told])
     files = {
-        "transcripcion_literal.md": page(heading("Transcripción literal (sin editar)"), _body(raw)),
-        "transcripcion_limpia.md": page(heading("Transcripción editorial (versión de lectura)"), _body(clean)),
-        "transcripcion_completa.txt": page(head, plain),
-        "subtitulos.srt": page(F.lit(""), blocks),
-        "participantes_identificados.csv": _sheet(PARTICIPANTS, who.select("video_id", "ord", _csv([F.col(f"`{h}`") for h in PARTICIPANTS]).alias("line")), media),
-        "citas_literarias.csv": _sheet(CITATIONS, cards.select("video_id", "ord", _csv([F.col(f"`{h}`") for h in CITATIONS]).alias("line")), media),
-        "incertidumbres.csv": _sheet(("number", "issue", "at_s", "what", "note"), doubts, media),
-        "proceso_tecnico.md": page(F.lit("# Proceso técnico\n\n"), process),
+        "transcripcion_literal.md": page(heading("Transcripción literal (sin editar)"), body("text")),
+        "transcripcion_limpia.md": page(heading("Transcripción editorial (versión de lectura)"), body("reading")),
+        "transcripcion_completa.txt": page(head, _joined(lambda x: F.concat(x["voice"], x["reading"], F.lit("\n")), "\n")),
+        "subtitulos.srt": page(F.lit(""), _joined(lambda x: F.concat(x["block"], x["reading"], F.lit("\n")), "\n")),
+        "participantes_identificados.csv": _sheet(PARTICIPANTS, "participants"),
+        "citas_literarias.csv": _sheet(CITATIONS, "citations"),
+        "incertidumbres.csv": _sheet(REVIEW, "doubts"),
+        "proceso_tecnico.md": page(F.lit("# Proceso técnico\n\n"), F.when(F.col("n").isNotNull(), process)),
     }
-    out = [rows.select("video_id", F.lit(name).alias("file"), "content") for name, rows in files.items()]
-    first, *rest = out
-    for rows in rest:
-        first = first.unionByName(rows)
-    return first
+    return reduce(DataFrame.unionByName, [known.select("video_id", F.lit(name).alias("file"), content.alias("content")) for name, content in files.items()])
 
 
 def prepare(media: DataFrame, segments: DataFrame, names: DataFrame | None = None, wanted: DataFrame | None = None, pause: float = 0.0) -> DataFrame:
