@@ -412,6 +412,19 @@ def test_changes_look_for_no_suggestions(spark):
     assert "similarity" not in registry.queries()["t13_glossary_changes"](spark, SF)._jdf.queryExecution().toString()
 
 
+def test_changes_keep_sharp_s_and_join_repeated_turns(spark, tmp_path):
+    """A term that starts with ß and one in capitals with ẞ restore their words, letters without a capital stay, and a turn that is there twice is one row, as in SQL."""
+    texts = ["Die ßungä, grüßen.", "ßunga und GRUẞEN", "grußen ßunga", "ǰabcx, JABCX", "ssunga SSUNGA"]
+    rows = pd.DataFrame([(1, min(i, 3), "user", t) for i, t in enumerate(texts)] + [(1, 2, "user", "Grußen")], columns=["conv_id", "turn", "role", "text"])
+    rows.to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet'")
+    want = con.sql(registry.oracle_sql()["t13_glossary_changes"]).fetchall()
+    assert set(want) == {(1, 1, "GRUẞEN→GRÜẞEN,ßunga→ßungä"), (1, 2, "Grußen→Grüßen,grußen→grüßen,ßunga→ßungä"), (1, 3, "JABCX→ǰABCX")}
+    got = registry.queries()["t13_glossary_changes"](spark, str(tmp_path)).select("video_id", "segment_id", "changes").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_similar_words_share_a_segment(spark):
     """Every pair that all pairs would find shares a key, and few others do."""
     from difflib import SequenceMatcher

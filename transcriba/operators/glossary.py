@@ -35,10 +35,10 @@ def glossary_terms(names: DataFrame) -> DataFrame:
 
 
 def in_case_of(word: Column, model: Column) -> Column:
-    """Word in capitals, with a capital, or in lower case, as the model is."""
+    """Word in capitals, with a capital, or in lower case, as the model is: letter for letter, so ß is ẞ in capitals."""
     capital = F.substring(model, 1, 1)
-    upper = (F.upper(model) == model) & (F.lower(model) != model)
-    return F.when(upper, F.upper(word)).when((F.upper(capital) == capital) & (F.lower(capital) != capital), F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))).otherwise(F.lower(word))
+    upper = (T.capitals(model) == model) & (F.lower(model) != model)
+    return F.when(upper, T.capitals(word)).when((T.capitals(capital) == capital) & (F.lower(capital) != capital), F.concat(T.capitals(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))).otherwise(F.lower(word))
 
 
 @F.arrow_udf(DoubleType())
