@@ -398,6 +398,17 @@ def test_label_families_read_their_readings_once(spark):
     assert "LogicalRDD" not in plan
 
 
+def test_families_do_not_hang_on_the_order_of_rows(spark):
+    """Spellings of one folded form are one family, and its confidence has the same last digits in whatever order and parts its readings come."""
+    read = [(1, 0, float(i), t, c, 10 + i) for i, (t, c) in enumerate(zip(("Of Anlyer.", "of. Anlyer.", "of. Anlyer."), (0.1, 0.2, 0.3), strict=True))]
+    kinds = "video_id int, session int, t double, text string, conf double, y int"
+    frames = [spark.createDataFrame(r, kinds).coalesce(n) for r in (read, read[::-1], read[1:] + read[:1]) for n in (1, 3)]
+    got = {(r.text, r.sightings, r.confidence, r.y) for f in frames for r in labels.label_families(f).collect()}
+    assert len(got) == 1
+    ((text, sightings, confidence, y),) = got
+    assert (text, sightings, y) == ("Anlyer.", 3, 10) and abs(confidence - 0.2) < 1e-9
+
+
 def test_invented_texts_are_normalised_once(spark):
     """A text is normalised once for all stock phrases, and long ones not at all; rules as before on texts at the edges."""
     cases = {None: False, "": False, "¡Gracias por ver el vídeo!": True, "Gracias por ver el video" + " a" * 15: True, "Gracias por ver el video" + " ab" * 6: False, "Sí. Sí. ¡Sí!": True, "... Ya. ya.": True, "Sí. No. Sí.": False, "!!! ???": False, "Gracias por ver el video " + "¿" * 500: True, "x " * 100 + "gracias por ver el video": False}

@@ -86,6 +86,11 @@ def containment(texts: DataFrame, key: str, seat: str, scope: tuple[str, ...] =
     return met.groupBy(*scope, F.col("k").alias(key)).agg(first).select(*scope, key, F.col("best.head").alias("head"), F.col("best.seat").alias("seat"))
 
 
+def _in_order(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """Rows of one key in one task, in order: sums of fractions that follow have the same last digits however rows arrive."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def label_families(readings: DataFrame) -> DataFrame:
     """Variants of on-screen lines within a session: video_id, session, text, sightings, confidence, y, place.
 
@@ -96,9 +101,9 @@ def label_families(readings: DataFrame) -> DataFrame:
     scope = ("video_id", "session")
     rows = readings.withColumn("norm", T.normalize_ocr(F.col("text")))  # blank ones have no family
     seen = F.struct("t", "y", "text")
-    texts = materialise(rows.groupBy(*scope, "norm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.min("y").alias("y"), F.min(seen).alias("seat")))
-    own = texts.drop("seat").join(containment(texts, "norm", "seat", scope), [*scope, "norm"])
-    per = own.groupBy(*scope, "head", "seat").agg(F.sum("n").alias("sightings"), F.sum("conf").alias("conf"), F.min("y").alias("y"))
+    texts = materialise(_in_order(rows, (*scope, "norm"), "t", "y", "text", "conf").groupBy(*scope, "norm").agg(F.count("*").alias("n"), F.sum("conf").alias("conf"), F.min("y").alias("y"), F.min(seen).alias("seat")))
+    own = texts.withColumnRenamed("seat", "seen").join(containment(texts, "norm", "seat", scope), [*scope, "norm"])
+    per = _in_order(own, (*scope, "head"), "seen").groupBy(*scope, "head", "seat").agg(F.sum("n").alias("sightings"), F.sum("conf").alias("conf"), F.min("y").alias("y"))
     out = per.select(*scope, T.strip_edges(F.col("seat.text")).alias("text"), "sightings", (F.col("conf") / F.col("sightings")).alias("confidence"), "y", F.struct((-F.length("head")).alias("n"), "seat").alias("place"))
     return out.where((F.col("sightings") >= K.LABEL_SIGHTINGS) & (F.length("text") >= 3))
 
