@@ -2,6 +2,7 @@
 
 
 import unicodedata
+from itertools import permutations
 
 import duckdb
 import numpy as np
@@ -409,6 +410,14 @@ def test_families_do_not_hang_on_the_order_of_rows(spark):
     assert (text, sightings, y) == ("Anlyer.", 3, 10) and abs(confidence - 0.2) < 1e-9
 
 
+def test_confidence_of_a_label_adds_up_from_the_top(spark):
+    """The mean of a label's lines is made in their order, so its last digits are the same wherever they were made."""
+    shares = list(permutations((0.1, 0.2, 0.3)))
+    read = [(v, float(j), t, c, 10 * i) for v, cs in enumerate(shares) for i, (t, c) in enumerate(zip(("ANA LUZ", "POETA", "CHILE"), cs, strict=True)) for j in range(2)]
+    got = labels.stable_labels(spark.createDataFrame(read, "video_id long, t double, text string, conf double, y int")).collect()
+    assert {r.video_id: (r["lines"], r.confidence) for r in got} == {v: (["ANA LUZ", "POETA", "CHILE"], (cs[0] + cs[1] + cs[2]) / 3) for v, cs in enumerate(shares)}
+
+
 def test_invented_texts_are_normalised_once(spark):
     """A text is normalised once for all stock phrases, and long ones not at all; rules as before on texts at the edges."""
     cases = {None: False, "": False, "¡Gracias por ver el vídeo!": True, "Gracias por ver el video" + " a" * 15: True, "Gracias por ver el video" + " ab" * 6: False, "Sí. Sí. ¡Sí!": True, "... Ya. ya.": True, "Sí. No. Sí.": False, "!!! ???": False, "Gracias por ver el video " + "¿" * 500: True, "x " * 100 + "gracias por ver el video": False}

@@ -117,7 +117,8 @@ def stable_labels(readings: DataFrame, gap: float = K.LABEL_GAP_S) -> DataFrame:
     rows = materialise(sessions(readings, gap))
     span = rows.groupBy("video_id", "session").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"))
     lines = F.array_sort(F.collect_list(F.struct("y", "place", "text")))
-    per = label_families(rows).groupBy("video_id", "session").agg(lines.alias("lines"), F.avg("confidence").alias("confidence"), F.max("sightings").alias("sightings"))
+    at = ("video_id", "session")
+    per = _in_order(label_families(rows), at, "y", "place").groupBy(*at).agg(lines.alias("lines"), F.avg("confidence").alias("confidence"), F.max("sightings").alias("sightings"))
     out = span.join(per, ["video_id", "session"])
     return out.select("video_id", F.col("session").alias("label_ord"), "start_time", "end_time", F.transform("lines", lambda x: x["text"]).alias("lines"), "confidence", "sightings")
 
